@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from casemill.llm.embedding_dedup import op10
+from casemill.llm.mixing import op5
+from casemill.llm.quality import op8
+from casemill.llm.secret_scan import op7
 from casemill.llm.substring_dedup import op9
 from casemill.llm.suffix_dedup import op6
 
 QUERIES = {
+    "op5_mix_sources": op5,
     "op6_suffix_array_dedup": op6,
+    "op7_secret_scan": op7,
+    "op8_quality": op8,
     "op9_substring_dedup": op9,
+    "op10_embedding_dedup": op10,
 }
 
 SQL: dict[str, str] = {}
