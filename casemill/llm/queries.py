@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from casemill.llm.embedding_dedup import op10
+from casemill.llm.lm_score import op1
 from casemill.llm.mixing import op5
 from casemill.llm.quality import op8
 from casemill.llm.secret_scan import op7
@@ -10,6 +11,7 @@ from casemill.llm.substring_dedup import op9
 from casemill.llm.suffix_dedup import op6
 
 QUERIES = {
+    "op1_lm_score": op1,
     "op5_mix_sources": op5,
     "op6_suffix_array_dedup": op6,
     "op7_secret_scan": op7,
