@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from casemill.llm.embedding_dedup import op10
+from casemill.llm.jaccard_join import op2
 from casemill.llm.lm_score import op1
 from casemill.llm.mixing import op5
 from casemill.llm.quality import op8
@@ -12,6 +13,7 @@ from casemill.llm.suffix_dedup import op6
 
 QUERIES = {
     "op1_lm_score": op1,
+    "op2_jaccard_join": op2,
     "op5_mix_sources": op5,
     "op6_suffix_array_dedup": op6,
     "op7_secret_scan": op7,
