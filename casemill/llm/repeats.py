@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.arrays import Slice, U, by_bucket, mix, pack, runs, slices, unpack
+from casemill.llm.arrays import Slice, U, by_bucket, mix, pack, slices, unpack
 from casemill.llm.shared import BROADCAST_BYTES, buckets_for, stage
 
 #: Places gathered in a task before they are sorted and sent.
 FLUSH = 1_500_000
 FILTER_BITS, FILTER_PROBES = 20, 7
-Emit = Callable[[Slice, "np.ndarray | None"], tuple[np.ndarray, np.ndarray, np.ndarray]]
+Emit = Callable[[Slice, "dict[str, list] | None"], tuple[np.ndarray, ...]]
 
 
 def _masked(h: np.ndarray) -> np.ndarray:
@@ -125,43 +125,67 @@ def broadcast_filter(rows: DataFrame, limit: int = BROADCAST_BYTES):
     return spark.sparkContext.broadcast(Filter([tuple(r) for r in rows.collect()], buckets_for(spark)))
 
 
-def repeated_places(docs: DataFrame, emit: Emit) -> DataFrame:
+def _merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, which: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each of n documents the union of the chosen [lo, hi), as sorted starts and ends."""
+    doc, lo, hi = doc[which], lo[which], hi[which]
+    order = np.lexsort((lo, doc))
+    doc, lo, hi = doc[order], lo[order], hi[order]
+    first = np.searchsorted(doc, np.arange(n + 1))
+    out = []
+    for d in range(n):
+        a, b = lo[first[d] : first[d + 1]], np.maximum.accumulate(hi[first[d] : first[d + 1]])
+        cut = np.flatnonzero(a[1:] > b[:-1])
+        out.append((np.concatenate([a[:1], a[cut + 1]]), np.concatenate([b[cut], b[-1:]])))
+    return out
+
+
+def repeated_places(docs: DataFrame, emit: Emit, firsts: bool = False) -> DataFrame:
     """(key, starts, ends): runs of places whose hash, as `emit` gives it, comes at two or more places.
 
-    docs: key, text and, if emit wants them, `starts` and `ends` of an earlier call.  A document
-    without such a place has no row.
+    docs: key, text and array columns that emit gets as hints, by name, a list for each document of the
+    slice.  emit gives documents, places and hashes; then, if its strings stand for more than the place
+    where they start, the numbers of places; then, if some are known and only there for others to meet,
+    flags of those that want an answer.  With `firsts`, first_starts and first_ends are the runs of one
+    of each group of equals.  A document without a repeated place has no row.
     """
     spark = docs.sparkSession
     buckets = buckets_for(spark)
-    hinted = "starts" in docs.columns
+    skip = (buckets.bit_length() - 1) // 8  # leading bytes that the bucket tells
+    hints = [c for c in docs.columns if c not in ("key", "text")]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[bytes] = []
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            doc, pos, h = (np.concatenate(x) for x in zip(*held))
-            uid = md5(b"".join(keys) + pos[:64].tobytes() + bytes(str(len(pos)), "ascii")).digest()
+            doc, pos, h, size, ask = (np.concatenate(x) for x in zip(*held))
+            # places that follow each other in one document are told as a run
+            first = np.ones(len(doc), bool)
+            first[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1) | (size[1:] > 1) | (size[:-1] > 1)
+            at = np.flatnonzero(first)
+            table = np.concatenate([doc[at], pos[at], np.diff(np.append(at, len(doc))), size[at]]).astype("<u4").tobytes()
+            uid = md5(b"".join(keys) + table).digest()
             order, cut = by_bucket(h, buckets)
-            rows = [(uid, -1, None, np.concatenate([doc, pos]).astype("<u4").tobytes(), list(keys))]
+            rows = [(uid, -1, None, table, list(keys))]
             for b in range(buckets):
-                at = order[cut[b] : cut[b + 1]]
-                rows.append((uid, b, h[at].astype("<u8").tobytes(), at.astype("<u4").tobytes(), None))
+                own = order[cut[b] : cut[b + 1]]
+                own = np.concatenate([own[ask[own]], own[~ask[own]]])
+                wide = np.ascontiguousarray(h[own].astype(">u8")).view(np.uint8).reshape(-1, 8)[:, skip:]
+                rows.append((uid, b, np.ascontiguousarray(wide).tobytes(), own[ask[own]].astype("<u4").tobytes(), None))
             held.clear()
             keys.clear()
             for i in range(0, len(rows), 64):
-                u, b, d, at, k = zip(*rows[i : i + 64])
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(b, pa.int32()), pa.array(d, pa.binary()), pa.array(at, pa.binary()), pa.array(k, pa.list_(pa.binary()))], ["uid", "bucket", "hashes", "places", "keys"])
+                u, b, d, own, k = zip(*rows[i : i + 64])
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(b, pa.int32()), pa.array(d, pa.binary()), pa.array(own, pa.binary()), pa.array(k, pa.list_(pa.binary()))], ["uid", "bucket", "hashes", "places", "keys"])
 
         for batch in batches:
             key = batch.column("key")
-            hints = (batch.column("starts"), batch.column("ends")) if hinted else None
             for s in slices(batch.column("text")):
-                hint = [np.array([x[i].as_py() or [] for i in range(s.row0, s.row1)], object) if False else [x[i].as_py() or [] for i in range(s.row0, s.row1)] for x in hints] if hinted else None
-                doc, pos, h = emit(s, hint)
+                told = {c: [batch.column(c)[i].as_py() or [] for i in range(s.row0, s.row1)] for c in hints}
+                doc, pos, h, *more = emit(s, told)
                 if len(h):
                     own, doc = np.unique(doc, return_inverse=True)
-                    held.append((doc + len(keys), pos, h))
+                    held.append((doc + len(keys), pos, h, more[0] if more else np.ones(len(h), np.int64), more[1] if more[1:] else np.ones(len(h), bool)))
                     keys.extend(key[s.row0 + int(i)].as_py() for i in own)
                 if sum(len(x[2]) for x in held) >= FLUSH:
                     yield from flush()
@@ -183,17 +207,24 @@ def repeated_places(docs: DataFrame, emit: Emit) -> DataFrame:
                     got[r["bucket"]].append(r)
         for b in sorted(got):
             sent = got.pop(b)
-            h = np.concatenate([np.frombuffer(r["hashes"], "<u8") for r in sent])
+            raw = np.frombuffer(b"".join(r["hashes"] for r in sent), np.uint8).reshape(-1, 8 - skip)
+            wide = np.zeros((len(raw), 8), np.uint8)
+            wide[:, skip:] = raw
+            h = wide.reshape(-1).view(">u8").astype(U)
             order = np.argsort(h, kind="stable")
             same = h[order][1:] == h[order][:-1]
             twice = np.zeros(len(h), bool)
             twice[order[1:][same]] = True
             twice[order[:-1][same]] = True
+            later = np.zeros(len(h), np.uint32)
+            later[order[1:][same]] = 1
             at, rows = 0, []
             for r in sent:
-                n = len(r["hashes"]) // 8
-                rows.append((r["uid"], None, np.frombuffer(r["places"], "<u4")[twice[at : at + n]].tobytes(), None))
-                at += n
+                n = len(r["places"]) // 4
+                yes = twice[at : at + n]
+                # the lowest bit tells one of each group of equals from the others
+                rows.append((r["uid"], None, (np.frombuffer(r["places"], "<u4")[yes] * np.uint32(2) + later[at : at + n][yes]).astype("<u4").tobytes(), None))
+                at += len(r["hashes"]) // (8 - skip)
             yield out(rows)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,31 +238,58 @@ def repeated_places(docs: DataFrame, emit: Emit) -> DataFrame:
                     sent[r["uid"]] = (r["places"], r["keys"])
         for uid in list(answers):
             got = answers.pop(uid)
-            places, keys = sent.pop(uid)  # a task that ran again with other rows would lack its own: this fails, the result is never partial
+            table, keys = sent.pop(uid)  # a task that ran again with other rows would lack its own: this fails, the result is never partial
             if len(got) % buckets:
                 raise RuntimeError("answers are missing for a block of places")
-            doc, pos = np.frombuffer(places, "<u4").reshape(2, -1)
-            flag = np.zeros(len(pos), bool)
-            flag[np.concatenate([np.frombuffer(x, "<u4") for x in got])] = True
-            doc, pos = doc[flag].astype(np.int64), pos[flag].astype(np.int64)
-            order = np.lexsort((pos, doc))
-            doc, pos = doc[order], pos[order]
-            first = np.searchsorted(doc, np.arange(len(keys) + 1))
-            k, starts, ends = [], [], []
-            for d in np.flatnonzero(np.diff(first)):
-                own = pos[first[d] : first[d + 1]]
-                cut = np.flatnonzero(np.diff(own) > 1)
-                k.append(keys[d])
-                starts.append(np.concatenate([own[:1], own[cut + 1]]))
-                ends.append(np.concatenate([own[cut], own[-1:]]) + 1)
-            if k:
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], ["key", "starts", "ends"])
-
+            doc, pos, n, size = np.frombuffer(table, "<u4").reshape(4, -1).astype(np.int64)
+            turn = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            doc, pos, size = np.repeat(doc, n), np.repeat(pos, n) + turn, np.repeat(size, n)
+            told = np.concatenate([np.frombuffer(x, "<u4") for x in got])
+            made = [_merged(doc, pos, pos + size, told >> 1, len(keys))]
+            if firsts:
+                made.append(_merged(doc, pos, pos + size, told[told & 1 == 0] >> 1, len(keys)))
+            has = [d for d in range(len(keys)) if len(made[0][d][0])]
+            if has:
+                cols = [pa.array([m[d][side] for d in has], pa.list_(pa.int32())) for m in made for side in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([keys[d] for d in has], pa.binary()), *cols], ["key", *runs_of])
+
+    runs_of = ["starts", "ends", "first_starts", "first_ends"][: 4 if firsts else 2]
     packed = docs.mapInArrow(send, "uid binary, bucket int, hashes binary, places binary, keys array<binary>")
     # documents' tables go with their block, bucket -1, wherever its hash leads
     spread = F.when(F.col("bucket") < 0, F.hash("uid")).otherwise(F.col("bucket"))
     answered = packed.repartition(spread).mapInArrow(answer, "uid binary, places binary, answer binary, keys array<binary>")
-    return answered.repartition("uid").mapInArrow(settle, "key binary, starts array<int>, ends array<int>")
+    return answered.repartition("uid").mapInArrow(settle, "key binary, " + ", ".join(f"{c} array<int>" for c in runs_of))
+
+
+def hinted(texts: DataFrame, found: DataFrame, name: str, how: str = "left", limit: int = BROADCAST_BYTES) -> DataFrame:
+    """texts with the runs of an earlier call as <name>_starts, <name>_ends and so on; a broadcast join only if the runs' measured size is within the limit."""
+    size = found.agg(F.sum(F.lit(64) + 8 * F.size("starts"))).first()[0] or 0
+    found = found.select("key", *[F.col(c).alias(f"{name}_{c}") for c in found.columns if c != "key"])
+    return texts.join(F.broadcast(found) if size <= limit else found, "key", how)
+
+
+def told_runs(hint: dict, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, end) of a hint's runs."""
+    rows = [(d, x, y) for d, (a, b) in enumerate(zip(hint[f"{name}_starts"], hint[f"{name}_ends"])) for x, y in zip(a, b)]
+    return tuple(np.array(rows, np.int64).reshape(-1, 3).T)
+
+
+def expanded(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the run, place) of every place of the runs [lo, hi)."""
+    n = hi - lo
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[which]
+
+
+def all_runs(found: list[DataFrame], copied: DataFrame, longer: int) -> DataFrame:
+    """(key, starts, ends) of all calls' runs of places, each run's end put on by `longer`; null runs for copied texts: the whole text."""
+    parts = [f.select("key", "starts", F.transform("ends", lambda e: e + F.lit(longer)).alias("ends"), F.lit(False).alias("whole")) for f in found]
+    none = F.array().cast("array<int>")
+    both = copied.select("key", none.alias("starts"), none.alias("ends"), F.lit(True).alias("whole"))
+    for p in parts:
+        both = both.unionByName(p)
+    merged = both.groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("s"), F.flatten(F.collect_list("ends")).alias("e"), F.max("whole").alias("whole"))
+    return stage(merged.select("key", F.when(~F.col("whole"), F.col("s")).alias("starts"), F.when(~F.col("whole"), F.col("e")).alias("ends")), "runs")
 
 
 def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casemill.llm.arrays import Slice, Tokens, covered, prefix_hash, slices, span_hash, tokens, words_window
-from casemill.llm.repeats import broadcast_filter, distinct_texts, filter_rows, repeated_places
+from casemill.llm.repeats import all_runs, broadcast_filter, distinct_texts, expanded, filter_rows, hinted, repeated_places, told_runs
 from casemill.llm.shared import BROADCAST_BYTES, small_or_join, stage
 
 
@@ -79,18 +79,15 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return _around(t, hashes, at[anchors.value.has(h)], window, block)
 
     else:
-        texts = texts.join(stage(repeated_places(texts, rolling), "anchors"), "key")
+        texts = hinted(texts, stage(repeated_places(texts, rolling), "anchors"), "anchor", "inner", limit)
 
-        def extended(s: Slice, hint: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def extended(s: Slice, hint: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             t = tokens(s)
-            at = [t.first[d] + p for d, (a, b) in enumerate(zip(*hint)) for x, y in zip(a, b) for p in range(x, y)]
-            return _around(t, t.hashes(), np.array(at, np.int64), window, block)
+            doc, lo, hi = told_runs(hint, "anchor")
+            which, pos = expanded(lo, hi)
+            return _around(t, t.hashes(), t.first[doc[which]] + pos, window, block)
 
-    found = repeated_places(texts, extended)
-    grown = found.select("key", "starts", F.transform("ends", lambda e: e + F.lit(window - 1)).alias("ends"))
-    whole = copied.select("key", F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("array<int>").alias("ends"))
-    both = grown.unionByName(whole).groupBy("key").agg(F.min(F.col("starts").isNotNull()).alias("part"), F.max("starts").alias("starts"), F.max("ends").alias("ends"))
-    return stage(both.select("key", F.when(F.col("part"), F.col("starts")).alias("starts"), F.when(F.col("part"), F.col("ends")).alias("ends")), "runs")
+    return all_runs([repeated_places(texts, extended)], copied, window - 1)
 
 
 def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, limit: int = BROADCAST_BYTES, with_kept: bool = True) -> DataFrame:
@@ -116,7 +113,7 @@ def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 words = texts[i].as_py().encode().split()  # bytes split at just these six characters
                 lo, hi = [], []
                 if hit[i].as_py() and len(words) >= window:
-                    for x, y in zip(starts[i].as_py(), ends[i].as_py()) if starts[i].is_valid else [(0, len(words))]:
+                    for x, y in sorted(zip(starts[i].as_py(), ends[i].as_py())) if starts[i].is_valid else [(0, len(words))]:
                         if lo and x <= hi[-1]:
                             hi[-1] = max(hi[-1], y)
                         else:

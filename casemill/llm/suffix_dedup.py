@@ -11,7 +11,8 @@ length - v + 1 bytes at the same shift.
    the recursion ends here, since a name already spans what a repeat of `length` bytes must share.
    The names that stay are kept as a filter with a checked size, or, beyond it, as positions.
 3. Remaining suffixes: those that reach a kept name within v bytes.  They are sorted by their first
-   `length` bytes (as a hash), whole blocks to a bucket.
+   `length` bytes (as a hash), whole blocks to a bucket: first as stretches between cuts that the text
+   itself sets, each stretch one hash, then those one by one that no repeated stretch holds.
 4. Neighbours that agree on that prefix mark each other; runs of marked positions are maximal repeats.
 """
 
@@ -26,10 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.arrays import Slice, byte_hashes, covered, runs, slices, span_hash
-from casemill.llm.repeats import broadcast_filter, distinct_texts, filter_rows, repeated_places
+from casemill.llm.arrays import Slice, U, byte_hashes, covered, runs, slices, span_hash
+from casemill.llm.repeats import all_runs, broadcast_filter, distinct_texts, expanded, filter_rows, hinted, repeated_places, told_runs
 from casemill.llm.shared import BROADCAST_BYTES, small_or_join, stage
 
+#: A cut falls on one remaining suffix in so many, by its hash.
+STRETCH = 32
+
 
 @cache
 def difference_cover(q: int) -> tuple[int, np.ndarray]:
@@ -98,27 +102,42 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return doc, at - s.off[doc], span_hash(prefix, at, at + length)
 
     names = broadcast_filter(filter_rows(texts, sample, 2), limit)
-    if names is not None:
-
-        def suffixes(s: Slice, _: object) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            doc, _, at = _sampled(s, length, v, cover)
-            prefix = byte_hashes(s)
-            hit = names.value.has(span_hash(prefix, at, at + short))
-            return windows(s, prefix, doc[hit], at[hit])
-
-    else:
-        texts = texts.join(stage(repeated_places(texts, sample), "names"), "key")
-
-        def suffixes(s: Slice, hint: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            pairs = [(d, p) for d, (a, b) in enumerate(zip(*hint)) for x, y in zip(a, b) for p in range(x, y)]
-            doc, pos = np.array(pairs, np.int64).reshape(-1, 2).T
-            return windows(s, byte_hashes(s), doc, s.off[doc] + pos)
-
-    found = repeated_places(texts, suffixes)
-    grown = found.select("key", "starts", F.transform("ends", lambda e: e + F.lit(length - 1)).alias("ends"))
-    whole = copied.select("key", F.lit(None).cast("array<int>").alias("starts"), F.lit(None).cast("array<int>").alias("ends"))
-    # a copied text's own runs, if it has any, give way to the whole text
-    return stage(grown.unionByName(whole).groupBy("key").agg(F.min(F.col("starts").isNotNull()).alias("part"), F.max("starts").alias("starts"), F.max("ends").alias("ends")).select("key", F.when(F.col("part"), F.col("starts")).alias("starts"), F.when(F.col("part"), F.col("ends")).alias("ends")), "runs")
+    if names is None:
+        texts = hinted(texts, stage(repeated_places(texts, sample), "names"), "name", "inner", limit)
+
+    def remaining(s: Slice, hint: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        prefix = byte_hashes(s)
+        if names is None:
+            doc, lo, hi = told_runs(hint, "name")
+            which, pos = expanded(lo, hi)
+            return windows(s, prefix, doc[which], s.off[doc[which]] + pos)
+        doc, _, at = _sampled(s, length, v, cover)
+        hit = names.value.has(span_hash(prefix, at, at + short))
+        return windows(s, prefix, doc[hit], at[hit])
+
+    def stretches(s: Slice, hint: dict) -> tuple[np.ndarray, ...]:
+        """Runs of remaining suffixes from one cut to the next, told by one hash; cuts depend on the bytes that follow alone, so equal runs are cut alike."""
+        doc, pos, h = remaining(s, hint)
+        cut = np.flatnonzero(h % U(STRETCH) == 0)
+        a, b = cut[:-1], cut[1:]
+        keep = (doc[a] == doc[b]) & (pos[b] - pos[a] == b - a)
+        a, b = a[keep], b[keep]
+        return doc[a], pos[a], span_hash(byte_hashes(s), s.off[doc[a]] + pos[a], s.off[doc[a]] + pos[b] + length), b - a + 1
+
+    def others(s: Slice, hint: dict) -> tuple[np.ndarray, ...]:
+        """Remaining suffixes outside repeated stretches; those in one of each group of equal stretches go along for them to meet."""
+        doc, pos, h = remaining(s, hint)
+        inside = [np.zeros(len(doc), bool), np.zeros(len(doc), bool)]
+        for k, name in enumerate(("known", "known_first")):
+            d, lo, hi = told_runs(hint, name)
+            if len(d) and len(doc):
+                inside[k] = covered(len(s.data), s.off[d] + lo, s.off[d] + hi)[s.off[doc] + pos]
+        send = ~inside[0] | inside[1]
+        return doc[send], pos[send], h[send], np.ones(send.sum(), np.int64), ~inside[0][send]
+
+    long = stage(repeated_places(texts, stretches, firsts=True), "stretches")
+    rest = repeated_places(hinted(texts, long, "known", "left", limit), others)
+    return all_runs([long, rest], copied, length - 1)
 
 
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, limit: int = BROADCAST_BYTES, with_kept: bool = True) -> DataFrame:
