@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from casemill.llm.decontaminate import op3
 from casemill.llm.embedding_dedup import op10
 from casemill.llm.jaccard_join import op2
+from casemill.llm.line_dedup import OP4_SQL, op4
 from casemill.llm.lm_score import op1
 from casemill.llm.mixing import op5
 from casemill.llm.quality import op8
@@ -14,6 +16,8 @@ from casemill.llm.suffix_dedup import op6
 QUERIES = {
     "op1_lm_score": op1,
     "op2_jaccard_join": op2,
+    "op3_decontaminate": op3,
+    "op4_line_dedup": op4,
     "op5_mix_sources": op5,
     "op6_suffix_array_dedup": op6,
     "op7_secret_scan": op7,
@@ -22,4 +26,4 @@ QUERIES = {
     "op10_embedding_dedup": op10,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL}
