@@ -59,8 +59,9 @@ def near_copies(seed):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize(("k", "least"), [(3, 90), (5, 80), (1, 60)])
-def test_links(spark, k, least):
+@pytest.mark.parametrize(("k", "least", "bound"), [(3, 90, 512), (5, 80, 512), (1, 60, 512), (5, 80, 3)])
+def test_links(spark, monkeypatch, k, least, bound):
+    monkeypatch.setattr("casemill.llm.jaccard_join.CLUSTER_POINTS", bound)
     rows = near_copies(k)
     df = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows] + [(None, "a b c", None, None), (5, rows[5][1], None, None)], "doc_id long, text string, sig string, n int").repartition(4)
     got = sorted(tuple(x) for x in link_documents(df, words=k, least=least).collect())
