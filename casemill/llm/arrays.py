@@ -156,3 +156,20 @@ def unpack(width: int, blob: bytes) -> np.ndarray:
     wide = np.zeros((n, 8), np.uint8)
     wide[:, :width] = np.frombuffer(blob, np.uint8).reshape(n, width)
     return wide.reshape(-1).view(">u8").astype(U)
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of the rows of one key each, from batches that are sorted by it; a group may span batches."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([held, t]) if held is not None else t
+        k = t.column(key).to_numpy()
+        cut = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1])
+        for a, b in zip(cut[:-1], cut[1:]):
+            yield t.slice(a, b - a)
+        held = t.slice(cut[-1])
+    if held is not None:
+        yield held

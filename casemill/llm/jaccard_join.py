@@ -8,12 +8,14 @@ partition of the shingle space that loses no link, and pivots work inside them:
    places.  Cut the hash space into more parts than that: linked sets agree on one part at least.  A
    region holds the documents that agree on a part.
 2. Documents with equal sets are one point; links between them are certain.
-3. In each region of two or more points that are not yet known to be connected, pivots are chosen
-   from those outside the region's largest component; every other point of the region is assigned to
-   its pivots and measured unless the triangle inequality over the distances to earlier pivots, or the
-   sizes (distances to the empty set), exclude a link.  Linked points merge.
-4. Regions are joined again, recursively, until each has one component or has had all other points as
-   pivots.  So each pair that could link is measured, excluded, or already connected.
+3. Regions that share points form clusters.  In a cluster, points become pivots in turn; each other
+   point that is not yet connected with the pivot is measured unless the triangle inequality over the
+   distances to earlier pivots, or the sizes (distances to the empty set), exclude a link.  Linked
+   points merge.  So each pair that could link is measured, excluded, or already connected.
+4. A cluster of bounded size does this in one task.  In a larger one every region first measures its
+   points against one pivot, by joins; regions that this connects are done.  The points of the others
+   form clusters again, which are cut into blocks: a task takes two blocks, and each point meets every
+   block of its cluster.
 """
 
 from __future__ import annotations
@@ -26,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.arrays import U, by_bucket, mix, prefix_hash, slices, span_hash, tokens
+from casemill.llm.arrays import U, by_bucket, groups_of, mix, prefix_hash, slices, span_hash, tokens
 from casemill.llm.shared import BROADCAST_BYTES, buckets_for, components, small_or_join, stage
 
 FLUSH = 1_000_000
-#: Pivots that a region takes in a round.
+#: Earlier pivots whose distances are held against a new one.
 PIVOTS = 8
+#: Points and shingles of a cluster that one task takes.
+CLUSTER_POINTS, CLUSTER_SHINGLES = 512, 2_000_000
 
 
 def _sets(s, words: int) -> Iterator[np.ndarray]:
@@ -175,7 +179,79 @@ def _measured(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("id", "text", "wanted").mapInArrow(each, "id long, n long, digest long, shingles array<long>")
 
 
-def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: int = 80, of: int = 100, rounds: int = 1000) -> DataFrame:
+def _cluster(points: np.ndarray, n: np.ndarray, sets: list[np.ndarray], label: np.ndarray, block: np.ndarray, across: bool, least: int, of: int) -> np.ndarray:
+    """For each point of a cluster the smallest point that it is connected with, by links found here; equal labels are connected already. Across: only pairs of two blocks are measured."""
+    m = len(points)
+    root = np.arange(m)
+    part = np.unique(label, return_inverse=True)[1]  # what is connected, through labels too
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    bounds = np.concatenate([[0], np.cumsum(n)])
+    mark = np.zeros(ids.max() + 1, np.int64)
+    far = 1 - least / of + 1e-9
+    distances: list[np.ndarray] = []  # to earlier pivots, nan where not measured
+    for p in range(m - 1):
+        want = (part != part[p]) & (np.minimum(n, n[p]) * of >= np.maximum(n, n[p]) * least)
+        want[: p + 1] = False
+        if across:
+            want &= block != block[p]
+        for d in distances[-PIVOTS:]:
+            if not want.any():
+                break
+            want &= ~(np.abs(d - d[p]) > far)
+        at = np.flatnonzero(want)
+        if not len(at):
+            continue
+        own = ids[bounds[p] : bounds[p + 1]]
+        mark[own] = 1
+        if len(at) * 8 < m:
+            both = np.array([mark[ids[bounds[x] : bounds[x + 1]]].sum() for x in at])
+        else:
+            both = np.add.reduceat(mark[ids], bounds[:-1])[at]
+        mark[own] = 0
+        union = n[at] + n[p] - both
+        d = np.full(m, np.nan)
+        d[at], d[p] = 1 - both / union, 0.0
+        distances.append(d)
+        for x in at[both * of >= union * least]:
+            if part[x] != part[p]:
+                part[part == part[x]] = part[p]
+            if root[x] != root[p]:
+                low, high = sorted((root[x], root[p]))
+                root[root == high] = low
+    low = np.full(m, np.iinfo(np.int64).max)
+    np.minimum.at(low, root, points)
+    return low[root]
+
+
+def _cluster_links(clusters: DataFrame, sets: DataFrame, least: int, of: int) -> DataFrame:
+    """(point, root) of clusters (cluster, point, n, label): a forest of the links found; larger clusters go by pairs of blocks."""
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / CLUSTER_POINTS, F.sum("n") / CLUSTER_SHINGLES)).cast("int").alias("blocks"))
+    x = clusters.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int"))
+    x = x.select("cluster", "point", "label", "own", "blocks").join(sets, "point").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    i, j = F.least("own", "other"), F.greatest("own", "other")
+    x = x.select(F.concat_ws("/", "cluster", i, j).alias("task"), (i != j).alias("across"), "own", "point", "label", "n", "shingles")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups_of(batches, "task"):
+            t = t.combine_chunks()
+            lists = t.column("shingles").combine_chunks()
+            flat, off = lists.values.to_numpy(), lists.offsets.to_numpy()
+            points, n, label, own = (t.column(c).to_numpy() for c in ("point", "n", "label", "own"))
+            low = _cluster(points, n, [flat[a:b] for a, b in zip(off, off[1:])], label, own, t.column("across")[0].as_py(), least, of)
+            some = low != points
+            yield pa.RecordBatch.from_arrays([pa.array(points[some]), pa.array(low[some])], ["point", "root"])
+
+    return x.repartition("task").sortWithinPartitions("task", "point").mapInArrow(each, "point long, root long")
+
+
+def _clusters(members: DataFrame) -> DataFrame:
+    """(point, cluster) of points that share a region with another one."""
+    low = members.groupBy("sig").agg(F.min("point").alias("a"), F.count("*").alias("n")).where("n > 1").select("sig", "a")
+    found = components(members.join(low, "sig").select(F.col("point").alias("b"), "a").where("a <> b").distinct())
+    return found.select(F.col("id").alias("point"), F.col("component").alias("cluster"))
+
+
+def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: int = 80, of: int = 100) -> DataFrame:
     """One row per distinct id: id, n_shingles, component_id.
 
     A-Z count as a-z; words are runs of characters other than space and \\x09-\\x0D.  A set is the
@@ -201,49 +277,31 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     points = stage(stats.join(stats.groupBy("n", "digest").agg(F.min("id").alias("point")), ["n", "digest"]).select("id", "point", "n"), "points")
     sets = facts.where("shingles is not null").join(points.where("id = point").select("id"), "id", "left_semi").select(F.col("id").alias("point"), "n", "shingles")
     members = stage(regions.join(points.select("id", "point"), "id").select("sig", "point").distinct(), "members")
-    # regions that hold the same points of two or more are one: most parts of near copies
-    crowd = members.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("point")).alias("what"), F.sum(F.hash("point").cast("long") * 7919).alias("and")).where("n > 1")
-    alike = crowd.groupBy("n", "what", "and").agg(F.min("sig").alias("sig")).select("sig")
-    members = stage(members.join(alike, "sig", "left_semi").join(points.where("id = point").select("point", "n"), "point"), "members")
-
-    links, groups = None, members.select("point", F.col("point").alias("component")).where("false")
-    label = members.select("point").distinct().withColumn("component", F.col("point"))
-    known = None  # distances to earlier pivots: q, point, d
-    for turn in range(rounds):
-        now = members.join(label, "point")
-        open_ = now.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min_by("component", F.xxhash64("point")).alias("usual")).where("a <> b").select("sig", "usual")
-        now = stage(now.join(open_, "sig"), "open")
-        # pivots: points outside one of the region's components, a few by hash; they leave the region afterwards
-        outside = now.where("component <> usual" if turn else "true")
-        pivots = outside.groupBy("sig", F.pmod(F.xxhash64("point", F.lit(turn)), F.lit(PIVOTS if turn else 1)).alias("slot")).agg(F.min("point").alias("pivot"))
-        pivots = stage(pivots.join(now.select("sig", F.col("point").alias("pivot"), F.col("n").alias("pn"), F.col("component").alias("pc")), ["sig", "pivot"]).drop("slot"), "pivots")
-        if pivots.isEmpty():
-            break
-        pairs = now.join(pivots, "sig").where((F.col("point") != F.col("pivot")) & (F.col("component") != F.col("pc")))
-        pairs = pairs.where(F.least("n", "pn") * of >= F.greatest("n", "pn") * least)  # the triangle inequality with the empty set
-        pairs = pairs.select("pivot", "point").distinct()
-        if known is not None:
-            # |d(x, q) - d(p, q)| <= d(x, p) for every earlier pivot q of the region
-            pairs = pairs.join(known.select(F.col("q").alias("pivot"), "point"), ["pivot", "point"], "left_anti")
-            pairs = stage(pairs.join(known.select(F.col("q").alias("point"), F.col("point").alias("pivot")), ["pivot", "point"], "left_anti"), "untested")
-            x = known.select("q", "point", F.col("d").alias("dx"))
-            p = known.select("q", F.col("point").alias("pivot"), F.col("d").alias("dp"))
-            far = pairs.join(x, "point").join(p, ["q", "pivot"]).where(F.abs(F.col("dx") - F.col("dp")) > 1 - least / of + 1e-9).select("pivot", "point").distinct()
-            pairs = pairs.join(far, ["pivot", "point"], "left_anti")
-        pairs = stage(pairs, "pairs")
+    sizes_of = points.where("id = point").select("point", "n")
+    clusters = stage(_clusters(members).join(sizes_of, "point"), "clusters")
+    sizes = clusters.groupBy("cluster").agg(((F.count("*") <= CLUSTER_POINTS) & (F.sum("n") <= CLUSTER_SHINGLES)).alias("small"))
+    clusters = stage(clusters.join(sizes, "cluster"), "clusters")
+    links = stage(_cluster_links(clusters.where("small").withColumn("label", F.col("point")), sets, least, of), "links")
+
+    large = stage(members.join(clusters.where("not small").select("point", "n"), "point", "left_semi").join(sizes_of, "point"), "large")
+    if not large.isEmpty():
+        # one pivot a region: the region's smallest point
+        pivots = large.groupBy("sig").agg(F.min(F.struct("point", "n")).alias("p")).select("sig", F.col("p.point").alias("pivot"), F.col("p.n").alias("pn"))
+        pairs = large.join(pivots, "sig").where((F.col("point") != F.col("pivot")) & (F.least("n", "pn") * of >= F.greatest("n", "pn") * least))
+        pairs = stage(pairs.select("pivot", "point").distinct(), "pairs")
         both = pairs.join(sets.select("point", F.col("n").alias("nx"), F.col("shingles").alias("sx")), "point")
         both = both.join(sets.select(F.col("point").alias("pivot"), F.col("n").alias("np"), F.col("shingles").alias("sp")), "pivot")
         both = both.withColumn("i", F.size(F.array_intersect("sx", "sp")))
-        union = F.col("nx") + F.col("np") - F.col("i")
-        measured = stage(both.select(F.col("pivot").alias("q"), "point", (1 - F.col("i") / union).alias("d"), (F.col("i") * of >= union * least).alias("linked")), "measured")
-        new = measured.where("linked").select(F.col("q").alias("a"), F.col("point").alias("b"))
-        links = stage(new if links is None else links.unionByName(new), "links")
-        groups = components(links).withColumnRenamed("id", "point")
-        label = stage(members.select("point").distinct().join(groups, "point", "left").select("point", F.coalesce("component", "point").alias("component")), "labels")
-        known = measured.select("q", "point", "d") if known is None else known.unionByName(measured.select("q", "point", "d"))
-        members = stage(members.join(pivots.select("sig", F.col("pivot").alias("point")), ["sig", "point"], "left_anti"), "members")
-    else:
-        raise RuntimeError(f"regions remain after {rounds} rounds")
+        linked = stage(both.where(F.col("i") * of >= (F.col("nx") + F.col("np") - F.col("i")) * least).select("point", F.col("pivot").alias("root")), "linked")
+        label = components(linked.select(F.col("point").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "point").withColumnRenamed("component", "label")
+        now = stage(large.join(label, "point", "left").withColumn("label", F.coalesce("label", "point")), "labelled")
+        open_ = now.groupBy("sig").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("sig")
+        rest = stage(now.join(open_, "sig", "left_semi"), "open")
+        links = links.unionByName(linked)
+        if not rest.isEmpty():
+            again = _clusters(rest).join(rest.select("point", "n", "label").distinct(), "point")
+            links = links.unionByName(stage(_cluster_links(stage(again, "clusters"), sets, least, of), "links"))
+    groups = components(links.select(F.col("point").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "point")
     top = points.join(groups, "point", "left").select("id", F.coalesce("component", "point").alias("c"))
     # a component's smallest id is its smallest point: a point is the smallest of its ids
     out = facts.select("id", "n").join(top, "id", "left")
