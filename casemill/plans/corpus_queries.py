@@ -1 +1,239 @@
-"""Queries."""
+"""Access, chunks, terms, retrieval: queries over documents, embeddings, benchmark and conversations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from casemill.functions import scalars
+from casemill.functions.ids import text_sha256
+from casemill.operators import access, corpus, retrieval
+from casemill.plans.fixtures import table, with_views
+from casemill.plans.registry import query
+
+_FAMILY = "CASE lang WHEN 'en' THEN 'CONTRATOS_DOCUMENTOS' WHEN 'es' THEN 'LITIGIOS' WHEN 'fr' THEN 'CUMPLIMIENTO' ELSE 'AUDITORIA_INTERNA' END"
+_PRINCIPALS = [("ana", "legal"), ("ana", "audit"), ("luis", "compliance"), ("eva", "guest")]
+_GRANTS = [("legal", "CONTRATOS_DOCUMENTOS"), ("legal", "LITIGIOS"), ("compliance", "CUMPLIMIENTO"), ("audit", "AUDITORIA_INTERNA")]
+_RULES = "SELECT CASE doc_id % 3 WHEN 0 THEN 'ana' WHEN 1 THEN 'compliance' ELSE 'eva' END AS subject, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'DENY' ELSE 'ALLOW' END AS effect, doc_id % 11 = 0 AS revoked FROM {documents} WHERE doc_id % 7 < 3"
+
+
+def _rules(spark, d):
+    docs = table(spark, d, "documents")
+    return {
+        "docs": docs.select("doc_id", F.expr(_FAMILY).alias("family")), "principals": spark.createDataFrame([(p,) for p in sorted({p for p, _ in _PRINCIPALS})], "principal string"),
+        "roles": spark.createDataFrame(_PRINCIPALS, "principal string, role string"), "grants": spark.createDataFrame(_GRANTS, "role string, family string"), "exceptions": spark.sql(_RULES, documents=docs),
+    }
+
+
+_values = lambda rows: "(VALUES " + ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows) + ")"
+_ACCESS = f"""roles AS (SELECT * FROM {_values(_PRINCIPALS)} v(principal, role)), grants AS (SELECT * FROM {_values(_GRANTS)} v(role, family)), rules AS ({_RULES.format(documents='documents')}),
+subjects AS (SELECT principal, principal AS subject FROM roles UNION SELECT principal, role FROM roles),
+decided AS (SELECT p.principal, doc_id, CASE WHEN EXISTS (SELECT 1 FROM rules r JOIN subjects s USING (subject) WHERE r.doc_id = d.doc_id AND s.principal = p.principal AND effect = 'DENY' AND NOT revoked) THEN 'EXPLICIT_DENY'
+ WHEN EXISTS (SELECT 1 FROM rules r JOIN subjects s USING (subject) WHERE r.doc_id = d.doc_id AND s.principal = p.principal AND NOT revoked) OR EXISTS (SELECT 1 FROM roles o JOIN grants g USING (role) WHERE o.principal = p.principal AND g.family = d.family) THEN 'PERMIT' ELSE 'DEFAULT_DENY' END AS decision
+ FROM (SELECT doc_id, {_FAMILY} AS family FROM documents) d CROSS JOIN (SELECT DISTINCT principal FROM roles) p)"""
+
+
+@query("P14_document_decisions", f"WITH {_ACCESS} SELECT * FROM decided")
+def _decisions(spark, d):
+    return access.document_decision(**_rules(spark, d))
+
+
+@query("P13_authorized_documents", f"WITH {_ACCESS} SELECT principal, doc_id FROM decided WHERE decision = 'PERMIT'")
+def _authorized(spark, d):
+    return access.authorized_documents(**_rules(spark, d))
+
+
+@query("R35_exception_upsert", f"""
+WITH x AS (SELECT *, doc_id AS rule_id, 1 AS moment, CAST(NULL AS INT) AS revoked_at FROM ({_RULES.format(documents='documents')}) UNION ALL SELECT subject, doc_id, 'DENY', false, doc_id + 1000000, 2, NULL FROM ({_RULES.format(documents='documents')}) WHERE doc_id % 5 = 0)
+SELECT subject, doc_id, effect, moment, CASE WHEN lead(moment) OVER w IS NOT NULL THEN coalesce(revoked_at, lead(moment) OVER w) ELSE revoked_at END AS revoked_at FROM x WINDOW w AS (PARTITION BY subject, doc_id ORDER BY moment, rule_id)""")
+def _exceptions(spark, d):
+    old = spark.sql(_RULES, documents=table(spark, d, "documents")).select("subject", "doc_id", "effect", F.col("doc_id").alias("rule_id"), F.lit(1).alias("at"), F.lit(None).cast("int").alias("revoked_at"))
+    new = old.where("doc_id % 5 = 0").select("subject", "doc_id", F.lit("DENY").alias("effect"), (F.col("doc_id") + 1_000_000).alias("rule_id"), F.lit(2).alias("at"), F.lit(None).cast("int").alias("revoked_at"))
+    return access.upsert_exceptions(old, new).select("subject", "doc_id", "effect", F.col("at").alias("moment"), "revoked_at")
+
+
+_W = "list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')"
+
+
+@query("R18_fixed_chunks", f"""
+WITH w AS (SELECT doc_id, {_W} AS w FROM documents), o AS (SELECT doc_id, w, unnest(generate_series(0, CASE WHEN len(w) <= 128 THEN 0 ELSE CAST(ceil((len(w) - 16) / 112.0) AS INT) - 1 END)) AS ordinal FROM w WHERE len(w) > 0)
+SELECT doc_id, CAST(ordinal AS INT) AS ordinal, len(w[ordinal * 112 + 1 : ordinal * 112 + 128]) AS token_count, sha256(array_to_string(w[ordinal * 112 + 1 : ordinal * 112 + 128], ' ')) AS digest FROM o""")
+def _fixed(spark, d):
+    x = corpus.chunk_fixed(table(spark, d, "documents"), 128, 16)
+    return x.select("doc_id", "ordinal", "token_count", text_sha256(F.col("content")).alias("digest"))
+
+
+@query("R19_structural_chunks")
+def _structural(spark, d):
+    return corpus.chunk_structural(table(spark, d, "documents")).select("doc_id", "ordinal", "token_count", "section", "clause", text_sha256(F.col("content")).alias("digest"))
+
+
+_LEX = "regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}]+')"
+
+
+@query("F14_lexemes", f"SELECT doc_id, len({_LEX}) AS n, sha256(array_to_string({_LEX}, ' ')) AS digest FROM documents")
+def _lexemes(spark, d):
+    x = table(spark, d, "documents").select("doc_id", scalars.lexemes(F.col("text")).alias("l"))
+    return x.select("doc_id", F.size("l").alias("n"), text_sha256(F.array_join("l", " ")).alias("digest"))
+
+
+def _terms(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("fragment_id"), F.col("text").alias("content"))
+    return corpus.term_index(docs, "fragment_id")
+
+
+_T = f"t AS (SELECT fragment_id, lexeme, count(*) AS tf FROM (SELECT doc_id AS fragment_id, unnest({_LEX}) AS lexeme FROM documents) GROUP BY ALL)"
+
+
+@query("A15_term_index", f"WITH {_T} SELECT fragment_id, count(*) AS lexemes, CAST(sum(tf) AS BIGINT) AS length, max(tf) AS most FROM t GROUP BY fragment_id")
+def _index(spark, d):
+    return _terms(spark, d).groupBy("fragment_id").agg(F.count("*").alias("lexemes"), F.sum("tf").alias("length"), F.max("tf").alias("most"))
+
+
+_INSIDE = "f AS (SELECT doc_id AS fragment_id FROM documents WHERE lang <> 'de')"
+_BM = f"""{_T}, {_INSIDE}, i AS (SELECT t.* FROM t JOIN f USING (fragment_id)), l AS (SELECT fragment_id, sum(tf) AS dl FROM i GROUP BY 1), s AS (SELECT count(*) AS n, avg(coalesce(dl, 0)) AS avgdl FROM f LEFT JOIN l USING (fragment_id)),
+q AS (SELECT DISTINCT item_id AS query_id, unnest({_LEX}) AS lexeme FROM benchmark), df AS (SELECT lexeme, count(*) AS df FROM i GROUP BY 1),
+sc AS (SELECT query_id, fragment_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM i JOIN q USING (lexeme) JOIN df USING (lexeme) JOIN l USING (fragment_id) CROSS JOIN s GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fragment_id) AS rank FROM sc WHERE score > 0 QUALIFY rank <= 10)"""
+
+
+def _lexical(spark, d):
+    inside = table(spark, d, "documents").where("lang <> 'de'").select(F.col("doc_id").alias("fragment_id"))
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(scalars.lexemes(F.col("text"))).alias("lexeme"))
+    return retrieval.bm25_topk(q, inside, _terms(spark, d))
+
+
+@query("T02_bm25_top10", f"WITH {_BM} SELECT query_id, fragment_id, rank, round(score, 6) AS score FROM b")
+def _bm25(spark, d):
+    return _lexical(spark, d).select("query_id", "fragment_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("A16_corpus_statistics", f"WITH {_BM} SELECT n, round(avgdl, 6) AS avgdl FROM s")
+def _stats(spark, d):
+    inside = table(spark, d, "documents").where("lang <> 'de'").select(F.col("doc_id").alias("fragment_id"))
+    return retrieval.corpus_stats(inside, _terms(spark, d).join(inside, "fragment_id", "left_semi")).select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+_VEC = """v AS (SELECT q.vec_id AS query_id, e.vec_id AS fragment_id, round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) AS distance FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 50 = 0 AND e.label % 4 <> 3),
+vk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, fragment_id) AS rank FROM v QUALIFY rank <= 10)"""
+
+
+def _nearest(spark, d):
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieval.vector_topk(q, e.where("label % 4 <> 3").select(F.col("vec_id").alias("fragment_id"), "embedding"))
+
+
+@query("T01_vector_top10", f"WITH {_VEC} SELECT query_id, fragment_id, rank, round(distance, 6) AS distance FROM vk")
+def _vectors(spark, d):
+    return _nearest(spark, d).select("query_id", "fragment_id", "rank", F.round("distance", 6).alias("distance"))
+
+
+@query("F17_cosine_distance", "SELECT vec_id, round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS distance FROM embeddings")
+def _cosine(spark, d):
+    e = table(spark, d, "embeddings")
+    one = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    return e.crossJoin(F.broadcast(one)).select("vec_id", F.round(scalars.cosine_distance(F.col("embedding"), F.col("q")), 6).alias("distance"))  # one row
+
+
+@query("P19_valid_vectors", "SELECT vec_id, vec_id % 3 <> 0 AS ok FROM embeddings")
+def _guard(spark, d):
+    v = F.when(F.col("vec_id") % 3 == 0, F.when(F.col("vec_id") % 2 == 0, F.slice("embedding", 1, 10)).otherwise(F.transform("embedding", lambda x: x * 0))).otherwise(F.col("embedding"))
+    return table(spark, d, "embeddings").select("vec_id", scalars.valid_vector(v, 64).alias("ok"))
+
+
+_TWO = "two AS (SELECT query_id, (fragment_id * 7 + query_id) % 97 AS fragment_id, rank FROM vk WHERE rank <= 8)"
+_FUSE = f"""{_VEC}, {_TWO}, lx AS (SELECT query_id, fragment_id, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), fragment_id) AS rank FROM two GROUP BY query_id, fragment_id),
+fz AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.fragment_id, b.fragment_id) AS fragment_id, a.rank AS vr, b.rank AS br, coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0) AS rrf FROM vk a FULL JOIN lx b ON a.query_id = b.query_id AND a.fragment_id = b.fragment_id),
+fu AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, least(vr, br), vr IS NULL, vr, br IS NULL, br, fragment_id) AS rank FROM fz QUALIFY rank <= 5)"""
+
+
+def _fused(spark, d):
+    v = _nearest(spark, d)
+    lx = v.where("rank <= 8").select("query_id", ((F.col("fragment_id") * 7 + F.col("query_id")) % 97).alias("fragment_id"), "rank").groupBy("query_id", "fragment_id").agg(F.min("rank").alias("r"))
+    lx = retrieval._ranked(lx, 10, "r", "fragment_id")
+    return v, lx, retrieval.rrf_fuse(v, lx)
+
+
+@query("T03_rank_fusion", f"WITH {_FUSE} SELECT query_id, fragment_id, vr AS vector_rank, br AS bm25_rank, rank FROM fu")
+def _fusion(spark, d):
+    return _fused(spark, d)[2].select("query_id", "fragment_id", "vector_rank", "bm25_rank", "rank")
+
+
+@query("R24_evidence", f"WITH {_FUSE} SELECT q.query_id, CASE WHEN q.query_id NOT IN (SELECT query_id FROM fz) THEN 'SIN_EVIDENCIA' WHEN q.query_id IN (SELECT query_id FROM fu WHERE (vr <= 3 OR br <= 3) AND fragment_id % 4 = 0) THEN 'EVIDENCIA_SUFICIENTE' ELSE 'EVIDENCIA_INSUFICIENTE' END AS evidence FROM (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 25 = 0) q")
+def _evidence(spark, d):
+    v, lx, fused = _fused(spark, d)
+    q = table(spark, d, "embeddings").where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"))
+    complete = table(spark, d, "embeddings").where("vec_id % 4 = 0").select(F.col("vec_id").alias("fragment_id"))
+    return retrieval.classify_evidence(q, v, lx, fused, complete)
+
+
+@query("R25_fragment_usage", f"WITH {_FUSE} SELECT query_id, fragment_id, CASE WHEN query_id % 100 = 0 THEN 'REFERENCE' WHEN rank IN (1, 3) THEN 'EVIDENCE' ELSE 'CONTEXT' END AS usage FROM fu")
+def _usage(spark, d):
+    fused = _fused(spark, d)[2]
+    ev = fused.select("query_id").distinct().withColumn("evidence", F.when(F.col("query_id") % 100 == 0, "EVIDENCIA_INSUFICIENTE").otherwise("EVIDENCIA_SUFICIENTE"))
+    return retrieval.fragment_usage(fused, ev, fused.where("rank in (1, 3)").select("query_id", "rank")).select("query_id", "fragment_id", "usage")
+
+
+@query("P16_still_authorized", f"WITH {_VEC} SELECT query_id, bool_and(fragment_id % 13 <> 0) AS ok FROM vk GROUP BY query_id")
+def _recheck(spark, d):
+    corpus_now = table(spark, d, "embeddings").where("vec_id % 13 <> 0").select(F.col("vec_id").alias("fragment_id"))
+    return retrieval.still_authorized(_nearest(spark, d), corpus_now)
+
+
+@query("F31_context_blocks", f"WITH {_FUSE} SELECT query_id, sha256(string_agg('[E' || rank || ']' || chr(10) || 'vector ' || fragment_id, chr(10) || chr(10) ORDER BY rank)) AS digest FROM fu GROUP BY query_id")
+def _blocks(spark, d):
+    fused = _fused(spark, d)[2]
+    texts = fused.select("fragment_id").distinct().select("fragment_id", F.concat(F.lit("vector "), F.col("fragment_id")).alias("content"))
+    return retrieval.context_blocks(fused, texts).select("query_id", text_sha256(F.col("context")).alias("digest"))
+
+
+@query("F30_citations", """SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'E1,E3' WHEN 1 THEN 'E9' WHEN 2 THEN '' ELSE 'E2' END AS cited, turn % 4 IN (0, 3) AS valid FROM conversations""")
+def _citations(spark, d):
+    mark = F.when(F.col("turn") % 4 == 0, " [E1] y [E3] y [E1]").when(F.col("turn") % 4 == 1, " [E9]").when(F.col("turn") % 4 == 2, "").otherwise("[E2]")
+    clean = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\[\]]", " ")
+    x = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("answer_id"), F.concat(clean, mark).alias("text"))
+    return retrieval.check_citations(x).select("answer_id.conv_id", "answer_id.turn", "cited", "valid")
+
+
+@query("A19_certificates", f"""
+WITH w AS (SELECT doc_id, text, {_W} AS w FROM documents)
+SELECT doc_id, CASE WHEN len(w) <= 128 THEN 1 ELSE CAST(ceil((len(w) - 16) / 112.0) AS INT) END AS chunks, sha256(text) AS text_sha256 FROM w WHERE len(w) > 0""")
+def _certificates(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    chunks = corpus.chunk_fixed(docs, 128, 16).withColumn("chunk_id", F.concat_ws("/", "doc_id", "ordinal")).withColumn("embedded", F.lit(True))
+    return corpus.build_certificates(chunks, corpus.term_index(chunks), docs).select("doc_id", "chunks", "text_sha256")
+
+
+@query("A20_certificate_violations", """
+SELECT doc_id, unnest(list_filter([CASE WHEN doc_id % 10 = 3 THEN 'ORDINALS' END, CASE WHEN doc_id % 10 = 4 THEN 'CHUNK_COUNT' END, CASE WHEN doc_id % 10 = 5 THEN 'EMBEDDED_COUNT' END, CASE WHEN doc_id % 10 = 6 THEN 'TEXT_CHANGED' END], lambda x: x IS NOT NULL)) AS violation FROM documents""")
+def _violations(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    k = F.col("doc_id") % 10
+    chunks = docs.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("o")).select("doc_id", F.when((k == 3) & (F.col("o") == 1), 5).otherwise(F.col("o")).alias("ordinal"), F.lit(True).alias("embedded"))
+    certs = docs.select("doc_id", F.when(k == 4, 3).otherwise(2).alias("chunks"), F.when(k == 5, 1).otherwise(2).alias("embedded"), F.when(k == 6, F.lit("x")).otherwise(text_sha256(F.coalesce("text", F.lit("")))).alias("text_sha256"))
+    return corpus.validate_certificates(certs, chunks, docs)
+
+
+@query("A21_compare_index", """
+SELECT vec_id, 'existing' AS side FROM embeddings WHERE vec_id % 10 = 1 UNION ALL SELECT vec_id + 1000000, 'new' FROM embeddings WHERE vec_id % 10 = 2""")
+def _compare(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id")
+    new = e.where("vec_id % 10 <> 1").unionByName(e.where("vec_id % 10 = 2").select((F.col("vec_id") + 1_000_000).alias("vec_id")))
+    return corpus.compare_index(e, new)
+
+
+@query("J09_page_ranges", """
+WITH p AS (SELECT doc_id, length(text) AS n, unnest([0, 500, 1500, 4000]) AS a FROM documents)
+SELECT doc_id, a, CASE WHEN n > a THEN CAST(a / 1000 AS INT) + 1 END AS first, CASE WHEN n > a THEN CAST(floor((least(a + 1200, n) - 1) / 1000.0) AS INT) + 1 END AS last FROM p""".replace("CAST(a / 1000 AS INT)", "CAST(floor(a / 1000.0) AS INT)"))
+def _pages(spark, d):
+    n = F.length("text")
+    pages = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / 1000).cast("int") - 1, F.lit(0))), lambda k: F.named_struct(F.lit("page"), k + 1, F.lit("start"), k * 1000, F.lit("end"), F.least(k * 1000 + 1000, n)))
+    x = table(spark, d, "documents").select("doc_id", n.alias("n"), pages.alias("pages"), F.explode(F.array(*[F.lit(a) for a in (0, 500, 1500, 4000)])).alias("a"))
+    r = corpus.page_range(F.col("a"), F.least(F.col("a") + 1200, F.col("n")), F.col("pages"))
+    ok = F.col("n") > F.col("a")
+    return x.select("doc_id", "a", F.when(ok, r["first"]).alias("first"), F.when(ok, r["last"]).alias("last"))
+
+
+@query("F13_query_hashes", "SELECT item_id, sha256(nfc_normalize(trim(text))) AS h FROM benchmark")
+def _hashes(spark, d):
+    return table(spark, d, "benchmark").select("item_id", scalars.query_hash(F.concat(F.lit("\r\n "), F.col("text"), F.lit("\t\n"))).alias("h"))

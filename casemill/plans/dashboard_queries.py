@@ -1 +1,189 @@
-"""Queries."""
+"""Dashboards, document tables, audit and ledgers: queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from casemill.functions.ids import text_sha256
+from casemill.operators import audit, dashboard, documents, quarantine
+from casemill.plans.fixtures import table, view, with_views
+from casemill.plans.registry import query
+
+_r = lambda c: F.round(F.col(c).cast("double"), 6).alias(c)
+_OBS = lambda sql: with_views(sql, "observations")
+_SEV = "regexp_extract(dims, '\"nivel_severidad\":\"(\\w+)\"', 1)"
+
+
+def _obs(spark, d):
+    return view(spark, d, "observations")
+
+
+@query("P12_dashboard_filter", _OBS("SELECT observation_id FROM observations WHERE code IN ('KPI-RC-01', 'KPI-EO-01') OR code LIKE 'KPI-LI-%'"))
+def _filter(spark, d):
+    return dashboard.filter_dashboard(_obs(spark, d), "litigation", "x").select("observation_id")
+
+
+@query("F07_reference_month", _OBS("SELECT max(period_start) AS reference FROM observations WHERE availability = 'DISPONIBLE' AND period_end < DATE '2000-06-15'"))
+def _reference(spark, d):
+    return dashboard.period_reference(_obs(spark, d), "2000-06-15")
+
+
+@query("R11_kpi_page", _OBS("SELECT code, dims, period_start, round(CAST(value AS DOUBLE), 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY code, availability ORDER BY period_start DESC, observation_id DESC) AS n FROM observations WHERE period_start BETWEEN DATE '1998-01-01' AND DATE '1998-12-31') WHERE code <> 'KPI-RC-03' OR availability = 'DISPONIBLE' AND n = 1"))
+def _page(spark, d):
+    return dashboard.kpi_page(_obs(spark, d), "1998-01-01", "1998-12-31").select("code", "dims", "period_start", _r("value"))
+
+
+@query("W13_latest_series", _OBS("SELECT code, dims, period_start, round(CAST(value AS DOUBLE), 6) AS value FROM observations QUALIFY row_number() OVER (PARTITION BY code, dims ORDER BY period_start DESC, observation_id DESC) = 1"))
+def _latest(spark, d):
+    return dashboard.latest_series(_obs(spark, d)).select("code", "dims", "period_start", _r("value"))
+
+
+@query("A25_severity_composition", _OBS(f"WITH x AS (SELECT *, {_SEV} AS severity FROM observations WHERE code = 'KPI-CN-03' AND availability = 'DISPONIBLE'), t AS (SELECT severity, sum(value) AS total FROM x WHERE period_start = (SELECT max(period_start) FROM x) GROUP BY severity) SELECT severity, round(CAST(total AS DOUBLE), 6) AS total, round(CAST(total AS DOUBLE) / (SELECT CAST(sum(total) AS DOUBLE) FROM t) * 100, 6) AS percent FROM t"))
+def _composition(spark, d):
+    return dashboard.severity_composition(_obs(spark, d), "KPI-CN-03").select("severity", _r("total"), "percent")
+
+
+@query("A26_exposure_by_month", _OBS(f"SELECT period_start, " + ", ".join(f"round(CAST(max(value) FILTER ({_SEV} = '{s}') AS DOUBLE), 6) AS {s}" for s in ("alto", "medio", "bajo")) + " FROM observations WHERE code = 'KPI-LI-01' GROUP BY period_start"))
+def _evolution(spark, d):
+    return dashboard.exposure_evolution(_obs(spark, d)).select("period_start", _r("alto"), _r("medio"), _r("bajo"))
+
+
+@query("A27_exposure_total", _OBS(f"SELECT period_start, round(CAST(CASE WHEN count(*) = 3 AND count(DISTINCT {_SEV}) = 3 AND count(value) = 3 THEN sum(value) END AS DOUBLE), 4) AS total FROM observations WHERE code = 'KPI-LI-01' GROUP BY period_start"))
+def _total(spark, d):
+    return dashboard.litigation_exposure(_obs(spark, d)).select("period_start", F.round(F.col("total").cast("double"), 4).alias("total"))
+
+
+@query("A28_executive_tiles", _OBS(f"""
+WITH x AS (SELECT *, {_SEV} AS severity FROM observations o WHERE period_start = (SELECT max(period_start) FROM observations i WHERE i.code = o.code)),
+g AS (SELECT code, count(*) AS n, count(value) AS v, count(DISTINCT nullif(severity, '')) AS d, sum(value) AS total FROM x GROUP BY code),
+s AS (SELECT k.code, total, CASE WHEN n IS NULL THEN 'NO_OBSERVATION' WHEN v = 0 THEN 'NO_DISPONIBLE' WHEN k.code = 'KPI-CN-03' OR k.code = 'KPI-LI-01' AND NOT (n = 3 AND d = 3 AND v = 3) OR k.code <> 'KPI-LI-01' AND n <> 1 THEN 'DIMENSIONAL' WHEN total = 0 THEN 'ZERO' ELSE 'VALUE' END AS state
+ FROM (VALUES ('KPI-RC-01'), ('KPI-RC-03'), ('KPI-LI-01'), ('KPI-LI-05'), ('KPI-CN-02'), ('KPI-CN-03'), ('KPI-EO-01')) k(code) LEFT JOIN g ON g.code = k.code)
+SELECT code, state, round(CAST(CASE WHEN state IN ('ZERO', 'VALUE') THEN total END AS DOUBLE), 4) AS value FROM s"""))
+def _tiles(spark, d):
+    return dashboard.executive_tiles(_obs(spark, d)).select("code", "state", F.round(F.col("value").cast("double"), 4).alias("value"))
+
+
+@query("R14_chart_series", _OBS("SELECT dims, string_agg(strftime(period_start, '%Y-%m') || '=' || coalesce(CAST(CAST(value AS DECIMAL(20,2)) AS VARCHAR), ''), ';' ORDER BY period_start) AS points FROM observations WHERE code = 'KPI-CN-03' GROUP BY dims"))
+def _series(spark, d):
+    return dashboard.chart_series(_obs(spark, d), "KPI-CN-03")
+
+
+_PAGES = "SELECT doc_id, CAST(k + 1 AS INT) AS page, CASE WHEN (doc_id + k) % 5 = 0 THEN ' ' ELSE substr(text, k * 1000 + 1, 1000) END AS native_text, (doc_id + k) % 5 = 0 AS requires_ocr, 'ocr ' || substr(text, k * 1000 + 1, 300) AS ocr_text, CAST((doc_id * 7 + k * 13) % 101 AS DOUBLE) / 100 AS confidence FROM {documents} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k UNION ALL SELECT 2 AS k) x WHERE length(text) > k * 1000"
+
+
+def _pages(spark, d):
+    return spark.sql(_PAGES, documents=table(spark, d, "documents"))
+
+
+_P = f"p AS ({_PAGES.format(documents='documents')})"
+
+
+@query("S12_page_candidates", f"WITH {_P} SELECT doc_id, CASE WHEN bool_or(requires_ocr) THEN 'PENDING_OCR' ELSE 'READY' END AS state, sha256(string_agg(native_text, chr(10) || chr(10) ORDER BY page)) AS digest FROM p GROUP BY doc_id")
+def _candidates(spark, d):
+    return documents.candidates_from_pages(_pages(spark, d)).select("doc_id", "state", text_sha256(F.col("text")).alias("digest"))
+
+
+@query("R16_consolidated_text", f"WITH {_P}, k AS (SELECT doc_id, page, CASE WHEN NOT requires_ocr THEN native_text WHEN confidence >= 0.8 THEN ocr_text END AS t FROM p), f AS (SELECT *, coalesce(sum(length(t) + 2) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM k WHERE length(t) > 0) SELECT doc_id, sha256(string_agg(t, chr(10) || chr(10) ORDER BY page)) AS digest, string_agg(page || ':' || CAST(a AS BIGINT) || ':' || CAST(a + length(t) AS BIGINT), ',' ORDER BY page) AS spans FROM f GROUP BY doc_id")
+def _consolidated(spark, d):
+    p = _pages(spark, d)
+    x = documents.consolidate(p.select("doc_id", "page", "native_text", "requires_ocr"), p.select("doc_id", "page", "ocr_text", "confidence"))
+    return x.select("doc_id", text_sha256(F.col("text")).alias("digest"), F.array_join(F.transform("pages", lambda s: F.concat_ws(":", s["page"].cast("string"), s["start"].cast("string"), s["end"].cast("string"))), ",").alias("spans"))
+
+
+@query("J06_latest_ocr", with_views("SELECT v.version_id, r.run_id, confidence, CASE WHEN confidence IS NULL THEN 'Pendiente' WHEN confidence >= 0.8 THEN 'Exitoso' ELSE 'Baja_confianza' END AS state FROM versions v LEFT JOIN (SELECT * FROM ocr_runs QUALIFY row_number() OVER (PARTITION BY version_id ORDER BY attempt DESC, run_id DESC) = 1) r USING (version_id)", "versions", "ocr_runs"))
+def _latest_ocr(spark, d):
+    return documents.latest_ocr(view(spark, d, "versions"), view(spark, d, "ocr_runs")).select("version_id", "run_id", "confidence", "state")
+
+
+@query("A13_ocr_confidence", "SELECT user_id AS run_id, round(avg(CASE WHEN value / 20 BETWEEN 0 AND 1 THEN value / 20 END), 6) AS confidence FROM events GROUP BY user_id")
+def _confidence(spark, d):
+    x = table(spark, d, "events").select(F.col("user_id").alias("run_id"), (F.col("value") / 20).alias("sample"))
+    return documents.ocr_confidence(x).select("run_id", F.round("confidence", 6).alias("confidence"))
+
+
+@query("W09_version_numbers", with_views("SELECT o_custkey AS doc_id, o_orderkey, coalesce(top, 0) + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS version FROM orders LEFT JOIN (SELECT doc_id, max(version) AS top FROM versions GROUP BY 1) t ON t.doc_id = o_custkey", "versions"))
+def _numbers(spark, d):
+    new = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), "o_orderkey")
+    return documents.assign_versions(new, view(spark, d, "versions"), "o_orderkey").select("doc_id", "o_orderkey", F.col("version").cast("long").alias("version"))
+
+
+@query("R17_document_outcome", with_views("SELECT run_id, CASE WHEN coalesce(confidence < 0.8, false) THEN 'RECHAZADA' WHEN is_final THEN 'LISTA' ELSE 'PROCESANDO' END AS outcome FROM ocr_runs", "ocr_runs"))
+def _outcome(spark, d):
+    x = view(spark, d, "ocr_runs").withColumn("text", F.lit("t")).withColumn("certified", F.col("is_final"))
+    return documents.document_outcome(x).select("run_id", "outcome")
+
+
+@query("R21_activate_versions", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 2 ELSE 1 END AS active, CASE WHEN doc_id % 3 = 2 THEN 'NONE' WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'ACTIVATED' ELSE 'REFUSED' END AS outcome FROM documents")
+def _activate(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.lit(1).alias("active"))
+    c = docs.where("doc_id % 3 <> 2").select("doc_id", F.lit(2).alias("version"), F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0).alias("seen"), (F.col("doc_id") % 2 == 0).alias("ready"))
+    return documents.activate_versions(docs, c)
+
+
+@query("R36_document_registry", "SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN 'NEW' WHEN doc_id % 6 = 0 THEN 'INCOMPATIBLE' ELSE 'SAME' END AS outcome FROM documents")
+def _registry(spark, d):
+    x = table(spark, d, "documents").select("doc_id", F.lit("n").alias("name"), F.col("source").alias("type"), F.col("lang").alias("family"), F.lit(None).cast("date").alias("date"))
+    old = x.where("doc_id % 2 = 0").withColumn("name", F.when(F.col("doc_id") % 6 == 0, "otro").otherwise("n"))
+    return documents.register_documents(x, old).select("doc_id", "outcome")
+
+
+@query("R37_operation_replay", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'NEW' WHEN event_id % 3 = 1 THEN 'REPLAY' ELSE 'CONFLICT' END AS outcome FROM events")
+def _replay(spark, d):
+    x = table(spark, d, "events").select(F.col("event_id").alias("operation_id"), F.col("user_id").alias("user"), F.lit("s").alias("session"), F.lit("h").alias("query_hash"), F.lit(None).cast("string").alias("reference"))
+    old = x.where("operation_id % 3 <> 0").withColumn("query_hash", F.when(F.col("operation_id") % 3 == 1, "h").otherwise("g"))
+    return documents.match_operations(x, old).select(F.col("operation_id").alias("event_id"), "outcome")
+
+
+def _events(spark, d):
+    return table(spark, d, "events").select("event_id", F.col("user_id").alias("actor"), F.col("event_type").alias("action"), F.col("ts").cast("timestamp").alias("occurred_at"))
+
+
+@query("P18_audit_scope", "SELECT event_id FROM events WHERE user_id = 7 AND event_type IN ('click', 'view') AND ts >= TIMESTAMP '2024-01-05'")
+def _scope(spark, d):
+    return audit.audit_events(_events(spark, d), 7, ["click", "view"], "2024-01-05").select("event_id")
+
+
+@query("T06_audit_page", "SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id DESC LIMIT 31")
+def _audit_page(spark, d):
+    return quarantine.keyset_page(_events(spark, d), ["occurred_at", "event_id"], (F.lit("2024-01-20").cast("timestamp"), F.lit(-1)), 30, descending=True).select("event_id")
+
+
+@query("J14_event_resources", "SELECT o_orderkey AS event_id, coalesce(string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey), '') AS resources FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) l ON l_orderkey = o_orderkey GROUP BY o_orderkey".replace("ORDER BY l_linenumber, l_partkey", "ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR)"))
+def _resources(spark, d):
+    ev = table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"))
+    rs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_linenumber").alias("position"), F.col("l_partkey").cast("string").alias("resource")).distinct()
+    return audit.with_resources(ev, rs)
+
+
+@query("R27_process_events", "SELECT event_type AS action, CAST(user_id AS VARCHAR) AS actor, count(*) AS n FROM (SELECT DISTINCT event_type, user_id FROM events) GROUP BY ALL")
+def _process(spark, d):
+    ev = _events(spark, d).select("action", F.col("actor").cast("string").alias("actor"))
+    return audit.process_events(ev, ev.where("1 = 0").select(F.lit("").alias("event_id")), ["action", "actor"]).groupBy("action", "actor").agg(F.count("*").alias("n"))
+
+
+@query("O04_resource_equality", "SELECT event_id, user_id AS resource, CASE WHEN event_id % 20 = 1 THEN 'audit' ELSE 'operation' END AS side FROM events WHERE event_id % 20 IN (1, 2)")
+def _equality(spark, d):
+    x = table(spark, d, "events").select("event_id", F.col("user_id").alias("resource"))
+    return audit.check_resources(x.where("event_id % 20 <> 2"), x.where("event_id % 20 <> 1"))
+
+
+@query("R30_stale_runs", "SELECT event_id FROM events WHERE event_type = 'view' AND epoch(ts) < epoch(TIMESTAMP '2024-01-31') - 864000")
+def _stale(spark, d):
+    x = table(spark, d, "events").select("event_id", F.when(F.col("event_type") == "view", "IN_PROGRESS").otherwise("DONE").alias("state"), F.col("ts").cast("timestamp").alias("heartbeat"))
+    return audit.stale_runs(x, F.lit("2024-01-31").cast("timestamp"), 864_000).select("event_id")
+
+
+@query("R34_run_binding", "SELECT o_orderkey AS job_id, CASE o_orderkey % 4 WHEN 1 THEN 'NO_RUN' WHEN 2 THEN 'SEVERAL_RUNS' WHEN 3 THEN 'OTHER_PARENT' END AS problem FROM orders WHERE o_orderkey % 4 <> 0")
+def _binding(spark, d):
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders")
+    jobs = o.select(k.alias("job_id"), F.lit("p").alias("parent"))
+    runs = o.select(F.explode(F.array(k * 2, k * 2 + 1)).alias("run_id"), F.when(k % 4 == 3, "q").otherwise("p").alias("parent"))
+    snaps = o.where(k % 4 != 1).select(k.alias("job_id"), F.explode(F.when(k % 4 == 2, F.array(k * 2, k * 2 + 1)).otherwise(F.array(k * 2))).alias("run_id"))
+    return audit.check_run_binding(jobs, snaps, runs)
+
+
+@query("R29_quality_rules", with_views("SELECT id_contrato AS key, 'SIGNED_AFTER_REQUEST' AS rule FROM contracts WHERE NOT coalesce(fecha_firma >= fecha_solicitud, false) UNION ALL SELECT id_contrato, 'KNOWN_STATE' FROM contracts WHERE estado_revision NOT IN ('No iniciado', 'Renovado')", "contracts"))
+def _rules(spark, d):
+    rules = {"SIGNED_AFTER_REQUEST": F.col("fecha_firma") >= F.col("fecha_solicitud"), "KNOWN_STATE": F.col("estado_revision").isin("No iniciado", "Renovado")}
+    return audit.check_table(view(spark, d, "contracts"), "id_contrato", rules, [["id_contrato"]])
