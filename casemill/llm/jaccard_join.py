@@ -12,8 +12,8 @@ partition of the shingle space that loses no link, and pivots work inside them:
    point that is not yet connected with the pivot is measured unless the triangle inequality over the
    distances to earlier pivots, or the sizes (distances to the empty set), exclude a link.  Linked
    points merge.  So each pair that could link is measured, excluded, or already connected.
-4. A cluster of bounded size does this in one task.  In a larger one every region first measures its
-   points against one pivot, by joins; regions that this connects are done.  The points of the others
+4. A cluster of bounded size does this in one task.  In a larger one all points are first measured
+   against one pivot, by joins; regions that this connects are done.  The points of the others
    form clusters again, which are cut into blocks: a task takes two blocks, and each point meets every
    block of its cluster.
 """
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from casemill.llm.arrays import U, by_bucket, groups_of, mix, prefix_hash, slices, span_hash, tokens
 from casemill.llm.shared import BROADCAST_BYTES, buckets_for, components, small_or_join, stage
 
-FLUSH = 1_000_000
+FLUSH = 400_000
 #: Earlier pivots whose distances are held against a new one.
 PIVOTS = 8
 #: Points and shingles of a cluster that one task takes.
@@ -283,12 +283,13 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     clusters = stage(clusters.join(sizes, "cluster"), "clusters")
     links = stage(_cluster_links(clusters.where("small").withColumn("label", F.col("point")), sets, least, of), "links")
 
-    large = stage(members.join(clusters.where("not small").select("point", "n"), "point", "left_semi").join(sizes_of, "point"), "large")
+    large = stage(members.join(clusters.where("not small").select("point", "n", "cluster"), "point"), "large")
     if not large.isEmpty():
-        # one pivot a region: the region's smallest point
-        pivots = large.groupBy("sig").agg(F.min(F.struct("point", "n")).alias("p")).select("sig", F.col("p.point").alias("pivot"), F.col("p.n").alias("pn"))
-        pairs = large.join(pivots, "sig").where((F.col("point") != F.col("pivot")) & (F.least("n", "pn") * of >= F.greatest("n", "pn") * least))
-        pairs = stage(pairs.select("pivot", "point").distinct(), "pairs")
+        # one pivot a cluster: its smallest point, by which it is named
+        ends = large.select("point", "n", F.col("cluster").alias("pivot")).distinct()
+        pivots = ends.where("point = pivot").select("pivot", F.col("n").alias("pn"))
+        pairs = ends.where("point <> pivot").join(pivots, "pivot").where(F.least("n", "pn") * of >= F.greatest("n", "pn") * least)
+        pairs = stage(pairs.select("pivot", "point"), "pairs")
         both = pairs.join(sets.select("point", F.col("n").alias("nx"), F.col("shingles").alias("sx")), "point")
         both = both.join(sets.select(F.col("point").alias("pivot"), F.col("n").alias("np"), F.col("shingles").alias("sp")), "pivot")
         both = both.withColumn("i", F.size(F.array_intersect("sx", "sp")))
