@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from casemill.llm.decontaminate import op3
 from casemill.llm.embedding_dedup import op10
-from casemill.llm.jaccard_join import op2
+from casemill.llm.jaccard_join import OP2_SQL, op2
 from casemill.llm.line_dedup import OP4_SQL, op4
 from casemill.llm.lm_score import op1
 from casemill.llm.mixing import op5
 from casemill.llm.quality import op8
 from casemill.llm.secret_scan import op7
-from casemill.llm.substring_dedup import op9
+from casemill.llm.substring_dedup import OP9_SQL, op9
 from casemill.llm.suffix_dedup import op6
 
 QUERIES = {
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_embedding_dedup": op10,
 }
 
-SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL}
+SQL: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op4_line_dedup": OP4_SQL, "op9_substring_dedup": OP9_SQL}
