@@ -14,8 +14,7 @@ partition of the shingle space that loses no link, and pivots work inside them:
    points merge.  So each pair that could link is measured, excluded, or already connected.
 4. A cluster of bounded size does this in one task.  In a larger one all points are first measured
    against one pivot, by joins; regions that this connects are done.  The points of the others
-   form clusters again, which are cut into blocks: a task takes two blocks, and each point meets every
-   block of its cluster.
+   are cut into blocks: a task takes two blocks, and each point meets every block of its cluster.
 """
 
 from __future__ import annotations
@@ -294,14 +293,11 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         both = both.join(sets.select(F.col("point").alias("pivot"), F.col("n").alias("np"), F.col("shingles").alias("sp")), "pivot")
         both = both.withColumn("i", F.size(F.array_intersect("sx", "sp")))
         linked = stage(both.where(F.col("i") * of >= (F.col("nx") + F.col("np") - F.col("i")) * least).select("point", F.col("pivot").alias("root")), "linked")
-        label = components(linked.select(F.col("point").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "point").withColumnRenamed("component", "label")
+        label = linked.withColumnRenamed("root", "label").unionByName(pivots.select(F.col("pivot").alias("point"), F.col("pivot").alias("label")))
         now = stage(large.join(label, "point", "left").withColumn("label", F.coalesce("label", "point")), "labelled")
         open_ = now.groupBy("sig").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("sig")
-        rest = stage(now.join(open_, "sig", "left_semi"), "open")
-        links = links.unionByName(linked)
-        if not rest.isEmpty():
-            again = _clusters(rest).join(rest.select("point", "n", "label").distinct(), "point")
-            links = links.unionByName(stage(_cluster_links(stage(again, "clusters"), sets, least, of), "links"))
+        rest = now.join(open_, "sig", "left_semi").select("cluster", "point", "n", "label").distinct()
+        links = links.unionByName(linked).unionByName(stage(_cluster_links(stage(rest, "open"), sets, least, of), "links"))
     groups = components(links.select(F.col("point").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "point")
     top = points.join(groups, "point", "left").select("id", F.coalesce("component", "point").alias("c"))
     # a component's smallest id is its smallest point: a point is the smallest of its ids
