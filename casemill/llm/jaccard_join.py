@@ -226,7 +226,9 @@ def _cluster_links(clusters: DataFrame, sets: DataFrame, least: int, of: int) ->
     """(point, root) of clusters (cluster, point, n, label): a forest of the links found; larger clusters go by pairs of blocks."""
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / CLUSTER_POINTS, F.sum("n") / CLUSTER_SHINGLES)).cast("int").alias("blocks"))
     x = clusters.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int"))
-    x = x.select("cluster", "point", "label", "own", "blocks").join(sets, "point").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x = stage(x.select("cluster", "point", "label", "own", "blocks"), "placed")
+    # the sets are sent once, to their tasks: what they are joined with is small, if its measured size says so
+    x = small_or_join(sets, x, "point", "inner", 64, x.count()).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     i, j = F.least("own", "other"), F.greatest("own", "other")
     x = x.select(F.concat_ws("/", "cluster", i, j).alias("task"), (i != j).alias("across"), "own", "point", "label", "n", "shingles")
 
@@ -274,8 +276,9 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # equal sets are one point, known by its smallest id
     stats = facts.where("shingles is not null").select("id", "n", "digest")
     points = stage(stats.join(stats.groupBy("n", "digest").agg(F.min("id").alias("point")), ["n", "digest"]).select("id", "point", "n"), "points")
-    sets = facts.where("shingles is not null").join(points.where("id = point").select("id"), "id", "left_semi").select(F.col("id").alias("point"), "n", "shingles")
-    members = stage(regions.join(points.select("id", "point"), "id").select("sig", "point").distinct(), "members")
+    n_points = points.count()
+    sets = facts.where("shingles is not null").select(F.col("id").alias("point"), "n", "shingles")
+    members = stage(small_or_join(regions, points.select("id", "point"), "id", "inner", 48, n_points).select("sig", "point").distinct(), "members")
     sizes_of = points.where("id = point").select("point", "n")
     clusters = stage(_clusters(members).join(sizes_of, "point"), "clusters")
     sizes = clusters.groupBy("cluster").agg(((F.count("*") <= CLUSTER_POINTS) & (F.sum("n") <= CLUSTER_SHINGLES)).alias("small"))
@@ -289,8 +292,10 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         pivots = ends.where("point = pivot").select("pivot", F.col("n").alias("pn"))
         pairs = ends.where("point <> pivot").join(pivots, "pivot").where(F.least("n", "pn") * of >= F.greatest("n", "pn") * least)
         pairs = stage(pairs.select("pivot", "point"), "pairs")
-        both = pairs.join(sets.select("point", F.col("n").alias("nx"), F.col("shingles").alias("sx")), "point")
-        both = both.join(sets.select(F.col("point").alias("pivot"), F.col("n").alias("np"), F.col("shingles").alias("sp")), "pivot")
+        heads = stage(small_or_join(sets, pivots.select(F.col("pivot").alias("point")), "point", "left_semi", 16, pivots.count()).select(F.col("point").alias("pivot"), F.col("n").alias("np"), F.col("shingles").alias("sp")), "heads")
+        size = heads.agg(F.sum(F.col("np") * 8 + 64)).first()[0] or 0
+        both = small_or_join(sets.select("point", F.col("n").alias("nx"), F.col("shingles").alias("sx")), pairs, "point", "inner", 48, pairs.count())
+        both = small_or_join(both, heads, "pivot", "inner", 1, size)
         both = both.withColumn("i", F.size(F.array_intersect("sx", "sp")))
         linked = stage(both.where(F.col("i") * of >= (F.col("nx") + F.col("np") - F.col("i")) * least).select("point", F.col("pivot").alias("root")), "linked")
         label = linked.withColumnRenamed("root", "label").unionByName(pivots.select(F.col("pivot").alias("point"), F.col("pivot").alias("label")))
