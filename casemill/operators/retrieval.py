@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from casemill.functions.scalars import reciprocal_rank
 
-MAX_QUERIES = 100_000
+#: Queries that go to a task at once, and of them those compared at once.
+QUERY_BLOCK, COLUMNS = 10_000, 256
 TOP, FUSED, STRONG = 10, 5, 3
 
 
@@ -31,34 +32,41 @@ def authorized_corpus(chunks: DataFrame, allowed: DataFrame, quarantined: DataFr
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP) -> DataFrame:
     """(query_id, fragment_id, distance, rank): the k nearest by cosine, ties by id.
 
-    The queries are the stated batch: they go to every task in blocks, and each block of rows keeps its
-    own k best, so what is sent on is k rows a query and task, not all pairs.
+    The queries go to every task in blocks of about QUERY_BLOCK, by hash of their id, however many there
+    are, and each block of rows keeps its own k best, so what is sent on is k rows a query and task, not
+    all pairs.
     """
-    rows = queries.limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError("split the batch of queries")
-    if not rows:
-        return corpus.sparkSession.createDataFrame([], f"query_id long, fragment_id {dict(corpus.dtypes)['fragment_id']}, distance double, rank int")
-    names = [r.query_id for r in rows]
-    q = np.array([r.embedding for r in rows], float)
-    q /= np.linalg.norm(q, axis=1, keepdims=True)
-    shared = corpus.sparkSession.sparkContext.broadcast((names, q))
-
-    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, q = shared.value
-        for f in frames:
-            if not len(f):
-                continue
-            v = np.stack(f["embedding"].to_numpy()).astype(float)
-            ids = f["fragment_id"].to_numpy()
-            d = 1 - (v / np.linalg.norm(v, axis=1, keepdims=True)) @ q.T
-            for j in range(len(names)):
-                own = np.round(d[:, j], 9)
-                best = np.lexsort((ids, own))[:k]
-                yield pd.DataFrame({"query_id": names[j], "fragment_id": ids[best], "distance": own[best]})
-
+    spark = corpus.sparkSession
     layout = f"query_id long, fragment_id {dict(corpus.dtypes)['fragment_id']}, distance double"
-    return _ranked(corpus.select("fragment_id", "embedding").mapInPandas(near, layout), k, "distance", "fragment_id")
+    corpus = corpus.select("fragment_id", "embedding")
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    found = spark.createDataFrame([], layout)
+    for block in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
+        if not rows:
+            continue
+        names = [r.query_id for r in rows]
+        q = np.array([r.embedding for r in rows], float)
+        q /= np.linalg.norm(q, axis=1, keepdims=True)
+        shared = spark.sparkContext.broadcast((names, q))
+
+        def near(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            names, q = shared.value
+            for f in frames:
+                if not len(f):
+                    continue
+                v = np.stack(f["embedding"].to_numpy()).astype(float)
+                v /= np.linalg.norm(v, axis=1, keepdims=True)
+                ids = f["fragment_id"].to_numpy()
+                for a in range(0, len(names), COLUMNS):
+                    d = 1 - v @ q[a : a + COLUMNS].T
+                    for j, name in enumerate(names[a : a + COLUMNS]):
+                        own = np.round(d[:, j], 9)
+                        best = np.lexsort((ids, own))[:k]
+                        yield pd.DataFrame({"query_id": name, "fragment_id": ids[best], "distance": own[best]})
+
+        found = found.unionByName(corpus.mapInPandas(near, layout))
+    return _ranked(found, k, "distance", "fragment_id")
 
 
 def corpus_stats(fragments: DataFrame, terms: DataFrame) -> DataFrame:
