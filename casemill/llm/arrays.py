@@ -4,38 +4,30 @@ A text column arrives as Arrow batches.  `slices` cuts a batch into runs of whol
 MB, so that the arrays made from it stay small whatever the batch size; one document longer than the
 limit is a slice of its own and is never cut.  Null texts count as empty.
 
-Hashes are 64-bit polynomials over a random table of byte values; they are equal on every machine
-and in every run.
+Hashes have 64 bits and are equal on every machine and in every run.  A word is hashed by its eight-byte
+pieces in turn, a window of words or bytes by doubling: from the hashes of its first and last 2**k parts,
+each scrambled before they are put together.  So no sum of powers stands behind them that regular texts
+could make equal.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
 SLICE_BYTES = 2 << 20
-_BASE = U(0x9E3779B97F4A7C15)
-_rng = np.random.RandomState(20240229)
-_VALUES = _rng.randint(0, 1 << 62, 256, dtype=np.int64).astype(U) * U(4) + _rng.randint(0, 4, 256, dtype=np.int64).astype(U)
+_BASE, _LEFT, _RIGHT = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93), U(0xC2B2AE3D27D4EB4F)
+#: Longer words are hashed whole, one by one.
+LONG_WORD = 64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, or the same of the base's inverse; kept between calls."""
-    key = "inverse" if inverse else "base"
-    if len(have := _POWERS.get(key, np.ones(1, U))) < n:
-        step = np.full(max(n, 1 << 16), pow(int(_BASE), -1, 1 << 64) if inverse else int(_BASE), U)
-        step[0] = 1
-        have = _POWERS[key] = np.multiply.accumulate(step)
-    return have[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,16 +37,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of value[i] * base**i, one longer than the input."""
-    out = np.zeros(len(values) + 1, U)
-    np.cumsum(values * powers(len(values)), out=out[1:])
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two hashes in this order."""
+    return (a ^ (a >> U(32))) * _LEFT + (b ^ (b >> U(29))) * _RIGHT
+
+
+def _times(k: int) -> np.uint64:
+    return U(k * int(_BASE) & (1 << 64) - 1)
+
+
+def window_hash(x: np.ndarray, k: int, unit: int = 1) -> np.ndarray:
+    """Hash of the k parts from each place on, where x[i] is the hash of the `unit` parts from i on; k is unit at least."""
+    n = len(x) + unit - k
+    if n <= 0:
+        return np.zeros(0, U)
+    size = unit
+    while 2 * size <= k:
+        x = pair(x[:-size], x[size:])
+        size *= 2
+    return mix(pair(x[:n], x[k - size : k - size + n]) + _times(k))
+
+
+def span_hash(x: np.ndarray, start: np.ndarray, end: np.ndarray, unit: int = 1) -> np.ndarray:
+    """window_hash of each [start, end), of `unit` parts at least."""
+    n = end - start
+    level = np.frexp(n / unit)[1] - 1
+    out, size = np.zeros(len(n), U), unit
+    for k in range(int(level.max(initial=-1)) + 1):
+        if k:
+            x = pair(x[:-size], x[size:])
+            size *= 2
+        at = np.flatnonzero(level == k)
+        out[at] = mix(pair(x[start[at]], x[end[at] - size]) + n[at].astype(U) * _BASE)
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each [start, end) whatever its position; the length is mixed in."""
-    return mix((prefix[end] - prefix[start]) * powers(len(prefix), True)[start] + (end - start).astype(U) * _BASE)
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros behind the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
 @dataclass
@@ -93,7 +114,20 @@ class Tokens:
     first: np.ndarray
 
     def hashes(self) -> np.ndarray:
-        return span_hash(prefix_hash(_VALUES[self.data]), self.start, self.end)
+        n = self.end - self.start
+        out = mix(n.astype(U) * _BASE)
+        pieces, left = eights(self.data), np.flatnonzero(n <= LONG_WORD)
+        for at in range(0, LONG_WORD, 8):
+            rest = n[left] - at
+            piece = pieces[self.start[left] + at]
+            piece = np.where(rest < 8, piece & ((U(1) << (U(8) * np.minimum(rest, 7).astype(U))) - U(1)), piece)
+            out[left] = mix(out[left] * _LEFT + piece)
+            left = left[rest > 8]
+            if not len(left):
+                break
+        for i in np.flatnonzero(n > LONG_WORD):
+            out[i] = int.from_bytes(blake2b(self.data[self.start[i] : self.end[i]].tobytes(), digest_size=8).digest(), "little")
+        return out
 
 
 def tokens(s: Slice, lower: bool = False) -> Tokens:
@@ -110,8 +144,21 @@ def tokens(s: Slice, lower: bool = False) -> Tokens:
     return Tokens(data, start, end, np.repeat(np.arange(len(s.off) - 1), np.diff(first)), first)
 
 
-def byte_hashes(s: Slice) -> np.ndarray:
-    return prefix_hash(_VALUES[s.data])
+def byte_hashes(data: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k bytes from each place on."""
+    if k < 8:
+        return mix((eights(data)[: max(len(data) - k + 1, 0)] & ((U(1) << U(8 * k)) - U(1))) + _times(k))
+    return window_hash(mix(eights(data)[: max(len(data) - 7, 0)] + _BASE), k, 8)
+
+
+def sampled_hashes(data: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k bytes from each of a few places on, by eight-byte pieces in turn."""
+    if k < 8:
+        return byte_hashes(data, k)[at]
+    pieces, out = eights(data), np.full(len(at), _times(k))
+    for j in range(0, k, 8):
+        out = pair(out, pieces[at + min(j, k - 8)])
+    return mix(out)
 
 
 def words_window(t: Tokens, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +168,7 @@ def words_window(t: Tokens, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.
         return np.zeros(0, np.int64), np.zeros(0, U)
     at = np.arange(n - k + 1)
     at = at[t.doc[at] == t.doc[at + k - 1]]
-    return at, span_hash(prefix_hash(hashes), at, at + k)
+    return at, window_hash(hashes, k)[at]
 
 
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -1,258 +1,346 @@
-"""N-gram Jaccard join: exact, by regions, pivots and the triangle inequality.
+"""N-gram Jaccard join: exact, by pivots, Voronoi regions and triangle-inequality windows.
 
-Jaccard distance is a metric, but a document's distance to nearly every other one is 1, so pivots drawn
-from the corpus would put all documents in all regions.  Regions are therefore found first by a
-partition of the shingle space that loses no link, and pivots work inside them:
+Jaccard distance is a metric, but a document's distance to nearly every other one is 1, which no pivot
+can tell apart.  So documents that can have no link go first, and what is left is cut where distances
+are 1 or nearly so, before pivots work:
 
-1. Coarse regions.  Two sets of m or more shingles with similarity t differ in at most (1/t - 1) m
-   places.  Cut the hash space into more parts than that: linked sets agree on one part at least.  A
-   region holds the documents that agree on a part.
+1. Shingles that are in one document only are counted out.  A document links only if at least the share
+   `least` / `of` of its shingles is in others too; all others are done.
 2. Documents with equal sets are one point; links between them are certain.
-3. Regions that share points form clusters.  In a cluster, points become pivots in turn; each other
-   point that is not yet connected with the pivot is measured unless the triangle inequality over the
-   distances to earlier pivots, or the sizes (distances to the empty set), exclude a link.  Linked
-   points merge.  So each pair that could link is measured, excluded, or already connected.
-4. A cluster of bounded size does this in one task.  In a larger one all points are first measured
-   against one pivot, by joins; regions that this connects are done.  The points of the others
-   are cut into blocks: a task takes two blocks, and each point meets every block of its cluster.
+3. Two linked sets share one of the n - ceil(n * least / of) + 1 rarest shingles of each, in any one
+   order of all shingles.  Points that share such a shingle, directly or through others, are a cluster;
+   no link leaves it.
+4. A cluster is joined recursively.  Some points become pivots, every point belongs to the Voronoi region
+   of the nearest one, those at distance 1 from all pivots to an outer region.  A point is copied into
+   the window of another region if its distance to that pivot is within twice the link distance of its
+   own, so a linked pair meets in the region of each of the two.  Regions go on the same way until they
+   are small or no longer shrink; there, points are measured unless the triangle inequality over
+   earlier pivots, their sizes, or being connected already makes it needless.
+5. A cluster of bounded work does this in one task.  Larger ones are dealt to regions by Spark first,
+   over all their points; a region that does not shrink is cut into blocks, and a task takes two.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casemill.llm.arrays import U, by_bucket, groups_of, mix, prefix_hash, slices, span_hash, tokens
-from casemill.llm.shared import BROADCAST_BYTES, buckets_for, components, small_or_join, stage
+from casemill.llm.arrays import Slice, U, groups_of, slices, span_hash, tokens, words_window
+from casemill.llm.repeats import broadcast_filter, filter_rows, repeated_places
+from casemill.llm.shared import BROADCAST_BYTES, components, discard, hot_join, small_or_join, stage
 
-FLUSH = 400_000
+#: Points times shingles of a cluster that one task takes.
+CLUSTER_WORK = 1_000_000_000
+#: Points of a region that are measured without further pivots, and pivots of a larger one.
+LEAF, PIVOTS = 128, 16
 #: Earlier pivots whose distances are held against a new one.
-PIVOTS = 8
-#: Points and shingles of a cluster that one task takes.
-CLUSTER_POINTS, CLUSTER_SHINGLES = 512, 2_000_000
+HELD = 8
+#: Rounds of regions that Spark deals, before blocks.
+ROUNDS = 3
+#: Cells, as bits, of the counts by which shingles are ordered; any counts give exact results.
+CELL_BITS = 23
 
 
-def _sets(s, words: int) -> Iterator[np.ndarray]:
-    """Each document's distinct shingle hashes, sorted."""
+def shingles(s: Slice, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, hashes): every document's distinct shingles, sorted; document d has hashes[first[d] : first[d + 1]]."""
     t = tokens(s, lower=True)
-    h = t.hashes()
-    pre = prefix_hash(h)
-    for d in range(len(s.off) - 1):
-        a, b = int(t.first[d]), int(t.first[d + 1])
-        if b - a < words:
-            yield span_hash(pre, np.array([a]), np.array([b])) if b > a else np.zeros(0, U)
-        else:
-            at = np.arange(a, b - words + 1)
-            yield np.unique(span_hash(pre, at, at + words))
+    w = t.hashes()
+    at, h = words_window(t, w, words)
+    n = np.diff(t.first)
+    short = np.flatnonzero((n > 0) & (n < words))
+    doc = np.concatenate([t.doc[at], short])
+    h = np.concatenate([h, span_hash(w, t.first[short], t.first[short + 1])])
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    keep = np.ones(len(h), bool)
+    keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return np.searchsorted(doc[keep], np.arange(len(s.off))), h[keep]
+
+
+def least_shared(n, least: int, of: int):
+    """Shingles that a set of n shares at least with any set that it is linked with."""
+    return -(-n * least // of)
+
+
+def _facts(texts: DataFrame, words: int, least: int, of: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(sizes, sets): (id, n) of every text, and (id, digest, n, shingles) of those that may have a link. texts: key, id, text."""
+
+    def emit(s: Slice, _: object) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        first, h = shingles(s, words)
+        n = np.diff(first)
+        return np.repeat(np.arange(len(n)), n), np.arange(len(h)) - np.repeat(first[:-1], n), h
+
+    segments = filter_rows(texts.select("key", "text"), emit, 2)
+    met = broadcast_filter(segments, limit)
+    discard(segments)
+    used = []
+    texts = texts.withColumn("shared", F.lit(None).cast("long"))
+    if met is None:
+        runs = repeated_places(texts.select("key", "text"), emit).select("key", F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0), lambda t, x: t + x).cast("long").alias("shared"))
+        used.append(stage(runs, "shared"))
+        texts = small_or_join(texts.drop("shared"), used[0], "key", "left", 48, used[0].count(), limit).withColumn("shared", F.coalesce("shared", F.lit(0)))
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = batch.column("shared").to_numpy(zero_copy_only=False)
+            for s in slices(batch.column("text")):
+                first, h = shingles(s, words)
+                n = np.diff(first)
+                if met is None:
+                    shared = told[s.row0 : s.row1].astype(np.int64)
+                else:
+                    shared = np.diff(np.concatenate([[0], np.cumsum(met.value.has(h))])[first])
+                may = (n > 0) & (shared >= least_shared(n, least, of))
+                own = [h[a:b] if m else None for a, b, m in zip(first, first[1:], may)]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(s.row0, s.row1 - s.row0), pa.array(n, pa.int64()), pa.array([None if x is None else md5(x.tobytes()).digest() for x in own], pa.binary()), pa.array([None if x is None else x.astype(np.int64) for x in own], pa.list_(pa.int64()))], ["id", "n", "digest", "shingles"])
+
+    facts = stage(texts.select("id", "text", "shared").mapInArrow(each, "id long, n long, digest binary, shingles array<long>"), "sets", *used)
+    return facts.select("id", "n"), facts
+
+
+def _levels(sets: DataFrame):
+    """A broadcast of how often the shingles of each cell of the hash space come in `sets`, on a log scale; its size is fixed."""
+    cells, part = 1 << CELL_BITS, 1 << 16
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(cells, np.uint32)
+        for batch in batches:
+            h = batch.column("shingles").flatten().to_numpy().view(U)
+            at, k = np.unique(h >> U(64 - CELL_BITS), return_counts=True)
+            n[at.astype(np.int64)] += k.astype(np.uint32)
+        for a in range(0, cells, part):
+            at = np.flatnonzero(n[a : a + part])
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int32()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([n[a + at].astype("<u4").tobytes()], pa.binary())], ["at", "cells", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                own = total.setdefault(r["at"], np.zeros(part))
+                own[np.frombuffer(r["cells"], "<u2")] += np.frombuffer(r["counts"], "<u4")
+        for a, n in total.items():
+            level = np.where(n > 0, np.minimum(1 + 8 * np.log2(np.maximum(n, 1)), 255), 0).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([a], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["at", "levels"])
 
-def differ_most(size: int, least: int, of: int) -> int:
-    """One more than the places in which two linked sets can differ, the smaller of `size` shingles."""
-    return size * (of - least) // least + 1
-
-
-def parts_of(size: int, least: int, of: int) -> int:
-    """Parts for two sets, the smaller of `size` shingles: differ_most, rounded up to 2 or 3 times a power of two."""
-    most = differ_most(size, least, of)
-    step = max(1, 1 << max(0, most.bit_length() - 2))
-    return -(-most // step) * step
-
-
-def _plans(n: int, least: int, of: int) -> list[int]:
-    """The numbers of parts for every size that the smaller of a linked pair with this set can have."""
-    lo = -(-n * least // of)
-    return sorted({parts_of(m, least, of) for m in (range(lo, n + 1) if n < 64 else [*range(lo, n, max(1, (n - lo) // 64)), n])})
-
+    rows = sets.select("shingles").mapInArrow(count, "at int, cells binary, counts binary").repartition("at").mapInArrow(add, "at int, levels binary")
+    out = np.zeros(cells, np.uint8)
+    for r in rows.toLocalIterator():
+        out[r.at : r.at + part] = np.frombuffer(bytes(r.levels), np.uint8)
+    return sets.sparkSession.sparkContext.broadcast(out)
 
-def _signatures(own: np.ndarray, least: int, of: int) -> np.ndarray:
-    """Hashes of the parts of a set that are not empty.
 
-    A difference changes one part, so if a set has at least differ_most parts that are not empty, one
-    of them is the same in the linked set.  A set with fewer adds twice as many parts, and again, until
-    it has enough: of two linked sets, the one that stops first stops at a number that both have.
-    """
-    n = len(own)
-    total = np.concatenate([np.zeros(1, U), np.cumsum(mix(own), dtype=U)])
-    out = []
-    for parts in _plans(n, least, of):
-        need = min(parts, differ_most(n, least, of))
-        while True:
-            cut = np.searchsorted(own, (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(U))
-            bounds = np.concatenate([[0], cut, [n]])
-            some = np.flatnonzero(np.diff(bounds))
-            out.append(mix(total[bounds[some + 1]] - total[bounds[some]] + mix(some.astype(U) + U(parts << 32))))
-            if len(some) >= need:
-                break
-            parts *= 2
-    return np.concatenate(out)
-
-
-def _regions(texts: DataFrame, words: int, least: int, of: int) -> DataFrame:
-    """(sig, id): documents of every part that two or more documents agree on.
-
-    A task keeps its own groups and sends one document of each part, so no part gathers its documents.
-    """
-    buckets = buckets_for(texts.sparkSession)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            sig, ids = (np.concatenate(x) for x in zip(*held))
-            held.clear()
-            order = np.lexsort((ids, sig))
-            sig, ids = sig[order], ids[order]
-            first = np.concatenate([[True], sig[1:] != sig[:-1]])
-            shared = np.zeros(len(sig), bool)
-            shared[1:] |= ~first[1:]
-            shared[:-1] |= ~first[1:]
-            if shared.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(shared.sum()), -1), pa.int32()), pa.array(sig[shared].astype(np.int64)), pa.array(ids[shared]), pa.nulls(int(shared.sum()), pa.binary())], names)
-            sig, ids, shared = sig[first], ids[first], shared[first]
-            _, cut = by_bucket(sig, buckets, order=False)
-            rows = [(b, np.concatenate([sig[cut[b] : cut[b + 1]].astype("<u8"), ids[cut[b] : cut[b + 1]].astype("<i8").view("<u8"), shared[cut[b] : cut[b + 1]].astype("<u8")]).tobytes()) for b in range(buckets) if cut[b] < cut[b + 1]]
-            b, d = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.nulls(len(b), pa.int64()), pa.nulls(len(b), pa.int64()), pa.array(d, pa.binary())], names)
+def _signatures(sets: DataFrame, least: int, of: int) -> DataFrame:
+    """(sig, point): the rarest shingles of each point, those that any linked point must share one of."""
+    levels = _levels(sets)
 
-        for batch in batches:
-            ids = batch.column("id").to_numpy()
-            for s in slices(batch.column("text")):
-                for d, own in enumerate(_sets(s, words)):
-                    if len(own):
-                        sig = _signatures(own, least, of)
-                        held.append((sig, np.full(len(sig), ids[s.row0 + d])))
-                if sum(len(x[0]) for x in held) >= FLUSH:
-                    yield from flush()
-        if held:
-            yield from flush()
-
-    names = ["bucket", "sig", "id", "data"]
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, list[np.ndarray]] = defaultdict(list)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            b = batch.column("bucket").to_numpy()
-            local = np.flatnonzero(b < 0)
-            if len(local):
-                yield batch.select(["sig", "id"]).take(pa.array(local))
-            for i in np.flatnonzero(b >= 0):
-                got[int(b[i])].append(np.frombuffer(batch.column("data")[int(i)].as_py(), "<u8").reshape(3, -1))
-        for b in sorted(got):
-            sig, ids, shared = np.concatenate(got.pop(b), 1)
-            order = np.argsort(sig, kind="stable")
-            sig, ids, shared = sig[order], ids[order].astype(np.int64), shared[order].astype(bool)
-            same = sig[1:] == sig[:-1]
-            twice = np.zeros(len(sig), bool)
-            twice[1:] |= same
-            twice[:-1] |= same
-            twice &= ~shared  # those that their task kept are there already
-            if twice.any():
-                yield pa.RecordBatch.from_arrays([pa.array(sig[twice].astype(np.int64)), pa.array(ids[twice])], ["sig", "id"])
-
-    sent = texts.mapInArrow(send, "bucket int, sig long, id long, data binary")
-    spread = F.when(F.col("bucket") < 0, F.hash("id", "sig")).otherwise(F.col("bucket"))
-    return sent.repartition(spread).mapInArrow(meet, "sig long, id long")
-
-
-def _measured(texts: DataFrame, words: int) -> DataFrame:
-    """(id, n, digest, shingles): set size and digest of every text; the set itself where `wanted`."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wanted = batch.column("wanted")
-            for s in slices(batch.column("text")):
-                n, digest, sets = [], [], []
-                for d, own in enumerate(_sets(s, words)):
-                    n.append(len(own))
-                    digest.append(int(mix(own).sum(dtype=U).astype(np.int64)))
-                    sets.append(own.astype(np.int64) if wanted[s.row0 + d].as_py() else None)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(s.row0, s.row1 - s.row0), pa.array(n, pa.int64()), pa.array(digest, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "n", "digest", "shingles"])
-
-    return texts.select("id", "text", "wanted").mapInArrow(each, "id long, n long, digest long, shingles array<long>")
-
-
-def _cluster(points: np.ndarray, n: np.ndarray, sets: list[np.ndarray], label: np.ndarray, block: np.ndarray, across: bool, least: int, of: int) -> np.ndarray:
-    """For each point of a cluster the smallest point that it is connected with, by links found here; equal labels are connected already. Across: only pairs of two blocks are measured."""
-    m = len(points)
-    root = np.arange(m)
-    part = np.unique(label, return_inverse=True)[1]  # what is connected, through labels too
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    bounds = np.concatenate([[0], np.cumsum(n)])
-    mark = np.zeros(ids.max() + 1, np.int64)
-    far = 1 - least / of + 1e-9
-    distances: list[np.ndarray] = []  # to earlier pivots, nan where not measured
-    for p in range(m - 1):
-        want = (part != part[p]) & (np.minimum(n, n[p]) * of >= np.maximum(n, n[p]) * least)
-        want[: p + 1] = False
-        if across:
-            want &= block != block[p]
-        for d in distances[-PIVOTS:]:
-            if not want.any():
-                break
-            want &= ~(np.abs(d - d[p]) > far)
-        at = np.flatnonzero(want)
-        if not len(at):
-            continue
-        own = ids[bounds[p] : bounds[p + 1]]
-        mark[own] = 1
-        if len(at) * 8 < m:
-            both = np.array([mark[ids[bounds[x] : bounds[x + 1]]].sum() for x in at])
-        else:
-            both = np.add.reduceat(mark[ids], bounds[:-1])[at]
-        mark[own] = 0
-        union = n[at] + n[p] - both
-        d = np.full(m, np.nan)
-        d[at], d[p] = 1 - both / union, 0.0
-        distances.append(d)
-        for x in at[both * of >= union * least]:
-            if part[x] != part[p]:
-                part[part == part[x]] = part[p]
-            if root[x] != root[p]:
-                low, high = sorted((root[x], root[p]))
-                root[root == high] = low
-    low = np.full(m, np.iinfo(np.int64).max)
-    np.minimum.at(low, root, points)
-    return low[root]
-
-
-def _cluster_links(clusters: DataFrame, sets: DataFrame, least: int, of: int) -> DataFrame:
-    """(point, root) of clusters (cluster, point, n, label): a forest of the links found; larger clusters go by pairs of blocks."""
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / CLUSTER_POINTS, F.sum("n") / CLUSTER_SHINGLES)).cast("int").alias("blocks"))
-    x = clusters.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int"))
-    x = stage(x.select("cluster", "point", "label", "own", "blocks"), "placed")
+            h = batch.column("shingles").flatten().to_numpy().view(U)
+            n = batch.column("n").to_numpy()
+            doc = np.repeat(np.arange(len(n)), n)
+            level = levels.value[(h >> U(64 - CELL_BITS)).astype(np.int64)]
+            order = np.lexsort((h, level, doc))
+            turn = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            # level 1: nothing else is in the shingle's cell
+            keep = (turn < (n - least_shared(n, least, of) + 1)[doc]) & (level[order] > 1)
+            yield pa.RecordBatch.from_arrays([pa.array(h[order[keep]].astype(np.int64)), batch.column("point").take(pa.array(doc[keep]))], ["sig", "point"])
+
+    return sets.select("point", "n", "shingles").mapInArrow(each, "sig long, point long")
+
+
+class Cluster:
+    """The points of a cluster, or of two of its blocks, and what is known to connect them."""
+
+    def __init__(self, points: np.ndarray, n: np.ndarray, shingles: np.ndarray, label: np.ndarray, block: np.ndarray, across: bool, least: int, of: int):
+        self.points, self.n, self.block, self.across, self.least, self.of = points, n, block, across, least, of
+        self.root = np.arange(len(points))
+        self.part = np.unique(label, return_inverse=True)[1]  # what is connected, through labels too
+        self.ids = np.unique(shingles, return_inverse=True)[1]
+        self.bounds = np.concatenate([[0], np.cumsum(n)])
+        self.mark = np.zeros(len(shingles) + 1, np.int64)
+        self.near = 1 - least / of + 1e-9
+
+    def gathered(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(shingles of these points, where each one's start)."""
+        n = self.n[at]
+        first = np.cumsum(n) - n
+        return self.ids[np.arange(n.sum()) - np.repeat(first, n) + np.repeat(self.bounds[at], n)], first
+
+    def measured(self, p: int, at: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Distances of p to these points; those that link are connected."""
+        ids, first = known or self.gathered(at)
+        own = self.ids[self.bounds[p] : self.bounds[p + 1]]
+        self.mark[own] = 1
+        both = np.add.reduceat(self.mark[ids], first)
+        self.mark[own] = 0
+        union = self.n[at] + self.n[p] - both
+        for x in at[both * self.of >= union * self.least]:
+            if self.part[x] != self.part[p]:
+                self.part[self.part == self.part[x]] = self.part[p]
+            if self.root[x] != self.root[p]:
+                low, high = sorted((self.root[x], self.root[p]))
+                self.root[self.root == high] = low
+        return 1 - both / union
+
+    def leaf(self, at: np.ndarray) -> None:
+        distances: list[np.ndarray] = []  # to earlier pivots, nan where not measured
+        for k, p in enumerate(at[:-1]):
+            rest = at[k + 1 :]
+            want = (self.part[rest] != self.part[p]) & (np.minimum(self.n[rest], self.n[p]) * self.of >= np.maximum(self.n[rest], self.n[p]) * self.least)
+            if self.across:
+                want &= self.block[rest] != self.block[p]
+            for d in distances[-HELD:]:
+                want &= ~(np.abs(d[k + 1 :] - d[k]) > self.near)
+            want = np.flatnonzero(want)
+            if len(want):
+                d = np.full(len(at), np.nan)
+                d[k + 1 + want], d[k] = self.measured(p, rest[want]), 0.0
+                distances.append(d)
+
+    def join(self, at: np.ndarray) -> None:
+        """Connects these points wherever a link does: by Voronoi regions of pivots, each with its window, and so on."""
+        if len(at) <= LEAF:
+            return self.leaf(at)
+        if (self.part[at] == self.part[at[0]]).all():
+            return None
+        known = self.gathered(at)
+        to = np.full((PIVOTS, len(at)), 2.0)
+        pivot = 0
+        for k in range(PIVOTS):  # each new pivot is the point farthest from those before
+            to[k] = self.measured(int(at[pivot]), at, known)
+            least = to[: k + 1].min(0)
+            pivot = int(least.argmax())
+        for region, window in voronoi(to, self.near):
+            if region.any():
+                self.leaf(at[window]) if window.sum() > 0.8 * len(at) else self.join(at[window])
+        return None
+
+    def forest(self) -> np.ndarray:
+        """For each point the smallest that it is connected with by links found here."""
+        low = np.full(len(self.points), np.iinfo(np.int64).max)
+        np.minimum.at(low, self.root, self.points)
+        return low[self.root]
+
+
+def voronoi(to: np.ndarray, near: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(points of the region, points of its window) for each pivot and for the outer region, from the distances pivots x points."""
+    least, own = to.min(0), to.argmin(0)
+    outer = least >= 1
+    for k in range(len(to)):
+        yield (own == k) & ~outer, to[k] <= least + 2 * near
+    yield outer, least >= 1 - near
+
+
+def _joined(clusters: DataFrame, sets: DataFrame, least: int, of: int) -> DataFrame:
+    """(point, root): a forest of the links in clusters (cluster, point, n, label); points of equal labels are connected already.  A cluster of too much work for a task goes by pairs of blocks."""
+    sizes = stage(clusters.groupBy("cluster").agg(F.count("*").alias("rows"), F.greatest(F.lit(1), F.ceil(F.sqrt(F.count("*") * F.sum("n") / CLUSTER_WORK))).cast("int").alias("blocks")), "sizes")
+    x = hot_join(clusters.select("cluster", "point", "label"), sizes, "cluster", "rows").drop("rows").withColumn("own", F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int"))
+    x = stage(x, "placed")
     # the sets are sent once, to their tasks: what they are joined with is small, if its measured size says so
-    x = small_or_join(sets, x, "point", "inner", 64, x.count()).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    y = small_or_join(sets.select("point", "n", "shingles"), x, "point", "inner", 64, x.count()).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     i, j = F.least("own", "other"), F.greatest("own", "other")
-    x = x.select(F.concat_ws("/", "cluster", i, j).alias("task"), (i != j).alias("across"), "own", "point", "label", "n", "shingles")
+    y = y.select(F.concat_ws("/", "cluster", i, j).alias("task"), (i != j).alias("across"), "own", "point", "label", "n", "shingles")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups_of(batches, "task"):
             t = t.combine_chunks()
             lists = t.column("shingles").combine_chunks()
-            flat, off = lists.values.to_numpy(), lists.offsets.to_numpy()
             points, n, label, own = (t.column(c).to_numpy() for c in ("point", "n", "label", "own"))
-            low = _cluster(points, n, [flat[a:b] for a, b in zip(off, off[1:])], label, own, t.column("across")[0].as_py(), least, of)
+            c = Cluster(points, n, lists.flatten().to_numpy(), label, own, t.column("across")[0].as_py(), least, of)
+            c.join(np.arange(len(points)))
+            low = c.forest()
             some = low != points
             yield pa.RecordBatch.from_arrays([pa.array(points[some]), pa.array(low[some])], ["point", "root"])
 
-    return x.repartition("task").sortWithinPartitions("task", "point").mapInArrow(each, "point long, root long")
-
-
-def _clusters(members: DataFrame) -> DataFrame:
-    """(point, cluster) of points that share a region with another one."""
-    low = members.groupBy("sig").agg(F.min("point").alias("a"), F.count("*").alias("n")).where("n > 1").select("sig", "a")
-    found = components(members.join(low, "sig").select(F.col("point").alias("b"), "a").where("a <> b").distinct())
-    return found.select(F.col("id").alias("point"), F.col("component").alias("cluster"))
-
-
-def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: int = 80, of: int = 100) -> DataFrame:
+    return stage(y.repartition("task").sortWithinPartitions("task", "point").mapInArrow(each, "point long, root long"), "links", x, sizes)
+
+
+def _dealt(work: DataFrame, sets: DataFrame, least: int, of: int) -> DataFrame:
+    """(cluster, point, n, label, pivot, parent): the Voronoi regions of clusters too large for a task, as clusters; pivot: a linked pivot, if any."""
+    spark = work.sparkSession
+    pivots = work.select("cluster", "point", "n").distinct().withColumn("turn", F.row_number().over(Window.partitionBy("cluster").orderBy(F.xxhash64("point"), "point"))).where(F.col("turn") <= PIVOTS)
+    pivots = stage(pivots.select("cluster", "point", "n"), "pivots")
+    size = pivots.agg(F.sum(8 * F.col("n") + 64)).first()[0] or 0
+    passes = max(1, -(-size // BROADCAST_BYTES))
+    near = 1 - least / of + 1e-9
+    out = None
+    for k in range(passes):  # a pass takes the clusters whose pivots one broadcast holds
+        mine = F.pmod(F.xxhash64("cluster"), F.lit(passes)) == k
+        own = pivots.where(mine)
+        heads: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for r in small_or_join(sets.select("point", "shingles"), own.select("point", "cluster"), "point", "inner", 64, own.count()).toLocalIterator():
+            heads.setdefault(r.cluster, []).append((r.point, np.array(r.shingles, np.int64)))
+        tables = {}
+        for c, found in heads.items():
+            found.sort(key=lambda x: x[0])
+            keys, back = np.unique(np.concatenate([x for _, x in found]), return_inverse=True)
+            bits = np.zeros(len(keys), np.uint32)
+            np.bitwise_or.at(bits, back, np.repeat(np.uint32(1) << np.arange(len(found), dtype=np.uint32), [len(x) for _, x in found]))
+            tables[c] = keys, bits, np.array([p for p, _ in found]), np.array([len(x) for _, x in found])
+        shared = spark.sparkContext.broadcast(tables)
+
+        def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                cluster, point, n, label, parent = (batch.column(c).to_numpy() for c in ("cluster", "point", "n", "label", "parent"))
+                flat, bounds = batch.column("shingles").flatten().to_numpy(), np.concatenate([[0], np.cumsum(n)])
+                for c in np.unique(cluster):
+                    at = np.flatnonzero(cluster == c)
+                    keys, bits, names, sizes = shared.value[int(c)]
+                    first = np.cumsum(n[at]) - n[at]
+                    h = flat[np.arange(n[at].sum()) - np.repeat(first, n[at]) + np.repeat(bounds[at], n[at])]
+                    place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                    met = np.where(keys[place] == h, bits[place], 0)
+                    both = np.stack([np.add.reduceat((met >> np.uint32(k)) & np.uint32(1), first).astype(np.int64) for k in range(len(names))])
+                    union = n[at][None, :] + sizes[:, None] - both
+                    to = 1 - both / union
+                    linked = both * of >= union * least
+                    pivot = np.where(linked.any(0), names[linked.argmax(0)], -1)
+                    for k, (_, window) in enumerate(voronoi(to, near)):
+                        w = np.flatnonzero(window)
+                        if len(w):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), c)), pa.array(np.full(len(w), k), pa.int32()), pa.array(point[at[w]]), pa.array(n[at[w]]), pa.array(np.where(pivot[w] >= 0, pivot[w], label[at[w]])), pa.array(pivot[w]), pa.array(parent[at[w]])], ["cluster", "region", "point", "n", "label", "pivot", "parent"])
+
+        rows = work.where(mine)
+        x = small_or_join(sets.select("point", "shingles"), rows.select("cluster", "point", "n", "label", "parent"), "point", "inner", 64, rows.count())
+        x = x.mapInArrow(each, "cluster long, region int, point long, n long, label long, pivot long, parent long")
+        out = x if out is None else out.unionByName(x)
+    # should two regions get one name, they are joined as one
+    return stage(out.select(F.xxhash64("cluster", "region").alias("cluster"), "point", "n", "label", "pivot", "parent"), "regions", pivots)
+
+
+def _links(clusters: DataFrame, sets: DataFrame, least: int, of: int) -> DataFrame:
+    """(point, root): a forest of all links in clusters (cluster, point, n)."""
+    work = stage(clusters.withColumn("label", F.col("point")).withColumn("parent", F.lit(1 << 60)), "work")
+    found = []
+    for k in range(ROUNDS + 1):
+        sizes = work.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum("n").alias("sum"), F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b")
+        sizes = stage(sizes.select("cluster", "rows", (F.col("rows") * F.col("sum") <= CLUSTER_WORK).alias("small")), "sizes")
+        now = stage(hot_join(work.drop("pivot"), sizes, "cluster", "rows"), "open", work, sizes)
+        large = ~F.col("small") & (F.col("rows") <= 0.8 * F.col("parent")) & F.lit(k < ROUNDS)
+        found.append(_joined(now.where(~large), sets, least, of))
+        rest = now.where(large)
+        if rest.isEmpty():
+            discard(now)
+            break
+        work = _dealt(rest.select("cluster", "point", "n", "label", F.col("rows").alias("parent")), sets, least, of)
+        found.append(stage(work.where("pivot >= 0 and pivot <> point").select("point", F.col("pivot").alias("root")).distinct(), "links", now))
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return stage(out, "links", *found)
+
+
+def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: int = 80, of: int = 100, limit: int = BROADCAST_BYTES) -> DataFrame:
     """One row per distinct id: id, n_shingles, component_id.
 
     A-Z count as a-z; words are runs of characters other than space and \\x09-\\x0D.  A set is the
@@ -261,6 +349,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     component_id is the smallest id reachable by links, the own one included.  Ids are integers; rows
     with a null id are left out; rows that repeat an id are one document, the one with the greatest
     text.  Null texts are empty.  Extra columns are ignored.  An empty table gives an empty table.
+    Shingles are compared by 64-bit hashes, two documents at a time, equal sets by 128 bits.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
@@ -269,45 +358,40 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if n_repeated:
         single = small_or_join(own, repeated, "id", "left_anti", 16, n_repeated)
         own = single.unionByName(small_or_join(own, repeated, "id", "left_semi", 16, n_repeated).groupBy("id").agg(F.max("text").alias("text")))
-    regions = stage(_regions(own, words, least, of), "regions")
-    wanted = stage(regions.select("id").distinct().withColumn("wanted", F.lit(True)), "wanted")
-    facts = stage(_measured(small_or_join(own, wanted, "id", "left", 16, wanted.count()), words), "sets")
+    # of equal texts the one with the smallest id goes on
+    own = own.withColumn("key", F.unhex(F.md5("text")))
+    copies = stage(own.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "copies")
+    named = hot_join(own, copies, "key", "copies", "left").drop("copies")
+    same = stage(named.where("rep is not null").select("id", "rep"), "same")
+    sizes, facts = _facts(named.where("rep is null or rep = id").select("key", "id", "text"), words, least, of, limit)
 
     # equal sets are one point, known by its smallest id
-    stats = facts.where("shingles is not null").select("id", "n", "digest")
-    points = stage(stats.join(stats.groupBy("n", "digest").agg(F.min("id").alias("point")), ["n", "digest"]).select("id", "point", "n"), "points")
-    n_points = points.count()
-    sets = facts.where("shingles is not null").select(F.col("id").alias("point"), "n", "shingles")
-    members = stage(small_or_join(regions, points.select("id", "point"), "id", "inner", 48, n_points).select("sig", "point").distinct(), "members")
-    sizes_of = points.where("id = point").select("point", "n")
-    clusters = stage(_clusters(members).join(sizes_of, "point"), "clusters")
-    sizes = clusters.groupBy("cluster").agg(((F.count("*") <= CLUSTER_POINTS) & (F.sum("n") <= CLUSTER_SHINGLES)).alias("small"))
-    clusters = stage(clusters.join(sizes, "cluster"), "clusters")
-    links = stage(_cluster_links(clusters.where("small").withColumn("label", F.col("point")), sets, least, of), "links")
-
-    large = stage(members.join(clusters.where("not small").select("point", "n", "cluster"), "point"), "large")
-    if not large.isEmpty():
-        # one pivot a cluster: its smallest point, by which it is named
-        ends = large.select("point", "n", F.col("cluster").alias("pivot")).distinct()
-        pivots = ends.where("point = pivot").select("pivot", F.col("n").alias("pn"))
-        pairs = ends.where("point <> pivot").join(pivots, "pivot").where(F.least("n", "pn") * of >= F.greatest("n", "pn") * least)
-        pairs = stage(pairs.select("pivot", "point"), "pairs")
-        heads = stage(small_or_join(sets, pivots.select(F.col("pivot").alias("point")), "point", "left_semi", 16, pivots.count()).select(F.col("point").alias("pivot"), F.col("n").alias("np"), F.col("shingles").alias("sp")), "heads")
-        size = heads.agg(F.sum(F.col("np") * 8 + 64)).first()[0] or 0
-        both = small_or_join(sets.select("point", F.col("n").alias("nx"), F.col("shingles").alias("sx")), pairs, "point", "inner", 48, pairs.count())
-        both = small_or_join(both, heads, "pivot", "inner", 1, size)
-        both = both.withColumn("i", F.size(F.array_intersect("sx", "sp")))
-        linked = stage(both.where(F.col("i") * of >= (F.col("nx") + F.col("np") - F.col("i")) * least).select("point", F.col("pivot").alias("root")), "linked")
-        label = linked.withColumnRenamed("root", "label").unionByName(pivots.select(F.col("pivot").alias("point"), F.col("pivot").alias("label")))
-        now = stage(large.join(label, "point", "left").withColumn("label", F.coalesce("label", "point")), "labelled")
-        open_ = now.groupBy("sig").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("sig")
-        rest = now.join(open_, "sig", "left_semi").select("cluster", "point", "n", "label").distinct()
-        links = links.unionByName(linked).unionByName(stage(_cluster_links(stage(rest, "open"), sets, least, of), "links"))
+    found = facts.where("shingles is not null")
+    points = stage(found.groupBy("digest").agg(F.min("id").alias("point"), F.count("*").alias("copies")), "points")
+    stats = stage(hot_join(found.select("id", "n", "digest"), points, "digest", "copies").select("id", "point", "n"), "stats")
+    main = stats.where("id = point").select(F.col("id"), "point")
+    sets = stage(small_or_join(found.select("id", "n", "shingles"), main, "id", "inner", 32, main.count()).drop("id"), "sets", points)
+    sizes = stage(sizes, "sizes", facts)
+
+    marks = stage(_signatures(sets, least, of), "signatures")
+    shared = stage(marks.groupBy("sig").agg(F.min("point").alias("a"), F.count("*").alias("n")).where("n > 1"), "shared")
+    edges = hot_join(marks, shared, "sig", "n").select("a", F.col("point").alias("b")).where("a <> b").distinct()
+    clusters = components(edges).select(F.col("id").alias("point"), F.col("component").alias("cluster"))
+    discard(marks, shared)
+    clusters = stage(clusters.join(stats.where("id = point").select("point", "n"), "point"), "clusters")
+    links = _links(clusters, sets, least, of)
     groups = components(links.select(F.col("point").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "point")
-    top = points.join(groups, "point", "left").select("id", F.coalesce("component", "point").alias("c"))
+
     # a component's smallest id is its smallest point: a point is the smallest of its ids
-    out = facts.select("id", "n").join(top, "id", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"))
+    top = stage(stats.join(groups, "point", "left").select("id", F.coalesce("component", "point").alias("c")), "tops", groups, stats, links, clusters, sets)
+    one = stage(sizes.join(top, "id", "left").select("id", "n", F.coalesce("c", "id").alias("c")), "tops", top)
+    # and so for equal texts
+    named = same.select(F.col("id").alias("copy"), F.col("rep").alias("id"))
+    reps = stage(one.join(same.groupBy(F.col("rep").alias("id")).agg(F.count("*").alias("copies")), "id"), "reps")
+    many = hot_join(named, reps, "id", "copies").select(F.col("copy").alias("id"), "n", F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("copy")).alias("c"))
+    out = small_or_join(one, same.select("id"), "id", "left_anti", 16, same.count()).unionByName(many)
+    out = stage(out, "linked", one, same, copies, reps)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

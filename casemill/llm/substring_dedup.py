@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.arrays import Slice, Tokens, covered, prefix_hash, slices, span_hash, tokens, words_window
+from casemill.llm.arrays import Slice, Tokens, covered, slices, tokens, window_hash, words_window
 from casemill.llm.repeats import all_runs, broadcast_filter, distinct_texts, expanded, filter_rows, hinted, repeated_places, told_runs
 from casemill.llm.shared import BROADCAST_BYTES, small_or_join, stage
 
@@ -38,7 +38,7 @@ def _around(t: Tokens, hashes: np.ndarray, anchors: np.ndarray, window: int, blo
     doc = t.doc[at]
     keep = at <= last[doc]
     at, doc = at[keep], doc[keep]
-    return doc, at - t.first[doc], span_hash(prefix_hash(hashes), at, at + window)
+    return doc, at - t.first[doc], window_hash(hashes, window)[at]
 
 
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, limit: int = BROADCAST_BYTES) -> DataFrame:

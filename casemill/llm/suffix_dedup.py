@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.arrays import Slice, U, byte_hashes, covered, runs, slices, span_hash
+from casemill.llm.arrays import Slice, U, byte_hashes, covered, runs, sampled_hashes, slices, span_hash
 from casemill.llm.repeats import all_runs, broadcast_filter, distinct_texts, expanded, filter_rows, hinted, repeated_places, told_runs
 from casemill.llm.shared import BROADCAST_BYTES, small_or_join, stage
 
@@ -89,9 +89,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def sample(s: Slice, _: object) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         doc, pos, at = _sampled(s, length, v, cover)
-        return doc, pos, span_hash(byte_hashes(s), at, at + short)
+        return doc, pos, sampled_hashes(s.data, at, short)
 
-    def windows(s: Slice, prefix: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def windows(s: Slice, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Every position from which a string of `length` bytes reaches a named sample at most v - 1 bytes on."""
         lo, hi = s.off[doc], s.off[doc + 1] - length
         flag = covered(len(s.data), np.maximum(at - (v - 1), lo), np.maximum(np.minimum(at, hi) + 1, np.maximum(at - (v - 1), lo)))
@@ -99,21 +99,23 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         doc = np.searchsorted(s.off, at, "right") - 1
         keep = at + length <= s.off[doc + 1]
         doc, at = doc[keep], at[keep]
-        return doc, at - s.off[doc], span_hash(prefix, at, at + length)
+        # hash only the bytes that the windows hold
+        held = covered(len(s.data), at, at + length)
+        place = np.cumsum(held) - 1
+        return doc, at - s.off[doc], byte_hashes(s.data[held], length)[place[at]] if len(at) else np.zeros(0, U)
 
     names = broadcast_filter(filter_rows(texts, sample, 2), limit)
     if names is None:
         texts = hinted(texts, stage(repeated_places(texts, sample), "names"), "name", "inner", limit)
 
     def remaining(s: Slice, hint: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        prefix = byte_hashes(s)
         if names is None:
             doc, lo, hi = told_runs(hint, "name")
             which, pos = expanded(lo, hi)
-            return windows(s, prefix, doc[which], s.off[doc[which]] + pos)
+            return windows(s, doc[which], s.off[doc[which]] + pos)
         doc, _, at = _sampled(s, length, v, cover)
-        hit = names.value.has(span_hash(prefix, at, at + short))
-        return windows(s, prefix, doc[hit], at[hit])
+        hit = names.value.has(sampled_hashes(s.data, at, short))
+        return windows(s, doc[hit], at[hit])
 
     def stretches(s: Slice, hint: dict) -> tuple[np.ndarray, ...]:
         """Runs of remaining suffixes from one cut to the next, told by one hash; cuts depend on the bytes that follow alone, so equal runs are cut alike."""
@@ -122,7 +124,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         a, b = cut[:-1], cut[1:]
         keep = (doc[a] == doc[b]) & (pos[b] - pos[a] == b - a)
         a, b = a[keep], b[keep]
-        return doc[a], pos[a], span_hash(byte_hashes(s), s.off[doc[a]] + pos[a], s.off[doc[a]] + pos[b] + length), b - a + 1
+        return doc[a], pos[a], span_hash(h, a, b + 1), b - a + 1
 
     def others(s: Slice, hint: dict) -> tuple[np.ndarray, ...]:
         """Remaining suffixes outside repeated stretches; those in one of each group of equal stretches go along for them to meet."""

@@ -59,12 +59,13 @@ def near_copies(seed):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize(("k", "least", "bound"), [(3, 90, 512), (5, 80, 512), (1, 60, 512), (5, 80, 3)])
-def test_links(spark, monkeypatch, k, least, bound):
-    monkeypatch.setattr("casemill.llm.jaccard_join.CLUSTER_POINTS", bound)
+@pytest.mark.parametrize(("k", "least", "work", "leaf", "limit"), [(3, 90, 10**9, 128, 1 << 26), (5, 80, 10**9, 128, 1 << 26), (1, 60, 10**9, 4, 1 << 26), (5, 80, 10**9, 2, -1), (5, 80, 3000, 2, 1 << 26), (1, 60, 3000, 2, -1)])
+def test_links(spark, monkeypatch, k, least, work, leaf, limit):
+    monkeypatch.setattr("casemill.llm.jaccard_join.CLUSTER_WORK", work)
+    monkeypatch.setattr("casemill.llm.jaccard_join.LEAF", leaf)
     rows = near_copies(k)
     df = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows] + [(None, "a b c", None, None), (5, rows[5][1], None, None)], "doc_id long, text string, sig string, n int").repartition(4)
-    got = sorted(tuple(x) for x in link_documents(df, words=k, least=least).collect())
+    got = sorted(tuple(x) for x in link_documents(df, words=k, least=least, limit=limit).collect())
     want = brute(rows, k, least, 100)
     assert got == want
     assert len({c for _, n, c in got}) < len(got) - 40
