@@ -1,13 +1,16 @@
-"""Line dedup: maximal repeated runs of lines by distributed prefix doubling; later copies are deleted.
+"""Line dedup: a suffix array over line ids by distributed prefix doubling; later copies of repeated runs are deleted.
 
-The corpus is a sequence of line ids, cut at document ends.  A suffix starts at each line.  Round k
-knows a name for the first 2**k lines of each suffix; the name for twice as many is that of the pair
-(own name, name 2**k lines on), found by an equi-join on the position.  Suffixes whose prefix occurs
-once leave: they end an interval of common prefixes.  The rounds stop when no prefix occurs twice.
+The corpus is a sequence of line ids, cut at document ends; a suffix starts at each line.  Round k ranks
+the suffixes by their first 2**k lines: the rank for twice as many is that of the pair (own rank, rank
+2**k lines on), pairs being sorted over the cluster.  Suffixes that share no prefix with another leave.
+A rank that is left stands for an interval of the suffix array whose common prefix has 2**k lines or
+more, with its first occurrence in the corpus.
 
-Every interval of equal prefixes of 2**k lines keeps its first occurrence, by document id and line;
-the others are later copies.  Their union in a document are its repeated runs.  A run of a single line
-counts only from `min_chars` characters on; in a run of two or more all lines go, short ones too.
+The longest common prefix of a suffix with an earlier one follows from the intervals downwards: from the
+longest 2**k lines that occurred earlier on, its interval is refined by ranks of 2**(k-1), 2**(k-2), ...
+lines, as long as an earlier suffix stays inside.  So each suffix gets the longest run of lines that
+starts there and occurred earlier, by document id and line.  Runs inside others are left out; the rest
+are the maximal repeated runs, and those of `min_chars` characters or more are deleted.
 
 DataFrame functions only.
 """
@@ -17,84 +20,124 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casemill.llm.shared import small_or_join, stage
+from casemill.llm.shared import BROADCAST_BYTES, discard, hot_join, small_or_join, stage, unique_ids
 
 #: Line ends as documents have them.
 LINE_END = "\n"
 
 
-def unique_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text) with one row per id: of rows that repeat an id, the greatest text; rows with a null id are left out; null texts are empty."""
-    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    repeated = stage(own.select("id").groupBy("id").count().where("count > 1").select("id"), "repeated")
-    n = repeated.count()
-    if not n:
-        return own
-    return small_or_join(own, repeated, "id", "left_anti", 16, n).unionByName(small_or_join(own, repeated, "id", "left_semi", 16, n).groupBy("id").agg(F.max("text").alias("text")))
+def _ranked(keys: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct keys, written with a number each that rises with them."""
+    return stage(keys.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("interval", F.monotonically_increasing_id()), "ranks")
 
 
-def _classes(names: DataFrame) -> DataFrame:
-    """(name, first): names that occur twice or more, with their first occurrence."""
-    return names.groupBy("name").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("name", "first")
+def _of_class(rows: DataFrame, n_rows: int, classes: DataFrame, on: list[str], how: str) -> DataFrame:
+    """rows with their classes (column n: rows of each); there are no more classes than rows."""
+    if n_rows * 96 <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(classes), on, how)
+    return hot_join(rows, stage(classes, "classes"), on, "n", how, row_bytes=96)
 
 
-def repeated_line_runs(texts: DataFrame, min_chars: int = 20, rounds: int = 40) -> DataFrame:
-    """(id, pos, lines): later copies, as the first line and the number of lines (a power of two) of each. texts: id, text with distinct ids."""
+def _place() -> F.Column:
+    return F.struct("id", "pos")
+
+
+def suffix_intervals(texts: DataFrame, rounds: int = 40) -> list[DataFrame]:
+    """For k = 0, 1, ...: (id, pos, rank, first): the suffixes whose first 2**k lines start at two places or more, ranked by these, with the first of each rank."""
     lines = texts.select("id", F.posexplode(F.split("text", LINE_END, -1)).alias("pos", "line"))
-    names = lines.select("id", "pos", F.unhex(F.md5("line")).alias("name"), F.length("line").alias("chars"))
-    once = stage(_classes(names), "lines")
-    now = stage(names.join(once, "name").select("id", "pos", "name", "first", "chars"), "suffixes")
-    later = F.struct("id", "pos") != F.col("first")
-    found = now.where(later & (F.col("chars") >= min_chars)).select("id", "pos", F.lit(1).alias("lines"))
-    now = now.select("id", "pos", "name")
+    names = lines.select("id", "pos", F.unhex(F.md5("line")).alias("rank"))
+    out: list[DataFrame] = []
     for k in range(rounds):
-        # only suffixes that still share their prefix can share a longer one
-        on = now.select("id", (F.col("pos") - (1 << k)).alias("pos"), F.col("name").alias("next"))
-        longer = now.join(on, ["id", "pos"]).select("id", "pos", F.unhex(F.md5(F.concat("name", "next"))).alias("name"))
-        longer = stage(longer, "doubled")
-        now = stage(longer.join(_classes(longer), "name"), "suffixes")
-        if now.isEmpty():
-            return found
-        found = found.unionByName(now.where(later).select("id", "pos", F.lit(2 << k).alias("lines")))
-        now = now.select("id", "pos", "name")
+        on = ["rank"] if not k else ["rank", "next"]
+        classes = names.groupBy(*on).agg(F.min(_place()).alias("first"), F.count("*").alias("n")).where("n > 1")
+        classes = _ranked(classes, on)
+        now = hot_join(names, classes, on, "n", row_bytes=96).select("id", "pos", F.col("interval").alias("rank"), "first")
+        out.append(stage(now, "suffixes", classes))
+        if k and out[-1].isEmpty():
+            return out[:-1]
+        ahead = Window.partitionBy("id").orderBy("pos").rangeBetween(1 << k, 1 << k)
+        names = out[-1].select("id", "pos", "rank", F.max("rank").over(ahead).alias("next")).where("next is not null")
     raise RuntimeError("runs of lines are longer than 2**40")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20) -> DataFrame:
-    """One row per distinct id: id, n_lines, n_removed, n_runs, longest (lines of the longest removed run), kept (the remaining lines, joined as before).
-
-    Lines are the parts between newlines; an empty text has one empty line.  A line goes if it is in a
-    run that occurred earlier, by id and line: a run of two or more lines, or one line of min_chars or
-    more characters.  A line's first occurrence always stays.  Null texts are empty; rows with a null
-    id are left out; rows that repeat an id are one document, the one with the greatest text.  Extra
-    columns are ignored.  An empty table gives an empty table.
+def longest_earlier(texts: DataFrame) -> DataFrame:
+    """(id, pos, lines): for each suffix that shares a first line with an earlier one, the most lines that it shares with any earlier one. texts: id, text with distinct ids."""
+    levels = suffix_intervals(texts)
+    later = _place() != F.col("first")
+
+    def asking(k: int) -> DataFrame:
+        """Suffixes of which 2**k lines occurred earlier, and not twice as many."""
+        own = levels[k].where(later).select("id", "pos")
+        return own.join(levels[k + 1].where(later).select("id", "pos"), ["id", "pos"], "left_anti") if k + 1 < len(levels) else own
+
+    found = [stage(asking(0).withColumn("lines", F.lit(1)), "found")]
+    state = None  # (kind, interval, lines, id, pos, ask): intervals of common prefixes with a suffix that asks for a longer one
+    for j in reversed(range(len(levels) - 1)):
+        own = levels[j + 1].join(asking(j + 1).withColumn("ask", F.lit(True)), ["id", "pos"], "left")
+        own = stage(own.select(F.lit(-j - 1).alias("kind"), F.col("rank").alias("interval"), F.lit(2 << j).alias("lines"), "id", "pos", F.coalesce("ask", F.lit(False)).alias("ask")), "members")
+        asked = own.groupBy("interval").agg(F.count("*").alias("n"), F.max("ask").alias("any")).where("any").select("interval", "n")
+        rows = _of_class(own, own.count(), asked, ["interval"], "inner").drop("n")
+        rows = rows.select("kind", "interval", "lines", "id", "pos", "ask")
+        rows = rows if state is None else rows.unionByName(state)
+        ahead = levels[j].select("id", (F.col("pos")).alias("at"), F.col("rank").alias("next"))
+        stepped = stage(rows.withColumn("at", F.col("pos") + F.col("lines")).join(ahead, ["id", "at"], "left").drop("at"), "stepped", own, *([state] if state is not None else []))
+        n = stepped.count()
+        # longer prefixes that an asking suffix shares with an earlier one
+        head = F.min(F.struct("id", "pos", "ask"))
+        longer = stepped.where("next is not null").groupBy("kind", "interval", "next").agg(head.alias("head"), F.count("*").alias("n"), F.sum(F.col("ask").cast("int")).alias("asks")).where("n > 1")
+        longer = longer.withColumn("up", F.col("asks") - F.col("head.ask").cast("int")).where("up > 0")
+        longer = _ranked(longer.select("kind", "interval", "next", F.struct("head.id", "head.pos").alias("first"), "n", "up").withColumnRenamed("interval", "old"), ["kind", "old", "next"])
+        up = stepped.withColumnRenamed("interval", "old")
+        up = _of_class(up, n, longer, ["kind", "old", "next"], "left")
+        rises = F.col("ask") & F.col("interval").isNotNull() & (_place() != F.col("first"))
+        up = stage(up.select("kind", "old", "lines", "id", "pos", "ask", "interval", F.coalesce(rises, F.lit(False)).alias("rises")), "longer", stepped, longer)
+        stays = up.groupBy("kind", F.col("old")).agg(F.count("*").alias("n"), F.max(F.col("ask") & ~F.col("rises")).alias("any")).where("any").drop("any")
+        same = _of_class(up, n, stays, ["kind", "old"], "inner").select("kind", F.col("old").alias("interval"), "lines", "id", "pos", (F.col("ask") & ~F.col("rises")).alias("ask"))
+        more = up.where("interval is not null").select(F.lit(j).alias("kind"), "interval", (F.col("lines") + (1 << j)).alias("lines"), "id", "pos", F.col("rises").alias("ask"))
+        state = stage(same.unionByName(more), "state", up)
+    if state is not None:
+        found.append(state.where("ask").select("id", "pos", "lines"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    out = stage(out, "earlier", found[0], *([state] if state is not None else []))
+    discard(*levels)
+    return out
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, unique: bool = False) -> DataFrame:
+    """One row per distinct id: id, n_lines, n_removed, n_runs and longest (the maximal repeated runs that go: their number and the lines of the longest), kept (the remaining lines, joined as before).
+
+    Lines are the parts between newlines; an empty text has one empty line.  A run of lines goes if it
+    occurred earlier, by id and line, and has min_chars characters or more, newlines between its lines
+    included.  A line's first occurrence always stays.  Null texts are empty; rows with a null id are left
+    out; rows that repeat an id are one document, the one with the greatest text; unique: there are none of
+    these, as the caller knows.  Extra columns are ignored.  An empty table gives an empty table.
     """
-    texts = unique_ids(docs, id_col, text_col)
-    runs = repeated_line_runs(texts, min_chars)
-    # union of overlapping runs, document by document
-    by = Window.partitionBy("id").orderBy("pos")
-    # a position's widest run is enough: at most one row per line goes on
-    runs = runs.groupBy("id", "pos").agg((F.col("pos") + F.max("lines")).alias("end"))
-    runs = runs.withColumn("reach", F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)))
-    runs = runs.withColumn("turn", F.sum(F.when(F.col("reach").isNull() | (F.col("pos") > F.col("reach")), 1).otherwise(0)).over(by))
-    runs = runs.groupBy("id", "turn").agg(F.min("pos").alias("a"), F.max("end").alias("b"))
-    gone = stage(runs.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("runs")), "gone")
-    size = gone.agg(F.sum(16 + 8 * F.size("runs"))).first()[0] or 0
-    x = small_or_join(texts, gone, "id", "left", 1, size)
-    lines = F.split("text", LINE_END, -1)
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")) if unique else unique_ids(docs, id_col, text_col)
+    earlier = longest_earlier(texts)
+    # runs inside another run add nothing
+    before = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    runs = earlier.select("id", F.col("pos").alias("a"), (F.col("pos") + F.col("lines")).alias("b"), F.max(F.col("pos") + F.col("lines")).over(before).alias("reach"))
+    runs = stage(runs.where("reach is null or b > reach").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("runs")), "runs", earlier)
+    size = runs.agg(F.sum(16 + 8 * F.size("runs"))).first()[0] or 0
+    x = small_or_join(texts, runs, "id", "left", 1, size).withColumn("lines", F.split("text", LINE_END, -1))
     none = F.array().cast("array<struct<a:int,b:int>>")
-    runs_of = F.coalesce("runs", none)
-    # cuts between kept stretches: each run's end to the next run's start
-    spans = F.zip_with(F.concat(F.array(F.lit(0)), F.transform(runs_of, lambda r: r["b"])), F.concat(F.transform(runs_of, lambda r: r["a"]), F.array(F.size("lines"))), lambda a, b: F.slice("lines", a + 1, b - a))
-    n_removed = F.aggregate(runs_of, F.lit(0), lambda t, r: t + r["b"] - r["a"])
-    x = x.withColumn("lines", lines)
+    long = lambda r: F.aggregate(F.slice("lines", r["a"] + 1, r["b"] - r["a"]), F.lit(-1), lambda n, line: n + F.length(line) + 1) >= min_chars
+    x = x.withColumn("runs", F.coalesce(F.filter("runs", long), none))
+    # overlapping runs as one stretch
+    last = lambda t: F.element_at(t, -1)
+    joined = lambda t, r: F.concat(F.slice(t, F.lit(1), F.size(t) - 1), F.array(F.struct(last(t)["a"].alias("a"), F.greatest(last(t)["b"], r["b"]).alias("b"))))
+    x = x.withColumn("gone", F.aggregate("runs", none, lambda t, r: F.when((F.size(t) > 0) & (r["a"] <= F.try_element_at(t, F.lit(-1))["b"]), joined(t, r)).otherwise(F.concat(t, F.array(r)))))
+    # kept stretches: from each end to the next start
+    spans = F.zip_with(F.concat(F.array(F.lit(0)), F.transform("gone", lambda r: r["b"])), F.concat(F.transform("gone", lambda r: r["a"]), F.array(F.size("lines"))), lambda a, b: F.slice("lines", a + 1, b - a))
     return x.select(
         F.col("id").alias(id_col),
         F.size("lines").cast("long").alias("n_lines"),
-        n_removed.cast("long").alias("n_removed"),
-        F.size(runs_of).cast("long").alias("n_runs"),
-        F.coalesce(F.array_max(F.transform(runs_of, lambda r: r["b"] - r["a"])), F.lit(0)).cast("long").alias("longest"),
-        F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(spans), LINE_END)).alias("kept"),
+        F.aggregate("gone", F.lit(0), lambda t, r: t + r["b"] - r["a"]).cast("long").alias("n_removed"),
+        F.size("runs").cast("long").alias("n_runs"),
+        F.coalesce(F.array_max(F.transform("runs", lambda r: r["b"] - r["a"])), F.lit(0)).cast("long").alias("longest"),
+        F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.flatten(spans), LINE_END)).alias("kept"),
     )
 
 
@@ -107,18 +150,21 @@ OP4_SQL = """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
   FROM documents),
-named AS (
-  SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS turn,
-         lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM lines),
-pairs AS (
-  SELECT *, CASE WHEN next IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY line, next ORDER BY doc_id, pos) END AS pair_turn FROM named),
-marked AS (
-  SELECT *, (turn > 1 AND length(line) >= 20) OR pair_turn > 1 OR coalesce(lag(pair_turn) OVER (PARTITION BY doc_id ORDER BY pos), 1) > 1 AS gone FROM pairs),
-stretches AS (
-  SELECT *, pos - row_number() OVER (PARTITION BY doc_id, gone ORDER BY pos) AS stretch FROM marked),
+named AS (SELECT doc_id, pos, hash(line) AS h, line FROM lines),
+met AS (
+  SELECT a.doc_id AS d, a.pos AS p, b.doc_id AS e, a.pos - b.pos AS shift
+  FROM named a JOIN named b ON a.h = b.h AND a.line = b.line AND (b.doc_id < a.doc_id OR b.doc_id = a.doc_id AND b.pos < a.pos)),
+islands AS (SELECT *, p - row_number() OVER (PARTITION BY d, e, shift ORDER BY p) AS island FROM met),
+shared AS (SELECT d, p, max(p) OVER (PARTITION BY d, e, shift, island) - p + 1 AS n FROM islands),
+longest AS (SELECT d, p, max(n) AS n FROM shared GROUP BY d, p),
+ranged AS (SELECT *, max(p + n) OVER (PARTITION BY d ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM longest),
 runs AS (
-  SELECT doc_id, count(*) AS n_runs, max(n) AS longest FROM (SELECT doc_id, stretch, count(*) AS n FROM stretches WHERE gone GROUP BY ALL) GROUP BY doc_id)
+  SELECT d, p, n FROM (SELECT d, p, n FROM ranged WHERE reach IS NULL OR p + n > reach) JOIN lines ON doc_id = d AND pos >= p AND pos < p + n
+  GROUP BY d, p, n HAVING sum(length(line) + 1) - 1 >= 20),
+gone AS (SELECT DISTINCT d, unnest(generate_series(p, p + n - 1)) AS p FROM runs),
+marked AS (SELECT doc_id, pos, line, g.d IS NOT NULL AS gone FROM lines LEFT JOIN gone g ON g.d = doc_id AND g.p = pos),
+counts AS (SELECT d, count(*) AS n_runs, max(n) AS longest FROM runs GROUP BY d)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(any_value(n_runs), 0) AS n_runs, coalesce(any_value(longest), 0) AS longest,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
-FROM marked LEFT JOIN runs USING (doc_id) GROUP BY doc_id
+FROM marked LEFT JOIN counts ON d = doc_id GROUP BY doc_id
 """

@@ -1,36 +1,80 @@
+import random
+
 import duckdb
+import pytest
+
+from casemill.llm import shared
+from casemill.llm.line_dedup import OP4_SQL, dedup_lines, longest_earlier, op4
 
-from casemill.llm.line_dedup import OP4_SQL, dedup_lines, op4
+
+def earlier(rows):
+    """(id, pos) -> the most lines that a place shares with an earlier one."""
+    places, out = {}, {}
+    texts = {i: (t or "").split("\n") for i, t in rows}
+    for i in sorted(texts):
+        own = texts[i]
+        for p in range(len(own)):
+            best = 0
+            for j, q in places.get(own[p], []):
+                n = 0
+                while p + n < len(own) and q + n < len(texts[j]) and own[p + n] == texts[j][q + n]:
+                    n += 1
+                best = max(best, n)
+            if best:
+                out[i, p] = best
+            places.setdefault(own[p], []).append((i, p))
+    return out
 
 
 def brute(rows, min_chars):
-    seen, pairs, out = set(), set(), []
+    found, out = earlier(rows), []
     for i, text in sorted(rows):
         lines = (text or "").split("\n")
-        gone = [False] * len(lines)
-        for p, x in enumerate(lines):
-            gone[p] |= x in seen and len(x) >= min_chars
-            seen.add(x)
-            if p + 1 < len(lines):
-                if (x, lines[p + 1]) in pairs:
-                    gone[p] = gone[p + 1] = True
-                pairs.add((x, lines[p + 1]))
-        runs, last = [], False
-        for g in gone:
-            if g and last:
-                runs[-1] += 1
-            elif g:
-                runs.append(1)
-            last = g
-        out.append((i, len(lines), sum(gone), len(runs), max(runs, default=0), "\n".join(x for x, g in zip(lines, gone) if not g)))
+        gone, sizes, reach = [False] * len(lines), [], 0
+        for p in range(len(lines)):
+            n = found.get((i, p), 0)
+            if p + n > reach and n:
+                reach = p + n
+                if len("\n".join(lines[p : p + n])) >= min_chars:
+                    sizes.append(n)
+                    gone[p : p + n] = [True] * n
+        out.append((i, len(lines), sum(gone), len(sizes), max(sizes, default=0), "\n".join(x for x, g in zip(lines, gone) if not g)))
     return out
 
 
+def made(seed):
+    r = random.Random(seed)
+    rows = []
+    shared_runs = [[f"s{r.randrange(9)}" for _ in range(n)] for n in (2, 3, 5, 7, 12, 21)]
+    for i in range(60):
+        lines = []
+        for _ in range(r.randrange(4)):
+            x = list(r.choice(shared_runs))
+            lines += x[r.randrange(3) :] + [f"own {i} {r.randrange(99)}"] * r.randrange(2) + ["ab"] * r.randrange(3)
+        rows.append((i, "\n".join(lines)))
+    return rows
+
+
+@pytest.mark.parametrize("limit", [1 << 26, -1])
+def test_longest_earlier(spark, monkeypatch, limit):
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr("casemill.llm.line_dedup.BROADCAST_BYTES", limit)
+    rows = made(limit > 0)
+    got = {(r.id, r.pos): r.lines for r in longest_earlier(spark.createDataFrame(rows, "id long, text string")).collect()}
+    want = earlier(rows)
+    assert got == want and len(set(want.values())) > 8
+
+
 def test_lines(spark):
-    long = "\n".join(f"line {i % 37} of a long text" for i in range(5000))
+    long = "\n".join(f"line {i % 37} of a long text" for i in range(500))
     rows = [(1, "a\nb\nc"), (2, "b\nc\na"), (3, None), (4, ""), (5, "a"), (6, "a\na\na\na"), (7, "this is a line of some length\nz"), (8, "y\nthis is a line of some length"), (9, "a\nb\nc\nnew\n\n"), (10, long), (11, long), (12, "q\n" + long)]
+    rows += [(20, "\n".join("abcdefghijk")), (21, "\n".join("abcdefghijk")), (22, "\n".join("abcdefgxhijk")), (23, "x\n" * 40)]
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows] + [(None, "a\nb", None, None), (2, "b\nc\na", "clash", None)], "doc_id long, text string, line string, pos int")
-    assert sorted(tuple(r) for r in dedup_lines(df).collect()) == brute(rows, 20)
+    want = brute(rows, 20)
+    assert sorted(tuple(r) for r in dedup_lines(df).collect()) == want
+    by = {w[0]: w for w in want}
+    # eleven short lines go as one run of eleven, and not where the run is broken
+    assert by[21][1:5] == (11, 11, 1, 11) and by[22][2] == 0
     assert dedup_lines(df.where("1 = 0")).collect() == []
 
 
