@@ -7,7 +7,8 @@ changes.  Documents meet others of like size first, in blocks of a bounded numbe
 source and size class; each block leaves one fraction at most, and a reduction tree pairs those, 64
 blocks at a time, then classes, until one fraction a source is left and drawn.
 
-Draws come from hashes of the ids: reruns agree.
+Draws come from hashes of the ids and of the level of the tree, so each meeting has its own: reruns
+agree.  Rows that agree in id, source and size are told apart by their place in the table.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casemill.llm.shared import WORD, small_or_join, stage
+from casemill.llm.shared import WORD, hot_join, stage
 
 FAN = 64
 _EPS = 1e-9
@@ -48,7 +49,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     """(source, source_size, target): `share` of all sizes, divided by weight among sources and never above `most` times a source's size.
 
     sizes: source, size.  Weights repeat over the sources in code point order, null last.  What a
-    full source cannot take is shared by weight among the others until none is above.
+    full source cannot take is shared by weight among the others until none is above.  There is a row a
+    source here, so the windows over all of them stay small.
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -61,7 +63,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), sha
     onward = filling.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     s = s.withColumn("level", (F.sum("source_size").over(everyone) * share - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward))
     # the first source, in the order in which they fill, that is not filled sets the level for the rest
-    s = s.withColumn("level", F.min(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.struct((F.col("cap") / F.col("weight")).alias("at"), "source_size", "level"))).over(everyone)["level"])
+    s = s.withColumn("place", F.row_number().over(filling))
+    s = s.withColumn("level", F.min(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.struct("place", "level"))).over(everyone)["level"])
     return s.select("source", F.col("source_size").cast("long").alias("source_size"), F.coalesce(F.least("cap", F.col("level") * F.col("weight")), "cap").alias("target"))
 
 
@@ -74,7 +77,11 @@ def mix_sources(docs: DataFrame, size: Column | None = None, id_col: str = "doc_
     An empty table gives an empty table.
     """
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)) if size is None else size
-    rows = stage(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words.cast("long").alias("size")), "sizes")
+    rows = stage(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words.cast("long").alias("size"), F.monotonically_increasing_id().alias("place")), "sizes")
+    same = F.struct("id", "source", "size")
+    twins = stage(rows.groupBy(F.xxhash64(same).alias("twin")).agg(F.count("*").alias("n")).where("n > 1"), "twins")
+    rows = hot_join(rows.withColumn("twin", F.xxhash64(same)), twins, "twin", "n", "left")
+    rows = rows.select("id", "source", "size", F.when(F.col("n") > 1, F.col("place")).otherwise(-1).alias("place"))
     targets = stage(source_targets(rows, weights, share, most), "targets").withColumnRenamed("source", "s")
     n_sources = targets.count()
     # half-octave classes of size keep like with like
@@ -89,12 +96,13 @@ def mix_sources(docs: DataFrame, size: Column | None = None, id_col: str = "doc_
     rows = rows.join((F.broadcast if n_sources * 64 < 32 << 20 else (lambda x: x))(targets), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(ratio + _EPS).cast("int")
-    spot = F.xxhash64("id", "size")
-    rows = rows.select("id", "source", "size", "source_size", "target", "class", whole.alias("whole"), F.when(F.col("size") > 0, F.greatest(F.lit(0.0), ratio - whole)).otherwise(0.0).alias("p"), F.pmod(spot, F.col("blocks")).alias("block"), (F.pmod(F.xxhash64("id", F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)).alias("draw"))
-    layout = "id {}, source {}, size long, source_size long, target double, class int, whole int, p double, block long, draw double".format(*(dict(docs.dtypes)[c] for c in (id_col, source_col)))
+    spot = F.xxhash64("id", "size", "place")
+    fresh = lambda level: (F.pmod(F.xxhash64("id", "place", F.lit(f"draw {level}")), F.lit(1 << 30)) / float(1 << 30)).alias("draw")
+    rows = rows.select("id", "source", "size", "place", "source_size", "target", "class", whole.alias("whole"), F.when(F.col("size") > 0, F.greatest(F.lit(0.0), ratio - whole)).otherwise(0.0).alias("p"), F.pmod(spot, F.col("blocks")).alias("block"), fresh(0))
+    layout = "id {}, source {}, size long, place long, source_size long, target double, class int, whole int, p double, block long, draw double".format(*(dict(docs.dtypes)[c] for c in (id_col, source_col)))
 
     def rounded(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["size", "draw", "id"], kind="stable")
+        part = part.sort_values(["size", "draw", "id", "place"], kind="stable")
         part["p"] = pivotal(part["p"].to_numpy(float), part["draw"].to_numpy(float))
         return part
 
@@ -102,17 +110,18 @@ def mix_sources(docs: DataFrame, size: Column | None = None, id_col: str = "doc_
         return df.where((F.col("p") > 0) & (F.col("p") < 1))
 
     done = []
-    level = stage(rows.groupBy("source", "class", "block").applyInPandas(rounded, layout), "rounded")
-    blocks = int(facts[1] or 1)
+    level = stage(rows.groupBy("source", "class", "block").applyInPandas(rounded, layout), "rounded", twins)
+    blocks, turn = int(facts[1] or 1), 1
     while True:
         done.append(level.where((F.col("p") <= 0) | (F.col("p") >= 1)))
-        level = halfway(level)
+        level = halfway(level).withColumn("draw", fresh(turn))
+        turn += 1
         if blocks > 1:
             blocks = -(-blocks // FAN)
             level = stage(level.withColumn("block", F.floor(F.col("block") / FAN)).groupBy("source", "class", "block").applyInPandas(rounded, layout), "rounded")
             continue
         last = stage(level.groupBy("source").applyInPandas(rounded, layout), "rounded")
-        done.append(last.withColumn("p", F.when((F.col("p") > 0) & (F.col("p") < 1), (F.col("draw") < F.col("p")).cast("double")).otherwise(F.col("p"))))
+        done.append(last.withColumn("p", F.when((F.col("p") > 0) & (F.col("p") < 1), (fresh(turn) < F.col("p")).cast("double")).otherwise(F.col("p"))))
         break
     out = done[0]
     for d in done[1:]:

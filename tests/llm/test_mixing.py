@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from casemill.llm.mixing import mix_sources, op5, pivotal, source_targets
 
@@ -32,7 +33,7 @@ def test_pivotal_keeps_the_sum_and_the_chances():
     assert np.abs(total / 4000 - [0.2, 0.7, 0.5, 0.9, 0.4]).max() < 0.04
 
 
-@pytest.mark.parametrize("sizes", [{"a": 100, "b": 5, "é": 30, "z": 1000, None: 7}, {"a": 10, "b": 0}, {"a": 0}, {None: 5}])
+@pytest.mark.parametrize("sizes", [{"a": 100, "b": 5, "é": 30, "z": 1000, None: 7}, {"a": 10, "b": 0}, {"a": 0}, {None: 5}, {f"s{i}": 60 for i in range(50)}])
 def test_targets(spark, sizes):
     df = spark.createDataFrame([(s, v) for s, v in sizes.items()], "source string, size long")
     got = {r.source: r.target for r in source_targets(df).collect()}
@@ -40,6 +41,28 @@ def test_targets(spark, sizes):
     assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in want)
 
 
+def test_chances_over_two_levels(spark):
+    # 4000 sources of six documents in three blocks: the tree meets twice, and each document's chance is its fraction
+    n = 4000
+    df = spark.range(n * 6).selectExpr("id as doc_id", "concat('s', id div 6) as source", "10 as size")
+    got = mix_sources(df, size=F.col("size"), weights=(1,), share=1.3, block_rows=2).collect()
+    assert {r.copies for r in got} <= {1, 2}
+    per_source = {}
+    rate = np.zeros(6)
+    for r in got:
+        rate[r.doc_id % 6] += r.copies - 1
+        per_source[r.source] = per_source.get(r.source, 0) + r.copies
+    assert all(abs(v - 7.8) < 1 for v in per_source.values())
+    assert np.abs(rate / n - 0.3).max() < 4.5 * (0.3 * 0.7 / n) ** 0.5
+
+
+def test_repeated_rows_draw_apart(spark):
+    df = spark.range(3000).selectExpr("cast(null as long) as doc_id", "'s' as source", "'a b' as text")
+    got = mix_sources(df, block_rows=16).collect()
+    assert len(got) == 3000 and {r.copies for r in got} == {1, 2}
+    assert abs(sum(r.copies for r in got) - 4500) <= 1
+
+
 def test_mix(spark):
     got = op5(spark, "/root/testdata/sf0.01").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, op5(spark, "/root/testdata/sf0.01").collect()))
