@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casemill.llm.arrays import runs, slices
-from casemill.llm.shared import stage
+from casemill.llm.shared import hot_join, stage
 
 #: What a finding of each kind looks like.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
@@ -120,10 +120,10 @@ def scan_secrets(docs: DataFrame, repository: list[str], owner: list[str], id_co
     rows = stage(own.mapInArrow(_scan, layout), "secrets")
     each = rows.select("row", "repository", "owner", F.explode("vals").alias("v")).select("row", "repository", "owner", "v.*")
     # one row per value, repository and owner first: a value copied a million times is combined before it is sent
-    once = each.groupBy("value", "owner", "repository").agg(F.max(F.col("kind") < 3).alias("named"))
-    once = once.groupBy("value", "owner").agg(F.count("*").alias("repositories"), F.max("named").alias("named"))
-    shared = once.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.max("named").alias("named"))
-    judged = each.join(shared, "value").withColumn("specific", F.col("owners") < many_owners)
+    once = each.groupBy("value", "owner", "repository").agg(F.max(F.col("kind") < 3).alias("named"), F.count("*").alias("n"))
+    once = once.groupBy("value", "owner").agg(F.count("*").alias("repositories"), F.max("named").alias("named"), F.sum("n").alias("n"))
+    shared = once.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"), F.max("named").alias("named"), F.sum("n").alias("n"))
+    judged = hot_join(each, stage(shared, "values"), "value", "n", row_bytes=96).withColumn("specific", F.col("owners") < many_owners)
     live = F.col("specific") & F.col("random")
     added = (F.col("kind") == 3) & F.col("specific") & (F.col("random") | F.col("named"))
     facts = judged.groupBy("row").agg(
