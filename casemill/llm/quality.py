@@ -2,8 +2,9 @@
 
 Trusted positives and unlabelled web text train a logistic model on counts of the text itself.  The
 risk is the non-negative unbiased one: prior * R+(P) + max(0, R-(U) - prior * R-(P)), with the logistic
-loss; where the bracket falls below zero the step goes the other way.  The prior is estimated from the
-labelled training rows.  Rows labelled bad serve only in that estimate.
+loss; where the bracket falls below zero the step goes the other way.  The prior is estimated from
+positives and unlabelled rows alone: in any set of texts their shares bound it, U(A) >= prior * P(A), and
+the sets that a first classifier scores highest come nearest.  Rows labelled bad serve nowhere.
 
 Training takes a bounded sample by hash of the ids (`sample_rows` positives and as many unlabelled);
 features are computed by Spark tasks, for the sample and for every row alike.
@@ -73,6 +74,14 @@ class Model:
         return _sigmoid(np.clip((x - self.mean) / self.scale, -8, 8) @ self.weight + self.bias)
 
 
+def pu_risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """(prior * R+(P), R-(U) - prior * R-(P), the gradient of each) for logistic loss; the risk is the first and what is positive of the second."""
+    zp, zu = p @ w, u @ w
+    up = prior * np.logaddexp(0, -zp).mean()
+    down = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    return up, down, -prior * (p.T @ (1 - _sigmoid(zp))) / len(p), u.T @ _sigmoid(zu) / len(u) - prior * (p.T @ _sigmoid(zp)) / len(p)
+
+
 def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.03, penalty: float = 1e-4) -> Model:
     """Minimises the non-negative PU risk by Adam over whole batches, from zero weights: no randomness."""
     both = np.concatenate([positive, unlabelled])
@@ -83,17 +92,31 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: in
     m, v = np.zeros_like(w), np.zeros_like(w)
     p, u = (np.concatenate([x, np.ones((len(x), 1))], 1) for x in (p, u))
     for i in range(1, steps + 1):
-        zp, zu = p @ w, u @ w
-        up = -(p.T @ (1 - _sigmoid(zp))) / len(p)  # gradient of R+(P)
-        down = u.T @ _sigmoid(zu) / len(u) - prior * (p.T @ _sigmoid(zp)) / len(p)  # of R-(U) - prior R-(P)
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g = prior * up + down if negative >= 0 else -down
+        _, down, g_up, g_down = pu_risk(w, p, u, prior)
+        g = g_up + g_down if down >= 0 else -g_down
         g = g + penalty * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
     return Model(mean, scale, w[:-1], float(w[-1]))
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, sure: float = 0.1) -> float:
+    """The share of positives among the unlabelled: the least U(A) / P(A) over the sets A above a score, each ratio taken with its margin of error.
+
+    The scores are of a classifier of positives against unlabelled, fitted on every other row; the other
+    rows are counted.  Between 0.02 and 0.98.
+    """
+    if min(len(positive), len(unlabelled)) < 4:
+        return 0.5
+    first = fit_pu(positive[::2], unlabelled[::2], 0.5, steps=300)
+    p, u = np.sort(first.score(positive[1::2])), np.sort(first.score(unlabelled[1::2]))
+    at = p  # every set ends at a positive
+    in_p, in_u = 1 - np.searchsorted(p, at) / len(p), 1 - np.searchsorted(u, at) / len(u)
+    margin = (np.sqrt(np.log(4 / sure) / 2 / len(p)) + np.sqrt(np.log(4 / sure) / 2 / len(u))) / in_p
+    best = int(np.argmin(in_u / in_p + margin))
+    return float(np.clip(in_u[best] / in_p[best], 0.02, 0.98))
+
+
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for s in slices(batch.column("text")):
@@ -102,16 +125,15 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, sample_rows: int = 12_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model | None:
-    """A model from labels outside the held-out fold (crc32 of the id as text, modulo folds, is `held`); None if no positive is left.
+    """A model from labels outside the held-out fold (crc32 of the id as text, modulo folds, is `held`); None if no positive or no other text is left.
 
     At most about sample_rows positives and as many unlabelled texts are used, taken by hash of the id.
     """
     fold = F.crc32(F.col(id_col).cast("string")) % folds != held
     known = stage(labels.where(F.col(id_col).isNotNull() & fold & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y")), "labels")
-    n, good = known.agg(F.count("*"), F.sum((F.col("y") == 1).cast("long"))).first()
+    good = known.where("y = 1").count()
     if not good:
         return None
-    prior = min(max(good / n, 0.02), 0.98)
     slot = F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
     text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n_docs = docs.count()
@@ -120,13 +142,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int =
     plain = text.where(slot < min(1.0, sample_rows / max(n_docs, 1))).select(F.lit(False).alias("trusted"), "text")
     trusted = small_or_join(text, positives, "id", "inner", 16, 2 * sample_rows).select("trusted", "text")
     rows = plain.unionByName(trusted).mapInArrow(_featured, "trusted boolean, x array<double>").toPandas()
+    if not len(rows):
+        return None
     x = np.stack(rows["x"].to_numpy())
     flag = rows["trusted"].to_numpy(bool)
     if not flag.any() or flag.all():
         return None
     order = np.lexsort(x.T[::-1])  # the order of rows in a collected result may vary
     x, flag = x[order], flag[order]
-    return fit_pu(x[flag], x[~flag], prior)
+    return fit_pu(x[flag], x[~flag], class_prior(x[flag], x[~flag]))
 
 
 def score_quality(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
