@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.shared import components, small_or_join, stage
+from casemill.llm.shared import components, hot_join, small_or_join, stage
 
 WIDTH = 1.5
 
@@ -151,8 +151,11 @@ def near_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     least = lows.groupBy("component").agg(F.min("low").alias("component_low"))
     linked = found.groupBy("node").agg(F.sum("n").alias("n"))
     facts = classes.select("node", "size", "low").join(linked, "node", "left").join(groups.withColumnRenamed("id", "node"), "node", "left").join(least, "component", "left")
-    facts = facts.select("node", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n"), F.coalesce("component_low", "low").alias("component"))
-    out = own.select("id", "node").join(facts, "node", "left")
+    facts = facts.select("node", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n"), F.coalesce("component_low", "low").alias("component"), "size")
+    facts = stage(facts, "facts", found, groups, rows, counts, classes)
+    # rows without a good vector have no node: they stay where they are
+    alone = own.where("node is null").select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("component"))
+    out = hot_join(own.where("node is not null").select("id", "node"), facts, "node", "size", row_bytes=96).select("id", "n", "component").unionByName(alone)
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
