@@ -11,7 +11,8 @@ words and one end; the end also stands before the first word.
 
 Counting is packed: a task counts the keys of some million tokens with numpy and sends one row per
 bucket; a bucket's task adds up what it got.  The model is broadcast if its measured size is within
-`limit`; beyond it, tokens are joined with the counts by shuffle, without a filter.
+`limit`; beyond it, bigrams go by shuffle to their segment of the filter and are probed there, and words
+meet their counts.  Filter, probes and scores are the same both ways.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casemill.llm.arrays import Slice, U, by_bucket, mix, slices, tokens
-from casemill.llm.shared import buckets_for, stage
+from casemill.llm.shared import buckets_for, hot_join, stage
 
 LIMIT = 160 << 20
-FLUSH = 800_000
+FLUSH = 400_000
 #: Bytes of text that are scored at once.
-SCORE_BYTES = 1 << 20
+SCORE_BYTES = 512 << 10
 END = U(0x5BF0A8B1457695D5)
 FILTER_BITS, FILTER_PROBES = 9, 5
 LEVELS = 40
@@ -241,7 +242,7 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
     kinds = dict(docs.dtypes)
     layout = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_tokens long, n_known long, train_tokens long, base_score double, score double"
     if size + 16 * distinct > limit:
-        return _joined(own, keep, words, bigrams, total, norm)
+        return _joined(own, keep, words, segments, total, norm)
     table, counts = Words(distinct), LogFrequencyFilter(buckets_for(spark), size)
     for r in words.orderBy("bucket").select("keys", "counts", "followers").toLocalIterator():
         table.put(bytes(r[0]), bytes(r[1]), bytes(r[2]))
@@ -273,8 +274,8 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
     return own.mapInArrow(scored, layout)
 
 
-def _joined(own: DataFrame, keep: list[str], words: DataFrame, bigrams: DataFrame, total: int, norm: float) -> DataFrame:
-    """The same scores by joins of tokens with counts; quantised alike, without false hits."""
+def _joined(own: DataFrame, keep: list[str], words: DataFrame, segments: DataFrame, total: int, norm: float) -> DataFrame:
+    """The same scores where the model is not broadcast: tokens are joined with the words' counts and with the levels that the filter's segments give their bigrams."""
     own = stage(own.select(F.monotonically_increasing_id().alias("__row"), *keep, "__text"), "texts")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,24 +285,42 @@ def _joined(own: DataFrame, keep: list[str], words: DataFrame, bigrams: DataFram
                 rows = np.repeat(batch.column("__row").to_numpy()[s.row0 : s.row1], np.diff(first))
                 yield pa.RecordBatch.from_arrays([pa.array(rows), *(pa.array(x.astype(np.int64)) for x in (seq, before, _bigram(before, seq)))], ["__row", "w", "v", "vw"])
 
-    def unpacked(quantised: bool):
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for r in batch.to_pylist():
-                    keys, n = np.frombuffer(r["keys"], "<u8").astype(np.int64), np.frombuffer(r["counts"], "<u8").astype(float)
-                    t = np.frombuffer(r["followers"], "<u4").astype(float) if "followers" in r else np.zeros(len(n))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(level_value(levels(n)) if quantised else n), pa.array(t)], ["k", "n", "t"])
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                keys, n = np.frombuffer(r["keys"], "<u8").astype(np.int64), np.frombuffer(r["counts"], "<u8").astype(float)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(np.frombuffer(r["followers"], "<u4").astype(float))], ["k", "n", "t"])
 
-        return each
+    buckets = buckets_for(own.sparkSession)
+
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters: dict[int, LogFrequencyFilter] = {}
+        for batch in batches:
+            data, bucket = batch.column("data"), batch.column("bucket").to_numpy()
+            for i in np.flatnonzero(data.is_valid().to_numpy(zero_copy_only=False)):
+                f = filters[int(bucket[i])] = LogFrequencyFilter(buckets, len(data[int(i)].as_py()))
+                f.put(int(bucket[i]), batch.column("bits")[int(i)].as_py(), data[int(i)].as_py())
+            ask = np.flatnonzero(data.is_null().to_numpy(zero_copy_only=False))
+            keys = batch.column("vw").take(pa.array(ask)).to_numpy().view(U) if len(ask) else np.zeros(0, U)
+            for b in np.unique(bucket[ask]):
+                own_keys = keys[bucket[ask] == b]
+                level = filters[int(b)].level(own_keys) if int(b) in filters else np.zeros(len(own_keys), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own_keys.astype(np.int64)), pa.array(level_value(level))], ["vw", "c"])
 
     toks = own.select("__row", "__text").mapInArrow(spread, "__row long, w long, v long, vw long")
     # equal triples of a text are sent once
     toks = toks.groupBy("__row", "w", "v", "vw").agg(F.count("*").alias("times"))
-    known = stage(words.mapInArrow(unpacked(False), "k long, n double, t double"), "words")
-    pairs = bigrams.mapInArrow(unpacked(True), "k long, n double, t double")
-    x = toks.join(known.select(F.col("k").alias("w"), F.col("n").alias("nw")), "w", "left")
-    x = x.join(known.select(F.col("k").alias("v"), F.col("n").alias("nv"), F.col("t").alias("tv")), "v", "left")
-    x = x.join(pairs.select(F.col("k").alias("vw"), F.col("n").alias("c")), "vw", "left").na.fill(0.0, ["nw", "nv", "tv", "c"])
+    toks = stage(toks, "tokens")
+    known = stage(words.mapInArrow(unpacked, "k long, n double, t double"), "words")
+    bits = buckets.bit_length() - 1
+    asked = toks.select("vw").distinct().select(F.shiftrightunsigned("vw", 64 - bits).cast("int").alias("bucket"), "vw", F.lit(None).cast("long").alias("bits"), F.lit(None).cast("binary").alias("data"))
+    asked = asked.unionByName(segments.select("bucket", F.lit(None).cast("long").alias("vw"), "bits", "data"))
+    # a partition's segments come first, then what is asked of them
+    pairs = asked.repartition("bucket").sortWithinPartitions(F.col("vw").asc_nulls_first()).mapInArrow(probed, "vw long, c double")
+    # a word's count is about the number of rows that ask for it
+    x = hot_join(toks, known.select(F.col("k").alias("w"), F.col("n").alias("nw")), "w", "nw", "left")
+    x = hot_join(x, known.select(F.col("k").alias("v"), F.col("n").alias("nv"), F.col("t").alias("tv")), "v", "nv", "left")
+    x = x.join(pairs, "vw", "left").na.fill(0.0, ["nw", "nv", "tv", "c"])
     base = F.log10(F.col("nw") + 0.5) - norm
     c = F.least("c", "nv", "nw")
     p = F.when(F.col("nv") + F.col("tv") > 0, (c + F.col("tv") * F.pow(F.lit(10.0), base)) / (F.col("nv") + F.col("tv"))).otherwise(F.pow(F.lit(10.0), base))
