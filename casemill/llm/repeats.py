@@ -24,7 +24,7 @@ from casemill.llm.arrays import Slice, U, by_bucket, mix, pack, slices, unpack
 from casemill.llm.shared import BROADCAST_BYTES, buckets_for, stage
 
 #: Places gathered in a task before they are sorted and sent.
-FLUSH = 1_500_000
+FLUSH = 500_000
 FILTER_BITS, FILTER_PROBES = 20, 7
 Emit = Callable[[Slice, "dict[str, list] | None"], tuple[np.ndarray, ...]]
 
@@ -158,7 +158,7 @@ def repeated_places(docs: DataFrame, emit: Emit, firsts: bool = False) -> DataFr
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            doc, pos, h, size, ask = (np.concatenate(x) for x in zip(*held))
+            doc, pos, h, size, ask, index = (np.concatenate(x) for x in zip(*held))
             # places that follow each other in one document are told as a run
             first = np.ones(len(doc), bool)
             first[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1) | (size[1:] > 1) | (size[:-1] > 1)
@@ -166,17 +166,17 @@ def repeated_places(docs: DataFrame, emit: Emit, firsts: bool = False) -> DataFr
             table = np.concatenate([doc[at], pos[at], np.diff(np.append(at, len(doc))), size[at]]).astype("<u4").tobytes()
             uid = md5(b"".join(keys) + table).digest()
             order, cut = by_bucket(h, buckets)
-            rows = [(uid, -1, None, table, list(keys))]
+            rows = [(uid, -1, None, table, list(keys), None)]
             for b in range(buckets):
                 own = order[cut[b] : cut[b + 1]]
                 own = np.concatenate([own[ask[own]], own[~ask[own]]])
                 wide = np.ascontiguousarray(h[own].astype(">u8")).view(np.uint8).reshape(-1, 8)[:, skip:]
-                rows.append((uid, b, np.ascontiguousarray(wide).tobytes(), own[ask[own]].astype("<u4").tobytes(), None))
+                rows.append((uid, b, np.ascontiguousarray(wide).tobytes(), own[ask[own]].astype("<u4").tobytes(), None, None if index.all() else np.packbits(index[own]).tobytes()))
             held.clear()
             keys.clear()
             for i in range(0, len(rows), 64):
-                u, b, d, own, k = zip(*rows[i : i + 64])
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(b, pa.int32()), pa.array(d, pa.binary()), pa.array(own, pa.binary()), pa.array(k, pa.list_(pa.binary()))], ["uid", "bucket", "hashes", "places", "keys"])
+                u, b, d, own, k, x = zip(*rows[i : i + 64])
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(b, pa.int32()), pa.array(d, pa.binary()), pa.array(own, pa.binary()), pa.array(k, pa.list_(pa.binary())), pa.array(x, pa.binary())], ["uid", "bucket", "hashes", "places", "keys", "index"])
 
         for batch in batches:
             key = batch.column("key")
@@ -185,7 +185,7 @@ def repeated_places(docs: DataFrame, emit: Emit, firsts: bool = False) -> DataFr
                 doc, pos, h, *more = emit(s, told)
                 if len(h):
                     own, doc = np.unique(doc, return_inverse=True)
-                    held.append((doc + len(keys), pos, h, more[0] if more else np.ones(len(h), np.int64), more[1] if more[1:] else np.ones(len(h), bool)))
+                    held.append((doc + len(keys), pos, h, more[0] if more else np.ones(len(h), np.int64), more[1] if more[1:] else np.ones(len(h), bool), more[2] if more[2:] else np.ones(len(h), bool)))
                     keys.extend(key[s.row0 + int(i)].as_py() for i in own)
                 if sum(len(x[2]) for x in held) >= FLUSH:
                     yield from flush()
@@ -216,6 +216,11 @@ def repeated_places(docs: DataFrame, emit: Emit, firsts: bool = False) -> DataFr
             twice = np.zeros(len(h), bool)
             twice[order[1:][same]] = True
             twice[order[:-1][same]] = True
+            if any(r["index"] is not None for r in sent):
+                index = np.concatenate([np.unpackbits(np.frombuffer(r["index"], np.uint8), count=len(r["hashes"]) // (8 - skip)).astype(bool) if r["index"] is not None else np.ones(len(r["hashes"]) // (8 - skip), bool) for r in sent])
+                cut = np.flatnonzero(np.concatenate([[True], ~same]))
+                some = np.logical_or.reduceat(index[order], cut)
+                twice[order] &= np.repeat(some, np.diff(np.append(cut, len(h))))
             later = np.zeros(len(h), np.uint32)
             later[order[1:][same]] = 1
             at, rows = 0, []
@@ -254,7 +259,7 @@ def repeated_places(docs: DataFrame, emit: Emit, firsts: bool = False) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array([keys[d] for d in has], pa.binary()), *cols], ["key", *runs_of])
 
     runs_of = ["starts", "ends", "first_starts", "first_ends"][: 4 if firsts else 2]
-    packed = docs.mapInArrow(send, "uid binary, bucket int, hashes binary, places binary, keys array<binary>")
+    packed = docs.mapInArrow(send, "uid binary, bucket int, hashes binary, places binary, keys array<binary>, index binary")
     # documents' tables go with their block, bucket -1, wherever its hash leads
     spread = F.when(F.col("bucket") < 0, F.hash("uid")).otherwise(F.col("bucket"))
     answered = packed.repartition(spread).mapInArrow(answer, "uid binary, places binary, answer binary, keys array<binary>")

@@ -10,7 +10,7 @@ equal windows each holds a block that the other meets when rolling.
 3. Extend: windows that hold an anchor are compared over their whole length, each with its neighbours
    in hash order; runs of windows that come twice or more are the maximal exact repeats.
 
-Beyond the size limit the rolling runs themselves are exchanged with their positions.
+Beyond the size limit blocks and rolling runs are exchanged by hash: anchors are the runs that meet a block.
 """
 
 from __future__ import annotations
@@ -79,7 +79,12 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             return _around(t, hashes, at[anchors.value.has(h)], window, block)
 
     else:
-        texts = hinted(texts, stage(repeated_places(texts, rolling), "anchors"), "anchor", "inner", limit)
+
+        def exchanged(s: Slice, _: object) -> tuple[np.ndarray, ...]:
+            doc, place, h = rolling(s, None)
+            return doc, place, h, np.ones(len(h), np.int64), np.ones(len(h), bool), place % block == 0
+
+        texts = hinted(texts, stage(repeated_places(texts, exchanged), "anchors"), "anchor", "inner", limit)
 
         def extended(s: Slice, hint: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             t = tokens(s)

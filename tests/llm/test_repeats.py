@@ -72,6 +72,41 @@ def test_tokens():
     assert len({int(h) for h in t.hashes()}) == len(t.start)
 
 
+def regular(n, swapped=False):
+    """The Thue-Morse order of two letters, which sums of powers modulo 2**64 cannot tell from its swap."""
+    return ["ab"[(i.bit_count() + swapped) % 2] for i in range(n)]
+
+
+def test_hashes_tell_regular_texts_apart():
+    one, other = regular(2048), regular(2048, True)
+    for sep in ("", " "):
+        text = sep.join(one) + "\n" + sep.join(other)
+        s = next(arrays.slices(pa.array([text])))
+        t = arrays.tokens(s)
+        h = t.hashes()
+        for k in (1, 3, 5, 18, 35, 1024, 2048):
+            if k <= len(h):
+                want = {tuple(text.split()[i : i + k]) for i in range(len(h) - k + 1)}
+                assert len({*arrays.window_hash(h, k).tolist()}) == len(want)
+        for k in (1, 7, 8, 9, 68, 200, 2048):
+            want = {text[i : i + k] for i in range(len(text) - k + 1)}
+            at = np.arange(len(text) - k + 1)
+            assert len({*arrays.byte_hashes(s.data, k).tolist()}) == len({*arrays.sampled_hashes(s.data, at, k).tolist()}) == len(want)
+    h = np.random.RandomState(1).randint(0, 1 << 62, 500).astype(np.uint64)
+    at = np.arange(400)
+    for k in (1, 2, 3, 64, 100):
+        assert (arrays.span_hash(h, at, at + k) == arrays.window_hash(h, k)[at]).all()
+
+
+def test_regular_texts_are_no_repeats(spark):
+    rows = [(1, " ".join(regular(1024)[:40])), (2, " ".join(regular(1024, True)[:40])), (3, "x " * 30), (4, "".join(regular(256))), (5, "".join(regular(256, True)))]
+    df = spark.createDataFrame([(*r, None, None) for r in rows], SCHEMA)
+    got = sorted(tuple(r) for r in dedup_words(df).select("n_words", "n_removed", "kept_sha256").collect())
+    assert got == sorted(brute_words([r[1] for r in rows], 35))
+    got = sorted(tuple(r) for r in dedup_bytes(df).select("n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
+    assert got == sorted(brute_bytes([r[1] for r in rows], 200))
+
+
 @pytest.mark.parametrize("limit", [1 << 26, -1])
 def test_bytes(spark, limit):
     rows = corpus()
