@@ -12,6 +12,7 @@ could make equal.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _BASE, _LEFT, _RIGHT = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93), U(0xC2B2AE3D27D4EB4F)
 #: Longer words are hashed whole, one by one.
 LONG_WORD = 64
@@ -30,6 +31,19 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
+def _give_back() -> None:
+    """Lets glibc return large freed arrays to the machine at once: a worker process lives on after its task, and would keep the most it ever held."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 256 << 10)  # arrays from this size on have pages of their own
+        libc.mallopt(-1, 256 << 10)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+_give_back()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit changes every output bit."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -89,11 +103,12 @@ class Slice:
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
-    texts = texts.cast(pa.large_string()).fill_null("")
+    texts = texts.fill_null("") if texts.null_count else texts
     n = len(texts)
     if not n:
         return
-    off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    off = np.frombuffer(texts.buffers()[1], wide)[texts.offset : texts.offset + n + 1].astype(np.int64)
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     row = 0

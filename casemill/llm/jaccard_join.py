@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from casemill.llm.arrays import Slice, U, groups_of, slices, span_hash, tokens, words_window
 from casemill.llm.repeats import broadcast_filter, filter_rows, repeated_places
-from casemill.llm.shared import BROADCAST_BYTES, components, discard, hot_join, small_or_join, stage
+from casemill.llm.shared import BROADCAST_BYTES, components, discard, hot_join, small_or_join, stage, unique_ids
 
 #: Points times shingles of a cluster that one task takes.
 CLUSTER_WORK = 1_000_000_000
@@ -43,7 +43,7 @@ HELD = 8
 #: Rounds of regions that Spark deals, before blocks.
 ROUNDS = 3
 #: Cells, as bits, of the counts by which shingles are ordered; any counts give exact results.
-CELL_BITS = 23
+CELL_BITS = 22
 
 
 def shingles(s: Slice, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -340,7 +340,7 @@ def _links(clusters: DataFrame, sets: DataFrame, least: int, of: int) -> DataFra
     return stage(out, "links", *found)
 
 
-def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: int = 80, of: int = 100, limit: int = BROADCAST_BYTES) -> DataFrame:
+def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: int = 80, of: int = 100, limit: int = BROADCAST_BYTES, unique: bool = False) -> DataFrame:
     """One row per distinct id: id, n_shingles, component_id.
 
     A-Z count as a-z; words are runs of characters other than space and \\x09-\\x0D.  A set is the
@@ -349,15 +349,12 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     component_id is the smallest id reachable by links, the own one included.  Ids are integers; rows
     with a null id are left out; rows that repeat an id are one document, the one with the greatest
     text.  Null texts are empty.  Extra columns are ignored.  An empty table gives an empty table.
+    unique: no id is null or repeated, as the caller knows.
     Shingles are compared by 64-bit hashes, two documents at a time, equal sets by 128 bits.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-    repeated = stage(own.select("id").groupBy("id").count().where("count > 1").select("id"), "repeated")
-    n_repeated = repeated.count()
-    if n_repeated:
-        single = small_or_join(own, repeated, "id", "left_anti", 16, n_repeated)
-        own = single.unionByName(small_or_join(own, repeated, "id", "left_semi", 16, n_repeated).groupBy("id").agg(F.max("text").alias("text")))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if not unique:
+        own = unique_ids(own, "id", "text")
     # of equal texts the one with the smallest id goes on
     own = own.withColumn("key", F.unhex(F.md5("text")))
     copies = stage(own.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "copies")
@@ -391,7 +388,9 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     many = hot_join(named, reps, "id", "copies").select(F.col("copy").alias("id"), "n", F.when(F.col("n") > 0, F.col("c")).otherwise(F.col("copy")).alias("c"))
     out = small_or_join(one, same.select("id"), "id", "left_anti", 16, same.count()).unionByName(many)
     out = stage(out, "linked", one, same, copies, reps)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
+    named = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
+    named.staged_at = out.staged_at
+    return named
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
