@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of documents; the last
 one adds `copies`.  run() writes each stage to the shared folder and reads it again.
+
+What holds for every stage: rows, not ids, are documents.  Rows with null ids and rows that repeat an id
+are decided each on its own; where order or one of a group counts, rows go by id, null last.  Null and
+empty texts are texts without words.  Extra columns are dropped.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from casemill.llm.jaccard_join import link_documents
 from casemill.llm.line_dedup import dedup_lines
 from casemill.llm.mixing import mix_sources
 from casemill.llm.quality import fit_quality, score_quality
-from casemill.llm.shared import small_or_join, stage
+from casemill.llm.shared import discard, keyed, small_or_join, stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: No SQL states the fitted classifier, the latent search or the pivotal draws; the tests hold the stages against brute force.
@@ -22,39 +26,43 @@ ORACLE_SQL = None
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores 0.5 or more."""
+    """Documents that the classifier scores 0.5 or more; all of them where there is no label to learn from."""
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score_quality(docs.select(*COLUMNS), model, keep=COLUMNS).where("score >= 0.5").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later copies of line runs; a document of which nothing is left goes."""
-    cut = stage(dedup_lines(docs).where("n_removed > 0").select("doc_id", "kept"), "cut")
+    """Texts without later copies of line runs; a document of which nothing is left goes.  Repeated rows are copies: the first stays.  Null and blank texts stay as they are."""
+    rows = keyed(docs.select(*COLUMNS), "doc_id")
+    cut = stage(dedup_lines(rows, id_col="__row", unique=True).where("n_removed > 0").select("__row", "kept"), "cut")
     size = cut.agg(F.sum(16 + F.length("kept"))).first()[0] or 0
-    changed = small_or_join(docs.select(*COLUMNS), cut, "doc_id", "left", 1, size)
+    changed = small_or_join(rows, cut, "__row", "left", 1, size)
     text = F.coalesce("kept", "text")
     n_chars = F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept")).cast(dict(docs.dtypes)["n_chars"])
     return changed.where("kept is null or length(trim(kept)) > 0").select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group linked by five-word shingles at 0.8 or more."""
-    linked = link_documents(docs, words=5, least=80)
-    gone = stage(linked.where("doc_id <> component_id").select("doc_id"), "near")
-    return small_or_join(docs.select(*COLUMNS), gone, "doc_id", "left_anti", 16, gone.count()).select(*COLUMNS)
+    """The first document of each group linked by five-word shingles at 0.8 or more; repeated rows are a group.  Texts without words all stay."""
+    rows = keyed(docs.select(*COLUMNS), "doc_id")
+    linked = link_documents(rows, id_col="__row", words=5, least=80, unique=True)
+    gone = stage(linked.where("__row <> component_id").select("__row"), "near", linked)
+    return small_or_join(rows, gone, "__row", "left_anti", 16, gone.count()).select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
-    leaks = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
-    gone = stage(leaks.select("doc_id").distinct(), "leaks")
-    return small_or_join(docs.select(*COLUMNS), gone, "doc_id", "left_anti", 16, gone.count()).select(*COLUMNS)
+    rows = keyed(docs.select(*COLUMNS), "doc_id")
+    leaks = find_leaks(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"), id_col="__row")
+    gone = stage(leaks.select("__row").distinct(), "leaks")
+    return small_or_join(rows, gone, "__row", "left_anti", 16, gone.count()).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with the number of copies of each."""
-    drawn = stage(mix_sources(docs).where("copies > 0").select("doc_id", "copies"), "drawn")
-    return small_or_join(docs.select(*COLUMNS), drawn, "doc_id", "inner", 16, drawn.count()).select(*COLUMNS, "copies")
+    """Documents that the mix takes, with the number of copies of each; documents without words are not taken."""
+    rows = keyed(docs.select(*COLUMNS), "doc_id")
+    drawn = stage(mix_sources(rows, id_col="__row").where("copies > 0").select("__row", "copies"), "drawn")
+    return small_or_join(rows, drawn, "__row", "inner", 16, drawn.count()).select(*COLUMNS, "copies")
 
 
 STAGES = [
@@ -69,5 +77,6 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)
     return docs
