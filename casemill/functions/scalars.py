@@ -22,12 +22,18 @@ CAUSES = {
     "TECHNICAL_READ_FAILURE": "Fallo técnico de lectura",
     "OTHER_CAUSE": "Otra causa de rechazo",
     "FORMAT_MISMATCH": "El formato detectado no coincide con la extensión declarada",
+    "ARCHIVE_LIMIT_EXCEEDED": "El contenedor supera los límites de tamaño o entradas",
+    "ARCHIVE_COMPRESSION_RATIO_EXCEEDED": "El contenedor supera el límite de compresión",
+    "CORRUPT_ARCHIVE": "El contenedor está corrupto o no puede leerse",
     "BINARY_CONTENT": "El archivo tabular contiene datos binarios",
     "UNSUPPORTED_ENCODING": "La codificación del archivo no está admitida",
     "UNDETERMINABLE_STRUCTURE": "No puede determinarse una estructura tabular consistente",
     "AMBIGUOUS_DELIMITER": "El separador de campos es ambiguo",
+    "PROTECTED_PDF": "El PDF está protegido y no puede leerse",
+    "CORRUPT_PDF": "La estructura del PDF está corrupta",
     "UNSUPPORTED_FORMAT": "El contenido no corresponde a un formato admitido",
     "TABULAR_LIMIT_EXCEEDED": "El contenido tabular supera los límites de filas, columnas o celdas",
+    "PROTECTED_DOCUMENT": "El documento está protegido y no puede extraerse",
     "EMPTY_DOCUMENT": "El documento no contiene contenido extraíble",
     "TECHNICAL_FAILURE": "Fallo técnico de procesamiento",
 }

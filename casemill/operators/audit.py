@@ -47,6 +47,15 @@ def stale_runs(dispatch: DataFrame, now: Column, seconds: int) -> DataFrame:
     return dispatch.where((F.col("state") == "IN_PROGRESS") & (F.col("heartbeat").cast("long") < now.cast("long") - seconds))
 
 
+def job_ledger(entries: DataFrame) -> DataFrame:
+    """Jobs as they stand, from appended entries (job_id, seq, state, at …): the last entry's columns, when the job was created, and when it ended, if it has."""
+    ended = F.col("state").isin("COMPLETED", "FAILED", "NO_RELEVANT_WORK")
+    rest = [c for c in entries.columns if c not in ("job_id", "seq", "at")]
+    x = entries.groupBy("job_id").agg(F.max_by(F.struct(*rest, "at"), F.struct("seq", "at")).alias("last"), F.min("at").alias("created_at"), F.count("*").alias("entries"))
+    x = x.select("job_id", *[F.col(f"last.{c}").alias(c) for c in rest], "created_at", F.col("last.at").alias("at"), "entries")
+    return x.withColumn("completed_at", F.when(ended, F.col("at"))).drop("at")
+
+
 def check_run_binding(jobs: DataFrame, snapshots: DataFrame, runs: DataFrame) -> DataFrame:
     """(job_id, problem): jobs whose frozen rows point to no run, to several, or to one of another parent."""
     own = snapshots.join(runs.select("run_id", F.col("parent").alias("run_parent")), "run_id").groupBy("job_id").agg(F.countDistinct("run_id").alias("n"), F.min("run_parent").alias("p"))

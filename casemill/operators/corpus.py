@@ -10,12 +10,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casemill.functions.ids import text_sha256
-from casemill.functions.scalars import lexemes
+from casemill.functions.ids import text_sha256, uuid5
+from casemill.functions.scalars import lexemes, valid_vector
 
 SIZE, OVERLAP = 512, 50
 #: Fixed value: lines that open a section, an article or a clause.
 HEADING = re.compile(r"(?im)^(?:secci[oó]n|art[ií]culo|cl[aá]usula)\b[^\r\n]*")
+#: The same where a word begins, indented or not: a chunk may end before it.
+OPENING = re.compile(HEADING.pattern.replace("^", "", 1))
+#: The namespace and the name of chunk ids.
+CHUNK_IDS, CHUNK_NAME = "6ba7b811-9dad-11d1-80b4-00c04fd430c8", "riesgo-legal:RAG_INDEX_FRAGMENT:v1:bge-m3:d1024:c512:o50:lex-nfkc-casefold-alnum-v1"
 
 
 def chunk_fixed(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -38,10 +42,9 @@ def token_offsets(text: str) -> list[tuple[int, int]]:
 def structural_bounds(text: str, offsets: list[tuple[int, int]], size: int, overlap: int) -> list[tuple[int, int]]:
     """Token ranges of chunks.  A full window ends at its last heading, else blank line, else sentence end, never under overlap + 1 tokens; the next one starts `overlap` tokens before."""
     n = len(offsets)
-    heads = {m.start() for m in HEADING.finditer(text)}
     gaps = [(e, text[offsets[e - 1][1] : offsets[e][0]]) for e in range(1, n)]
     ends = [
-        [e for e, gap in gaps if "\n" in gap and offsets[e][0] in heads],
+        [e for e, gap in gaps if "\n" in gap and OPENING.match(text, offsets[e][0])],
         [e for e, gap in gaps if "\n\n" in gap],
         [e for e in range(1, n + 1) if text[offsets[e - 1][1] - 1] in ".?!"],
     ]
@@ -87,6 +90,43 @@ def chunk_structural(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP)
     return docs.select("doc_id", "text").mapInPandas(cut, f"doc_id {kind}, ordinal int, token_count int, section string, clause string, content string")
 
 
+def structural_metadata(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, section, clause) of every heading line; clauses are those that begin with the accented word."""
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(d, m.start(), m.group(0).strip()) for d, t in zip(f["doc_id"], f["text"]) for m in HEADING.finditer(t or "")]
+            clause = [r[2].casefold().startswith("cláusula") for r in rows]
+            yield pd.DataFrame([(d, s, None if c else h, h if c else None) for (d, s, h), c in zip(rows, clause)], columns=["doc_id", "start", "section", "clause"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "text").mapInPandas(each, f"doc_id {kind}, start int, section string, clause string")
+
+
+def with_token_offsets(docs: DataFrame) -> DataFrame:
+    """docs with `offsets`: start and end of every word of the text."""
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(offsets=[[{"start": a, "end": b} for a, b in token_offsets(t or "")] for t in f["text"]])
+
+    layout = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes) + ", offsets array<struct<start:int,end:int>>"
+    return docs.mapInPandas(each, layout)
+
+
+def build_index(versions: DataFrame, vectors: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chunks, terms, certificates) of versions (doc_id, version_id, text): structural chunks with ids from version and place, their vectors (doc_id, ordinal, embedding), lexemes, and what vouches for them.
+
+    A vector that is missing or not valid leaves its chunk without one; the certificate tells.
+    """
+    x = chunk_structural(versions).join(versions.select("doc_id", "version_id"), "doc_id")
+    name = F.concat_ws(":", F.lit(CHUNK_NAME), F.lower("version_id"), F.col("ordinal").cast("string"))
+    good = vectors.where(valid_vector(F.col("embedding"), width)).select("doc_id", "ordinal", "embedding")
+    chunks = x.withColumn("chunk_id", uuid5(CHUNK_IDS, name)).join(good, ["doc_id", "ordinal"], "left").withColumn("embedded", F.col("embedding").isNotNull())
+    terms = term_index(chunks)
+    return chunks, terms, build_certificates(chunks, terms, versions)
+
+
 def page_range(start: Column, end: Column, pages: Column) -> Column:
     """(first, last) page of an array of (page, start, end) that a character span touches; nulls for none."""
     hit = F.filter(pages, lambda p: (p["start"] < end) & (p["end"] > start))

@@ -45,6 +45,20 @@ def latest_ocr(versions: DataFrame, runs: DataFrame) -> DataFrame:
     return versions.join(last, "version_id", "left").withColumn("state", ocr_state(F.col("confidence")))
 
 
+def load_candidates(candidates: DataFrame, pages: DataFrame) -> DataFrame:
+    """Candidates (doc_id, state, text) with their pages (page, native_text, requires_ocr) in order; an empty list without any."""
+    own = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "native_text", "requires_ocr"))).alias("pages"))
+    none = F.array().cast("array<struct<page:int,native_text:string,requires_ocr:boolean>>")
+    return candidates.join(own, "doc_id", "left").withColumn("pages", F.coalesce("pages", none))
+
+
+def ocr_results(versions: DataFrame, runs: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Versions (version_id, operation_id …) with their latest run's state, pending without one, and the recalculation jobs (job_id, state) of the same operation."""
+    last = latest_per_key(runs, ["version_id"], F.desc("processed_at"), F.desc("run_id")).select("version_id", ocr_state(F.col("confidence")).alias("ocr_state"))
+    own = jobs.where("case_type = 'KPI_RECALCULATION'").select("operation_id", F.col("job_id").alias("kpi_job_id"), F.col("state").alias("kpi_job_state"))
+    return versions.join(last, "version_id", "left").join(own, "operation_id", "left").withColumn("ocr_state", F.coalesce("ocr_state", F.lit("Pendiente")))
+
+
 def ocr_confidence(samples: DataFrame) -> DataFrame:
     """(run_id, confidence): the mean of the samples between 0 and 1; null without any."""
     return samples.groupBy("run_id").agg(F.avg(F.when(F.col("sample").between(0, 1), F.col("sample"))).alias("confidence"))

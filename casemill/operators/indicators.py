@@ -50,6 +50,19 @@ def kpi_rc03(contracts: DataFrame, requests: DataFrame) -> DataFrame:
     return _result(hit.groupBy(*KEY).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")), "KPI-RC-03", F.col("n"))
 
 
+def kpi_contracts(contracts: DataFrame, requests: DataFrame) -> DataFrame:
+    """KPI-RC-01 and KPI-RC-03 from one reading: contracts become a row a signature month and a row an expiry day before they meet the requests."""
+    signed = F.when(F.col("fecha_firma").isNotNull(), F.struct(F.lit("KPI-RC-01").alias("code"), F.trunc("fecha_firma", "month").alias("day"), F.datediff("fecha_firma", "fecha_solicitud").alias("days")))
+    due = F.when(F.col("estado_revision") == "No iniciado", F.struct(F.lit("KPI-RC-03").alias("code"), F.col("fecha_vencimiento").alias("day"), F.lit(0).alias("days")))
+    facts = contracts.select(F.explode(F.filter(F.array(signed, due), lambda f: f.isNotNull())).alias("f")).groupBy("f.code", "f.day").agg(F.sum("f.days").alias("days"), F.count("*").alias("n"))
+    every = _few(requests.select(*KEY, F.explode(F.array(F.lit("KPI-RC-01"), F.lit("KPI-RC-03"))).alias("c")))
+    cycle = F.col("c") == "KPI-RC-01"
+    near = F.when(cycle, F.col("day") == F.col("period_start")).otherwise((F.col("day") >= F.col("as_of")) & (F.col("day") <= F.date_add("as_of", 60)))
+    x = every.join(facts, (F.col("c") == F.col("code")) & near, "left").groupBy(*KEY, "c").agg(F.sum("days").alias("days"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    value = F.when(cycle, F.when(F.col("n") > 0, F.col("days").cast("decimal(20,6)") / F.col("n").cast("decimal(20,0)")).cast("decimal(38,10)")).otherwise(F.col("n").cast("decimal(38,10)"))
+    return x.select(F.col("c").alias("code"), *KEY, F.lit("{}").alias("dims"), value.alias("value"), F.when(value.isNull(), "NO_DISPONIBLE").otherwise("DISPONIBLE").alias("availability"))
+
+
 def kpi_li01(litigation: DataFrame, requests: DataFrame) -> DataFrame:
     """Exposure of active litigation by severity: the internal estimate, else the claim; always three rows a request."""
     amount = F.coalesce("estimacion_interna", "monto_reclamado").cast("decimal(38,10)")
@@ -104,7 +117,7 @@ def kpi_cd03(latest_final: DataFrame, requests: DataFrame) -> DataFrame:
 def kpi_all(tables: dict[str, DataFrame], requests: DataFrame) -> DataFrame:
     """All indicators for all requests."""
     parts = [
-        kpi_rc01(tables["contracts"], requests), kpi_rc03(tables["contracts"], requests), kpi_li01(tables["litigation"], requests), kpi_li05(tables["litigation"], requests),
+        kpi_contracts(tables["contracts"], requests), kpi_li01(tables["litigation"], requests), kpi_li05(tables["litigation"], requests),
         kpi_cn02(tables["obligations"], requests), kpi_cn03(tables["incidents"], requests), kpi_eo01(tables["matters"], requests), kpi_cd03(tables["latest_final"], requests),
     ]
     return reduce(DataFrame.unionByName, parts)

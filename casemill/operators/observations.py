@@ -15,8 +15,9 @@ def upsert_observations(existing: DataFrame, new: DataFrame, pinned: DataFrame)
     snapshot refers to: their value is updated, their run id stays.
     """
     both = existing.withColumn("turn", F.lit(0)).unionByName(new.withColumn("turn", F.lit(1)))
-    by = Window.partitionBy(*OBS_KEY).orderBy(F.desc("as_of"), F.desc("turn"), F.desc("seq"))
-    won = both.withColumn("n", F.row_number().over(by)).where("n = 1").drop("n", "turn")
+    # a greatest struct: tasks combine before they send
+    rest = [c for c in both.columns if c not in (*OBS_KEY, "as_of", "turn", "seq")]
+    won = both.groupBy(*OBS_KEY).agg(F.max_by(F.struct(*rest, "as_of", "seq"), F.struct("as_of", "turn", "seq")).alias("w")).select(*OBS_KEY, "w.*")
     held = existing.join(pinned.select(*OBS_KEY, "run_id"), [*OBS_KEY, "run_id"], "left_semi").select(*OBS_KEY, F.col("run_id").alias("kept"))
     return won.join(held, OBS_KEY, "left").withColumn("run_id", F.coalesce("kept", "run_id")).drop("kept")
 

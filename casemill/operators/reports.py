@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casemill.operators.audit import EVENTS, audit_events, with_resources
@@ -97,5 +97,6 @@ def audit_page(events: DataFrame, resources: DataFrame, after: tuple | None, lim
 
 
 def load_records(source: DataFrame) -> DataFrame:
-    """Records of files in (sheet, row) order, with their width and place."""
-    return source.withColumn("width", F.size(F.map_keys("payload"))).orderBy("file_id", "sheet", "row_number")
+    """Records of files (file_id, sheet, row_number, payload) with their width and their place in the file's order, by sheet and row."""
+    by = Window.partitionBy("file_id").orderBy("sheet", "row_number")
+    return source.withColumn("width", F.size(F.map_keys("payload"))).withColumn("place", F.row_number().over(by))

@@ -9,10 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casemill.functions.scalars import reciprocal_rank
+from casemill.functions.scalars import reciprocal_rank, valid_vector
 
 #: Queries that go to a task at once, and of them those compared at once.
 QUERY_BLOCK, COLUMNS = 10_000, 256
+#: Terms of a batch of queries that are broadcast; more are joined by shuffle.
+FEW_TERMS = 1_000_000
 TOP, FUSED, STRONG = 10, 5, 3
 
 
@@ -21,74 +23,158 @@ def _ranked(scored: DataFrame, k: int, *order) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
-def authorized_corpus(chunks: DataFrame, allowed: DataFrame, quarantined: DataFrame, width: int | None = None) -> DataFrame:
-    """Chunks (doc_id, active, ready, invalid, certified …) that may be ranked: of allowed documents, active, ready, certified, not invalidated, not in pending quarantine, with a vector of the right width."""
-    x = chunks.where("active and ready and certified and not invalid")
-    if width is not None:
-        x = x.where(F.size("embedding") == width)
-    return x.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi").join(quarantined.select("doc_id"), "doc_id", "left_anti")
+def authorized_corpus(chunks: DataFrame, versions: DataFrame, certificates: DataFrame, allowed: DataFrame, quarantined: DataFrame, width: int | None = None) -> DataFrame:
+    """Chunks (doc_id, version, embedding …) that may be ranked.
+
+    They belong to the active version (versions: doc_id, version, state, invalidated, text_sha256) of a
+    ready, valid document, the version's certificate (doc_id, version, text_sha256) vouches for the text
+    as it is, the document is allowed and not in pending quarantine, and the vector has the width.
+    """
+    live = versions.where("state = 'LISTA' and not invalidated").select("doc_id", "version", "text_sha256")
+    sure = live.join(certificates.select("doc_id", "version", "text_sha256"), ["doc_id", "version", "text_sha256"]).select("doc_id", "version")
+    sure = sure.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi").join(quarantined.select("doc_id"), "doc_id", "left_anti")
+    x = chunks if width is None else chunks.where(valid_vector(F.col("embedding"), width))
+    return x.join(sure, ["doc_id", "version"], "left_semi")
+
+
+def _best(found: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    """Of (query, distance, id) the k first of each query, by distance and id."""
+    q, d, i = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((i, d, q))
+    q, d, i = q[order], d[order], i[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], d[keep], i[keep]
 
 
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP) -> DataFrame:
     """(query_id, fragment_id, distance, rank): the k nearest by cosine, ties by id.
 
-    The queries go to every task in blocks of about QUERY_BLOCK, by hash of their id, however many there
-    are, and each block of rows keeps its own k best, so what is sent on is k rows a query and task, not
-    all pairs.
+    Vectors that are null, zero, not finite, or of another length than the query's are left out, on either
+    side.  A query with a column `scope` sees only rows whose array `scopes` holds it.  The queries go to
+    every task in blocks of about QUERY_BLOCK, by hash of their id, however many there are, and are
+    compared COLUMNS at a time; a task keeps k rows a query over all its rows, so k rows a query and task
+    are sent on, not all pairs.
     """
     spark = corpus.sparkSession
     layout = f"query_id long, fragment_id {dict(corpus.dtypes)['fragment_id']}, distance double"
-    corpus = corpus.select("fragment_id", "embedding")
+    scoped = "scope" in queries.columns
+    v = F.col("embedding")
+    fit = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
+    corpus = corpus.where(fit).select("fragment_id", v.cast("array<double>").alias("embedding"), *(["scopes"] if scoped else []))
+    queries = queries.where(fit)
     blocks = -(-queries.count() // QUERY_BLOCK)
     found = spark.createDataFrame([], layout)
     for block in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
         if not rows:
             continue
-        names = [r.query_id for r in rows]
-        q = np.array([r.embedding for r in rows], float)
-        q /= np.linalg.norm(q, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast((names, q))
+        rows.sort(key=lambda r: (len(r.embedding), r.query_id))
+        names = np.array([r.query_id for r in rows], np.int64)
+        groups = []  # queries of one length, a few at a time
+        for a in range(0, len(rows), COLUMNS):
+            for width in sorted({len(r.embedding) for r in rows[a : a + COLUMNS]}):
+                own = [j for j in range(a, min(a + COLUMNS, len(rows))) if len(rows[j].embedding) == width]
+                q = np.array([rows[j].embedding for j in own], float)
+                groups.append((width, np.array(own), q / np.linalg.norm(q, axis=1, keepdims=True), [rows[j].scope if scoped else None for j in own]))
+        shared = spark.sparkContext.broadcast((names, groups))
 
         def near(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, q = shared.value
+            names, groups = shared.value
+            best: tuple[np.ndarray, ...] | None = None
             for f in frames:
                 if not len(f):
                     continue
-                v = np.stack(f["embedding"].to_numpy()).astype(float)
-                v /= np.linalg.norm(v, axis=1, keepdims=True)
-                ids = f["fragment_id"].to_numpy()
-                for a in range(0, len(names), COLUMNS):
-                    d = 1 - v @ q[a : a + COLUMNS].T
-                    for j, name in enumerate(names[a : a + COLUMNS]):
-                        own = np.round(d[:, j], 9)
-                        best = np.lexsort((ids, own))[:k]
-                        yield pd.DataFrame({"query_id": name, "fragment_id": ids[best], "distance": own[best]})
+                lengths = f["embedding"].map(len).to_numpy()
+                new = [] if best is None else [best]
+                for width, own, q, scopes in groups:
+                    part = f[lengths == width]
+                    if not len(part):
+                        continue
+                    x = np.stack(part["embedding"].to_numpy())
+                    d = np.round(1 - (x / np.linalg.norm(x, axis=1, keepdims=True)) @ q.T, 9)
+                    if scoped:
+                        sees = {s: part["scopes"].map(lambda a, s=s: s in a).to_numpy(bool) for s in set(scopes)}
+                        d[~np.stack([sees[s] for s in scopes], 1)] = np.inf
+                    # what is not beyond the k-th distance can be among the first k
+                    last = np.partition(d, min(k, len(d)) - 1, axis=0)[min(k, len(d)) - 1]
+                    r, c = np.nonzero((d <= last) & np.isfinite(d))
+                    ids = part["fragment_id"].to_numpy()
+                    new.append((own[c], d[r, c], (ids.astype(str) if ids.dtype == object else ids)[r]))
+                if new:
+                    best = _best(new, k)
+            if best is not None and len(best[0]):
+                yield pd.DataFrame({"query_id": names[best[0]], "fragment_id": best[2], "distance": best[1]})
 
         found = found.unionByName(corpus.mapInPandas(near, layout))
     return _ranked(found, k, "distance", "fragment_id")
 
 
-def corpus_stats(fragments: DataFrame, terms: DataFrame) -> DataFrame:
-    """One row: number of fragments and their mean length; fragments without terms count."""
+def corpus_stats(fragments: DataFrame, terms: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """Number of fragments and their mean length, for each scope if there are some; fragments without terms count."""
     length = terms.groupBy("fragment_id").agg(F.sum("tf").alias("dl"))
-    return fragments.select("fragment_id").join(length, "fragment_id", "left").agg(F.count("*").alias("n"), F.avg(F.coalesce("dl", F.lit(0))).alias("avgdl"))
+    x = fragments.select("fragment_id", *(scope or [])).join(length, "fragment_id", "left")
+    return x.groupBy(*(scope or [])).agg(F.count("*").alias("n"), F.avg(F.coalesce("dl", F.lit(0))).alias("avgdl"))
 
 
 def bm25_topk(queries: DataFrame, fragments: DataFrame, terms: DataFrame, k: int = TOP) -> DataFrame:
-    """(query_id, fragment_id, score, rank): BM25 (k1 1.2, b 0.75) over the given fragments only. queries: query_id, lexeme; repeated terms count once."""
-    inside = terms.join(fragments.select("fragment_id"), "fragment_id", "left_semi")
-    stats = corpus_stats(fragments, inside)
-    length = inside.groupBy("fragment_id").agg(F.sum("tf").alias("dl"))
-    q = queries.select("query_id", "lexeme").distinct()
-    hits = inside.join(q.select("lexeme").distinct(), "lexeme", "left_semi")
-    df = hits.groupBy("lexeme").agg(F.count("*").alias("df"))
-    x = hits.join(df, "lexeme").join(length, "fragment_id").crossJoin(F.broadcast(stats)).join(q, "lexeme")  # stats: one row
-    part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
-    score = x.groupBy("query_id", "fragment_id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
+    """(query_id, fragment_id, score, rank): BM25 (k1 1.2, b 0.75) over the given fragments only. queries: query_id, lexeme; repeated terms count once.
+
+    With a column `scope` in queries and fragments, each query sees the fragments of its scope, and counts
+    and means are the scope's.  Lengths and the postings of the queries' lexemes come from one reading of
+    the terms: a posting carries its fragment's length, and those of other lexemes go no further.
+    """
+    scope = ["scope"] if "scope" in queries.columns else []
+    q = queries.select("query_id", "lexeme", *scope).distinct()
+    wanted = F.broadcast(q.select("lexeme").distinct().withColumn("asked", F.lit(True))) if q.count() <= FEW_TERMS else q.select("lexeme").distinct().withColumn("asked", F.lit(True))
+    hit = F.struct("lexeme", "tf")
+    own = terms.join(wanted, "lexeme", "left").groupBy("fragment_id").agg(F.sum("tf").alias("dl"), F.collect_list(F.when(F.col("asked"), hit)).alias("hits"))
+    inside = fragments.select("fragment_id", *scope).join(own, "fragment_id", "left")
+    stats = inside.groupBy(*scope).agg(F.count("*").alias("n"), F.avg(F.coalesce("dl", F.lit(0))).alias("avgdl"))
+    hits = inside.select("fragment_id", *scope, "dl", F.explode("hits").alias("h")).select("fragment_id", *scope, "dl", "h.*")
+    df = hits.groupBy(*scope, "lexeme").agg(F.count("*").alias("df"))
+    x = hits.join(df, [*scope, "lexeme"]).join(F.broadcast(stats), scope or F.lit(True))  # stats: a row a scope
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
+    x = x.select("fragment_id", *scope, "lexeme", part.alias("part")).join(q, [*scope, "lexeme"])
+    score = x.groupBy("query_id", "fragment_id").agg(F.round(F.sum("part"), 9).alias("score")).where("score > 0")
     return _ranked(score, k, F.desc("score"), "fragment_id")
 
 
+def candidate_ids(vector: DataFrame, lexical: DataFrame) -> DataFrame:
+    """(query_id, fragment_id) that either list holds, once each."""
+    return vector.select("query_id", "fragment_id").join(lexical.select("query_id", "fragment_id"), ["query_id", "fragment_id"], "full")
+
+
+def retrieve(queries: DataFrame, fragments: DataFrame, allowed: DataFrame, terms: DataFrame, allowed_now: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Hybrid retrieval of a batch: (evidence a query, fused fragments).
+
+    queries: query_id, principal, embedding, lexemes.  fragments: fragment_id, doc_id, embedding, complete
+    (of the authorised corpus).  allowed: principal, doc_id.  Access comes first: each query ranks and
+    counts only what its principal may see.  Then the nearest and the best by BM25, a recheck of all
+    candidates against `allowed_now` (the same as allowed without it), fusion, and the evidence.  A query
+    with a candidate that may no longer be seen gets DENIED and no fragment.
+    """
+    now = allowed if allowed_now is None else allowed_now
+    asked = queries.select("principal").distinct()
+    seen = fragments.select("fragment_id", "doc_id").join(allowed.join(asked, "principal", "left_semi"), "doc_id").select("fragment_id", F.col("principal").alias("scope"))
+    scopes = seen.groupBy("fragment_id").agg(F.collect_set("scope").alias("scopes"))
+    own = queries.withColumnRenamed("principal", "scope")
+    near = vector_topk(own.select("query_id", "scope", "embedding"), fragments.select("fragment_id", "embedding").join(scopes, "fragment_id"))
+    lexical = bm25_topk(own.select("query_id", "scope", F.explode("lexemes").alias("lexeme")), seen, terms)
+    places = candidate_ids(near, lexical).join(queries.select("query_id", "principal"), "query_id").join(fragments.select("fragment_id", "doc_id"), "fragment_id")
+    there = places.join(now.select("principal", "doc_id", F.lit(True).alias("there")).distinct(), ["principal", "doc_id"], "left")
+    lost = there.where("there is null").select("query_id").distinct()
+    fused = rrf_fuse(near, lexical).join(lost, "query_id", "left_anti")
+    evidence = classify_evidence(queries, near, lexical, fused, fragments.where("complete"))
+    evidence = evidence.join(lost.withColumn("lost", F.lit(True)), "query_id", "left").select("query_id", F.when(F.col("lost"), "DENIED").otherwise(F.col("evidence")).alias("evidence"))
+    return evidence, fused
+
+
+def final_fragments(fragments: DataFrame, chunks: DataFrame, versions: DataFrame) -> DataFrame:
+    """Kept fragments (operation_id, fragment_id, usage …) with their text (chunks: fragment_id, version_id, content) and document (versions: version_id, doc_id)."""
+    return fragments.join(chunks.select("fragment_id", "version_id", "content"), "fragment_id").join(versions.select("version_id", "doc_id"), "version_id")
+
+
 def still_authorized(candidates: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query_id, ok): all of a query's candidates are still in the corpus."""
     x = candidates.select("query_id", "fragment_id").distinct().join(corpus.select("fragment_id", F.lit(True).alias("there")), "fragment_id", "left")
@@ -106,7 +192,7 @@ def rrf_fuse(vector: DataFrame, lexical: DataFrame, k: int = FUSED) -> DataFrame
 
 def classify_evidence(queries: DataFrame, vector: DataFrame, lexical: DataFrame, fused: DataFrame, complete: DataFrame) -> DataFrame:
     """(query_id, evidence): none found, sufficient if a fused fragment with a complete citation is among the first three of a list, else insufficient. complete: fragment_id."""
-    any_ = vector.select("query_id").unionByName(lexical.select("query_id")).distinct().withColumn("any", F.lit(True))
+    any_ = candidate_ids(vector, lexical).select("query_id").distinct().withColumn("any", F.lit(True))
     strong = fused.where((F.col("vector_rank") <= STRONG) | (F.col("bm25_rank") <= STRONG)).join(complete.select("fragment_id"), "fragment_id", "left_semi").select("query_id").distinct().withColumn("strong", F.lit(True))
     x = queries.select("query_id").distinct().join(any_, "query_id", "left").join(strong, "query_id", "left")
     return x.select("query_id", F.when(F.col("any").isNull(), "SIN_EVIDENCIA").when(F.col("strong"), "EVIDENCIA_SUFICIENTE").otherwise("EVIDENCIA_INSUFICIENTE").alias("evidence"))

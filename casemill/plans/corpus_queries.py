@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from casemill.functions import scalars
 from casemill.functions.ids import text_sha256
-from casemill.operators import access, corpus, retrieval
+from casemill.operators import access, corpus, reports, retrieval
 from casemill.plans.fixtures import table, with_views
 from casemill.plans.registry import query
 
@@ -62,9 +62,60 @@ def _fixed(spark, d):
     return x.select("doc_id", "ordinal", "token_count", text_sha256(F.col("content")).alias("digest"))
 
 
-@query("R19_structural_chunks")
+#: Texts with headings, indented and not, clauses, and blank lines.
+_STRUCTURED = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN replace(text, '. ', '.' || chr(10) || '  Sección ') WHEN 1 THEN replace(text, '. ', '.' || chr(10) || 'Cláusula ') WHEN 2 THEN replace(text, '. ', '.' || chr(10) || chr(10)) ELSE text END AS text FROM {documents}"
+_OPENS = "regexp_matches(tok, '(?i)^(secci[oó]n|art[ií]culo|cl[aá]usula)([^\\p{L}\\p{N}_]|$)')"
+
+
+def _chunks_sql(size, overlap):
+    pick = lambda a: f"CASE WHEN {a} + {size} >= n THEN n ELSE coalesce(" + ", ".join(f"list_max(list_filter({m}, lambda e: e >= least({a} + {size}, {a} + {overlap + 1}) AND e <= {a} + {size}))" for m in ("m1", "m2", "m3")) + f", {a} + {size}) END"
+    return f"""src AS ({_STRUCTURED.format(documents='documents')}),
+words AS (SELECT * FROM (SELECT doc_id, text, regexp_extract_all(text, '\\S+') AS toks, regexp_split_to_array(text, '\\S+') AS gaps FROM src) WHERE len(toks) > 0),
+one AS (SELECT doc_id, text, e, toks[e + 1] AS tok, gaps[e + 1] AS gap FROM (SELECT *, unnest(generate_series(0, len(toks) - 1)) AS e FROM words)),
+pos AS (SELECT *, CAST(sum(length(gap)) OVER (PARTITION BY doc_id ORDER BY e) + coalesce(sum(length(tok)) OVER (PARTITION BY doc_id ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos FROM one),
+marks AS (SELECT doc_id, max(e) + 1 AS n, list(e) FILTER (e > 0 AND contains(gap, chr(10)) AND {_OPENS}) AS m1, list(e) FILTER (e > 0 AND contains(gap, chr(10) || chr(10))) AS m2, list(e + 1) FILTER (right(tok, 1) IN ('.', '?', '!')) AS m3 FROM pos GROUP BY doc_id),
+c(doc_id, ordinal, a, b) AS (SELECT doc_id, 0, CAST(0 AS BIGINT), CAST({pick('0')} AS BIGINT) FROM marks
+  UNION ALL SELECT doc_id, ordinal + 1, s, CAST({pick('s')} AS BIGINT) FROM (SELECT c.doc_id, ordinal, greatest(a + 1, b - {overlap}) AS s, marks.* EXCLUDE (doc_id) FROM c JOIN marks ON marks.doc_id = c.doc_id WHERE b < n)),
+heads AS (SELECT doc_id, pos, trim(regexp_extract(substr(text, pos + 1), '^[^\\r\\n]*')) AS label FROM pos WHERE (e = 0 AND gap = '' OR right(gap, 1) = chr(10)) AND {_OPENS}),
+chunks AS (SELECT c.doc_id, c.ordinal, CAST(b - a AS INT) AS token_count, x.pos AS lo, y.pos + length(y.tok) AS hi, substr(x.text, x.pos + 1, y.pos + length(y.tok) - x.pos) AS content FROM c JOIN pos x ON x.doc_id = c.doc_id AND x.e = a JOIN pos y ON y.doc_id = c.doc_id AND y.e = b - 1),
+named AS (SELECT k.*, coalesce((SELECT label FROM heads h WHERE h.doc_id = k.doc_id AND pos >= lo AND pos < hi ORDER BY pos LIMIT 1), (SELECT label FROM heads h WHERE h.doc_id = k.doc_id AND pos < lo ORDER BY pos DESC LIMIT 1)) AS label FROM chunks k)"""
+
+
+def _structured(spark, d):
+    return spark.sql(_STRUCTURED, documents=table(spark, d, "documents"))
+
+
+@query("R19_structural_chunks", f"WITH RECURSIVE {_chunks_sql(96, 12)} SELECT doc_id, ordinal, token_count, CASE WHEN NOT starts_with(lower(label), 'cláusula') THEN label END AS section, CASE WHEN starts_with(lower(label), 'cláusula') THEN label END AS clause, sha256(content) AS digest FROM named")
 def _structural(spark, d):
-    return corpus.chunk_structural(table(spark, d, "documents")).select("doc_id", "ordinal", "token_count", "section", "clause", text_sha256(F.col("content")).alias("digest"))
+    return corpus.chunk_structural(_structured(spark, d), 96, 12).select("doc_id", "ordinal", "token_count", "section", "clause", text_sha256(F.col("content")).alias("digest"))
+
+
+@query("F15_token_offsets", f"WITH RECURSIVE {_chunks_sql(96, 12)} SELECT doc_id, count(*) AS tokens, sha256(string_agg(pos || '-' || (pos + length(tok)), ',' ORDER BY e)) AS digest FROM pos GROUP BY doc_id")
+def _offsets(spark, d):
+    x = corpus.with_token_offsets(_structured(spark, d)).where(F.size("offsets") > 0)
+    shown = F.array_join(F.transform("offsets", lambda o: F.concat(o["start"].cast("string"), F.lit("-"), o["end"].cast("string"))), ",")
+    return x.select("doc_id", F.size("offsets").cast("long").alias("tokens"), text_sha256(shown).alias("digest"))
+
+
+@query("F16_headings", f"WITH RECURSIVE {_chunks_sql(96, 12)} SELECT doc_id, CAST(pos AS INT) AS start, CASE WHEN NOT starts_with(lower(label), 'cláusula') THEN label END AS section, CASE WHEN starts_with(lower(label), 'cláusula') THEN label END AS clause FROM heads")
+def _headings(spark, d):
+    return corpus.structural_metadata(_structured(spark, d))
+
+
+_CHUNK_ID = "(SELECT sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('" + corpus.CHUNK_NAME + ":' || lower('V-' || doc_id) || ':0')) AS h)"
+_UUID = "substr(h,1,8)||'-'||substr(h,9,4)||'-5'||substr(h,14,3)||'-'||substr('89ab', 1 + (instr('0123456789abcdef', substr(h,17,1)) - 1) % 4, 1)||substr(h,18,3)||'-'||substr(h,21,12)"
+
+
+@query("R20_index_build", f"""WITH RECURSIVE {_chunks_sql(512, 50)},
+x AS (SELECT doc_id, count(*) AS chunks, count(*) FILTER (ordinal < 2 AND doc_id IN (SELECT vec_id FROM embeddings)) AS embedded, count(*) FILTER (NOT regexp_matches(content, '[\\p{{L}}\\p{{N}}]')) AS without_terms, CAST(sum(len(regexp_extract_all(replace(lower(content), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+'))) AS BIGINT) AS terms FROM chunks GROUP BY doc_id)
+SELECT x.*, sha256(text) AS text_sha256, (SELECT {_UUID} FROM {_CHUNK_ID}) AS first_id FROM x JOIN src USING (doc_id)""")
+def _index_build(spark, d):
+    docs = _structured(spark, d).withColumn("version_id", F.concat(F.lit("V-"), F.col("doc_id")))
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("ordinal"), "embedding")
+    chunks, terms, certificates = corpus.build_index(docs, vectors, 64)
+    first = chunks.where("ordinal = 0").select("doc_id", F.col("chunk_id").alias("first_id"))
+    n = terms.join(chunks.select("chunk_id", "doc_id"), "chunk_id").groupBy("doc_id").agg(F.sum("tf").alias("terms"))
+    return certificates.join(first, "doc_id").join(n, "doc_id", "left").select("doc_id", "chunks", "embedded", "without_terms", F.coalesce("terms", F.lit(0)).alias("terms"), "text_sha256", "first_id")
 
 
 _LEX = "regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}]+')"
@@ -135,22 +186,38 @@ def _cosine(spark, d):
     return e.crossJoin(F.broadcast(one)).select("vec_id", F.round(scalars.cosine_distance(F.col("embedding"), F.col("q")), 6).alias("distance"))  # one row
 
 
-@query("P19_valid_vectors", "SELECT vec_id, vec_id % 3 <> 0 AS ok FROM embeddings")
+@query("P19_valid_vectors", """
+WITH v AS (SELECT vec_id, CASE WHEN label % 4 = 0 THEN embedding[1:10] WHEN label % 4 = 1 THEN list_transform(embedding, lambda x: x * 0) WHEN label % 4 = 2 AND vec_id % 2 = 0 THEN NULL ELSE embedding END AS v FROM embeddings)
+SELECT vec_id, coalesce(len(v) = 64 AND list_sum(list_transform(v, lambda x: abs(x))) > 0, false) AS ok FROM v""")
 def _guard(spark, d):
-    v = F.when(F.col("vec_id") % 3 == 0, F.when(F.col("vec_id") % 2 == 0, F.slice("embedding", 1, 10)).otherwise(F.transform("embedding", lambda x: x * 0))).otherwise(F.col("embedding"))
+    k = F.col("label") % 4
+    v = F.when(k == 0, F.slice("embedding", 1, 10)).when(k == 1, F.transform("embedding", lambda x: x * 0)).when(~((k == 2) & (F.col("vec_id") % 2 == 0)) | F.col("label").isNull(), F.col("embedding"))
     return table(spark, d, "embeddings").select("vec_id", scalars.valid_vector(v, 64).alias("ok"))
 
 
-_TWO = "two AS (SELECT query_id, (fragment_id * 7 + query_id) % 97 AS fragment_id, rank FROM vk WHERE rank <= 8)"
-_FUSE = f"""{_VEC}, {_TWO}, lx AS (SELECT query_id, fragment_id, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), fragment_id) AS rank FROM two GROUP BY query_id, fragment_id),
-fz AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.fragment_id, b.fragment_id) AS fragment_id, a.rank AS vr, b.rank AS br, coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0) AS rrf FROM vk a FULL JOIN lx b ON a.query_id = b.query_id AND a.fragment_id = b.fragment_id),
-fu AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, least(vr, br), vr IS NULL, vr, br IS NULL, br, fragment_id) AS rank FROM fz QUALIFY rank <= 5)"""
+#: Both lists for the benchmark's items: BM25 over their words, cosine over the vectors of their numbers; fragments are documents.
+_FUSE = f"""{_BM}, v AS (SELECT q.vec_id AS query_id, e.vec_id AS fragment_id, round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) AS distance FROM embeddings q JOIN benchmark ON item_id = q.vec_id CROSS JOIN embeddings e JOIN f ON f.fragment_id = e.vec_id),
+vk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, fragment_id) AS rank FROM v QUALIFY rank <= 10),
+fz AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.fragment_id, b.fragment_id) AS fragment_id, a.rank AS vr, b.rank AS br, coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0) AS rrf FROM vk a FULL JOIN b ON a.query_id = b.query_id AND a.fragment_id = b.fragment_id),
+fu AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, least(vr, br), vr IS NULL, vr, br IS NULL, br, fragment_id) AS rank FROM fz QUALIFY rank <= 5),
+whole AS (SELECT doc_id AS fragment_id FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND n_chars >= 400 AND trim(text) <> ''),
+ev AS (SELECT item_id AS query_id, CASE WHEN item_id NOT IN (SELECT query_id FROM fz) THEN 'SIN_EVIDENCIA' WHEN item_id IN (SELECT query_id FROM fu WHERE (vr <= 3 OR br <= 3) AND fragment_id IN (SELECT fragment_id FROM whole)) THEN 'EVIDENCIA_SUFICIENTE' ELSE 'EVIDENCIA_INSUFICIENTE' END AS evidence FROM benchmark)"""
+
+
+def _item_vectors(spark, d):
+    return table(spark, d, "embeddings").join(table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def _whole(docs):
+    day = F.when(F.col("n_chars") >= 400, F.lit("2024-01-01"))
+    text = F.when(F.length(F.trim("text")) > 0, F.col("text"))
+    return reports.citation_complete(F.col("doc_id"), F.col("source"), F.col("lang"), day, text)
 
 
 def _fused(spark, d):
-    v = _nearest(spark, d)
-    lx = v.where("rank <= 8").select("query_id", ((F.col("fragment_id") * 7 + F.col("query_id")) % 97).alias("fragment_id"), "rank").groupBy("query_id", "fragment_id").agg(F.min("rank").alias("r"))
-    lx = retrieval._ranked(lx, 10, "r", "fragment_id")
+    e, docs = table(spark, d, "embeddings"), table(spark, d, "documents")
+    inside = e.join(docs.where("lang <> 'de'").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("fragment_id"), "embedding")
+    v, lx = retrieval.vector_topk(_item_vectors(spark, d), inside), _lexical(spark, d)
     return v, lx, retrieval.rrf_fuse(v, lx)
 
 
@@ -159,39 +226,85 @@ def _fusion(spark, d):
     return _fused(spark, d)[2].select("query_id", "fragment_id", "vector_rank", "bm25_rank", "rank")
 
 
-@query("R24_evidence", f"WITH {_FUSE} SELECT q.query_id, CASE WHEN q.query_id NOT IN (SELECT query_id FROM fz) THEN 'SIN_EVIDENCIA' WHEN q.query_id IN (SELECT query_id FROM fu WHERE (vr <= 3 OR br <= 3) AND fragment_id % 4 = 0) THEN 'EVIDENCIA_SUFICIENTE' ELSE 'EVIDENCIA_INSUFICIENTE' END AS evidence FROM (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 25 = 0) q")
-def _evidence(spark, d):
+def _classified(spark, d):
     v, lx, fused = _fused(spark, d)
-    q = table(spark, d, "embeddings").where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"))
-    complete = table(spark, d, "embeddings").where("vec_id % 4 = 0").select(F.col("vec_id").alias("fragment_id"))
-    return retrieval.classify_evidence(q, v, lx, fused, complete)
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
+    docs = table(spark, d, "documents")
+    return retrieval.classify_evidence(q, v, lx, fused, docs.where(_whole(docs)).select(F.col("doc_id").alias("fragment_id"))), fused
+
+
+@query("R24_evidence", f"WITH {_FUSE} SELECT * FROM ev")
+def _evidence(spark, d):
+    return _classified(spark, d)[0]
 
 
-@query("R25_fragment_usage", f"WITH {_FUSE} SELECT query_id, fragment_id, CASE WHEN query_id % 100 = 0 THEN 'REFERENCE' WHEN rank IN (1, 3) THEN 'EVIDENCE' ELSE 'CONTEXT' END AS usage FROM fu")
+@query("R25_fragment_usage", f"WITH {_FUSE} SELECT query_id, fragment_id, CASE WHEN evidence = 'EVIDENCIA_INSUFICIENTE' THEN 'REFERENCE' WHEN rank IN (1, 3) THEN 'EVIDENCE' ELSE 'CONTEXT' END AS usage FROM fu JOIN ev USING (query_id)")
 def _usage(spark, d):
-    fused = _fused(spark, d)[2]
-    ev = fused.select("query_id").distinct().withColumn("evidence", F.when(F.col("query_id") % 100 == 0, "EVIDENCIA_INSUFICIENTE").otherwise("EVIDENCIA_SUFICIENTE"))
+    ev, fused = _classified(spark, d)
     return retrieval.fragment_usage(fused, ev, fused.where("rank in (1, 3)").select("query_id", "rank")).select("query_id", "fragment_id", "usage")
 
 
-@query("P16_still_authorized", f"WITH {_VEC} SELECT query_id, bool_and(fragment_id % 13 <> 0) AS ok FROM vk GROUP BY query_id")
-def _recheck(spark, d):
-    corpus_now = table(spark, d, "embeddings").where("vec_id % 13 <> 0").select(F.col("vec_id").alias("fragment_id"))
-    return retrieval.still_authorized(_nearest(spark, d), corpus_now)
+@query("O02_candidate_ids", f"WITH {_FUSE} SELECT query_id, fragment_id FROM vk UNION SELECT query_id, fragment_id FROM b")
+def _candidates(spark, d):
+    v, lx, _ = _fused(spark, d)
+    return retrieval.candidate_ids(v, lx)
 
 
-@query("F31_context_blocks", f"WITH {_FUSE} SELECT query_id, sha256(string_agg('[E' || rank || ']' || chr(10) || 'vector ' || fragment_id, chr(10) || chr(10) ORDER BY rank)) AS digest FROM fu GROUP BY query_id")
-def _blocks(spark, d):
-    fused = _fused(spark, d)[2]
-    texts = fused.select("fragment_id").distinct().select("fragment_id", F.concat(F.lit("vector "), F.col("fragment_id")).alias("content"))
-    return retrieval.context_blocks(fused, texts).select("query_id", text_sha256(F.col("context")).alias("digest"))
+@query("P16_still_authorized", f"WITH {_FUSE} SELECT query_id, bool_and(fragment_id IN (SELECT doc_id FROM documents WHERE lang NOT IN ('de', 'fr'))) AS ok FROM (SELECT query_id, fragment_id FROM vk UNION SELECT query_id, fragment_id FROM b) GROUP BY query_id")
+def _recheck(spark, d):
+    now = table(spark, d, "documents").where("lang not in ('de', 'fr')").select(F.col("doc_id").alias("fragment_id"))
+    return retrieval.still_authorized(_candidates(spark, d), now)
 
 
-@query("F30_citations", """SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'E1,E3' WHEN 1 THEN 'E9' WHEN 2 THEN '' ELSE 'E2' END AS cited, turn % 4 IN (0, 3) AS valid FROM conversations""")
+@query("F31_context_blocks", f"WITH {_FUSE} SELECT query_id, sha256(string_agg('[E' || rank || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS digest FROM fu JOIN documents ON doc_id = fragment_id GROUP BY query_id")
+def _blocks(spark, d):
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("fragment_id"), F.col("text").alias("content"))
+    return retrieval.context_blocks(_fused(spark, d)[2], texts).select("query_id", text_sha256(F.col("context")).alias("digest"))
+
+
+@query("J17_cited_fragments", f"WITH {_FUSE} SELECT query_id AS operation_id, fragment_id, rank, doc_id, sha256(text) AS digest FROM fu JOIN documents ON doc_id = fragment_id")
+def _cited(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("fragment_id"), F.concat(F.lit("V-"), F.col("doc_id")).alias("version_id"), F.col("text").alias("content"), "doc_id")
+    kept = _fused(spark, d)[2].select(F.col("query_id").alias("operation_id"), "fragment_id", "rank")
+    x = retrieval.final_fragments(kept, docs.drop("doc_id"), docs.select("version_id", "doc_id"))
+    return x.select("operation_id", "fragment_id", "rank", "doc_id", text_sha256(F.col("content")).alias("digest"))
+
+
+_ASKS = "CASE item_id % 3 WHEN 0 THEN 'ana' WHEN 1 THEN 'luis' ELSE 'eva' END"
+
+
+@query("R23_hybrid_retrieval", f"""
+WITH {_ACCESS}, {_T}, qs AS (SELECT item_id AS query_id, {_ASKS} AS scope FROM benchmark), seen AS (SELECT principal AS scope, doc_id AS fragment_id FROM decided WHERE decision = 'PERMIT' AND principal IN (SELECT scope FROM qs)),
+ql AS (SELECT DISTINCT item_id AS query_id, {_ASKS} AS scope, unnest({_LEX}) AS lexeme FROM benchmark), dl AS (SELECT fragment_id, sum(tf) AS dl FROM t GROUP BY 1),
+st AS (SELECT scope, count(*) AS n, avg(coalesce(dl, 0)) AS avgdl FROM seen LEFT JOIN dl USING (fragment_id) GROUP BY scope), df AS (SELECT scope, lexeme, count(*) AS df FROM seen JOIN t USING (fragment_id) GROUP BY ALL),
+sc AS (SELECT query_id, fragment_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM ql JOIN t USING (lexeme) JOIN seen USING (scope, fragment_id) JOIN df USING (scope, lexeme) JOIN dl USING (fragment_id) JOIN st USING (scope) GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fragment_id) AS rank FROM sc WHERE score > 0 QUALIFY rank <= 10),
+v AS (SELECT query_id, e.vec_id AS fragment_id, round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) AS distance FROM qs JOIN embeddings q ON q.vec_id = query_id JOIN seen USING (scope) JOIN embeddings e ON e.vec_id = fragment_id),
+vk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, fragment_id) AS rank FROM v QUALIFY rank <= 10),
+ids AS (SELECT query_id, fragment_id FROM vk UNION SELECT query_id, fragment_id FROM b), lost AS (SELECT DISTINCT query_id FROM ids WHERE fragment_id % 61 = 5),
+fz AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.fragment_id, b.fragment_id) AS fragment_id, a.rank AS vr, b.rank AS br, coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0) AS rrf FROM vk a FULL JOIN b ON a.query_id = b.query_id AND a.fragment_id = b.fragment_id),
+fu AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, least(vr, br), vr IS NULL, vr, br IS NULL, br, fragment_id) AS rank FROM fz QUALIFY rank <= 5),
+kept AS (SELECT * FROM fu WHERE query_id NOT IN (SELECT query_id FROM lost)), whole AS (SELECT doc_id FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND n_chars >= 400 AND trim(text) <> '')
+SELECT qs.query_id, CASE WHEN qs.query_id IN (SELECT query_id FROM lost) THEN 'DENIED' WHEN qs.query_id NOT IN (SELECT query_id FROM ids) THEN 'SIN_EVIDENCIA' WHEN qs.query_id IN (SELECT query_id FROM kept WHERE (vr <= 3 OR br <= 3) AND fragment_id IN (SELECT doc_id FROM whole)) THEN 'EVIDENCIA_SUFICIENTE' ELSE 'EVIDENCIA_INSUFICIENTE' END AS evidence, fragment_id, rank
+FROM qs LEFT JOIN kept ON kept.query_id = qs.query_id""")
+def _hybrid(spark, d):
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
+    asks = items.select(F.col("item_id").alias("query_id"), F.expr(_ASKS).alias("principal"), scalars.lexemes(F.col("text")).alias("lexemes")).join(_item_vectors(spark, d), "query_id", "left")
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    fragments = docs.select(F.col("doc_id").alias("fragment_id"), "doc_id", _whole(docs).alias("complete")).join(vectors, "doc_id", "left")
+    allowed = access.authorized_documents(**_rules(spark, d))
+    evidence, fused = retrieval.retrieve(asks, fragments, allowed, _terms(spark, d), allowed.where("doc_id % 61 <> 5"))
+    return evidence.join(fused.select("query_id", "fragment_id", "rank"), "query_id", "left")
+
+
+_MARK = "regexp_replace(coalesce(text, ''), '[\\\\[\\\\]]', ' '{g}) || CASE turn % 4 WHEN 0 THEN ' [E1] y [E3] y [E1]' WHEN 1 THEN ' [E9]' WHEN 2 THEN '' ELSE '[E2]' END"
+
+
+@query("F30_citations", f"""
+WITH t AS (SELECT conv_id, turn, {_MARK.format(g=", 'g'").replace(chr(92) * 2, chr(92))} AS text FROM conversations), m AS (SELECT *, regexp_extract_all(text, '\\[([^\\[\\]]*)\\]', 1) AS marks FROM t)
+SELECT conv_id, turn, array_to_string(list_filter(marks, lambda x, i: list_position(marks, x) = i), ',') AS cited, len(marks) > 0 AND len(list_filter(marks, lambda x: x NOT IN ('E1', 'E2', 'E3', 'E4', 'E5'))) = 0 AS valid FROM m""")
 def _citations(spark, d):
-    mark = F.when(F.col("turn") % 4 == 0, " [E1] y [E3] y [E1]").when(F.col("turn") % 4 == 1, " [E9]").when(F.col("turn") % 4 == 2, "").otherwise("[E2]")
-    clean = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\[\]]", " ")
-    x = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("answer_id"), F.concat(clean, mark).alias("text"))
+    x = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("answer_id"), F.expr(_MARK.format(g="")).alias("text"))
     return retrieval.check_citations(x).select("answer_id.conv_id", "answer_id.turn", "cited", "valid")
 
 
@@ -214,24 +327,26 @@ def _violations(spark, d):
     return corpus.validate_certificates(certs, chunks, docs)
 
 
-@query("A21_compare_index", """
-SELECT vec_id, 'existing' AS side FROM embeddings WHERE vec_id % 10 = 1 UNION ALL SELECT vec_id + 1000000, 'new' FROM embeddings WHERE vec_id % 10 = 2""")
+_NEWER = "SELECT CASE WHEN label % 5 = 2 THEN vec_id + 1000000 ELSE vec_id END AS vec_id FROM {embeddings} WHERE label % 5 <> 1 UNION ALL SELECT vec_id FROM {embeddings} WHERE vec_id % 40 = 0"
+
+
+@query("A21_compare_index", f"""
+WITH old AS (SELECT vec_id FROM embeddings), new AS ({_NEWER.format(embeddings='embeddings')})
+SELECT vec_id, 'existing' AS side FROM (SELECT vec_id FROM old EXCEPT ALL SELECT vec_id FROM new) UNION ALL SELECT vec_id, 'new' FROM (SELECT vec_id FROM new EXCEPT ALL SELECT vec_id FROM old)""")
 def _compare(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id")
-    new = e.where("vec_id % 10 <> 1").unionByName(e.where("vec_id % 10 = 2").select((F.col("vec_id") + 1_000_000).alias("vec_id")))
-    return corpus.compare_index(e, new)
+    e = table(spark, d, "embeddings")
+    return corpus.compare_index(e.select("vec_id"), spark.sql(_NEWER, embeddings=e))
 
 
 @query("J09_page_ranges", """
-WITH p AS (SELECT doc_id, length(text) AS n, unnest([0, 500, 1500, 4000]) AS a FROM documents)
-SELECT doc_id, a, CASE WHEN n > a THEN CAST(a / 1000 AS INT) + 1 END AS first, CASE WHEN n > a THEN CAST(floor((least(a + 1200, n) - 1) / 1000.0) AS INT) + 1 END AS last FROM p""".replace("CAST(a / 1000 AS INT)", "CAST(floor(a / 1000.0) AS INT)"))
-def _pages(spark, d):
+WITH p AS (SELECT doc_id, length(text) AS n, unnest(generate_series(0, length(text) - 1, 700)) AS a FROM documents WHERE length(text) > 0)
+SELECT doc_id, CAST(a AS INT) AS a, CAST(floor(a / 1000.0) AS INT) + 1 AS first, CAST(floor((least(a + 1200, n) - 1) / 1000.0) AS INT) + 1 AS last FROM p""")
+def _page_ranges(spark, d):
     n = F.length("text")
-    pages = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / 1000).cast("int") - 1, F.lit(0))), lambda k: F.named_struct(F.lit("page"), k + 1, F.lit("start"), k * 1000, F.lit("end"), F.least(k * 1000 + 1000, n)))
-    x = table(spark, d, "documents").select("doc_id", n.alias("n"), pages.alias("pages"), F.explode(F.array(*[F.lit(a) for a in (0, 500, 1500, 4000)])).alias("a"))
+    pages = F.transform(F.sequence(F.lit(0), F.ceil(n / 1000).cast("int") - 1), lambda k: F.named_struct(F.lit("page"), k + 1, F.lit("start"), k * 1000, F.lit("end"), F.least(k * 1000 + 1000, n)))
+    x = table(spark, d, "documents").where(n > 0).select("doc_id", n.alias("n"), pages.alias("pages"), F.explode(F.sequence(F.lit(0), n - 1, F.lit(700))).alias("a"))
     r = corpus.page_range(F.col("a"), F.least(F.col("a") + 1200, F.col("n")), F.col("pages"))
-    ok = F.col("n") > F.col("a")
-    return x.select("doc_id", "a", F.when(ok, r["first"]).alias("first"), F.when(ok, r["last"]).alias("last"))
+    return x.select("doc_id", "a", r["first"].alias("first"), r["last"].alias("last"))
 
 
 @query("F13_query_hashes", "SELECT item_id, sha256(nfc_normalize(trim(text))) AS h FROM benchmark")

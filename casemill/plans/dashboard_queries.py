@@ -68,21 +68,51 @@ def _series(spark, d):
     return dashboard.chart_series(_obs(spark, d), "KPI-CN-03")
 
 
-_PAGES = "SELECT doc_id, CAST(k + 1 AS INT) AS page, CASE WHEN (doc_id + k) % 5 = 0 THEN ' ' ELSE substr(text, k * 1000 + 1, 1000) END AS native_text, (doc_id + k) % 5 = 0 AS requires_ocr, 'ocr ' || substr(text, k * 1000 + 1, 300) AS ocr_text, CAST((doc_id * 7 + k * 13) % 101 AS DOUBLE) / 100 AS confidence FROM {documents} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k UNION ALL SELECT 2 AS k) x WHERE length(text) > k * 1000"
+_PAGES = "SELECT doc_id, CAST(k + 1 AS INT) AS page, CASE WHEN (doc_id + k) % 5 = 0 THEN ' ' ELSE substr(text, k * 1000 + 1, 1000) END AS native_text, (doc_id + k) % 5 = 0 AS requires_ocr, 'ocr ' || substr(text, k * 1000 + 1, 1000) AS ocr_text, CAST((doc_id * 7 + k * 13) % 101 AS DOUBLE) / 100 AS confidence FROM (SELECT doc_id, coalesce(text, '') AS text, {each} AS k FROM {documents}) x"
+#: Every page of every text; one, without text, of an empty one.
+_EACH_SPARK, _EACH_SQL = "explode(sequence(0, greatest(CAST(ceil(length(coalesce(text, '')) / 1000) AS INT) - 1, 0)))", "unnest(generate_series(0, greatest(CAST(ceil(length(coalesce(text, '')) / 1000.0) AS INT) - 1, 0)))"
 
 
 def _pages(spark, d):
-    return spark.sql(_PAGES, documents=table(spark, d, "documents"))
+    return spark.sql(_PAGES.replace("{each}", _EACH_SPARK), documents=table(spark, d, "documents"))
 
 
-_P = f"p AS ({_PAGES.format(documents='documents')})"
+_P = f"p AS ({_PAGES.format(documents='documents', each=_EACH_SQL)})"
 
 
-@query("S12_page_candidates", f"WITH {_P} SELECT doc_id, CASE WHEN bool_or(requires_ocr) THEN 'PENDING_OCR' ELSE 'READY' END AS state, sha256(string_agg(native_text, chr(10) || chr(10) ORDER BY page)) AS digest FROM p GROUP BY doc_id")
+@query("S12_page_candidates", f"WITH {_P} SELECT doc_id, CASE WHEN bool_or(trim(native_text) = '') THEN 'PENDING_OCR' ELSE 'READY' END AS state, sha256(string_agg(native_text, chr(10) || chr(10) ORDER BY page)) AS digest FROM p GROUP BY doc_id")
 def _candidates(spark, d):
     return documents.candidates_from_pages(_pages(spark, d)).select("doc_id", "state", text_sha256(F.col("text")).alias("digest"))
 
 
+@query("S13_load_candidates", f"WITH {_P}, c AS (SELECT doc_id, CASE WHEN bool_or(trim(native_text) = '') THEN 'PENDING_OCR' ELSE 'READY' END AS state FROM p GROUP BY doc_id) SELECT doc_id, state, count(*) AS n, sha256(string_agg(page || ':' || requires_ocr || ':' || native_text, chr(10) ORDER BY page)) AS digest FROM c JOIN p USING (doc_id) GROUP BY ALL")
+def _loaded(spark, d):
+    p = _pages(spark, d).select("doc_id", "page", "native_text", "requires_ocr")
+    x = documents.load_candidates(documents.candidates_from_pages(p), p)
+    shown = F.array_join(F.transform("pages", lambda r: F.concat(r["page"].cast("string"), F.lit(":"), r["requires_ocr"].cast("string"), F.lit(":"), r["native_text"])), "\n")
+    return x.select("doc_id", "state", F.size("pages").cast("long").alias("n"), text_sha256(shown).alias("digest"))
+
+
+@query("J19_ocr_results", with_views("""
+SELECT v.version_id, CASE WHEN confidence IS NULL THEN 'Pendiente' WHEN confidence >= 0.8 THEN 'Exitoso' ELSE 'Baja_confianza' END AS ocr_state, j.event_id AS kpi_job_id, j.event_type AS kpi_job_state FROM versions v LEFT JOIN (SELECT * FROM ocr_runs QUALIFY row_number() OVER (PARTITION BY version_id ORDER BY processed_at DESC, run_id DESC) = 1) r USING (version_id)
+LEFT JOIN (SELECT * FROM events WHERE user_id % 2 = 0) j ON 'V-' || j.event_id || '-1' = v.version_id""", "versions", "ocr_runs"))
+def _ocr_results(spark, d):
+    jobs = table(spark, d, "events").select(F.concat(F.lit("V-"), F.col("event_id"), F.lit("-1")).alias("operation_id"), F.col("event_id").alias("job_id"), F.col("event_type").alias("state"), F.when(F.col("user_id") % 2 == 0, "KPI_RECALCULATION").otherwise("OCR").alias("case_type"))
+    x = documents.ocr_results(view(spark, d, "versions").withColumn("operation_id", F.col("version_id")), view(spark, d, "ocr_runs"), jobs)
+    return x.select("version_id", "ocr_state", "kpi_job_id", "kpi_job_state")
+
+
+@query("R31_job_ledger", """
+WITH e AS (SELECT user_id AS job_id, event_id AS seq, CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'view' THEN 'STARTED' ELSE 'COMPLETED' END AS state, props AS refs, ts FROM events),
+l AS (SELECT *, min(ts) OVER (PARTITION BY job_id) AS created, count(*) OVER (PARTITION BY job_id) AS entries FROM e QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) = 1)
+SELECT job_id, state, refs, epoch_us(created) AS created_us, CASE WHEN state <> 'STARTED' THEN epoch_us(ts) END AS completed_us, entries FROM l""")
+def _ledger(spark, d):
+    e = table(spark, d, "events")
+    state = F.when(F.col("event_type") == "error", "FAILED").when(F.col("event_type") == "view", "STARTED").otherwise("COMPLETED")
+    x = audit.job_ledger(e.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), state.alias("state"), F.col("props").alias("refs"), F.col("ts").cast("timestamp").alias("at")))
+    return x.select("job_id", "state", "refs", F.unix_micros("created_at").alias("created_us"), F.unix_micros("completed_at").alias("completed_us"), "entries")
+
+
 @query("R16_consolidated_text", f"WITH {_P}, k AS (SELECT doc_id, page, CASE WHEN NOT requires_ocr THEN native_text WHEN confidence >= 0.8 THEN ocr_text END AS t FROM p), f AS (SELECT *, coalesce(sum(length(t) + 2) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM k WHERE length(t) > 0) SELECT doc_id, sha256(string_agg(t, chr(10) || chr(10) ORDER BY page)) AS digest, string_agg(page || ':' || CAST(a AS BIGINT) || ':' || CAST(a + length(t) AS BIGINT), ',' ORDER BY page) AS spans FROM f GROUP BY doc_id")
 def _consolidated(spark, d):
     p = _pages(spark, d)

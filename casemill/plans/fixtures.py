@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -82,6 +84,16 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **used)
 
 
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder that all machines share, under spark.checkpoint.dir; a local session without that setting gets a temporary one."""
+    at = spark.conf.get("spark.checkpoint.dir", "")
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="spark-")
+    return f"{at}/{name}-{uuid.uuid4().hex}"
+
+
 def with_views(sql: str, *names: str) -> str:
     """DuckDB SQL that starts from the named views."""
     own = [f"{n} AS ({VIEWS[n].format(**{t: t for t in TABLES})})" for n in names]

@@ -137,8 +137,8 @@ def _log(spark, d):
 _LINES = "SELECT l_orderkey * 100 + l_partkey * 1000000 + l_suppkey AS record_id, 'O-' || l_orderkey || '-' || l_linenumber AS oid, CAST(CAST(l_shipdate AS DATE) AS VARCHAR(10)) AS due, CASE WHEN l_returnflag <> 'N' THEN 'evidencia' END AS ev, CASE WHEN l_quantity < 5 THEN 'I-' || l_orderkey || '-' || l_partkey END AS inc, l_returnflag AS area, CASE WHEN l_linenumber = 1 AND l_quantity < 10 THEN 'A-' || l_orderkey END AS mat FROM {lineitem}"
 
 
-def _validated_lines(spark, d):
-    x = spark.sql(_LINES, lineitem=table(spark, d, "lineitem"))
+def _validated_lines(spark, d, lines=None):
+    x = spark.sql(_LINES, lineitem=table(spark, d, "lineitem") if lines is None else lines)
     inc, mat = F.col("inc").isNotNull(), F.col("mat").isNotNull()
     values = {"ID_Obligacion": F.col("oid"), "Fecha_Limite": F.col("due"), "Evidencia_Cumplimiento": F.col("ev"), "ID_Incidente": F.col("inc"), "Fecha_Evento": F.when(inc, F.col("due")), "Area": F.when(inc, F.col("area")), "Nivel_Severidad": F.when(inc, F.lit("alto")),
               "ID_Asunto": F.col("mat"), "Tipo_Asunto": F.when(mat, F.lit("Cumplimiento")), "Estado": F.when(mat, F.lit("abierto")), "Fecha": F.when(mat, F.col("due"))}
@@ -183,6 +183,25 @@ def _conflicts(spark, d):
     return proj.conflict_items(results, held).select("record_id", "business_id", F.col("original_sha256").alias("original"), F.col("candidate_sha256").alias("candidate"))
 
 
+_FIXED = f"""fixed AS (SELECT item_id FROM ({_MOVED}) WHERE outcome = 'Reinyectado'),
+x AS (SELECT l.* FROM ({_LINES.replace('SELECT ', 'SELECT l_orderkey AS item, ', 1).format(lineitem='lineitem')}) l JOIN fixed ON item_id = item),
+o AS (SELECT 'OBLIGACION' AS t, oid AS k, record_id, due || '|' || coalesce(ev, '-') AS p, due FROM x UNION ALL SELECT 'INCIDENTE', inc, record_id, due || '|' || area, due FROM x WHERE inc IS NOT NULL UNION ALL SELECT 'ASUNTO', mat, record_id, due, due FROM x WHERE mat IS NOT NULL),
+done AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY t, k ORDER BY record_id) = 1)"""
+
+
+@query("R06_reinjected_requests", f"""
+WITH {_FIXED}, r AS (SELECT CASE t WHEN 'OBLIGACION' THEN 'KPI-CN-02' WHEN 'INCIDENTE' THEN 'KPI-CN-03' ELSE 'KPI-EO-01' END AS code, CASE WHEN t = 'OBLIGACION' THEN DATE '1998-06-15' ELSE CAST(due AS DATE) END AS day FROM done)
+SELECT CAST(date_trunc('month', day) AS DATE) AS period_start, last_day(day) AS period_end, greatest(CAST(date_trunc('month', day) AS DATE), least(DATE '1998-06-15', last_day(day))) AS as_of, string_agg(DISTINCT code, ',' ORDER BY code) AS codes FROM r GROUP BY ALL""")
+def _reinjected(spark, d):
+    moved = _transitions(spark, d)
+    lines = table(spark, d, "lineitem")
+    own = lines.join(moved.where("outcome = 'Reinyectado'").select(F.col("item_id").alias("l_orderkey")), "l_orderkey", "left_semi")
+    corrected = _validated_lines(spark, d, own)
+    items = spark.sql(_LINES, lineitem=own).select("record_id").distinct().withColumn("outcome", F.lit("Reinyectado"))
+    none = corrected.select(F.lit("").alias("entity_type"), F.lit("").alias("business_id"), F.lit("").alias("payload_sha256"), "record_id", F.lit("").alias("result")).where("1 = 0")
+    return proj.reproject_reinjected(items, corrected, none.select("entity_type", "business_id", "payload_sha256"), none, "1998-06-15")[1]
+
+
 @query("J01_relationships", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey * 2) THEN l_orderkey * 2 END AS linked FROM lineitem")
 def _relations(spark, d):
     x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_orderkey") * 2).alias("linked"))
@@ -194,8 +213,9 @@ def _uuids(spark, d):
     return table(spark, d, "orders").select("o_orderkey", ids.uuid5("6ba7b810-9dad-11d1-80b4-00c04fd430c8", F.concat(F.lit("order:"), F.col("o_orderkey"))).alias("id"))
 
 
-@query("F29_locators", "SELECT o_orderkey, o_orderkey % 5 < 2 AS ok FROM orders")
+_PATHS = "CASE o_orderkey % 7 WHEN 0 THEN 'in/' || o_custkey WHEN 1 THEN 'a..b/' || o_custkey WHEN 2 THEN '/abs/' || o_custkey WHEN 3 THEN 'in/../' || o_custkey WHEN 4 THEN 'C:' || o_custkey WHEN 5 THEN ' ' ELSE chr(92) || o_custkey END"
+
+
+@query("F29_locators", f"SELECT o_orderkey, NOT (trim(p) = '' OR starts_with(p, '/') OR starts_with(p, chr(92)) OR regexp_matches(p, '^[A-Za-z]:') OR list_contains(string_split(replace(p, chr(92), '/'), '/'), '..')) AS ok FROM (SELECT o_orderkey, {_PATHS} AS p FROM orders)")
 def _locators(spark, d):
-    k = F.col("o_orderkey")
-    path = F.when(k % 5 == 0, F.concat(F.lit("in/"), k)).when(k % 5 == 1, F.concat(F.lit("a..b/"), k)).when(k % 5 == 2, F.concat(F.lit("/abs/"), k)).when(k % 5 == 3, F.concat(F.lit("in/../"), k)).otherwise(F.concat(F.lit("C:"), k))
-    return table(spark, d, "orders").select(k, scalars.valid_locator(path).alias("ok"))
+    return table(spark, d, "orders").select("o_orderkey", scalars.valid_locator(F.expr(_PATHS)).alias("ok"))

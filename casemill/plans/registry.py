@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from casemill.plans import corpus_queries, dashboard_queries, kpi_queries, record_queries, report_queries, scalar_queries  # noqa: F401
+    from casemill.plans import corpus_queries, dashboard_queries, kpi_queries, landing_queries, record_queries, report_queries, scalar_queries, streaming_queries  # noqa: F401

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from casemill.functions import scalars
+from casemill.functions.ids import fingerprint, text_sha256
 from casemill.operators import corpus, proactive, quarantine, reports, retrieval
 from casemill.operators import validation as val
 from casemill.plans.fixtures import table, view, with_views
@@ -22,15 +24,18 @@ def _repeated(spark, d):
     return reports.repeated_series(x)
 
 
-@query("F28_rules_references", "SELECT o_orderkey, o_orderkey % 4 = 0 AS ok FROM orders")
+_REFERENCE = "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'OTRO' ELSE 'PROACTIVE_ANALYSIS_V1' END AS contract, CASE WHEN o_orderkey % 5 = 0 THEN upper(o_clerk) ELSE o_clerk END AS print, CASE WHEN o_orderkey % 7 = 0 THEN 'x' ELSE '11111111-2222-5333-8444-555555555555' END AS job, o_orderkey % 3 <> 0 AS ordered FROM (SELECT *, sha2(CAST(o_orderkey AS VARCHAR(20)), 256) AS o_clerk FROM {orders}) o".replace("o_clerk", "print_")
+_SORTED = sorted(proactive.RULES.values())
+
+
+@query("F28_rules_references", f"""
+WITH r AS (SELECT *, CASE WHEN ordered THEN {_SORTED} ELSE list_reverse({_SORTED}) END AS rules FROM ({_REFERENCE.replace("sha2(CAST(o_orderkey AS VARCHAR(20)), 256)", "sha256(CAST(o_orderkey AS VARCHAR))").format(orders='orders')}))
+SELECT o_orderkey, contract = 'PROACTIVE_ANALYSIS_V1' AND regexp_full_match(print, '[0-9a-f]{{64}}') AND try_cast(job AS UUID) IS NOT NULL AND rules = list_sort(rules) AS ok FROM r""")
 def _rules(spark, d):
-    k = F.col("o_orderkey")
-    rules = sorted(proactive.RULES.values())
-    ref = F.to_json(F.named_struct(
-        F.lit("contract"), F.when(k % 4 == 1, "OTRO").otherwise("PROACTIVE_ANALYSIS_V1"), F.lit("input_fingerprint_sha256"), F.sha2(k.cast("string"), 256),
-        F.lit("parent_job_run_id"), F.when(k % 4 == 2, "x").otherwise("11111111-2222-5333-8444-555555555555"), F.lit("parent_operation_id"), F.lit("11111111-2222-5333-8444-555555555555"),
-        F.lit("signal_rules"), F.when(k % 4 == 3, F.array(*[F.lit(r) for r in reversed(rules)])).otherwise(F.array(*[F.lit(r) for r in rules]))))
-    return table(spark, d, "orders").select("o_orderkey", reports.valid_rules_reference(ref, rules).alias("ok"))
+    x = spark.sql(_REFERENCE, orders=table(spark, d, "orders"))
+    rules = F.array(*[F.lit(r) for r in _SORTED])
+    ref = F.to_json(F.struct("contract", F.col("print").alias("input_fingerprint_sha256"), F.col("job").alias("parent_job_run_id"), F.lit("11111111-2222-5333-8444-555555555555").alias("parent_operation_id"), F.when(F.col("ordered"), rules).otherwise(F.reverse(rules)).alias("signal_rules")))
+    return x.select("o_orderkey", reports.valid_rules_reference(ref, list(proactive.RULES.values())).alias("ok"))
 
 
 _RUNS = "SELECT o_orderkey AS run_id, CASE WHEN o_orderstatus = 'F' THEN 'COMPLETED' ELSE 'FAILED' END AS state, CAST(o_orderdate AS DATE) AS window_start, CAST(CAST(o_orderdate AS DATE) + INTERVAL '30' DAY AS DATE) AS window_end, CAST(o_orderdate AS DATE) AS completed_at FROM {orders}"
@@ -129,12 +134,19 @@ def _composite(spark, d):
     return val.validate_structure(rows, headers, *val.AUDIT).select("file_id", "missing")
 
 
-@query("P15_retrievable_corpus", "SELECT vec_id FROM embeddings WHERE vec_id % 2 = 0 AND vec_id % 3 <> 0 AND vec_id % 5 <> 0 AND vec_id % 7 <> 0")
+@query("P15_retrievable_corpus", with_views(f"""
+WITH l AS ({_LIVE.format(documents='documents')}), own AS (SELECT v.doc_id, v.version, text, state, invalidated FROM versions v JOIN l ON l.doc_id = v.doc_id AND l.active = v.version),
+certs AS (SELECT doc_id, version, sha256(CASE WHEN doc_id % 13 = 6 THEN 'older ' || text ELSE text END) AS h FROM versions WHERE doc_id % 9 <> 4)
+SELECT own.doc_id, own.version FROM own JOIN certs ON certs.doc_id = own.doc_id AND certs.version = own.version AND certs.h = sha256(text) JOIN embeddings ON vec_id = own.doc_id
+WHERE state = 'LISTA' AND NOT invalidated AND own.doc_id IN (SELECT doc_id FROM documents WHERE lang IN ('en', 'es')) AND own.doc_id NOT IN (SELECT event_id FROM events WHERE event_type = 'error') AND len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0""", "versions"))
 def _retrievable(spark, d):
-    e = table(spark, d, "embeddings")
-    k = F.col("vec_id")
-    chunks = e.select(k, k.alias("doc_id"), F.lit(True).alias("active"), (k % 3 != 0).alias("ready"), F.lit(True).alias("certified"), F.lit(False).alias("invalid"), F.when(k % 7 == 0, F.slice("embedding", 1, 3)).otherwise(F.col("embedding")).alias("embedding"))
-    return retrieval.authorized_corpus(chunks, e.where("vec_id % 2 = 0").select(k.alias("doc_id")), e.where("vec_id % 5 = 0").select(k.alias("doc_id")), 64).select("vec_id")
+    v, docs = view(spark, d, "versions"), table(spark, d, "documents")
+    live = spark.sql(_LIVE, documents=docs).withColumnRenamed("active", "version").join(v.select("doc_id", "version", text_sha256(F.col("text")).alias("text_sha256")), ["doc_id", "version"])
+    seen = F.when(F.col("doc_id") % 13 == 6, F.concat(F.lit("older "), "text")).otherwise(F.col("text"))
+    certificates = v.where("doc_id % 9 <> 4").select("doc_id", "version", text_sha256(seen).alias("text_sha256"))
+    chunks = v.select("doc_id", "version").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    held = table(spark, d, "events").where("event_type = 'error'").select(F.col("event_id").alias("doc_id"))
+    return retrieval.authorized_corpus(chunks, live, certificates, docs.where("lang in ('en', 'es')").select("doc_id"), held, 64).select("doc_id", "version")
 
 
 @query("J10_sections", "SELECT doc_id, CASE WHEN length(text) < 100 THEN NULL WHEN doc_id % 300 < 100 THEN 'uno' WHEN doc_id % 300 < 250 THEN 'dos' END AS section FROM documents")
@@ -143,14 +155,50 @@ def _sections(spark, d):
     return table(spark, d, "documents").select("doc_id", F.when(F.length("text") >= 100, corpus.section_for(F.col("doc_id") % 300, s)).alias("section"))
 
 
-@query("R07_change_detection", with_views("SELECT count(*) AS codes, 'RUN' AS decision FROM (SELECT DISTINCT code FROM observations)", "observations"))
-def _change(spark, d):
-    from casemill.functions.ids import fingerprint
+_PRINT = "sha256(string_agg(dims || '|' || strftime(period_start, '%Y-%m-%d') || '|' || availability || '|' || coalesce(CAST(value AS VARCHAR), '-'), chr(10) ORDER BY dims || '|' || strftime(period_start, '%Y-%m-%d') || '|' || availability || '|' || coalesce(CAST(value AS VARCHAR), '-')))"
 
+
+@query("R07_change_detection", with_views(f"""
+WITH now AS (SELECT code, {_PRINT} AS fingerprint FROM observations GROUP BY code),
+before AS (SELECT code, {_PRINT} AS fingerprint FROM observations WHERE code <> 'KPI-RC-01' AND NOT (code = 'KPI-CN-03' AND year(period_start) = 1995) GROUP BY code)
+SELECT now.code, now.fingerprint, CASE WHEN now.fingerprint = before.fingerprint THEN 'NO_RELEVANT_WORK' ELSE 'RUN' END AS decision FROM now LEFT JOIN before ON before.code = now.code""", "observations"))
+def _change(spark, d):
     x = view(spark, d, "observations")
-    # a digest for each series first, then one of the digests: no task orders all observations
-    per = x.groupBy("code", "dims").agg(fingerprint(F.concat_ws("|", F.date_format("period_start", "yyyy-MM-dd"), "availability", F.col("value").cast("string"))).alias("h"))
-    top = per.agg(fingerprint(F.concat_ws("|", "code", "dims", "h")).alias("fingerprint"))
-    last = spark.createDataFrame([("0" * 64,)], "last string")
-    decided = proactive.needs_run(top, last).select("decision")
-    return x.agg(F.countDistinct("code").alias("codes")).crossJoin(F.broadcast(decided))  # one row each
+    line = F.concat_ws("|", "dims", F.date_format("period_start", "yyyy-MM-dd"), "availability", F.coalesce(F.col("value").cast("string"), F.lit("-")))
+    prints = lambda rows, name: rows.groupBy("code").agg(fingerprint(line).alias(name))
+    then = x.where("code <> 'KPI-RC-01' and not (code = 'KPI-CN-03' and year(period_start) = 1995)")
+    return proactive.needs_run(prints(x, "fingerprint"), prints(then, "last"), ["code"])
+
+
+@query("R08_snapshot_freeze", with_views("""
+WITH c AS (SELECT DISTINCT observation_id, code FROM (SELECT *, year(period_start) * 12 + month(period_start) - 1 AS m, max(year(period_start) * 12 + month(period_start) - 1) OVER (PARTITION BY code, dims) AS top FROM observations)
+  WHERE m > top - CASE WHEN code IN ('KPI-RC-01', 'KPI-EO-01') THEN 1 WHEN code IN ('KPI-RC-03', 'KPI-CN-02') THEN 5 ELSE 6 END),
+h AS (SELECT *, sha1(unhex('651f6d11b34d54bc86db55175b20d59e') || encode('run-9:' || observation_id)) AS h FROM c WHERE code <> 'KPI-LI-05')
+SELECT observation_id, 'run-9' AS run_id, substr(h,1,8)||'-'||substr(h,9,4)||'-5'||substr(h,14,3)||'-'||substr('89ab', 1 + (instr('0123456789abcdef', substr(h,17,1)) - 1) % 4, 1)||substr(h,18,3)||'-'||substr(h,21,12) AS snapshot_id FROM h""", "observations"))
+def _freeze(spark, d):
+    closure = proactive.snapshot_closure(view(spark, d, "observations"))
+    # one indicator was frozen for the job before; rows of another job do not count
+    frozen = closure.where("code = 'KPI-LI-05'").select("observation_id", F.lit("job-9").alias("job_id")).unionByName(closure.select("observation_id", F.lit("job-8").alias("job_id")))
+    return proactive.freeze_snapshot(closure, frozen, "run-9", "job-9").select("observation_id", "run_id", "snapshot_id")
+
+
+@query("J13_run_context", "SELECT event_id AS reference_id, user_id AS finding_id, o_orderstatus AS code FROM events JOIN orders ON o_orderkey = user_id WHERE o_orderpriority = '1-URGENT'")
+def _context(spark, d):
+    found = table(spark, d, "orders").select(F.col("o_orderkey").alias("finding_id"), F.col("o_orderpriority").alias("run_id"), F.col("o_orderstatus").alias("code"), F.lit("{}").alias("dims"), F.col("o_orderdate").alias("period_start"))
+    refs = table(spark, d, "events").select(F.col("event_id").alias("reference_id"), F.col("user_id").alias("finding_id"))
+    return proactive.run_context(found, refs, "1-URGENT").select("reference_id", "finding_id", "code")
+
+
+@query("F26_array_rules", r"""
+WITH w AS (SELECT doc_id, lang, text, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS w FROM documents)
+SELECT doc_id, coalesce(lang IN ('en', 'fr'), false) AS listed, len(w) AS n, octet_length(encode(text)) AS bytes, coalesce(trim(text) = '', true) AS blank, CAST((doc_id IS NOT NULL) AS INT) + CAST((lang IS NOT NULL) AS INT) + CAST((text IS NOT NULL) AS INT) AS known FROM w""")
+def _arrays(spark, d):
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    known = sum((F.col(c).isNotNull().cast("int") for c in ("doc_id", "lang", "text")), F.lit(0))
+    listed = F.coalesce(F.array_contains(F.array(F.lit("en"), F.lit("fr")), F.col("lang")), F.lit(False))
+    return table(spark, d, "documents").select("doc_id", listed.alias("listed"), F.when(F.col("text").isNotNull(), F.size(words)).alias("n"), F.octet_length("text").alias("bytes"), scalars.is_absent(F.col("text")).alias("blank"), known.alias("known"))
+
+
+@query("F27_json_fields", "SELECT event_id, CAST(props->>'$.k' AS INT) AS k FROM events")
+def _json(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))

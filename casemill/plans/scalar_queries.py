@@ -18,16 +18,20 @@ def _orders(spark, d):
     return table(spark, d, "orders")
 
 
-@query("P01_absent_values", "SELECT o_orderkey, o_orderkey % 4 IN (0, 1) AS absent FROM orders")
+_BLANKS = "CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN ' ' || chr(9) || chr(10) WHEN 2 THEN ' x ' ELSE CAST(o_custkey AS VARCHAR(20)) END"
+
+
+@query("P01_absent_values", f"SELECT o_orderkey, v IS NULL OR regexp_full_match(v, '\\s*') AS absent FROM (SELECT o_orderkey, {_BLANKS} AS v FROM orders)")
 def _absent(spark, d):
-    v = F.when(_k() % 4 == 0, F.lit(None).cast("string")).when(_k() % 4 == 1, F.lit(" \t\n")).when(_k() % 4 == 2, F.lit(" x ")).otherwise(F.lit("0"))
-    return _orders(spark, d).select("o_orderkey", scalars.is_absent(v).alias("absent"))
+    return _orders(spark, d).select("o_orderkey", scalars.is_absent(F.expr(_BLANKS)).alias("absent"))
+
+
+_LEVELS = "CASE o_orderkey % 4 WHEN 0 THEN ' alto' || chr(9) WHEN 1 THEN 'ALTO' WHEN 2 THEN lower(substr(o_orderpriority, 3)) ELSE 'medio' END"
 
 
-@query("F03_catalog_membership", "SELECT o_orderkey, o_orderkey % 3 = 0 AS inside FROM orders")
+@query("F03_catalog_membership", f"SELECT o_orderkey, regexp_replace({_LEVELS}, '^\\s+|\\s+$', '', 'g') IN ('alto', 'medio', 'bajo') AS inside FROM orders")
 def _catalog(spark, d):
-    v = F.when(_k() % 3 == 0, " alto\t").when(_k() % 3 == 1, "ALTO").otherwise("grave")
-    return _orders(spark, d).select("o_orderkey", scalars.in_catalog(v, scalars.SEVERITIES).alias("inside"))
+    return _orders(spark, d).select("o_orderkey", scalars.in_catalog(F.expr(_LEVELS), scalars.SEVERITIES).alias("inside"))
 
 
 @query("F04_month_arithmetic", "SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS a, last_day(CAST(o_orderdate AS DATE)) AS b, CAST(date_trunc('month', o_orderdate) - INTERVAL 5 MONTH AS DATE) AS c FROM orders")
@@ -83,10 +87,12 @@ def _severity(spark, d):
     return view(spark, d, "observations").select("observation_id", scalars.severity(F.col("dims")).alias("severity"))
 
 
-@query("F33_actor_types", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'HUMAN' WHEN 1 THEN 'PROCESS' ELSE 'ANONYMOUS' END AS actor FROM events")
+_ACTORS = "SELECT event_id, CASE WHEN event_type = 'click' THEN user_id END AS account, CASE event_id % 3 WHEN 0 THEN 'nightly' WHEN 1 THEN ' ' END AS process FROM {events}"
+
+
+@query("F33_actor_types", f"SELECT event_id, CASE WHEN account IS NOT NULL THEN 'HUMAN' WHEN trim(coalesce(process, '')) <> '' THEN 'PROCESS' ELSE 'ANONYMOUS' END AS actor FROM ({_ACTORS.format(events='events')})")
 def _actors(spark, d):
-    k = F.col("event_id") % 3
-    return table(spark, d, "events").select("event_id", scalars.actor_type(F.when(k == 0, F.col("user_id")), F.when(k == 1, "nightly").otherwise(" ")).alias("actor"))
+    return spark.sql(_ACTORS, events=table(spark, d, "events")).select("event_id", scalars.actor_type(F.col("account"), F.col("process")).alias("actor"))
 
 
 @query("A14_ocr_states", with_views("SELECT run_id, CASE WHEN confidence IS NULL THEN 'Pendiente' WHEN confidence >= 0.8 THEN 'Exitoso' ELSE 'Baja_confianza' END AS state FROM ocr_runs", "ocr_runs"))
@@ -140,11 +146,12 @@ def _revisions(spark, d):
     return landing.next_revision(x, old).select("turn", "revision")
 
 
-@query("S09_routing", "SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 'NONE' WHEN event_id % 3 = 0 THEN 'VALIDATION' WHEN event_id % 3 = 1 THEN 'DOCUMENT' ELSE 'NONE' END AS target FROM events")
+_ARRIVED = "SELECT event_id, CASE WHEN event_type = 'error' THEN 'CUARENTENA' ELSE 'COMPLETADO' END AS state, CASE user_id % 5 WHEN 0 THEN 'CSV' WHEN 1 THEN 'PDF' WHEN 2 THEN 'XLSX' WHEN 3 THEN 'DOCX' END AS detected_format FROM {events}"
+
+
+@query("S09_routing", f"SELECT event_id, CASE WHEN state = 'COMPLETADO' AND detected_format IN ('CSV', 'XLSX') THEN 'VALIDATION' WHEN state = 'COMPLETADO' AND detected_format IN ('PDF', 'DOCX') THEN 'DOCUMENT' ELSE 'NONE' END AS target FROM ({_ARRIVED.format(events='events')})")
 def _route(spark, d):
-    k = F.col("event_id")
-    x = table(spark, d, "events").select("event_id", F.when(k % 4 == 3, "CUARENTENA").otherwise("COMPLETADO").alias("state"), F.when(k % 3 == 0, "CSV").when(k % 3 == 1, "PDF").otherwise("?").alias("detected_format"))
-    return landing.route_receipts(x).select("event_id", "target")
+    return landing.route_receipts(spark.sql(_ARRIVED, events=table(spark, d, "events"))).select("event_id", "target")
 
 
 @query("W10_renumber", "SELECT l_orderkey, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_returnflag, CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE l_linenumber END NULLS LAST, l_orderkey, l_partkey, l_quantity, l_extendedprice) AS position FROM lineitem")

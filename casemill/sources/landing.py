@@ -48,6 +48,14 @@ def classify_files(files: DataFrame) -> DataFrame:
     return x.withColumn("accepted", F.col("cause").isNull())
 
 
+def _whole(content: bytes, mark: str) -> bool:
+    """Whether the quotes of a file are in order to its end."""
+    try:
+        return all(True for _ in csv.reader(io.StringIO(content.decode("utf-8-sig", "replace")), delimiter=mark, strict=True))
+    except csv.Error:
+        return False
+
+
 def _table(content: bytes) -> tuple[str | None, str | None]:
     """(delimiter, cause) of a CSV sample; a cut last line does not count."""
     text = content[:SAMPLE].decode("utf-8-sig", "ignore")
@@ -55,13 +63,16 @@ def _table(content: bytes) -> tuple[str | None, str | None]:
         text = text[: text.rfind("\n") + 1]
     good, ragged = [], False
     for mark in DELIMITERS:
-        widths = {len(r) for r in csv.reader(io.StringIO(text), delimiter=mark) if r}
+        try:
+            widths = {len(r) for r in csv.reader(io.StringIO(text), delimiter=mark, strict=True) if r}
+        except csv.Error:
+            return None, "UNDETERMINABLE_STRUCTURE"
         if len(widths) == 1 and max(widths) > 1:
             good.append(mark)
         elif len(widths) > 1:
             ragged = True
     if len(good) == 1:
-        return good[0], None
+        return (good[0], None) if len(content) <= SAMPLE or _whole(content, good[0]) else (None, "UNDETERMINABLE_STRUCTURE")
     if good:
         return None, "AMBIGUOUS_DELIMITER"
     return (None, "UNDETERMINABLE_STRUCTURE") if ragged else (",", None)
@@ -79,13 +90,13 @@ def infer_delimiter(files: DataFrame) -> DataFrame:
 
 
 def read_delimited(files: DataFrame) -> DataFrame:
-    """(file_id, row_number, cells) of CSV files (file_id, content, delimiter): the header is row 1; ragged rows stay as they are, blank lines do not count."""
+    """(file_id, row_number, cells) of CSV files (file_id, content, delimiter): the header is row 1; ragged rows stay as they are, blank lines do not count.  Quotes are read strictly, as infer_delimiter did for the whole file."""
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for file_id, content, mark in zip(f["file_id"], f["content"], f["delimiter"]):
                 rows = []
-                for n, r in enumerate(csv.reader(io.StringIO(bytes(content).decode("utf-8-sig")), delimiter=mark), 1):
+                for n, r in enumerate(csv.reader(io.StringIO(bytes(content).decode("utf-8-sig")), delimiter=mark, strict=True), 1):
                     rows.append((file_id, n, r))
                     if len(rows) == 10_000:
                         yield pd.DataFrame(rows, columns=["file_id", "row_number", "cells"])
@@ -96,6 +107,7 @@ def read_delimited(files: DataFrame) -> DataFrame:
 
 
 def headers_of(rows: DataFrame) -> DataFrame:
+    """(file_id, headers): the first row of each file."""
     return rows.where("row_number = 1").select("file_id", F.col("cells").alias("headers"))
 
 
@@ -108,12 +120,12 @@ def to_payload(rows: DataFrame) -> DataFrame:
     return x.withColumn("record_sha256", F.sha2(F.to_json(F.map_from_entries(F.array_sort(F.map_entries("payload")))), 256))
 
 
-def enforce_tabular_limits(rows: DataFrame) -> DataFrame:
+def enforce_tabular_limits(rows: DataFrame, max_rows: int = MAX_ROWS, max_columns: int = MAX_COLUMNS, max_cells: int = MAX_CELLS) -> DataFrame:
     """(file_id, cause) of files beyond the limits of rows, columns or cells; the header is a row of columns only."""
     body = rows.where("row_number > 1")
     n = rows.groupBy("file_id").agg(F.max(F.size("cells")).alias("columns"))
     c = body.groupBy("file_id").agg(F.count("*").alias("rows"), F.sum(F.size("cells")).alias("cells"))
-    return n.join(c, "file_id", "left").where((F.col("columns") > MAX_COLUMNS) | (F.col("rows") > MAX_ROWS) | (F.col("cells") > MAX_CELLS)).select("file_id", F.lit("TABULAR_LIMIT_EXCEEDED").alias("cause"))
+    return n.join(c, "file_id", "left").where((F.col("columns") > max_columns) | (F.col("rows") > max_rows) | (F.col("cells") > max_cells)).select("file_id", F.lit("TABULAR_LIMIT_EXCEEDED").alias("cause"))
 
 
 def reject_oversize(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -161,9 +173,16 @@ def renumber(records: DataFrame) -> DataFrame:
 
 
 def write_table(spark: SparkSession, df: DataFrame, path: str, key: list[str] | None = None, mode: str = "append", order: str | None = None) -> DataFrame:
-    """Writes df as the next version of a parquet table and returns the whole: append, ignore (first writer wins) or update (last wins, by `order`)."""
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
+    """Writes df as the next version of a parquet table and returns the whole: append, ignore (first writer wins) or update (last wins, by `order`).
+
+    An update is written beside the table and then takes its place by two renames; a table that a crash
+    left between them is put back before anything is read.
+    """
+    at = lambda suffix="": spark._jvm.org.apache.hadoop.fs.Path(path + suffix)
+    fs = at().getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at()) and fs.exists(at(".before")):
+        fs.rename(at(".before"), at())
+    there = fs.exists(at())
     if mode == "append" or not there:
         if key and mode != "append":
             by = Window.partitionBy(*key).orderBy(F.desc(order) if mode == "update" and order else F.lit(0))
@@ -180,5 +199,8 @@ def write_table(spark: SparkSession, df: DataFrame, path: str, key: list[str] |
     by = Window.partitionBy(*key).orderBy(F.desc("__t"), F.desc(order) if order else F.lit(0))
     won = both.withColumn("__n", F.row_number().over(by)).where("__n = 1").drop("__n", "__t")
     won.write.mode("overwrite").parquet(f"{path}.next")
-    spark.read.parquet(f"{path}.next").write.mode("overwrite").parquet(path)
+    fs.delete(at(".before"), True)
+    fs.rename(at(), at(".before"))
+    fs.rename(at(".next"), at())
+    fs.delete(at(".before"), True)
     return spark.read.parquet(path)

@@ -10,21 +10,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from casemill.operators.audit import process_events
-from casemill.sources.landing import classify_files, read_landing
+from casemill.operators.proactive import reevaluate_touched
+from casemill.sources.landing import classify_files, read_landing, write_table
+
+
+def _kept(spark: SparkSession, out: str, df: DataFrame, part: str) -> DataFrame | None:
+    """What the output holds of the batch's partitions, None before anything was written; other partitions are not read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    names = [r[0] for r in df.select(part).distinct().collect()]  # a batch's, 256 at most
+    return spark.read.schema(df.schema).parquet(out).where(F.col(part).isin(names))
 
 
 def ingest_landing(spark: SparkSession, root: str, out: str, checkpoint: str, each: Callable[[DataFrame, int], None] | None = None):
     """New files of the landing folders, classified, appended to `out` once each; ends when all are read.
 
-    A file whose locator and content are in `out` already is left out, within a batch too.
+    A file whose locator and content are in `out` already is left out, within a batch too.  The output is
+    partitioned by the first byte of the content's digest; a batch reads the partitions that it writes.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        x = classify_files(df).drop("content").dropDuplicates(["locator", "content_sha256"])
-        path = spark._jvm.org.apache.hadoop.fs.Path(out)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            x = x.join(spark.read.parquet(out).select("locator", "content_sha256"), ["locator", "content_sha256"], "left_anti")
-        x.write.mode("append").parquet(out)
+        x = classify_files(df).drop("content").dropDuplicates(["locator", "content_sha256"]).withColumn("part", F.concat(F.lit("p"), F.substring("content_sha256", 1, 2)))
+        if (old := _kept(spark, out, x, "part")) is not None:
+            x = x.join(old.select("locator", "content_sha256"), ["locator", "content_sha256"], "left_anti")
+        x.write.mode("append").partitionBy("part").parquet(out)
         if each:
             each(df, number)
 
@@ -59,32 +69,57 @@ def quarantine_items(actions: DataFrame) -> DataFrame:
 
 
 def stale_timers(beats: DataFrame, minutes: int) -> DataFrame:
-    """(run_id, problem) of runs without a heartbeat (run_id, state) for so many minutes of processing time."""
+    """(run_id, last) of runs without a heartbeat (run_id, state, at) for so many minutes, by the clock of the heartbeats themselves, the watermark of `at`.
+
+    A run that ends, in any state other than IN_PROGRESS, is watched no more; one heartbeat is remembered
+    for each run that goes on.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
+            (last,) = state.get
             state.remove()
-            yield pd.DataFrame({"run_id": [key[0]], "problem": ["STALE"]})
+            yield pd.DataFrame({"run_id": [key[0]], "last": [last]})
             return
-        done = any((f["state"] != "IN_PROGRESS").any() for f in frames)
-        if done and state.exists:
-            state.remove()
-        elif not done:
-            state.update((1,))
-            state.setTimeoutDuration(minutes * 60_000)
-        yield pd.DataFrame({"run_id": [], "problem": []}).astype({"run_id": "int64", "problem": "object"})
+        rows = pd.concat(list(frames)).sort_values("at")
+        last = rows["at"].iloc[-1]
+        if rows["state"].iloc[-1] != "IN_PROGRESS":
+            if state.exists:
+                state.remove()
+        elif not state.exists or last > pd.Timestamp(state.get[0]):
+            state.update((last,))
+            due = int(last.timestamp() * 1000) + minutes * 60_000
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"run_id": pd.Series([], dtype="int64"), "last": pd.Series([], dtype="datetime64[ns]")})
 
-    return beats.groupBy("run_id").applyInPandasWithState(step, "run_id long, problem string", "n int", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return beats.withWatermark("at", "0 seconds").groupBy("run_id").applyInPandasWithState(step, "run_id long, last timestamp", "last timestamp", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def event_log(events: DataFrame, out: str, checkpoint: str, fields: list[str]):
-    """Appends events with ids from their fields; redelivered ones have the same id and are left out."""
+def reevaluate_series(observations: DataFrame, history: str, out: str, run_id: str, checkpoint: str):
+    """New observations are upserted into `history`; the series that a batch touched are evaluated again, the newest evaluation of each in `out`; ends when all are read."""
+    spark = observations.sparkSession
+
+    def batch(df: DataFrame, number: int) -> None:
+        new = df.dropDuplicates(["code", "dims", "period_start"])
+        every = write_table(spark, new.withColumn("seq", F.lit(number)), history, ["code", "dims", "period_start"], "update", "seq")
+        x = reevaluate_touched(every, new, run_id).withColumn("seq", F.lit(number))
+        write_table(spark, x, out, ["code", "dims"], "update", "seq")
+
+    return observations.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def event_log(events: DataFrame, out: str, checkpoint: str, fields: list[str], day: str):
+    """Appends events with ids from their fields; redelivered ones have the same id and are left out.  The log is partitioned by the day of the column `day`, one of the fields, so a batch reads the days that it brings."""
     spark = events.sparkSession
 
     def batch(df: DataFrame, _: int) -> None:
+        x = df.withColumn("part", F.date_format(day, "yyyy-MM-dd"))
         path = spark._jvm.org.apache.hadoop.fs.Path(out)
-        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        old = spark.read.parquet(out) if there else df.select(F.lit("").alias("event_id")).where("1 = 0")
-        process_events(df, old, fields).write.mode("append").parquet(out)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            span = x.agg(F.min("part"), F.max("part")).first()
+            old = spark.read.schema("event_id string, part string").parquet(out).where(F.col("part").between(*span) | F.col("part").isNull()) if span[0] else spark.read.schema("event_id string").parquet(out)
+        else:
+            old = x.select(F.lit("").alias("event_id")).where("1 = 0")
+        process_events(x, old, fields).write.mode("append").partitionBy("part").parquet(out)
 
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -87,5 +87,5 @@ def test_streams(spark, tmp_path):
     counts.writeStream.outputMode("complete").format("memory").queryName("months").option("checkpointLocation", b).trigger(availableNow=True).start().awaitTermination(120)
     assert sorted((str(r.month), r.n) for r in spark.table("months").collect()) == [("2023-12-01", 1), ("2024-01-01", 2), ("2024-02-01", 1), ("2024-03-01", 1)]
     for _ in range(2):
-        jobs.event_log(stream.select("item_id", "action"), str(tmp_path / "log"), str(tmp_path / f"c{_}"), ["item_id", "action"]).awaitTermination(120)
+        jobs.event_log(stream.select("item_id", "action", "day"), str(tmp_path / "log"), str(tmp_path / f"c{_}"), ["item_id", "action"], "day").awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "log")).count() == 4
