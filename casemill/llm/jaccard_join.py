@@ -35,7 +35,7 @@ from casemill.llm.repeats import broadcast_filter, filter_rows, repeated_places
 from casemill.llm.shared import BROADCAST_BYTES, components, discard, hot_join, small_or_join, stage, unique_ids
 
 #: Points times shingles of a cluster that one task takes.
-CLUSTER_WORK = 1_000_000_000
+CLUSTER_WORK = 400_000_000
 #: Points of a region that are measured without further pivots, and pivots of a larger one.
 LEAF, PIVOTS = 128, 16
 #: Earlier pivots whose distances are held against a new one.
@@ -163,24 +163,22 @@ class Cluster:
         self.points, self.n, self.block, self.across, self.least, self.of = points, n, block, across, least, of
         self.root = np.arange(len(points))
         self.part = np.unique(label, return_inverse=True)[1]  # what is connected, through labels too
-        self.ids = np.unique(shingles, return_inverse=True)[1]
         self.bounds = np.concatenate([[0], np.cumsum(n)])
-        self.mark = np.zeros(len(shingles) + 1, np.int64)
+        # for each place of a shingle in a set, the points that have the shingle: holders[first : first + many]
+        order = np.argsort(shingles, kind="stable")
+        self.holders = np.repeat(np.arange(len(points)), n)[order]
+        start = np.flatnonzero(np.concatenate([[True], shingles[order][1:] != shingles[order][:-1]])) if len(order) else order
+        many = np.diff(np.append(start, len(order)))
+        self.first, self.many = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        self.first[order], self.many[order] = np.repeat(start, many), np.repeat(many, many)
         self.near = 1 - least / of + 1e-9
 
-    def gathered(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(shingles of these points, where each one's start)."""
-        n = self.n[at]
-        first = np.cumsum(n) - n
-        return self.ids[np.arange(n.sum()) - np.repeat(first, n) + np.repeat(self.bounds[at], n)], first
-
-    def measured(self, p: int, at: np.ndarray, known: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-        """Distances of p to these points; those that link are connected."""
-        ids, first = known or self.gathered(at)
-        own = self.ids[self.bounds[p] : self.bounds[p + 1]]
-        self.mark[own] = 1
-        both = np.add.reduceat(self.mark[ids], first)
-        self.mark[own] = 0
+    def measured(self, p: int, at: np.ndarray) -> np.ndarray:
+        """Distances of p to these points; those that link are connected.  Only points that share a shingle with p are counted."""
+        own = slice(self.bounds[p], self.bounds[p + 1])
+        first, many = self.first[own], self.many[own]
+        met = self.holders[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)]
+        both = np.bincount(met, minlength=len(self.points))[at]
         union = self.n[at] + self.n[p] - both
         for x in at[both * self.of >= union * self.least]:
             if self.part[x] != self.part[p]:
@@ -211,11 +209,10 @@ class Cluster:
             return self.leaf(at)
         if (self.part[at] == self.part[at[0]]).all():
             return None
-        known = self.gathered(at)
         to = np.full((PIVOTS, len(at)), 2.0)
         pivot = 0
         for k in range(PIVOTS):  # each new pivot is the point farthest from those before
-            to[k] = self.measured(int(at[pivot]), at, known)
+            to[k] = self.measured(int(at[pivot]), at)
             least = to[: k + 1].min(0)
             pivot = int(least.argmax())
         for region, window in voronoi(to, self.near):
