@@ -215,9 +215,11 @@ class Cluster:
             to[k] = self.measured(int(at[pivot]), at)
             least = to[: k + 1].min(0)
             pivot = int(least.argmax())
-        for region, window in voronoi(to, self.near):
-            if region.any():
-                self.leaf(at[window]) if window.sum() > 0.8 * len(at) else self.join(at[window])
+        windows = [window for region, window in voronoi(to, self.near) if region.any()]
+        if max(window.sum() for window in windows) > 0.8 * len(at):  # regions that do not shrink: one pass over all
+            return self.leaf(at)
+        for window in windows:
+            self.join(at[window])
         return None
 
     def forest(self) -> np.ndarray:
