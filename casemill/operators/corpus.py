@@ -18,8 +18,8 @@ SIZE, OVERLAP = 512, 50
 HEADING = re.compile(r"(?im)^(?:secci[oó]n|art[ií]culo|cl[aá]usula)\b[^\r\n]*")
 #: The same where a word begins, indented or not: a chunk may end before it.
 OPENING = re.compile(HEADING.pattern.replace("^", "", 1))
-#: The namespace and the name of chunk ids.
-CHUNK_IDS, CHUNK_NAME = "6ba7b811-9dad-11d1-80b4-00c04fd430c8", "riesgo-legal:RAG_INDEX_FRAGMENT:v1:bge-m3:d1024:c512:o50:lex-nfkc-casefold-alnum-v1"
+#: Fixed value: the namespace of chunk ids.  The name's first part is the caller's, who may have older ids to keep.
+CHUNK_IDS, CHUNK_NAME = "6ba7b811-9dad-11d1-80b4-00c04fd430c8", "index-fragment:v1:c512:o50"
 
 
 def chunk_fixed(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -114,13 +114,13 @@ def with_token_offsets(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(each, layout)
 
 
-def build_index(versions: DataFrame, vectors: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(chunks, terms, certificates) of versions (doc_id, version_id, text): structural chunks with ids from version and place, their vectors (doc_id, ordinal, embedding), lexemes, and what vouches for them.
+def build_index(versions: DataFrame, vectors: DataFrame, width: int, domain: str = CHUNK_NAME) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chunks, terms, certificates) of versions (doc_id, version_id, text): structural chunks with ids from domain, version and place, their vectors (doc_id, ordinal, embedding), lexemes, and what vouches for them.
 
     A vector that is missing or not valid leaves its chunk without one; the certificate tells.
     """
     x = chunk_structural(versions).join(versions.select("doc_id", "version_id"), "doc_id")
-    name = F.concat_ws(":", F.lit(CHUNK_NAME), F.lower("version_id"), F.col("ordinal").cast("string"))
+    name = F.concat_ws(":", F.lit(domain), F.lower("version_id"), F.col("ordinal").cast("string"))
     good = vectors.where(valid_vector(F.col("embedding"), width)).select("doc_id", "ordinal", "embedding")
     chunks = x.withColumn("chunk_id", uuid5(CHUNK_IDS, name)).join(good, ["doc_id", "ordinal"], "left").withColumn("embedded", F.col("embedding").isNotNull())
     terms = term_index(chunks)
