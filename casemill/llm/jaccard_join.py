@@ -8,8 +8,9 @@ are 1 or nearly so, before pivots work:
    `least` / `of` of its shingles is in others too; all others are done.
 2. Documents with equal sets are one point; links between them are certain.
 3. Two linked sets share one of the n - ceil(n * least / of) + 1 rarest shingles of each, in any one
-   order of all shingles.  Points that share such a shingle, directly or through others, are a cluster;
-   no link leaves it.
+   order of all shingles.  Points that share such a shingle and whose sketches, counts of shingles by
+   part of the hash space, differ by no more than linked sets can, directly or through others, are a
+   cluster; no link leaves it.
 4. A cluster is joined recursively.  Some points become pivots, every point belongs to the Voronoi region
    of the nearest one, those at distance 1 from all pivots to an outer region.  A point is copied into
    the window of another region if its distance to that pivot is within twice the link distance of its
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import md5
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,8 @@ HELD = 8
 ROUNDS = 3
 #: Cells, as bits, of the counts by which shingles are ordered; any counts give exact results.
 CELL_BITS = 22
+#: Parts of a sketch, and points with one shingle in common whose sketches are compared; more are a cluster as they are.
+PARTS, SKETCHED = 64, 2000
 
 
 def shingles(s: Slice, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +140,7 @@ def _levels(sets: DataFrame):
 
 
 def _signatures(sets: DataFrame, least: int, of: int) -> DataFrame:
-    """(sig, point): the rarest shingles of each point, those that any linked point must share one of."""
+    """(sig, point, n, sketch): the rarest shingles of each point, those that any linked point must share one of; and how many of its shingles are in each part of the hash space, 255 at most."""
     levels = _levels(sets)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,9 +155,58 @@ def _signatures(sets: DataFrame, least: int, of: int) -> DataFrame:
             turn = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
             # level 1: nothing else is in the shingle's cell
             keep = (turn < (n - least_shared(n, least, of) + 1)[doc]) & (level[order] > 1)
-            yield pa.RecordBatch.from_arrays([pa.array(h[order[keep]].astype(np.int64)), batch.column("point").take(pa.array(doc[keep]))], ["sig", "point"])
+            parts = np.minimum(np.bincount(doc * PARTS + (h >> U(58)).astype(np.int64), minlength=PARTS * len(n)), 255).astype(np.uint8).reshape(-1, PARTS)
+            sketch = pa.array([x.tobytes() for x in parts], pa.binary())
+            at = pa.array(doc[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(h[order[keep]].astype(np.int64)), batch.column("point").take(at), batch.column("n").take(at), sketch.take(at)], ["sig", "point", "n", "sketch"])
+
+    return sets.select("point", "n", "shingles").mapInArrow(each, "sig long, point long, n long, sketch binary")
+
+
+def _edges(marks: DataFrame, least: int, of: int) -> DataFrame:
+    """(a, b): edges that connect the points of each sig (a sig, point, n, sketch a row) whose sketches do not rule a link out."""
+
+    def told(sig: np.ndarray, point: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # sets that differ in d shingles have sketches that differ by d at most
+        near = lambda i, j: np.abs(sketch[i] - sketch[j]).sum(-1) * (of + least) <= (n[i] + n[j]) * (of - least)
+        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        size = np.diff(np.append(first, len(sig)))
+        two = first[size == 2]
+        two = two[near(two, two + 1)]
+        a, b = [point[two]], [point[two + 1]]
+        for f, m in zip(first[size > 2], size[size > 2]):
+            at = np.arange(f, f + m)
+            root = np.arange(m)
+            for i in range(m - 1):
+                rest = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+                for j in rest[near(at[i], at[rest])] if len(rest) else ():
+                    if root[j] != root[i]:
+                        low, high = sorted((root[i], root[j]))
+                        root[root == high] = low
+            some = root != np.arange(m)
+            a.append(point[at[root[some]]])
+            b.append(point[at[some]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return sets.select("point", "n", "shingles").mapInArrow(each, "sig long, point long")
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                t = pa.Table.from_batches([batch])
+                t = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
+            elif held is None:
+                return
+            else:
+                t = held
+            sig = t.column("sig").to_numpy()
+            last = len(sig) if batch is None else int(np.searchsorted(sig, sig[-1])) if len(sig) else 0
+            if last:
+                x = t.slice(0, last)
+                sketch = np.frombuffer(b"".join(x.column("sketch").to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int16)
+                yield from told(sig[:last], x.column("point").to_numpy(), x.column("n").to_numpy(), sketch)
+            held = t.slice(last)
+
+    return marks.repartition("sig").sortWithinPartitions("sig", "point").mapInArrow(each, "a long, b long")
 
 
 class Cluster:
@@ -370,8 +423,10 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sizes = stage(sizes, "sizes", facts)
 
     marks = stage(_signatures(sets, least, of), "signatures")
-    shared = stage(marks.groupBy("sig").agg(F.min("point").alias("a"), F.count("*").alias("n")).where("n > 1"), "shared")
-    edges = hot_join(marks, shared, "sig", "n").select("a", F.col("point").alias("b")).where("a <> b").distinct()
+    shared = stage(marks.groupBy("sig").agg(F.min("point").alias("a"), F.count("*").alias("many")).where("many > 1"), "shared")
+    met = hot_join(marks, shared, "sig", "many")
+    star = met.where(F.col("many") > SKETCHED).select("a", F.col("point").alias("b")).where("a <> b")
+    edges = _edges(met.where(F.col("many") <= SKETCHED).select("sig", "point", "n", "sketch"), least, of).unionByName(star).distinct()
     clusters = components(edges).select(F.col("id").alias("point"), F.col("component").alias("cluster"))
     discard(marks, shared)
     clusters = stage(clusters.join(stats.where("id = point").select("point", "n"), "point"), "clusters")
