@@ -20,10 +20,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casemill.llm.shared import BROADCAST_BYTES, discard, hot_join, small_or_join, stage, unique_ids
+from casemill.llm.shared import discard, hot_join, keyed, small_or_join, stage
 
 #: Line ends as documents have them.
 LINE_END = "\n"
+#: Largest side that is broadcast, in bytes: each round has its own, so they are small.
+LIMIT = 16 << 20
 
 
 def _ranked(keys: DataFrame, by: list[str]) -> DataFrame:
@@ -33,9 +35,9 @@ def _ranked(keys: DataFrame, by: list[str]) -> DataFrame:
 
 def _of_class(rows: DataFrame, n_rows: int, classes: DataFrame, on: list[str], how: str) -> DataFrame:
     """rows with their classes (column n: rows of each); there are no more classes than rows."""
-    if n_rows * 96 <= BROADCAST_BYTES:
+    if n_rows * 96 <= LIMIT:
         return rows.join(F.broadcast(classes), on, how)
-    return hot_join(rows, stage(classes, "classes"), on, "n", how, row_bytes=96)
+    return hot_join(rows, stage(classes, "classes"), on, "n", how, row_bytes=96, limit=LIMIT)
 
 
 def _place() -> F.Column:
@@ -51,7 +53,7 @@ def suffix_intervals(texts: DataFrame, rounds: int = 40) -> list[DataFrame]:
         on = ["rank"] if not k else ["rank", "next"]
         classes = names.groupBy(*on).agg(F.min(_place()).alias("first"), F.count("*").alias("n")).where("n > 1")
         classes = _ranked(classes, on)
-        now = hot_join(names, classes, on, "n", row_bytes=96).select("id", "pos", F.col("interval").alias("rank"), "first")
+        now = hot_join(names, classes, on, "n", row_bytes=96, limit=LIMIT).select("id", "pos", F.col("interval").alias("rank"), "first")
         out.append(stage(now, "suffixes", classes))
         if k and out[-1].isEmpty():
             return out[:-1]
@@ -106,15 +108,21 @@ def longest_earlier(texts: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, unique: bool = False) -> DataFrame:
-    """One row per distinct id: id, n_lines, n_removed, n_runs and longest (the maximal repeated runs that go: their number and the lines of the longest), kept (the remaining lines, joined as before).
+    """One row per row of docs: id, n_lines, n_removed, n_runs and longest (the maximal repeated runs that go: their number and the lines of the longest), kept (the remaining lines, joined as before).
 
     Lines are the parts between newlines; an empty text has one empty line.  A run of lines goes if it
     occurred earlier, by id and line, and has min_chars characters or more, newlines between its lines
-    included.  A line's first occurrence always stays.  Null texts are empty; rows with a null id are left
-    out; rows that repeat an id are one document, the one with the greatest text; unique: there are none of
-    these, as the caller knows.  Extra columns are ignored.  An empty table gives an empty table.
+    included.  A line's first occurrence always stays.  Null texts are empty.  Rows with null ids come last;
+    rows that repeat an id are documents of their own, in the order of their contents.  unique: ids are whole
+    numbers, none null and no two alike, as the caller knows.  Extra columns are ignored.  An empty table
+    gives an empty table.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")) if unique else unique_ids(docs, id_col, text_col)
+    if not unique:
+        rows = keyed(docs.select(id_col, text_col), id_col)
+        if hasattr(rows, "staged_at"):
+            done = stage(dedup_lines(rows, "__row", text_col, min_chars, unique=True), "lines")
+            return stage(done.join(rows.select("__row", id_col), "__row").select(id_col, *done.columns[1:]), "lines", done, rows)
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     earlier = longest_earlier(texts)
     # runs inside another run add nothing
     before = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -125,10 +133,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     none = F.array().cast("array<struct<a:int,b:int>>")
     long = lambda r: F.aggregate(F.slice("lines", r["a"] + 1, r["b"] - r["a"]), F.lit(-1), lambda n, line: n + F.length(line) + 1) >= min_chars
     x = x.withColumn("runs", F.coalesce(F.filter("runs", long), none))
-    # overlapping runs as one stretch
-    last = lambda t: F.element_at(t, -1)
-    joined = lambda t, r: F.concat(F.slice(t, F.lit(1), F.size(t) - 1), F.array(F.struct(last(t)["a"].alias("a"), F.greatest(last(t)["b"], r["b"]).alias("b"))))
-    x = x.withColumn("gone", F.aggregate("runs", none, lambda t, r: F.when((F.size(t) > 0) & (r["a"] <= F.try_element_at(t, F.lit(-1))["b"]), joined(t, r)).otherwise(F.concat(t, F.array(r)))))
+    # overlapping runs as one stretch: their starts and ends both rise, so a stretch begins behind a gap and ends before one
+    opens = F.filter("runs", lambda r, i: F.coalesce(r["a"] > F.get("runs", i - 1)["b"], F.lit(True)))
+    closes = F.filter("runs", lambda r, i: F.coalesce(r["b"] < F.get("runs", i + 1)["a"], F.lit(True)))
+    x = x.withColumn("gone", F.zip_with(opens, closes, lambda r, t: F.struct(r["a"].alias("a"), t["b"].alias("b"))))
     # kept stretches: from each end to the next start
     spans = F.zip_with(F.concat(F.array(F.lit(0)), F.transform("gone", lambda r: r["b"])), F.concat(F.transform("gone", lambda r: r["a"]), F.array(F.size("lines"))), lambda a, b: F.slice("lines", a + 1, b - a))
     return x.select(

@@ -58,7 +58,7 @@ def made(seed):
 @pytest.mark.parametrize("limit", [1 << 26, -1])
 def test_longest_earlier(spark, monkeypatch, limit):
     monkeypatch.setattr(shared, "BROADCAST_BYTES", limit)
-    monkeypatch.setattr("casemill.llm.line_dedup.BROADCAST_BYTES", limit)
+    monkeypatch.setattr("casemill.llm.line_dedup.LIMIT", limit)
     rows = made(limit > 0)
     got = {(r.id, r.pos): r.lines for r in longest_earlier(spark.createDataFrame(rows, "id long, text string")).collect()}
     want = earlier(rows)
@@ -69,7 +69,7 @@ def test_lines(spark):
     long = "\n".join(f"line {i % 37} of a long text" for i in range(500))
     rows = [(1, "a\nb\nc"), (2, "b\nc\na"), (3, None), (4, ""), (5, "a"), (6, "a\na\na\na"), (7, "this is a line of some length\nz"), (8, "y\nthis is a line of some length"), (9, "a\nb\nc\nnew\n\n"), (10, long), (11, long), (12, "q\n" + long)]
     rows += [(20, "\n".join("abcdefghijk")), (21, "\n".join("abcdefghijk")), (22, "\n".join("abcdefgxhijk")), (23, "x\n" * 40)]
-    df = spark.createDataFrame([(*r, "clash", 1) for r in rows] + [(None, "a\nb", None, None), (2, "b\nc\na", "clash", None)], "doc_id long, text string, line string, pos int")
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, line string, pos int")
     want = brute(rows, 20)
     assert sorted(tuple(r) for r in dedup_lines(df).collect()) == want
     by = {w[0]: w for w in want}
@@ -78,6 +78,26 @@ def test_lines(spark):
     assert dedup_lines(df.where("1 = 0")).collect() == []
 
 
+def test_every_row_is_a_document(spark):
+    text = "this is a line of some length\nand here is another one\nshort"
+    rows = [(1, "a"), (2, text), (2, text), (3, "x\n" + text), (None, text), (None, text), (4, None), (4, None)]
+    got = [tuple(r) for r in dedup_lines(spark.createDataFrame(rows, "doc_id int, text string")).collect()]
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))
+    want = [(rows[order[place]][0], *rest) for place, *rest in brute([(place, rows[k][1]) for place, k in enumerate(order)], 20)]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    assert sorted(got, key=key) == sorted(want, key=key) and len(got) == 8
+    # ids of any type
+    named = spark.createDataFrame([("b", text), ("a", text), ("c", "z")], "doc_id string, text string")
+    assert {r.doc_id: r.n_removed for r in dedup_lines(named).collect()} == {"a": 0, "b": 3, "c": 0}
+
+
+def test_very_many_runs(spark):
+    lines = [f"line {k % 50} of a list with many runs" for k in range(400)]
+    text = "\n".join(x for k, line in enumerate(lines) for x in (line, f"own {k}"))
+    rows = [(1, "\n".join(lines[:50])), (2, text)]
+    assert sorted(tuple(r) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute(rows, 20)
+
+
 def test_sql(spark):
     at = "/root/testdata/sf0.01"
     con = duckdb.connect()
