@@ -23,6 +23,7 @@ are 1 or nearly so, before pivots work:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import md5
 from itertools import chain
@@ -34,12 +35,12 @@ from pyspark.sql import functions as F
 
 from casemill.llm.arrays import Slice, U, groups_of, slices, span_hash, tokens, words_window
 from casemill.llm.repeats import broadcast_filter, filter_rows, repeated_places
-from casemill.llm.shared import BROADCAST_BYTES, components, discard, hot_join, small_or_join, stage, unique_ids
+from casemill.llm.shared import BROADCAST_BYTES, components, discard, hot_join, keyed, small_or_join, stage
 
 #: Points times shingles of a cluster that one task takes.
 CLUSTER_WORK = 400_000_000
 #: Points of a region that are measured without further pivots, and pivots of a larger one.
-LEAF, PIVOTS = 128, 16
+LEAF, PIVOTS = 4, 16
 #: Earlier pivots whose distances are held against a new one.
 HELD = 8
 #: Rounds of regions that Spark deals, before blocks.
@@ -262,9 +263,10 @@ class Cluster:
             return self.leaf(at)
         if (self.part[at] == self.part[at[0]]).all():
             return None
-        to = np.full((PIVOTS, len(at)), 2.0)
+        pivots = min(PIVOTS, 1 + math.isqrt(len(at)))
+        to = np.full((pivots, len(at)), 2.0)
         pivot = 0
-        for k in range(PIVOTS):  # each new pivot is the point farthest from those before
+        for k in range(pivots):  # each new pivot is the point farthest from those before
             to[k] = self.measured(int(at[pivot]), at)
             least = to[: k + 1].min(0)
             pivot = int(least.argmax())
@@ -393,20 +395,27 @@ def _links(clusters: DataFrame, sets: DataFrame, least: int, of: int) -> DataFra
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: int = 80, of: int = 100, limit: int = BROADCAST_BYTES, unique: bool = False) -> DataFrame:
-    """One row per distinct id: id, n_shingles, component_id.
+    """One row per row of docs: id, n_shingles, component_id.
 
     A-Z count as a-z; words are runs of characters other than space and \\x09-\\x0D.  A set is the
     distinct shingles of `words` words, or the whole sequence of a shorter text; texts without words
     are empty and link with nothing.  Two documents link when of * |both| >= least * |either|;
-    component_id is the smallest id reachable by links, the own one included.  Ids are integers; rows
-    with a null id are left out; rows that repeat an id are one document, the one with the greatest
-    text.  Null texts are empty.  Extra columns are ignored.  An empty table gives an empty table.
-    unique: no id is null or repeated, as the caller knows.
+    component_id is the smallest id reachable by links, the own one included, null if all are.  Ids are
+    integers; rows with null ids and rows that repeat an id are documents of their own.  Null texts are
+    empty.  Extra columns are ignored.  An empty table gives an empty table.  unique: no id is null or
+    repeated, as the caller knows.
     Shingles are compared by 64-bit hashes, two documents at a time, equal sets by 128 bits.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if not unique:
-        own = unique_ids(own, "id", "text")
+        rows = keyed(own, "id")
+        if hasattr(rows, "staged_at"):
+            linked = stage(link_documents(rows, "__row", "text", words, least, of, limit, unique=True), "linked")
+            # rows are numbered in the order of their ids, null last
+            many = linked.groupBy("component_id").agg(F.count("*").alias("many"))
+            low = stage(rows.select(F.col("__row").alias("component_id"), F.col("id").alias("low")).join(many, "component_id"), "low")
+            named = hot_join(linked.join(rows.select("__row", "id"), "__row"), low, "component_id", "many")
+            return stage(named.select(F.col("id").alias(id_col), "n_shingles", F.col("low").alias("component_id")), "linked", linked, low, rows)
     # of equal texts the one with the smallest id goes on
     own = own.withColumn("key", F.unhex(F.md5("text")))
     copies = stage(own.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "copies")

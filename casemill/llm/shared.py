@@ -71,16 +71,6 @@ def keyed(docs: DataFrame, id_col: str, name: str = "__row") -> DataFrame:
     return stage(docs.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(name, F.monotonically_increasing_id()), "keyed")
 
 
-def unique_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text) with one row per id: of rows that repeat an id, the greatest text; rows with a null id are left out; null texts are empty."""
-    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    repeated = stage(own.select("id").groupBy("id").count().where("count > 1").select("id"), "repeated")
-    n = repeated.count()
-    if not n:
-        return own
-    return small_or_join(own, repeated, "id", "left_anti", 16, n).unionByName(small_or_join(own, repeated, "id", "left_semi", 16, n).groupBy("id").agg(F.max("text").alias("text")))
-
-
 def buckets_for(spark: SparkSession, least: int = 64) -> int:
     """A power of two, at least four times the shuffle partitions, so that buckets spread evenly over tasks."""
     n = max(least, 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
