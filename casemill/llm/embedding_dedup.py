@@ -96,8 +96,8 @@ def near_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     shared = small_or_join(rows.select("node", "size", "label", "vector", "cells", F.posexplode("cells").alias("t", "cell")), counts, ["label", "t", "cell"], "inner", 64, total)
     blocks = F.ceil(F.col("n") / block_rows).cast("int")
     placed = shared.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.select("label", "t", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "vector", "cells")
-    keys = ["label", "t", "cell", "i", "j"]
+    placed = placed.select("label", "t", "cell", F.size("vector").alias("width"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "size", "vector", "cells")
+    keys = ["label", "t", "cell", "width", "i", "j"]  # vectors of two widths may share a cell by chance
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -119,7 +119,7 @@ def near_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
             cell = cell[int(tabs.offsets[0].as_py()) // tables :][: len(t)]
             out: tuple[list, list, list] = ([], [], [])
             for a, b in zip(cut, ends):
-                if b - a < 2 or len({*np.diff(off[a : b + 1])}) > 1:
+                if b - a < 2:
                     continue
                 x = flat[off[a] : off[b]].reshape(b - a, -1)
                 x = x / np.abs(x).max(1, keepdims=True)
