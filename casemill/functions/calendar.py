@@ -23,6 +23,11 @@ def month_index(day: Column) -> Column:
     return F.year(day) * 12 + F.month(day) - 1
 
 
+def month_of(index: Column) -> Column:
+    """The first day of a month, from its index."""
+    return F.make_date(F.floor(index / 12).cast("int"), (index % 12 + 1).cast("int"), F.lit(1))
+
+
 def utc_date(moment: Column) -> Column:
     """Calendar day; the session's time zone is UTC."""
     return F.to_date(moment)

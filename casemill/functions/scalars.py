@@ -105,9 +105,14 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def finite_vector(v: Column) -> Column:
+    """Not null, without null or non-finite parts, and not all zero."""
+    return F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
 def valid_vector(v: Column, width: int) -> Column:
     """Of the given length, finite, and not all zero."""
-    return F.coalesce((F.size(v) == width) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
+    return F.coalesce(F.size(v) == width, F.lit(False)) & finite_vector(v)
 
 
 def reciprocal_rank(*ranks: Column) -> Column:

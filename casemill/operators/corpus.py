@@ -5,13 +5,16 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casemill.functions.ids import text_sha256, uuid5
 from casemill.functions.scalars import lexemes, valid_vector
+from casemill.operators.postings import write
+from casemill.operators.spans import page_ranges
 
 SIZE, OVERLAP = 512, 50
 #: Fixed value: lines that open a section, an article or a clause.
@@ -64,30 +67,33 @@ def structural_bounds(text: str, offsets: list[tuple[int, int]], size: int, over
     return out
 
 
+def structural_chunks(text: str, size: int = SIZE, overlap: int = OVERLAP) -> Iterator[tuple]:
+    """(ordinal, token_count, section, clause, content, start, end) of a text's chunks."""
+    offsets = token_offsets(text)
+    heads = [(m.start(), m.group(0).strip()) for m in HEADING.finditer(text)]
+    places = [h[0] for h in heads]
+    for k, (a, b) in enumerate(structural_bounds(text, offsets, size, overlap)):
+        lo, hi = offsets[a][0], offsets[b - 1][1]
+        i = bisect_right(places, lo - 1)  # the first heading inside, else the last one before
+        head = heads[i][1] if i < len(heads) and places[i] < hi else heads[i - 1][1] if i else None
+        clause = head is not None and head.casefold().startswith("cláusula")
+        yield k, b - a, None if clause else head, head if clause else None, text[lo:hi], lo, hi
+
+
 def chunk_structural(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, ordinal, token_count, section, clause, content): windows that end where the text's structure does.
+    """(doc_id, ordinal, token_count, section, clause, content, start, end): windows that end where the text's structure does; start and end are their places in the text.
 
     Each end depends on the one before, so a document is cut in one go; documents are spread by Spark.
     """
+    names = ["ordinal", "token_count", "section", "clause", "content", "start", "end"]
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for doc, text in zip(frame["doc_id"], frame["text"]):
-                text = text or ""
-                offsets = token_offsets(text)
-                heads = [(m.start(), m.group(0).strip()) for m in HEADING.finditer(text)]
-                places = [h[0] for h in heads]
-                for k, (a, b) in enumerate(structural_bounds(text, offsets, size, overlap)):
-                    lo, hi = offsets[a][0], offsets[b - 1][1]
-                    i = bisect_right(places, lo - 1)  # the first heading inside, else the last one before
-                    head = heads[i][1] if i < len(heads) and places[i] < hi else heads[i - 1][1] if i else None
-                    clause = head is not None and head.casefold().startswith("cláusula")
-                    rows.append((doc, k, b - a, None if clause else head, head if clause else None, text[lo:hi]))
-            yield pd.DataFrame(rows, columns=["doc_id", "ordinal", "token_count", "section", "clause", "content"])
+            rows = [(doc, *chunk) for doc, text in zip(frame["doc_id"], frame["text"]) for chunk in structural_chunks(text or "", size, overlap)]
+            yield pd.DataFrame(rows, columns=["doc_id", *names])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(cut, f"doc_id {kind}, ordinal int, token_count int, section string, clause string, content string")
+    return docs.select("doc_id", "text").mapInPandas(cut, f"doc_id {kind}, ordinal int, token_count int, section string, clause string, content string, start int, end int")
 
 
 def structural_metadata(docs: DataFrame) -> DataFrame:
@@ -114,29 +120,46 @@ def with_token_offsets(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(each, layout)
 
 
-def build_index(versions: DataFrame, vectors: DataFrame, width: int, domain: str = CHUNK_NAME) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(chunks, terms, certificates) of versions (doc_id, version_id, text): structural chunks with ids from domain, version and place, their vectors (doc_id, ordinal, embedding), lexemes, and what vouches for them.
+@dataclass(frozen=True)
+class IndexContract:
+    """What an index was built by; a corpus is searched only where its certificates name the same."""
 
-    A vector that is missing or not valid leaves its chunk without one; the certificate tells.
-    """
-    x = chunk_structural(versions).join(versions.select("doc_id", "version_id"), "doc_id")
-    name = F.concat_ws(":", F.lit(domain), F.lower("version_id"), F.col("ordinal").cast("string"))
-    good = vectors.where(valid_vector(F.col("embedding"), width)).select("doc_id", "ordinal", "embedding")
-    chunks = x.withColumn("chunk_id", uuid5(CHUNK_IDS, name)).join(good, ["doc_id", "ordinal"], "left").withColumn("embedded", F.col("embedding").isNotNull())
-    terms = term_index(chunks)
-    return chunks, terms, build_certificates(chunks, terms, versions)
+    version: str = "index-v1"
+    model: str = "model-v1"
+    width: int = 64
+    size: int = SIZE
+    overlap: int = OVERLAP
+    domain: str = CHUNK_NAME
 
 
-def page_range(start: Column, end: Column, pages: Column) -> Column:
-    """(first, last) page of an array of (page, start, end) that a character span touches; nulls for none."""
-    hit = F.filter(pages, lambda p: (p["start"] < end) & (p["end"] > start))
-    numbers = F.transform(hit, lambda p: p["page"])
-    return F.struct(F.array_min(numbers).alias("first"), F.array_max(numbers).alias("last"))
+@dataclass
+class Index:
+    """chunks: chunk_id, doc_id, version_id, ordinal, token_count, section, clause, content, page_start, page_end, embedding, embedded.  terms: chunk_id, lexeme, tf.  receipts: chunk_id, version_id, contract, lexical_terms.  certificates: a row a version."""
 
+    chunks: DataFrame
+    terms: DataFrame
+    receipts: DataFrame
+    certificates: DataFrame
 
-def section_for(start: Column, sections: Column) -> Column:
-    """The first section of an array of (name, start, end) that holds a place."""
-    return F.get(F.filter(sections, lambda s: (s["start"] <= start) & (start < s["end"])), F.lit(0))["name"]
+
+def build_index(versions: DataFrame, vectors: DataFrame, path: str, contract: IndexContract = IndexContract(), pages: DataFrame | None = None) -> Index:
+    """The index of versions (doc_id, version_id, text): structural chunks with ids from the contract's domain, version and place, their pages (doc_id, page, start, end), vectors (doc_id, ordinal, embedding) and lexemes, a receipt for each chunk, and what vouches for a version.
+
+    A vector that is missing or not valid leaves its chunk without one; the certificate tells.  Texts are
+    cut once and chunks tokenised once: both are written under path.
+    """
+    cut = write(chunk_structural(versions, contract.size, contract.overlap).join(versions.select("doc_id", "version_id"), "doc_id"), f"{path}/cut")
+    if pages is not None:
+        cut = page_ranges(cut, pages, key="ordinal").withColumnsRenamed({"first_page": "page_start", "last_page": "page_end"})
+    else:
+        cut = cut.withColumns({"page_start": F.lit(None).cast("int"), "page_end": F.lit(None).cast("int")})
+    name = F.concat_ws(":", F.lit(contract.domain), F.lower("version_id"), F.col("ordinal").cast("string"))
+    good = vectors.where(valid_vector(F.col("embedding"), contract.width)).select("doc_id", "ordinal", "embedding")
+    chunks = cut.drop("start", "end").withColumn("chunk_id", uuid5(CHUNK_IDS, name)).join(good, ["doc_id", "ordinal"], "left").withColumn("embedded", F.col("embedding").isNotNull())
+    chunks = write(chunks, f"{path}/chunks")
+    terms = write(term_index(chunks), f"{path}/terms")
+    receipts = write(index_receipts(chunks, terms, contract.version), f"{path}/receipts")
+    return Index(chunks, terms, receipts, write(build_certificates(chunks, receipts, versions, contract), f"{path}/certificates"))
 
 
 def term_index(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -144,24 +167,54 @@ def term_index(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     return chunks.select(key, F.explode(lexemes(F.col("content"))).alias("lexeme")).groupBy(key, "lexeme").agg(F.count("*").alias("tf"))
 
 
-def build_certificates(chunks: DataFrame, terms: DataFrame, texts: DataFrame) -> DataFrame:
-    """Per document: chunks, chunks with an embedding, chunks without a lexeme, and the text's digest. chunks: chunk_id, doc_id, ordinal, embedded."""
-    have = terms.select("chunk_id").distinct().withColumn("has", F.lit(True))
-    n = chunks.join(have, "chunk_id", "left").groupBy("doc_id").agg(F.count("*").alias("chunks"), F.count_if("embedded").alias("embedded"), F.count_if(F.col("has").isNull()).alias("without_terms"))
-    return n.join(texts.select("doc_id", text_sha256(F.coalesce("text", F.lit(""))).alias("text_sha256")), "doc_id")
-
-
-def validate_certificates(certificates: DataFrame, chunks: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc_id, violation): ordinals that are not 0 .. n-1, counts or digests that differ."""
-    own = chunks.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("ordinal").alias("d"), F.max("ordinal").alias("top"), F.count_if("embedded").alias("e"))
-    x = certificates.join(own, "doc_id", "left").join(texts.select("doc_id", text_sha256(F.coalesce("text", F.lit(""))).alias("now")), "doc_id", "left")
-    rules = F.array(
-        F.when(~F.coalesce((F.col("n") == F.col("d")) & (F.col("top") == F.col("n") - 1), F.lit(False)), "ORDINALS"),
-        F.when(~F.coalesce(F.col("chunks") == F.col("n"), F.lit(False)), "CHUNK_COUNT"),
-        F.when(~F.coalesce(F.col("embedded") == F.col("e"), F.lit(False)), "EMBEDDED_COUNT"),
-        F.when(~F.col("text_sha256").eqNullSafe(F.col("now")), "TEXT_CHANGED"),
-    )
-    return x.select("doc_id", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("violation"))
+def index_receipts(chunks: DataFrame, terms: DataFrame, contract: str) -> DataFrame:
+    """(chunk_id, version_id, contract, lexical_terms): each chunk's number of different lexemes, 0 for one that was read and has none."""
+    n = terms.groupBy("chunk_id").agg(F.count("*").alias("n"))
+    return chunks.select("chunk_id", "version_id").join(n, "chunk_id", "left").select("chunk_id", "version_id", F.lit(contract).alias("contract"), F.coalesce("n", F.lit(0)).alias("lexical_terms"))
+
+
+def build_certificates(chunks: DataFrame, receipts: DataFrame, versions: DataFrame, contract: IndexContract = IndexContract()) -> DataFrame:
+    """Per version: its contract and model, the numbers of chunks, of embedded ones, of receipts and of those without a lexeme, and the text's digest. chunks: chunk_id, version_id, embedded."""
+    x = chunks.select("chunk_id", "version_id", "embedded").join(receipts.select("chunk_id", "lexical_terms"), "chunk_id", "left")
+    n = x.groupBy("version_id").agg(F.count("*").alias("chunks"), F.count_if("embedded").alias("embedded"), F.count("lexical_terms").alias("lexical"), F.count_if(F.col("lexical_terms") == 0).alias("without_terms"))
+    own = versions.select("doc_id", "version_id", text_sha256(F.coalesce("text", F.lit(""))).alias("text_sha256"))
+    c = contract
+    fixed = {"contract": c.version, "model": c.model, "dimensions": c.width, "chunk_size": c.size, "chunk_overlap": c.overlap}
+    return n.join(own, "version_id").withColumns({k: F.lit(v) for k, v in fixed.items()})
+
+
+def validate_certificates(certificates: DataFrame, chunks: DataFrame, receipts: DataFrame, terms: DataFrame, versions: DataFrame) -> DataFrame:
+    """(version_id, violation) of certificates that do not fit what is there.
+
+    versions (version_id, text, state): the text is there, is ready and has the certified digest.  chunks
+    (chunk_id, version_id, ordinal, embedded): ordinals 0 .. n-1 once each, and the certified numbers.
+    receipts (chunk_id, contract, lexical_terms): one for each chunk, of the certificate's contract, with as
+    many lexemes as terms (chunk_id, lexeme) has.
+    """
+    have = terms.groupBy("chunk_id").agg(F.count("*").alias("have"))
+    told = receipts.select("chunk_id", "contract", "lexical_terms").withColumnRenamed("contract", "receipt")
+    x = chunks.select("chunk_id", "version_id", "ordinal", "embedded").join(told, "chunk_id", "left").join(have, "chunk_id", "left")
+    x = x.join(certificates.select("version_id", "contract"), "version_id")
+    odd = F.col("lexical_terms").isNull() | (F.col("receipt") != F.col("contract"))
+    own = x.groupBy("version_id").agg(
+        F.count("*").alias("n"), F.countDistinct("ordinal").alias("d"), F.min("ordinal").alias("low"), F.max("ordinal").alias("top"), F.count_if("embedded").alias("e"), F.count("lexical_terms").alias("r"),
+        F.count_if(F.col("lexical_terms") == 0).alias("z"), F.count_if(F.coalesce(odd, F.lit(True))).alias("bad"), F.count_if(F.col("lexical_terms") != F.coalesce("have", F.lit(0))).alias("off"),
+    )
+    now = versions.select("version_id", F.col("text").isNotNull().alias("there"), "state", text_sha256(F.coalesce("text", F.lit(""))).alias("now"))
+    x = certificates.join(own, "version_id", "left").join(now, "version_id", "left")
+    fits = {
+        "SOURCE_STATE": F.col("there") & (F.col("state") == "LISTA"),
+        "TEXT_CHANGED": F.col("text_sha256") == F.col("now"),
+        "ORDINALS": (F.col("n") == F.col("d")) & (F.col("low") == 0) & (F.col("top") == F.col("n") - 1),
+        "CHUNK_COUNT": F.col("chunks") == F.col("n"),
+        "EMBEDDED_COUNT": F.col("embedded") == F.col("e"),
+        "RECEIPT_COUNT": F.col("lexical") == F.col("r"),
+        "ZERO_LEXEMES": F.col("without_terms") == F.col("z"),
+        "RECEIPT_CONTRACT": F.col("bad") == 0,
+        "RECEIPT_TERMS": F.col("off") == 0,
+    }
+    broken = F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in fits.items()])
+    return x.select("version_id", F.explode(F.filter(broken, lambda r: r.isNotNull())).alias("violation"))
 
 
 def compare_index(existing: DataFrame, new: DataFrame) -> DataFrame:

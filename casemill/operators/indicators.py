@@ -1,16 +1,18 @@
 """Monthly indicators for a table of requests.
 
-Requests have period_start, period_end (one calendar month each) and as_of, the cut date; they are few,
-a row a month, and are broadcast after a check by the caller's data model.  Entities are first reduced
-to a row per day or month and group, so the join never meets raw rows.  Results: code, period_start,
-period_end, as_of, dims (canonical JSON), value (decimal or null) and availability.
+Requests have period_start, period_end (one calendar month each) and as_of, the cut date.  Each table of
+entities is read once and becomes facts, a row per code, group and day or month, so requests never meet raw
+rows.  What counts between two dates is a difference array: it adds one where it begins and takes one where
+it ends, and a prefix sum over the calendar has the count of every cut date.  All indicators are then
+answered by one join on equality.  Results: code, period_start, period_end, as_of, dims (canonical JSON),
+value (decimal or null) and availability.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casemill.functions.scalars import LOW_CONFIDENCE, SEVERITIES
@@ -20,107 +22,147 @@ ROUTING = {"CONTRATO": ["KPI-RC-01", "KPI-RC-03"], "LITIGIO": ["KPI-LI-01", "KPI
 SNAPSHOT_CODES = ["KPI-RC-03", "KPI-LI-01", "KPI-CN-02"]
 CODES = ["KPI-CD-03", "KPI-CN-02", "KPI-CN-03", "KPI-EO-01", "KPI-LI-01", "KPI-LI-05", "KPI-RC-01", "KPI-RC-03"]
 KEY = ["period_start", "period_end", "as_of"]
-MAX_REQUESTS = 100_000
+#: Which are counted at the cut date, over the table as it stands, and by groups that the table has.
+CUT_CODES, ALWAYS_CODES, GROUPED_CODES = ["KPI-RC-03", "KPI-CN-02"], ["KPI-LI-01", "KPI-CD-03"], ["KPI-CN-03", "KPI-EO-01"]
+#: The day of facts that do not depend on one.
+ALWAYS = "0001-01-01"
 
 
-def _few(requests: DataFrame) -> DataFrame:
-    """Requests for a broadcast: refused beyond MAX_REQUESTS months, where a shuffle join is left to Catalyst."""
-    return F.broadcast(requests) if requests.limit(MAX_REQUESTS + 1).count() <= MAX_REQUESTS else requests
+def _fact(code: str, day: Column, n: Column, num: Column | None = None, dims: Column | None = None) -> Column:
+    """One fact of an indicator: its group (canonical JSON), the day or month that it counts for, and what it adds."""
+    return F.struct(F.lit(code).alias("code"), (F.lit("{}") if dims is None else dims).alias("dims"), day.cast("date").alias("day"), n.cast("long").alias("n"), (F.lit(None) if num is None else num).cast("decimal(38,10)").alias("num"))
 
 
-def _result(df: DataFrame, code: str, value: Column, dims: Column | None = None) -> DataFrame:
-    v = value.cast("decimal(38,10)")
-    return df.select(F.lit(code).alias("code"), *KEY, (F.lit("{}") if dims is None else dims).alias("dims"), v.alias("value"), F.when(v.isNull(), "NO_DISPONIBLE").otherwise("DISPONIBLE").alias("availability"))
+def _facts(entities: DataFrame, *facts: Column) -> DataFrame:
+    """(code, dims, day, n, num): the facts of all entities, added up; those without a day drop out, the snapshots' have ALWAYS."""
+    own = entities.select(F.explode(F.filter(F.array(*facts), lambda f: f["day"].isNotNull())).alias("f")).select("f.*")
+    return own.groupBy("code", "dims", "day").agg(F.sum("n").alias("n"), F.sum("num").alias("num"))
 
 
-def _monthly(entities: DataFrame, day: str, *groups: str) -> DataFrame:
-    return entities.groupBy(F.trunc(day, "month").alias("period_start"), *groups)
+def contract_facts(contracts: DataFrame) -> DataFrame:
+    """KPI-RC-01: days from request to signature by month of signature.  KPI-RC-03: a contract not yet begun counts from 60 days before its expiry to that day."""
+    open_ = F.when(F.col("estado_revision") == "No iniciado", F.col("fecha_vencimiento"))
+    return _facts(
+        contracts, _fact("KPI-RC-01", F.trunc("fecha_firma", "month"), F.lit(1), F.datediff("fecha_firma", "fecha_solicitud")),
+        _fact("KPI-RC-03", F.date_sub(open_, 60), F.lit(1)), _fact("KPI-RC-03", F.date_add(open_, 1), F.lit(-1)),
+    )
+
+
+def litigation_facts(litigation: DataFrame) -> DataFrame:
+    """KPI-LI-01: active exposure by severity, the internal estimate, else the claim.  KPI-LI-05: litigation by month of opening."""
+    active = F.when((F.col("estado") == "Activo") & F.col("nivel_severidad").isin(SEVERITIES), F.lit(ALWAYS))
+    return _facts(
+        litigation, _fact("KPI-LI-01", active, F.lit(1), F.coalesce("estimacion_interna", "monto_reclamado"), F.to_json(F.struct("nivel_severidad"))),
+        _fact("KPI-LI-05", F.trunc("fecha_apertura", "month"), F.lit(1)),
+    )
+
+
+def obligation_facts(obligations: DataFrame) -> DataFrame:
+    """KPI-CN-02: an obligation without evidence counts from the day after its deadline on."""
+    return _facts(obligations, _fact("KPI-CN-02", F.date_add(F.when(F.col("evidencia_cumplimiento").isNull(), F.col("fecha_limite")), 1), F.lit(1)))
+
+
+def incident_facts(incidents: DataFrame) -> DataFrame:
+    """KPI-CN-03: incidents by month, area and severity."""
+    return _facts(incidents, _fact("KPI-CN-03", F.trunc("fecha_evento", "month"), F.lit(1), dims=F.to_json(F.struct("area", "nivel_severidad"))))
+
+
+def matter_facts(matters: DataFrame) -> DataFrame:
+    """KPI-EO-01: distinct matters by month, type and state."""
+    once = matters.select("estado", "tipo_asunto", F.trunc("fecha", "month").alias("month"), "id_asunto").where("id_asunto is not null").distinct()
+    return _facts(once, _fact("KPI-EO-01", F.col("month"), F.lit(1), dims=F.to_json(F.struct("estado", "tipo_asunto"))))
+
+
+def ocr_facts(latest_final: DataFrame) -> DataFrame:
+    """KPI-CD-03: documents whose latest final OCR run reaches 0.80, of all that have one."""
+    return _facts(latest_final, _fact("KPI-CD-03", F.lit(ALWAYS), F.lit(1), F.when(F.col("confidence") >= LOW_CONFIDENCE, 1).otherwise(0)))
+
+
+def _asked(requests: DataFrame, codes: list[str]) -> DataFrame:
+    """A row for each request and code: those that it names (column codes, comma-separated), or all."""
+    named = F.filter(F.split("codes", ","), lambda c: c.isin(codes)) if "codes" in requests.columns else F.array(*[F.lit(c) for c in codes])
+    return requests.select(*KEY, F.explode(named).alias("code"))
+
+
+def _running(facts: DataFrame, asked: DataFrame) -> DataFrame:
+    """Facts of cut indicators as their sums up to each day that has some or is asked for: a prefix sum over the calendar, so its one task a code has a row a day."""
+    days = asked.where(F.col("code").isin(CUT_CODES)).select("code", F.lit("{}").alias("dims"), F.col("as_of").alias("day"), F.lit(0).cast("long").alias("n"))
+    steps = facts.where(F.col("code").isin(CUT_CODES)).select("code", "dims", "day", "n").unionByName(days).groupBy("code", "dims", "day").agg(F.sum("n").alias("n"))
+    return steps.withColumn("n", F.sum("n").over(Window.partitionBy("code", "dims").orderBy("day"))).withColumn("num", F.lit(None).cast("decimal(38,10)"))
+
+
+def answer(facts: DataFrame, requests: DataFrame, codes: list[str]) -> DataFrame:
+    """The indicators of some codes for all requests, from facts.
+
+    A request asks for a day of each code: its month's first, its cut date, or ALWAYS; facts answer by
+    equality of code, group and day.  Grouped codes give a row for each group ever seen, zero where the
+    month has none; exposure has its three severities always.
+    """
+    asked = _asked(requests, codes)
+    levels = F.array(*[F.concat(F.lit('{"nivel_severidad":"'), F.lit(s), F.lit('"}')) for s in SEVERITIES])
+    plain = asked.where(~F.col("code").isin(GROUPED_CODES)).withColumn("dims", F.explode(F.when(F.col("code") == "KPI-LI-01", levels).otherwise(F.array(F.lit("{}")))))
+    grouped = [c for c in codes if c in GROUPED_CODES]
+    if grouped:
+        # the sum keeps the facts' columns, so that both readings of them are one
+        seen = facts.where(F.col("code").isin(grouped)).groupBy("code", "dims").agg(F.sum("n").alias("ever"), F.max("num").alias("most")).select("code", "dims")
+        plain = plain.unionByName(asked.where(F.col("code").isin(grouped)).join(seen, "code"))
+    cut = F.col("code").isin(CUT_CODES)
+    day = F.when(cut, F.col("as_of")).when(F.col("code").isin(ALWAYS_CODES), F.lit(ALWAYS).cast("date")).otherwise(F.col("period_start"))
+    have = facts.where(~cut)
+    if set(codes) & set(CUT_CODES):
+        have = have.unionByName(_running(facts, asked))
+    x = plain.withColumn("day", day).join(have, ["code", "dims", "day"], "left")
+    n, num = F.coalesce("n", F.lit(0)), F.col("num")
+    share = F.when(n > 0, (num * F.when(F.col("code") == "KPI-CD-03", 100).otherwise(1)).cast("decimal(20,6)") / n.cast("decimal(20,0)"))
+    value = F.when(F.col("code").isin("KPI-RC-01", "KPI-CD-03"), share.cast("decimal(38,10)")).when(F.col("code") == "KPI-LI-01", F.coalesce(num, F.lit(0).cast("decimal(38,10)"))).otherwise(n.cast("decimal(38,10)"))
+    x = x.select("code", *KEY, "dims", value.alias("value"))
+    return x.withColumn("availability", F.when(F.col("value").isNull(), "NO_DISPONIBLE").otherwise("DISPONIBLE"))
 
 
 def kpi_rc01(contracts: DataFrame, requests: DataFrame) -> DataFrame:
     """Mean days from request to signature of the contracts signed in the month; not available without any."""
-    by = _monthly(contracts.where("fecha_firma is not null"), "fecha_firma").agg(F.sum(F.datediff("fecha_firma", "fecha_solicitud")).alias("days"), F.count("*").alias("n"))
-    return _result(_few(requests).join(by, "period_start", "left"), "KPI-RC-01", F.col("days").cast("decimal(20,6)") / F.col("n").cast("decimal(20,0)"))
+    return answer(contract_facts(contracts), requests, ["KPI-RC-01"])
 
 
 def kpi_rc03(contracts: DataFrame, requests: DataFrame) -> DataFrame:
     """Contracts not yet begun that expire within 60 days of the cut date."""
-    due = contracts.where("estado_revision = 'No iniciado'").groupBy("fecha_vencimiento").agg(F.count("*").alias("n"))
-    hit = _few(requests).join(due, (F.col("fecha_vencimiento") >= F.col("as_of")) & (F.col("fecha_vencimiento") <= F.date_add("as_of", 60)), "left")
-    return _result(hit.groupBy(*KEY).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")), "KPI-RC-03", F.col("n"))
-
-
-def kpi_contracts(contracts: DataFrame, requests: DataFrame) -> DataFrame:
-    """KPI-RC-01 and KPI-RC-03 from one reading: contracts become a row a signature month and a row an expiry day before they meet the requests."""
-    signed = F.when(F.col("fecha_firma").isNotNull(), F.struct(F.lit("KPI-RC-01").alias("code"), F.trunc("fecha_firma", "month").alias("day"), F.datediff("fecha_firma", "fecha_solicitud").alias("days")))
-    due = F.when(F.col("estado_revision") == "No iniciado", F.struct(F.lit("KPI-RC-03").alias("code"), F.col("fecha_vencimiento").alias("day"), F.lit(0).alias("days")))
-    facts = contracts.select(F.explode(F.filter(F.array(signed, due), lambda f: f.isNotNull())).alias("f")).groupBy("f.code", "f.day").agg(F.sum("f.days").alias("days"), F.count("*").alias("n"))
-    every = _few(requests.select(*KEY, F.explode(F.array(F.lit("KPI-RC-01"), F.lit("KPI-RC-03"))).alias("c")))
-    cycle = F.col("c") == "KPI-RC-01"
-    near = F.when(cycle, F.col("day") == F.col("period_start")).otherwise((F.col("day") >= F.col("as_of")) & (F.col("day") <= F.date_add("as_of", 60)))
-    x = every.join(facts, (F.col("c") == F.col("code")) & near, "left").groupBy(*KEY, "c").agg(F.sum("days").alias("days"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    value = F.when(cycle, F.when(F.col("n") > 0, F.col("days").cast("decimal(20,6)") / F.col("n").cast("decimal(20,0)")).cast("decimal(38,10)")).otherwise(F.col("n").cast("decimal(38,10)"))
-    return x.select(F.col("c").alias("code"), *KEY, F.lit("{}").alias("dims"), value.alias("value"), F.when(value.isNull(), "NO_DISPONIBLE").otherwise("DISPONIBLE").alias("availability"))
+    return answer(contract_facts(contracts), requests, ["KPI-RC-03"])
 
 
 def kpi_li01(litigation: DataFrame, requests: DataFrame) -> DataFrame:
-    """Exposure of active litigation by severity: the internal estimate, else the claim; always three rows a request."""
-    amount = F.coalesce("estimacion_interna", "monto_reclamado").cast("decimal(38,10)")
-    sums = litigation.where("estado = 'Activo'").groupBy("nivel_severidad").agg(F.sum(amount).alias("v"))
-    levels = requests.sparkSession.createDataFrame([(s,) for s in SEVERITIES], "nivel_severidad string")
-    known = levels.join(F.broadcast(sums.where(F.col("nivel_severidad").isin(SEVERITIES))), "nivel_severidad", "left")  # three rows
-    every = requests.crossJoin(F.broadcast(known))  # three rows
-    return _result(every, "KPI-LI-01", F.coalesce("v", F.lit(0).cast("decimal(38,10)")), F.to_json(F.struct("nivel_severidad")))
+    """Exposure of active litigation by severity; always three rows a request."""
+    return answer(litigation_facts(litigation), requests, ["KPI-LI-01"])
 
 
 def kpi_li05(litigation: DataFrame, requests: DataFrame) -> DataFrame:
     """Litigation opened in the month."""
-    by = _monthly(litigation, "fecha_apertura").agg(F.count("*").alias("n"))
-    return _result(_few(requests).join(by, "period_start", "left"), "KPI-LI-05", F.coalesce("n", F.lit(0)))
+    return answer(litigation_facts(litigation), requests, ["KPI-LI-05"])
 
 
 def kpi_cn02(obligations: DataFrame, requests: DataFrame) -> DataFrame:
     """Obligations due before the cut date without evidence."""
-    due = obligations.where("evidencia_cumplimiento is null").groupBy("fecha_limite").agg(F.count("*").alias("n"))
-    hit = _few(requests).join(due, F.col("fecha_limite") < F.col("as_of"), "left")
-    return _result(hit.groupBy(*KEY).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")), "KPI-CN-02", F.col("n"))
-
-
-def _by_known_groups(entities: DataFrame, requests: DataFrame, day: str, groups: list[str], count: Column, code: str) -> DataFrame:
-    """A row for each request and each group ever seen, zero where the month has none."""
-    by = _monthly(entities, day, *groups).agg(count.alias("n"))
-    known = by.select(*groups).distinct()
-    every = _few(requests).crossJoin(known)
-    same = [F.col(f"b.{g}").eqNullSafe(F.col(f"a.{g}")) for g in groups]
-    hit = every.alias("a").join(by.alias("b"), reduce(lambda x, y: x & y, [F.col("a.period_start") == F.col("b.period_start"), *same]), "left")
-    hit = hit.select(*[F.col(f"a.{c}") for c in [*KEY, *groups]], "n")
-    return _result(hit, code, F.coalesce("n", F.lit(0)), F.to_json(F.struct(*sorted(groups))))
+    return answer(obligation_facts(obligations), requests, ["KPI-CN-02"])
 
 
 def kpi_cn03(incidents: DataFrame, requests: DataFrame) -> DataFrame:
     """Incidents of the month by area and severity, for all pairs ever seen."""
-    return _by_known_groups(incidents, requests, "fecha_evento", ["area", "nivel_severidad"], F.count("*"), "KPI-CN-03")
+    return answer(incident_facts(incidents), requests, ["KPI-CN-03"])
 
 
 def kpi_eo01(matters: DataFrame, requests: DataFrame) -> DataFrame:
     """Distinct matters of the month by type and state, for all pairs ever seen."""
-    return _by_known_groups(matters, requests, "fecha", ["estado", "tipo_asunto"], F.countDistinct("id_asunto"), "KPI-EO-01")
+    return answer(matter_facts(matters), requests, ["KPI-EO-01"])
 
 
 def kpi_cd03(latest_final: DataFrame, requests: DataFrame) -> DataFrame:
     """Share of documents whose latest final OCR run reaches 0.80, in percent; not available without final runs."""
-    share = latest_final.agg(F.sum(F.when(F.col("confidence") >= LOW_CONFIDENCE, 1).otherwise(0)).alias("ok"), F.count("*").alias("n"))
-    every = requests.crossJoin(F.broadcast(share))  # one row
-    return _result(every, "KPI-CD-03", F.when(F.col("n") > 0, (F.col("ok") * 100).cast("decimal(20,6)") / F.col("n").cast("decimal(20,0)")))
+    return answer(ocr_facts(latest_final), requests, ["KPI-CD-03"])
 
 
 def kpi_all(tables: dict[str, DataFrame], requests: DataFrame) -> DataFrame:
-    """All indicators for all requests."""
-    parts = [
-        kpi_contracts(tables["contracts"], requests), kpi_li01(tables["litigation"], requests), kpi_li05(tables["litigation"], requests),
-        kpi_cn02(tables["obligations"], requests), kpi_cn03(tables["incidents"], requests), kpi_eo01(tables["matters"], requests), kpi_cd03(tables["latest_final"], requests),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """The indicators that the requests ask for, each table read once."""
+    facts = [contract_facts(tables["contracts"]), litigation_facts(tables["litigation"]), obligation_facts(tables["obligations"]), incident_facts(tables["incidents"]), matter_facts(tables["matters"]), ocr_facts(tables["latest_final"])]
+    return answer(reduce(DataFrame.unionByName, facts), requests, CODES)
 
 
 def affected_kpis(results: DataFrame) -> DataFrame:

@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casemill.functions.scalars import reciprocal_rank, valid_vector
+from casemill.functions.scalars import finite_vector, reciprocal_rank, valid_vector
+from casemill.operators.corpus import IndexContract
+from casemill.operators.postings import bm25_search, build_postings, write
 
 #: Queries that go to a task at once, and of them those compared at once.
 QUERY_BLOCK, COLUMNS = 10_000, 256
@@ -23,18 +25,23 @@ def _ranked(scored: DataFrame, k: int, *order) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
-def authorized_corpus(chunks: DataFrame, versions: DataFrame, certificates: DataFrame, allowed: DataFrame, quarantined: DataFrame, width: int | None = None) -> DataFrame:
-    """Chunks (doc_id, version, embedding …) that may be ranked.
+def authorized_corpus(chunks: DataFrame, versions: DataFrame, certificates: DataFrame, receipts: DataFrame, sources: DataFrame, allowed: DataFrame, quarantined: DataFrame, contract: IndexContract = IndexContract()) -> DataFrame:
+    """Chunks (chunk_id, doc_id, version, embedding …) that may be ranked.
 
     They belong to the active version (versions: doc_id, version, state, invalidated, text_sha256) of a
-    ready, valid document, the version's certificate (doc_id, version, text_sha256) vouches for the text
-    as it is, the document is allowed and not in pending quarantine, and the vector has the width.
+    ready, valid document; the version's certificate (doc_id, version, text_sha256, contract, model,
+    dimensions) is of this contract and vouches for the text as it is; the document's source (sources:
+    doc_id, state, result) was loaded and accepted; the document is allowed and not in pending quarantine;
+    the chunk has a receipt (chunk_id, contract) of the contract and a vector of its width.
     """
     live = versions.where("state = 'LISTA' and not invalidated").select("doc_id", "version", "text_sha256")
-    sure = live.join(certificates.select("doc_id", "version", "text_sha256"), ["doc_id", "version", "text_sha256"]).select("doc_id", "version")
+    ours = certificates.where((F.col("contract") == contract.version) & (F.col("model") == contract.model) & (F.col("dimensions") == contract.width))
+    sure = live.join(ours.select("doc_id", "version", "text_sha256"), ["doc_id", "version", "text_sha256"]).select("doc_id", "version")
+    sure = sure.join(sources.where("state = 'COMPLETADO' and result = 'ACCEPTED'").select("doc_id"), "doc_id", "left_semi")
     sure = sure.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi").join(quarantined.select("doc_id"), "doc_id", "left_anti")
-    x = chunks if width is None else chunks.where(valid_vector(F.col("embedding"), width))
-    return x.join(sure, ["doc_id", "version"], "left_semi")
+    told = receipts.where(F.col("contract") == contract.version).select("chunk_id")
+    x = chunks.where(valid_vector(F.col("embedding"), contract.width))
+    return x.join(sure, ["doc_id", "version"], "left_semi").join(told, "chunk_id", "left_semi")
 
 
 def _best(found: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
@@ -59,13 +66,13 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP) -> DataFram
     layout = f"query_id long, fragment_id {dict(corpus.dtypes)['fragment_id']}, distance double"
     scoped = "scope" in queries.columns
     v = F.col("embedding")
-    fit = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
-    corpus = corpus.where(fit).select("fragment_id", v.cast("array<double>").alias("embedding"), *(["scopes"] if scoped else []))
-    queries = queries.where(fit)
-    blocks = -(-queries.count() // QUERY_BLOCK)
+    corpus = corpus.where(finite_vector(v)).select("fragment_id", v.cast("array<double>").alias("embedding"), *(["scopes"] if scoped else []))
+    queries = queries.where(finite_vector(v))
+    rows = queries.limit(QUERY_BLOCK + 1).collect()
+    blocks = 1 if len(rows) <= QUERY_BLOCK else -(-queries.count() // QUERY_BLOCK)
     found = spark.createDataFrame([], layout)
     for block in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
+        rows = rows if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
         if not rows:
             continue
         rows.sort(key=lambda r: (len(r.embedding), r.query_id))
@@ -93,8 +100,10 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = TOP) -> DataFram
                     x = np.stack(part["embedding"].to_numpy())
                     d = np.round(1 - (x / np.linalg.norm(x, axis=1, keepdims=True)) @ q.T, 9)
                     if scoped:
-                        sees = {s: part["scopes"].map(lambda a, s=s: s in a).to_numpy(bool) for s in set(scopes)}
-                        d[~np.stack([sees[s] for s in scopes], 1)] = np.inf
+                        places = np.repeat(np.arange(len(part)), part["scopes"].map(len))
+                        code, known = pd.factorize(np.concatenate(part["scopes"].to_numpy()))
+                        sees = {s: np.isin(np.arange(len(part)), places[code == c]) for c, s in enumerate(known) if s in set(scopes)}
+                        d[~np.stack([sees.get(s, np.zeros(len(part), bool)) for s in scopes], 1)] = np.inf
                     # what is not beyond the k-th distance can be among the first k
                     last = np.partition(d, min(k, len(d)) - 1, axis=0)[min(k, len(d)) - 1]
                     r, c = np.nonzero((d <= last) & np.isfinite(d))
@@ -145,7 +154,7 @@ def candidate_ids(vector: DataFrame, lexical: DataFrame) -> DataFrame:
     return vector.select("query_id", "fragment_id").join(lexical.select("query_id", "fragment_id"), ["query_id", "fragment_id"], "full")
 
 
-def retrieve(queries: DataFrame, fragments: DataFrame, allowed: DataFrame, terms: DataFrame, allowed_now: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def retrieve(queries: DataFrame, fragments: DataFrame, allowed: DataFrame, terms: DataFrame, path: str, allowed_now: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Hybrid retrieval of a batch: (evidence a query, fused fragments).
 
     queries: query_id, principal, embedding, lexemes.  fragments: fragment_id, doc_id, embedding, complete
@@ -153,21 +162,25 @@ def retrieve(queries: DataFrame, fragments: DataFrame, allowed: DataFrame, terms
     counts only what its principal may see.  Then the nearest and the best by BM25, a recheck of all
     candidates against `allowed_now` (the same as allowed without it), fusion, and the evidence.  A query
     with a candidate that may no longer be seen gets DENIED and no fragment.
+
+    What several steps read, the access, the index, and each list, is written once under path.
     """
     now = allowed if allowed_now is None else allowed_now
+    queries = write(queries, f"{path}/queries")
     asked = queries.select("principal").distinct()
     seen = fragments.select("fragment_id", "doc_id").join(allowed.join(asked, "principal", "left_semi"), "doc_id").select("fragment_id", F.col("principal").alias("scope"))
-    scopes = seen.groupBy("fragment_id").agg(F.collect_set("scope").alias("scopes"))
+    index = build_postings(seen, terms, f"{path}/index")
     own = queries.withColumnRenamed("principal", "scope")
-    near = vector_topk(own.select("query_id", "scope", "embedding"), fragments.select("fragment_id", "embedding").join(scopes, "fragment_id"))
-    lexical = bm25_topk(own.select("query_id", "scope", F.explode("lexemes").alias("lexeme")), seen, terms)
+    near = vector_topk(own.select("query_id", "scope", "embedding"), fragments.select("fragment_id", "embedding").join(index.fragments.select("fragment_id", "scopes"), "fragment_id"))
+    near = write(near, f"{path}/near")
+    lexical = write(bm25_search(index, own.select("query_id", "scope", F.explode("lexemes").alias("lexeme")), path), f"{path}/lexical")
     places = candidate_ids(near, lexical).join(queries.select("query_id", "principal"), "query_id").join(fragments.select("fragment_id", "doc_id"), "fragment_id")
     there = places.join(now.select("principal", "doc_id", F.lit(True).alias("there")).distinct(), ["principal", "doc_id"], "left")
-    lost = there.where("there is null").select("query_id").distinct()
-    fused = rrf_fuse(near, lexical).join(lost, "query_id", "left_anti")
+    lost = write(there.where("there is null").select("query_id").distinct(), f"{path}/lost")
+    fused = write(rrf_fuse(near, lexical).join(lost, "query_id", "left_anti"), f"{path}/fused")
     evidence = classify_evidence(queries, near, lexical, fused, fragments.where("complete"))
     evidence = evidence.join(lost.withColumn("lost", F.lit(True)), "query_id", "left").select("query_id", F.when(F.col("lost"), "DENIED").otherwise(F.col("evidence")).alias("evidence"))
-    return evidence, fused
+    return write(evidence, f"{path}/evidence"), fused
 
 
 def final_fragments(fragments: DataFrame, chunks: DataFrame, versions: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casemill.functions.ids import text_sha256
-from casemill.operators import audit, dashboard, documents, quarantine
+from casemill.operators import audit, dashboard, documents, quarantine, rules
 from casemill.plans.fixtures import table, view, with_views
 from casemill.plans.registry import query
 
@@ -137,31 +137,50 @@ def _numbers(spark, d):
     return documents.assign_versions(new, view(spark, d, "versions"), "o_orderkey").select("doc_id", "o_orderkey", F.col("version").cast("long").alias("version"))
 
 
-@query("R17_document_outcome", with_views("SELECT run_id, CASE WHEN coalesce(confidence < 0.8, false) THEN 'RECHAZADA' WHEN is_final THEN 'LISTA' ELSE 'PROCESANDO' END AS outcome FROM ocr_runs", "ocr_runs"))
+@query("R17_document_outcome", with_views("""
+SELECT r.run_id, CASE WHEN coalesce(confidence < 0.8, false) OR trim(substr(text, 1, CAST(length(text) % 5 AS INT)), ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'RECHAZADA' WHEN sha256(text) IN (SELECT sha256(text) FROM documents WHERE lang IN ('en', 'es')) THEN 'LISTA' ELSE 'PROCESANDO' END AS outcome
+FROM ocr_runs r JOIN versions v ON v.version_id = r.version_id""", "ocr_runs", "versions"))
 def _outcome(spark, d):
-    x = view(spark, d, "ocr_runs").withColumn("text", F.lit("t")).withColumn("certified", F.col("is_final"))
+    # a version is certified if a certificate has its text's digest; what was read of it is the text's first few letters
+    sure = table(spark, d, "documents").where("lang in ('en', 'es')").select(text_sha256(F.col("text")).alias("h")).distinct().withColumn("certified", F.lit(True))
+    x = view(spark, d, "ocr_runs").join(view(spark, d, "versions").select("version_id", text_sha256(F.col("text")).alias("h"), F.expr("substr(text, 1, length(text) % 5)").alias("text")), "version_id")
+    x = x.join(sure, "h", "left").withColumn("certified", F.coalesce("certified", F.lit(False)))
     return documents.document_outcome(x).select("run_id", "outcome")
 
 
-@query("R21_activate_versions", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 2 ELSE 1 END AS active, CASE WHEN doc_id % 3 = 2 THEN 'NONE' WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'ACTIVATED' ELSE 'REFUSED' END AS outcome FROM documents")
+@query("R21_activate_versions", with_views("""
+WITH seen AS (SELECT doc_id, count(*) AS seen FROM ocr_runs WHERE version = 1 GROUP BY doc_id), c AS (SELECT doc_id, coalesce(bool_or(is_final AND confidence >= 0.8), false) AS ready FROM ocr_runs WHERE version = 2 GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN ready AND seen = 1 THEN 2 ELSE 1 END AS active, CASE WHEN ready IS NULL THEN 'NONE' WHEN ready AND seen = 1 THEN 'ACTIVATED' ELSE 'REFUSED' END AS outcome FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN seen USING (doc_id)""", "ocr_runs"))
 def _activate(spark, d):
+    # a second version is ready if a final run of it is sure; it saw as many versions as the first one had runs
+    runs = view(spark, d, "ocr_runs")
+    seen = runs.where("version = 1").groupBy("doc_id").agg(F.count("*").cast("int").alias("seen"))
+    ready = runs.where("version = 2").groupBy("doc_id").agg(F.coalesce(F.bool_or(F.col("is_final") & (F.col("confidence") >= 0.8)), F.lit(False)).alias("ready"))
     docs = table(spark, d, "documents").select("doc_id", F.lit(1).alias("active"))
-    c = docs.where("doc_id % 3 <> 2").select("doc_id", F.lit(2).alias("version"), F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0).alias("seen"), (F.col("doc_id") % 2 == 0).alias("ready"))
-    return documents.activate_versions(docs, c)
+    return documents.activate_versions(docs, ready.join(seen, "doc_id").withColumn("version", F.lit(2)))
 
 
-@query("R36_document_registry", "SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN 'NEW' WHEN doc_id % 6 = 0 THEN 'INCOMPATIBLE' ELSE 'SAME' END AS outcome FROM documents")
+_REGISTERED = "SELECT doc_id, substr(text, 1, 20) AS name, CASE WHEN toxic = 1 THEN 'otro' ELSE source END AS type, lang AS family FROM documents JOIN labels USING (doc_id) WHERE quality = 1 OR toxic = 1"
+
+
+@query("R36_document_registry", f"""
+SELECT d.doc_id, CASE WHEN o.doc_id IS NULL THEN 'NEW' WHEN substr(d.text, 1, 20) IS NOT DISTINCT FROM o.name AND d.source IS NOT DISTINCT FROM o.type AND d.lang IS NOT DISTINCT FROM o.family THEN 'SAME' ELSE 'INCOMPATIBLE' END AS outcome FROM documents d LEFT JOIN ({_REGISTERED}) o ON o.doc_id = d.doc_id""")
 def _registry(spark, d):
-    x = table(spark, d, "documents").select("doc_id", F.lit("n").alias("name"), F.col("source").alias("type"), F.col("lang").alias("family"), F.lit(None).cast("date").alias("date"))
-    old = x.where("doc_id % 2 = 0").withColumn("name", F.when(F.col("doc_id") % 6 == 0, "otro").otherwise("n"))
+    docs, day = table(spark, d, "documents"), F.lit(None).cast("date").alias("date")
+    x = docs.select("doc_id", F.substring("text", 1, 20).alias("name"), F.col("source").alias("type"), F.col("lang").alias("family"), day)
+    old = docs.join(table(spark, d, "labels"), "doc_id").where("quality = 1 or toxic = 1").select("doc_id", F.substring("text", 1, 20).alias("name"), F.when(F.col("toxic") == 1, "otro").otherwise(F.col("source")).alias("type"), F.col("lang").alias("family"), day)
     return documents.register_documents(x, old).select("doc_id", "outcome")
 
 
-@query("R37_operation_replay", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'NEW' WHEN event_id % 3 = 1 THEN 'REPLAY' ELSE 'CONFLICT' END AS outcome FROM events")
+@query("R37_operation_replay", """
+WITH x AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last, arg_min(event_type, (ts, event_id)) AS first, count(*) AS n FROM events GROUP BY user_id)
+SELECT user_id AS operation_id, CASE WHEN n % 3 = 0 THEN 'NEW' WHEN last = first THEN 'REPLAY' ELSE 'CONFLICT' END AS outcome FROM x""")
 def _replay(spark, d):
-    x = table(spark, d, "events").select(F.col("event_id").alias("operation_id"), F.col("user_id").alias("user"), F.lit("s").alias("session"), F.lit("h").alias("query_hash"), F.lit(None).cast("string").alias("reference"))
-    old = x.where("operation_id % 3 <> 0").withColumn("query_hash", F.when(F.col("operation_id") % 3 == 1, "h").otherwise("g"))
-    return documents.match_operations(x, old).select(F.col("operation_id").alias("event_id"), "outcome")
+    # a user's first event is on record, their last one comes again
+    turn = F.struct("ts", "event_id")
+    x = table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", turn).alias("last"), F.min_by("event_type", turn).alias("first"), F.count("*").alias("n"))
+    of = lambda c: x.select(F.col("user_id").alias("operation_id"), F.col("user_id").alias("user"), F.lit("s").alias("session"), text_sha256(F.col(c)).alias("query_hash"), F.lit(None).cast("string").alias("reference"), "n")
+    return documents.match_operations(of("last").drop("n"), of("first").where("n % 3 <> 0").drop("n")).select("operation_id", "outcome")
 
 
 def _events(spark, d):
@@ -191,10 +210,13 @@ def _process(spark, d):
     return audit.process_events(ev, ev.where("1 = 0").select(F.lit("").alias("event_id")), ["action", "actor"]).groupBy("action", "actor").agg(F.count("*").alias("n"))
 
 
-@query("O04_resource_equality", "SELECT event_id, user_id AS resource, CASE WHEN event_id % 20 = 1 THEN 'audit' ELSE 'operation' END AS side FROM events WHERE event_id % 20 IN (1, 2)")
+@query("O04_resource_equality", """
+WITH a AS (SELECT l_orderkey AS event_id, l_partkey AS resource FROM lineitem WHERE l_returnflag <> 'R'), o AS (SELECT l_orderkey AS event_id, l_partkey AS resource FROM lineitem WHERE l_quantity < 40)
+SELECT *, 'audit' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM o) UNION ALL SELECT *, 'operation' FROM (SELECT * FROM o EXCEPT ALL SELECT * FROM a)""")
 def _equality(spark, d):
-    x = table(spark, d, "events").select("event_id", F.col("user_id").alias("resource"))
-    return audit.check_resources(x.where("event_id % 20 <> 2"), x.where("event_id % 20 <> 1"))
+    x = table(spark, d, "lineitem")
+    of = lambda df: df.select(F.col("l_orderkey").alias("event_id"), F.col("l_partkey").alias("resource"))
+    return audit.check_resources(of(x.where("l_returnflag <> 'R'")), of(x.where("l_quantity < 40")))
 
 
 @query("R30_stale_runs", "SELECT event_id FROM events WHERE event_type = 'view' AND epoch(ts) < epoch(TIMESTAMP '2024-01-31') - 864000")
@@ -203,17 +225,39 @@ def _stale(spark, d):
     return audit.stale_runs(x, F.lit("2024-01-31").cast("timestamp"), 864_000).select("event_id")
 
 
-@query("R34_run_binding", "SELECT o_orderkey AS job_id, CASE o_orderkey % 4 WHEN 1 THEN 'NO_RUN' WHEN 2 THEN 'SEVERAL_RUNS' WHEN 3 THEN 'OTHER_PARENT' END AS problem FROM orders WHERE o_orderkey % 4 <> 0")
+@query("R34_run_binding", """
+WITH s AS (SELECT l_orderkey AS job_id, l_orderkey || l_returnflag AS run_id, max(l_linestatus) AS parent FROM lineitem GROUP BY l_orderkey, l_returnflag), j AS (SELECT o_orderkey AS job_id, o_orderstatus AS parent FROM orders), n AS (SELECT job_id, count(DISTINCT run_id) AS n, min(parent) AS p FROM s GROUP BY job_id)
+SELECT j.job_id, CASE WHEN n IS NULL THEN 'NO_RUN' WHEN n > 1 THEN 'SEVERAL_RUNS' ELSE 'OTHER_PARENT' END AS problem FROM j LEFT JOIN n USING (job_id) WHERE n IS NULL OR n > 1 OR p IS DISTINCT FROM parent""")
 def _binding(spark, d):
-    k = F.col("o_orderkey")
-    o = table(spark, d, "orders")
-    jobs = o.select(k.alias("job_id"), F.lit("p").alias("parent"))
-    runs = o.select(F.explode(F.array(k * 2, k * 2 + 1)).alias("run_id"), F.when(k % 4 == 3, "q").otherwise("p").alias("parent"))
-    snaps = o.where(k % 4 != 1).select(k.alias("job_id"), F.explode(F.when(k % 4 == 2, F.array(k * 2, k * 2 + 1)).otherwise(F.array(k * 2))).alias("run_id"))
-    return audit.check_run_binding(jobs, snaps, runs)
-
-
-@query("R29_quality_rules", with_views("SELECT id_contrato AS key, 'SIGNED_AFTER_REQUEST' AS rule FROM contracts WHERE NOT coalesce(fecha_firma >= fecha_solicitud, false) UNION ALL SELECT id_contrato, 'KNOWN_STATE' FROM contracts WHERE estado_revision NOT IN ('No iniciado', 'Renovado')", "contracts"))
-def _rules(spark, d):
-    rules = {"SIGNED_AFTER_REQUEST": F.col("fecha_firma") >= F.col("fecha_solicitud"), "KNOWN_STATE": F.col("estado_revision").isin("No iniciado", "Renovado")}
-    return audit.check_table(view(spark, d, "contracts"), "id_contrato", rules, [["id_contrato"]])
+    # an order's lines were frozen for the run of their flag, whose parent is the lines' status
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.concat(F.col("l_orderkey").cast("string"), "l_returnflag").alias("run_id"), "l_linestatus")
+    runs = lines.groupBy("run_id").agg(F.max("l_linestatus").alias("parent"))
+    jobs = table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderstatus").alias("parent"))
+    return audit.check_run_binding(jobs, lines.select("job_id", "run_id"), runs)
+
+
+def _broken(name, rows):
+    """What DuckDB finds of a table's rules: one branch a rule, with a check's unknown as held."""
+    r, parts = rules.CATALOGUE[name], []
+    tell = lambda rule, where, of=rows: parts.append(f"SELECT '{name}' AS \"table\", CAST({r.key} AS VARCHAR) AS key, '{rule}' AS rule FROM ({of}) WHERE {where}")
+    for c in r.required:
+        tell(f"REQUIRED_{c}", f"{c} IS NULL")
+    for rule, condition in r.checks.items():
+        tell(rule, f"NOT ({condition})")
+    for u in r.unique:
+        tell("UNIQUE_" + "_".join(u), "n > 1 AND " + " AND ".join(f"{c} IS NOT NULL" for c in u), f"SELECT *, count(*) OVER (PARTITION BY {', '.join(u)}) AS n FROM ({rows})")
+    return " UNION ALL ".join(parts)
+
+
+#: The entities with what breaks their rules: ids that are empty or repeat, dates in the wrong order, unknown states, amounts below zero, missing days.
+_SPOILT = {
+    "contracts": "SELECT CASE WHEN id_contrato LIKE '%77' THEN '' WHEN id_contrato LIKE '%88' THEN 'C-8' ELSE id_contrato END AS id_contrato, CASE WHEN id_contrato LIKE '%5' THEN NULL ELSE fecha_solicitud END AS fecha_solicitud, CASE WHEN id_contrato LIKE '%3' THEN DATE '1990-01-01' ELSE fecha_firma END AS fecha_firma, CASE WHEN id_contrato LIKE '%99' THEN NULL ELSE fecha_vencimiento END AS fecha_vencimiento, CASE WHEN id_contrato LIKE '%1' THEN 'Perdido' WHEN id_contrato LIKE '%2' THEN NULL ELSE estado_revision END AS estado_revision FROM contracts",
+    "litigation": "SELECT CASE WHEN id_litigio LIKE '%66' THEN '' ELSE id_litigio END AS id_litigio, CASE WHEN id_litigio LIKE '%4' THEN NULL ELSE fecha_apertura END AS fecha_apertura, CASE WHEN id_litigio LIKE '%5' THEN '' ELSE estado END AS estado, CASE WHEN id_litigio LIKE '%6' THEN 'grave' ELSE nivel_severidad END AS nivel_severidad, CASE WHEN id_litigio LIKE '%7' THEN -1 * monto_reclamado ELSE monto_reclamado END AS monto_reclamado, -1 * estimacion_interna AS estimacion_interna FROM litigation",
+    "observations": "SELECT CASE WHEN code = 'KPI-RC-01' THEN 'KPI-XX-99' ELSE code END AS code, CASE WHEN year(period_start) = 1996 THEN '[]' ELSE dims END AS dims, CASE WHEN year(period_start) = 1995 THEN last_day(period_start) ELSE period_start END AS period_start, CASE WHEN year(period_start) = 1994 THEN period_start ELSE period_end END AS period_end, CASE WHEN code = 'KPI-LI-05' THEN 'TAL_VEZ' ELSE availability END AS availability, CASE WHEN year(period_start) = 1993 THEN NULL ELSE value END AS value, CASE WHEN year(period_start) = 1997 THEN code ELSE observation_id END AS observation_id FROM observations",
+}
+
+
+@query("R29_quality_rules", with_views(" UNION ALL ".join(_broken(name, rows) for name, rows in _SPOILT.items()), "contracts", "litigation", "observations"))
+def _quality(spark, d):
+    tables = {name: spark.sql(rows.replace(f"FROM {name}", "FROM {own}"), own=view(spark, d, name)) for name, rows in _SPOILT.items()}
+    return rules.check_tables(tables, rules.CATALOGUE)

@@ -69,12 +69,14 @@ def _traces(spark, d):
 
 
 @query("R26_operation_outcomes", """
-SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'COMPLETED' WHEN event_id % 4 = 0 OR event_id % 3 = 0 THEN 'FAILED' ELSE 'COMPLETED' END AS operation,
- CASE WHEN event_id % 5 = 0 OR event_id % 4 = 0 THEN 'NOT_REQUESTED' WHEN event_id % 3 = 0 THEN 'FAILED' WHEN event_id % 4 = 1 THEN 'SUCCEEDED' ELSE 'NOT_REQUESTED' END AS generation,
- CASE WHEN event_id % 5 = 0 THEN 'DENIED' WHEN event_id % 4 = 0 OR event_id % 3 = 0 THEN 'FAILURE' ELSE 'SUCCESS' END AS audit FROM events""")
+WITH x AS (SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'EVIDENCIA_SUFICIENTE' WHEN event_type <> 'click' THEN 'SIN_EVIDENCIA' END AS evidence, user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) AS authorized, value > 30 AS failed FROM events)
+SELECT event_id, CASE WHEN NOT authorized THEN 'COMPLETED' WHEN evidence IS NULL OR failed THEN 'FAILED' ELSE 'COMPLETED' END AS operation,
+ CASE WHEN NOT authorized OR evidence IS NULL THEN 'NOT_REQUESTED' WHEN failed THEN 'FAILED' WHEN evidence = 'EVIDENCIA_SUFICIENTE' THEN 'SUCCEEDED' ELSE 'NOT_REQUESTED' END AS generation,
+ CASE WHEN NOT authorized THEN 'DENIED' WHEN evidence IS NULL OR failed THEN 'FAILURE' ELSE 'SUCCESS' END AS audit FROM x""")
 def _outcomes(spark, d):
-    k = F.col("event_id")
-    x = table(spark, d, "events").select("event_id", F.when(k % 4 == 1, "EVIDENCIA_SUFICIENTE").when(k % 4 != 0, "SIN_EVIDENCIA").alias("evidence"), (k % 5 != 0).alias("authorized"), F.when(k % 3 == 0, "x").alias("failure"))
+    sees = table(spark, d, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("user_id"), F.lit(True).alias("authorized"))
+    evidence = F.when(F.col("event_type") == "purchase", "EVIDENCIA_SUFICIENTE").when(F.col("event_type") != "click", "SIN_EVIDENCIA")
+    x = table(spark, d, "events").join(sees, "user_id", "left").select("event_id", evidence.alias("evidence"), F.coalesce("authorized", F.lit(False)).alias("authorized"), F.when(F.col("value") > 30, "x").alias("failure"))
     return reports.operation_outcome(x).select("event_id", "operation", "generation", "audit")
 
 
@@ -124,35 +126,43 @@ def _audit_page(spark, d):
     return reports.audit_page(ev, rs, None, 20, actor=7).select("event_id", "resources")
 
 
-@query("P04_composite_structure", "SELECT DISTINCT o_orderkey % 50 AS file_id, CASE (o_orderkey % 50) % 3 WHEN 0 THEN '' WHEN 1 THEN 'Fecha' ELSE 'ID_Incidente,Fecha_Evento,Area' END AS missing FROM orders")
+#: The columns of a file, by the order that it stands for.
+_COLUMNS = {"ID_Incidente": "o_orderstatus <> 'P'", "Fecha_Evento": "o_totalprice > 30000", "Area": "o_orderpriority < '4'", "Nivel_Severidad": "o_custkey % 2 = 0", "ID_Asunto": "o_orderstatus <> 'F'", "Tipo_Asunto": "o_totalprice < 200000", "Estado": "o_orderpriority > '2'", "Fecha": "o_custkey % 3 <> 0"}
+_HEADERS = "SELECT o_orderkey AS file_id, " + ", ".join(f"CASE WHEN {rule} THEN '{name}' END AS c{i}" for i, (name, rule) in enumerate(_COLUMNS.items())) + " FROM {orders}"
+_LACKS = lambda cs: "list_filter([" + ", ".join(f"CASE WHEN c{i} IS NULL THEN '{name}' END" for i, name in cs) + "], lambda x: x IS NOT NULL)"
+
+
+@query("P04_composite_structure", f"""
+WITH l AS (SELECT file_id, {_LACKS(list(enumerate(_COLUMNS))[:4])} AS a, {_LACKS(list(enumerate(_COLUMNS))[4:])} AS b FROM ({_HEADERS.format(orders='orders')}))
+SELECT file_id, array_to_string(CASE WHEN len(a) <= len(b) THEN a ELSE b END, ',') AS missing FROM l""")
 def _composite(spark, d):
-    ids = table(spark, d, "orders").select((F.col("o_orderkey") % 50).alias("file_id")).distinct()
-    k = F.col("file_id") % 3
-    names = lambda *x: F.array(*[F.lit(n) for n in x])
-    headers = ids.select("file_id", F.when(k == 0, names("ID_Incidente", "Fecha_Evento", "Area", "Nivel_Severidad")).when(k == 1, names("ID_Asunto", "Tipo_Asunto", "Estado")).otherwise(names("Nivel_Severidad")).alias("headers"))
+    x = spark.sql(_HEADERS, orders=table(spark, d, "orders"))
+    headers = x.select("file_id", F.filter(F.array(*[f"c{i}" for i in range(len(_COLUMNS))]), lambda c: c.isNotNull()).alias("headers"))
     rows = headers.select("file_id", F.lit(2).alias("row_number"), F.size("headers").alias("width"))
     return val.validate_structure(rows, headers, *val.AUDIT).select("file_id", "missing")
 
 
+#: One rule of the corpus broken by each: no certificate, an older text, contract or model, another width, a source that was not loaded or not accepted, no receipt, one of an older contract.
+_CERTS = "SELECT doc_id, version, CASE WHEN doc_id % 13 = 6 THEN 'older ' || text ELSE text END AS text, CASE WHEN doc_id % 17 = 3 THEN 'index-v0' ELSE 'index-v1' END AS contract, CASE WHEN doc_id % 19 = 5 THEN 'other' ELSE 'model-v1' END AS model, CASE WHEN doc_id % 23 = 7 THEN 32 ELSE 64 END AS dimensions FROM versions WHERE doc_id % 9 <> 4"
+_SOURCES = "SELECT doc_id, CASE WHEN doc_id % 29 = 8 THEN 'EN_PROCESO' ELSE 'COMPLETADO' END AS state, CASE WHEN doc_id % 31 = 9 THEN 'REJECTED' ELSE 'ACCEPTED' END AS result FROM {documents}"
+_RECEIPTS = "SELECT version_id AS chunk_id, CASE WHEN doc_id % 37 = 10 THEN 'index-v0' ELSE 'index-v1' END AS contract FROM versions WHERE doc_id % 41 <> 11"
+
+
 @query("P15_retrievable_corpus", with_views(f"""
-WITH l AS ({_LIVE.format(documents='documents')}), own AS (SELECT v.doc_id, v.version, text, state, invalidated FROM versions v JOIN l ON l.doc_id = v.doc_id AND l.active = v.version),
-certs AS (SELECT doc_id, version, sha256(CASE WHEN doc_id % 13 = 6 THEN 'older ' || text ELSE text END) AS h FROM versions WHERE doc_id % 9 <> 4)
-SELECT own.doc_id, own.version FROM own JOIN certs ON certs.doc_id = own.doc_id AND certs.version = own.version AND certs.h = sha256(text) JOIN embeddings ON vec_id = own.doc_id
-WHERE state = 'LISTA' AND NOT invalidated AND own.doc_id IN (SELECT doc_id FROM documents WHERE lang IN ('en', 'es')) AND own.doc_id NOT IN (SELECT event_id FROM events WHERE event_type = 'error') AND len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0""", "versions"))
+WITH l AS ({_LIVE.format(documents='documents')}), own AS (SELECT v.doc_id, v.version, v.version_id, text, state, invalidated FROM versions v JOIN l ON l.doc_id = v.doc_id AND l.active = v.version),
+certs AS (SELECT doc_id, version, sha256(text) AS h FROM ({_CERTS}) WHERE contract = 'index-v1' AND model = 'model-v1' AND dimensions = 64)
+SELECT own.doc_id, own.version, own.version_id AS chunk_id FROM own JOIN certs ON certs.doc_id = own.doc_id AND certs.version = own.version AND certs.h = sha256(text) JOIN embeddings ON vec_id = own.doc_id
+WHERE state = 'LISTA' AND NOT invalidated AND own.doc_id IN (SELECT doc_id FROM documents WHERE lang IN ('en', 'es')) AND own.doc_id NOT IN (SELECT event_id FROM events WHERE event_type = 'error') AND len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0
+AND own.doc_id IN (SELECT doc_id FROM ({_SOURCES.format(documents='documents')}) WHERE state = 'COMPLETADO' AND result = 'ACCEPTED') AND own.version_id IN (SELECT chunk_id FROM ({_RECEIPTS}) WHERE contract = 'index-v1')""", "versions"))
 def _retrievable(spark, d):
     v, docs = view(spark, d, "versions"), table(spark, d, "documents")
     live = spark.sql(_LIVE, documents=docs).withColumnRenamed("active", "version").join(v.select("doc_id", "version", text_sha256(F.col("text")).alias("text_sha256")), ["doc_id", "version"])
-    seen = F.when(F.col("doc_id") % 13 == 6, F.concat(F.lit("older "), "text")).otherwise(F.col("text"))
-    certificates = v.where("doc_id % 9 <> 4").select("doc_id", "version", text_sha256(seen).alias("text_sha256"))
-    chunks = v.select("doc_id", "version").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    of_versions = lambda sql: spark.sql(sql.replace("FROM versions", "FROM {versions}"), versions=v)
+    certificates = of_versions(_CERTS).withColumn("text_sha256", text_sha256(F.col("text"))).drop("text")
+    chunks = v.select("doc_id", "version", F.col("version_id").alias("chunk_id")).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
     held = table(spark, d, "events").where("event_type = 'error'").select(F.col("event_id").alias("doc_id"))
-    return retrieval.authorized_corpus(chunks, live, certificates, docs.where("lang in ('en', 'es')").select("doc_id"), held, 64).select("doc_id", "version")
-
-
-@query("J10_sections", "SELECT doc_id, CASE WHEN length(text) < 100 THEN NULL WHEN doc_id % 300 < 100 THEN 'uno' WHEN doc_id % 300 < 250 THEN 'dos' END AS section FROM documents")
-def _sections(spark, d):
-    s = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).alias("start"), F.lit(b).alias("end")) for n, a, b in (("uno", 0, 100), ("dos", 50, 250))])
-    return table(spark, d, "documents").select("doc_id", F.when(F.length("text") >= 100, corpus.section_for(F.col("doc_id") % 300, s)).alias("section"))
+    sources, allowed = spark.sql(_SOURCES, documents=docs), docs.where("lang in ('en', 'es')").select("doc_id")
+    return retrieval.authorized_corpus(chunks, live, certificates, of_versions(_RECEIPTS), sources, allowed, held).select("doc_id", "version", "chunk_id")
 
 
 _PRINT = "sha256(string_agg(dims || '|' || strftime(period_start, '%Y-%m-%d') || '|' || availability || '|' || coalesce(CAST(value AS VARCHAR), '-'), chr(10) ORDER BY dims || '|' || strftime(period_start, '%Y-%m-%d') || '|' || availability || '|' || coalesce(CAST(value AS VARCHAR), '-')))"

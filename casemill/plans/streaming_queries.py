@@ -18,7 +18,7 @@ def _stream(spark, df, name, parts=3):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(at)
 
 
-_LANDED = f"SELECT upper(f) AS family, CAST(sum(octet_length(encode(line)) + 1) AS BIGINT) AS bytes FROM (SELECT {_FOLDERS} AS f, l_orderkey || ',' || l_linenumber || ',' || l_returnflag AS line FROM lineitem) WHERE f IN ('litigios', 'cumplimiento') GROUP BY f"
+_LANDED = f"SELECT upper(f) AS family, CAST(sum(octet_length(encode(line)) + 1) AS BIGINT) AS bytes FROM (SELECT {_FOLDERS} AS f, l_orderkey || ',' || l_linenumber || ',' || l_returnflag AS line FROM lineitem) WHERE f <> 'otra' GROUP BY f"
 
 
 @query("ST1_incremental_ingest", _LANDED)
@@ -41,7 +41,7 @@ def _in_order(spark, df, column, name, files=3):
 def _landed(spark, d):
     root = work_dir(spark, "landing")
     x = table(spark, d, "lineitem").select(F.expr(_FOLDERS).alias("f"), F.concat_ws(",", "l_orderkey", "l_linenumber", "l_returnflag").alias("value"))
-    for folder in ("litigios", "cumplimiento", "otra"):
+    for folder in ("contratos_documentos", "litigios", "cumplimiento", "auditoria_interna", "otra"):
         x.where(F.col("f") == folder).select("value").write.text(f"{root}/{folder}")
     return root
 
@@ -87,6 +87,22 @@ def _sliding(spark, d):
     return spark.read.parquet(out).select("code", "dims", "month", "outcome", "signal", "trend", "recurrence")
 
 
+@query("ST5_series_state", with_views("WITH " + _CLOSURE.strip() + "," + _LAGS + " SELECT code, dims, month, outcome, signal, trend, recurrence FROM ids", "observations"))
+def _series(spark, d):
+    # the newest months come first, so that the older ones are late and have to take their places
+    x = view(spark, d, "observations").select("code", "dims", "period_start", "availability", "value")
+    at, out = work_dir(spark, "late"), work_dir(spark, "series")
+    x.repartitionByRange(3, F.desc("period_start")).write.parquet(at)
+
+    def batch(df, n):
+        df.withColumn("seq", F.lit(n)).write.mode("append").parquet(out)
+
+    stream = spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    jobs.judged_series(stream).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", work_dir(spark, "mark")).trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(out).groupBy("code", "dims").agg(F.max_by(F.struct("month", "outcome", "signal", "trend", "recurrence"), "seq").alias("s"))
+    return last.select("code", "dims", "s.*")
+
+
 _TURNS = "SELECT o_custkey AS item_id, o_orderkey AS turn, CASE WHEN o_orderkey % 3 = 0 THEN 'DISCARD' ELSE 'REINJECT' END AS action, o_orderkey % 5 = 1 AS conforming, CASE WHEN o_orderkey % 2 = 0 THEN ' ' ELSE 'duplicado' END AS reason FROM {orders}"
 
 
@@ -97,7 +113,7 @@ SELECT a.item_id, coalesce(max(ends) FILTER (turn = stop), 'Pendiente') AS state
 def _items(spark, d):
     x = spark.sql(_TURNS, orders=table(spark, d, "orders"))
     out = work_dir(spark, "items")
-    stream = _in_order(spark, x.coalesce(1), "turn", "turns")
+    stream = _in_order(spark, x, "turn", "turns")
 
     def batch(df, n):
         df.withColumn("seq", F.lit(n)).write.mode("append").parquet(out)

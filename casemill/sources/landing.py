@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,15 +25,26 @@ def family_of(path):
     return F.element_at(F.create_map(*[F.lit(x) for kv in FAMILIES.items() for x in kv]), folder)
 
 
-def read_landing(spark: SparkSession, root: str, stream: bool = False) -> DataFrame:
-    """(file_id, locator, family, length, content, content_sha256) of the files in the known folders under root."""
+def _locator(path):
+    return F.concat_ws("/", F.element_at(F.split(path, "/"), -2), F.element_at(F.split(path, "/"), -1))
+
+
+def list_landing(spark: SparkSession, root: str, before: str) -> DataFrame:
+    """(locator, length, modificationTime) of the files in the known folders that had come before a time, without opening them."""
+    raw = spark.read.format("binaryFile").load(f"{root}/*/").select("path", "length", "modificationTime").where(F.col("modificationTime") < F.lit(before).cast("timestamp"))
+    return raw.where(family_of(F.col("path")).isNotNull()).select(_locator(F.col("path")).alias("locator"), "length", "modificationTime")
+
+
+def read_landing(spark: SparkSession, root: str, stream: bool = False, before: str | None = None) -> DataFrame:
+    """(file_id, locator, family, length, content, content_sha256) of the files in the known folders under root, those that had come before a time if there is one."""
     if stream:
         raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", 100).load(f"{root}/*/")
     else:
         raw = spark.read.format("binaryFile").load(f"{root}/*/")
+        raw = raw if before is None else raw.where(F.col("modificationTime") < F.lit(before).cast("timestamp"))
     x = raw.withColumn("family", family_of(F.col("path"))).where("family is not null")
     digest = F.sha2(F.col("content"), 256)
-    return x.select(F.sha2(F.concat_ws("/", F.element_at(F.split("path", "/"), -2), F.element_at(F.split("path", "/"), -1), digest), 256).alias("file_id"), F.concat_ws("/", F.element_at(F.split("path", "/"), -2), F.element_at(F.split("path", "/"), -1)).alias("locator"), "family", "length", "content", digest.alias("content_sha256"))
+    return x.select(F.sha2(F.concat_ws("/", _locator(F.col("path")), digest), 256).alias("file_id"), _locator(F.col("path")).alias("locator"), "family", "length", "content", digest.alias("content_sha256"))
 
 
 def classify_files(files: DataFrame) -> DataFrame:
@@ -48,34 +60,29 @@ def classify_files(files: DataFrame) -> DataFrame:
     return x.withColumn("accepted", F.col("cause").isNull())
 
 
-def _whole(content: bytes, mark: str) -> bool:
-    """Whether the quotes of a file are in order to its end."""
+def _widths(text: str, mark: str) -> Counter | None:
+    """How many rows have how many fields; None where the quotes are out of order."""
     try:
-        return all(True for _ in csv.reader(io.StringIO(content.decode("utf-8-sig", "replace")), delimiter=mark, strict=True))
+        return Counter(map(len, filter(None, csv.reader(io.StringIO(text), delimiter=mark, strict=True))))
     except csv.Error:
-        return False
+        return None
+
+
+#: By whether one mark fits, several, or none, and whether some mark cuts unevenly: the cause, if it is one.
+_OUTCOME = {("one", False): None, ("one", True): None, ("none", False): None, ("none", True): "UNDETERMINABLE_STRUCTURE", ("several", False): "AMBIGUOUS_DELIMITER", ("several", True): "AMBIGUOUS_DELIMITER"}
 
 
 def _table(content: bytes) -> tuple[str | None, str | None]:
-    """(delimiter, cause) of a CSV sample; a cut last line does not count."""
+    """(delimiter, cause) of a CSV file, from a sample without its cut last line; the quotes count to the file's end."""
     text = content[:SAMPLE].decode("utf-8-sig", "ignore")
-    if len(content) > SAMPLE:
-        text = text[: text.rfind("\n") + 1]
-    good, ragged = [], False
-    for mark in DELIMITERS:
-        try:
-            widths = {len(r) for r in csv.reader(io.StringIO(text), delimiter=mark, strict=True) if r}
-        except csv.Error:
-            return None, "UNDETERMINABLE_STRUCTURE"
-        if len(widths) == 1 and max(widths) > 1:
-            good.append(mark)
-        elif len(widths) > 1:
-            ragged = True
-    if len(good) == 1:
-        return (good[0], None) if len(content) <= SAMPLE or _whole(content, good[0]) else (None, "UNDETERMINABLE_STRUCTURE")
-    if good:
-        return None, "AMBIGUOUS_DELIMITER"
-    return (None, "UNDETERMINABLE_STRUCTURE") if ragged else (",", None)
+    text = text if len(content) <= SAMPLE else text[: text.rfind("\n") + 1]
+    counts = {mark: _widths(text, mark) for mark in DELIMITERS}
+    even = [mark for mark, n in counts.items() if n is not None and len(n) == 1 and max(n) > 1]
+    cause = _OUTCOME[("none", "one", "several")[min(len(even), 2)], any(n is not None and len(n) > 1 for n in counts.values())]
+    mark = even[0] if even else ","
+    broken = None in counts.values() or cause is None and len(content) > SAMPLE and _widths(content.decode("utf-8-sig", "replace"), mark) is None
+    cause = "UNDETERMINABLE_STRUCTURE" if broken else cause
+    return (None if cause else mark), cause
 
 
 def infer_delimiter(files: DataFrame) -> DataFrame:
@@ -170,37 +177,3 @@ def route_receipts(receipts: DataFrame) -> DataFrame:
 def renumber(records: DataFrame) -> DataFrame:
     """records (file_id, sheet, row, record_id) with position 1, 2 …: by sheet, row (nulls last), id."""
     return records.withColumn("position", F.row_number().over(Window.partitionBy("file_id").orderBy("sheet", F.col("row").asc_nulls_last(), "record_id")))
-
-
-def write_table(spark: SparkSession, df: DataFrame, path: str, key: list[str] | None = None, mode: str = "append", order: str | None = None) -> DataFrame:
-    """Writes df as the next version of a parquet table and returns the whole: append, ignore (first writer wins) or update (last wins, by `order`).
-
-    An update is written beside the table and then takes its place by two renames; a table that a crash
-    left between them is put back before anything is read.
-    """
-    at = lambda suffix="": spark._jvm.org.apache.hadoop.fs.Path(path + suffix)
-    fs = at().getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(at()) and fs.exists(at(".before")):
-        fs.rename(at(".before"), at())
-    there = fs.exists(at())
-    if mode == "append" or not there:
-        if key and mode != "append":
-            by = Window.partitionBy(*key).orderBy(F.desc(order) if mode == "update" and order else F.lit(0))
-            df = df.withColumn("__n", F.row_number().over(by)).where("__n = 1").drop("__n")
-        df.write.mode("append").parquet(path)
-        return spark.read.parquet(path)
-    old = spark.read.parquet(path)
-    if mode == "ignore":
-        by = Window.partitionBy(*key).orderBy(F.asc(order) if order else F.lit(0))
-        new = df.join(old.select(*key), key, "left_anti").withColumn("__n", F.row_number().over(by)).where("__n = 1").drop("__n")
-        new.select(*old.columns).write.mode("append").parquet(path)
-        return spark.read.parquet(path)
-    both = old.withColumn("__t", F.lit(0)).unionByName(df.withColumn("__t", F.lit(1)))
-    by = Window.partitionBy(*key).orderBy(F.desc("__t"), F.desc(order) if order else F.lit(0))
-    won = both.withColumn("__n", F.row_number().over(by)).where("__n = 1").drop("__n", "__t")
-    won.write.mode("overwrite").parquet(f"{path}.next")
-    fs.delete(at(".before"), True)
-    fs.rename(at(), at(".before"))
-    fs.rename(at(".next"), at())
-    fs.delete(at(".before"), True)
-    return spark.read.parquet(path)

@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from casemill.functions.calendar import month_index, month_of
 from casemill.operators.audit import process_events
-from casemill.operators.proactive import reevaluate_touched
-from casemill.sources.landing import classify_files, read_landing, write_table
+from casemill.operators.proactive import RULES, TWO_MONTHS, reevaluate_touched
+from casemill.sources.landing import classify_files, read_landing
+from casemill.sources.tables import partitions_of, write_table
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """State variables and timers need the store that keeps them on disk."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def _kept(spark: SparkSession, out: str, df: DataFrame, part: str) -> DataFrame | None:
@@ -46,13 +54,15 @@ def monthly_counts(stream: DataFrame, day: str, *groups: str) -> DataFrame:
     return stream.groupBy(F.trunc(day, "month").alias("month"), *groups).agg(F.count("*").alias("n"))
 
 
-def quarantine_items(actions: DataFrame) -> DataFrame:
-    """(item_id, state, moves) after every batch of actions (item_id, turn, action, conforming, reason): a pending item ends by a valid reinjection or a discard with a reason, and stays ended."""
+class _Item(StatefulProcessor):
+    """One quarantine item: where it stands and how often it moved."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.item = handle.getValueState("item", "state string, moves int")
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        now, moves = state.get if state.exists else ("Pendiente", 0)
-        rows = pd.concat(list(frames)).sort_values("turn")
-        for r in rows.itertuples():
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now, moves = self.item.get() if self.item.exists() else ("Pendiente", 0)
+        for r in pd.concat(list(rows)).sort_values("turn").itertuples():
             if now != "Pendiente":
                 break
             if r.action == "REINJECT":
@@ -61,48 +71,124 @@ def quarantine_items(actions: DataFrame) -> DataFrame:
             elif r.action == "DISCARD" and (r.reason or "").strip():
                 moves += 1
                 now = "Descartado"
-        state.update((now, moves))
+        self.item.update((now, moves))
         yield pd.DataFrame({"item_id": [key[0]], "state": [now], "moves": [moves]})
 
-    layout = "item_id long, state string, moves int"
-    return actions.groupBy("item_id").applyInPandasWithState(step, layout, "state string, moves int", "update", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
 
 
-def stale_timers(beats: DataFrame, minutes: int) -> DataFrame:
-    """(run_id, last) of runs without a heartbeat (run_id, state, at) for so many minutes, by the clock of the heartbeats themselves, the watermark of `at`.
+def quarantine_items(actions: DataFrame) -> DataFrame:
+    """(item_id, state, moves) after every batch of actions (item_id, turn, action, conforming, reason): a pending item ends by a valid reinjection or a discard with a reason, and stays ended."""
+    use_rocksdb(actions.sparkSession)
+    return actions.groupBy("item_id").transformWithStateInPandas(_Item(), "item_id long, state string, moves int", "Update", "None")
 
-    A run that ends, in any state other than IN_PROGRESS, is watched no more; one heartbeat is remembered
-    for each run that goes on.
-    """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (last,) = state.get
-            state.remove()
-            yield pd.DataFrame({"run_id": [key[0]], "last": [last]})
-            return
-        rows = pd.concat(list(frames)).sort_values("at")
+class _Beats(StatefulProcessor):
+    """One run's last heartbeat, and a timer that goes off when it is too old."""
+
+    def __init__(self, minutes: int):
+        self.wait = minutes * 60_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "at timestamp")
+
+    def _forget(self) -> None:
+        for due in list(self.handle.listTimers()):
+            self.handle.deleteTimer(due)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(rows)).sort_values("at")
         last = rows["at"].iloc[-1]
         if rows["state"].iloc[-1] != "IN_PROGRESS":
-            if state.exists:
-                state.remove()
-        elif not state.exists or last > pd.Timestamp(state.get[0]):
-            state.update((last,))
-            due = int(last.timestamp() * 1000) + minutes * 60_000
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+            self._forget()
+            self.last.clear()
+        elif not self.last.exists() or last > pd.Timestamp(self.last.get()[0]):
+            self._forget()
+            self.last.update((last.to_pydatetime(),))
+            self.handle.registerTimer(max(int(last.timestamp() * 1000) + self.wait, timerValues.getCurrentWatermarkInMs() + 1))
         yield pd.DataFrame({"run_id": pd.Series([], dtype="int64"), "last": pd.Series([], dtype="datetime64[ns]")})
 
-    return beats.withWatermark("at", "0 seconds").groupBy("run_id").applyInPandasWithState(step, "run_id long, last timestamp", "last timestamp", "update", GroupStateTimeout.EventTimeTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        last = self.last.get()[0]
+        self.last.clear()
+        yield pd.DataFrame({"run_id": [key[0]], "last": [last]})
+
+    def close(self) -> None:
+        pass
+
+
+def stale_timers(beats: DataFrame, minutes: int) -> DataFrame:
+    """(run_id, last) of runs without a heartbeat (run_id, state, at) for so many minutes, by the clock of the heartbeats themselves, the watermark of `at`.
+
+    A run that ends, in any state other than IN_PROGRESS, is watched no more; one heartbeat and one timer
+    are kept for each run that goes on.
+    """
+    use_rocksdb(beats.sparkSession)
+    return beats.withWatermark("at", "0 seconds").groupBy("run_id").transformWithStateInPandas(_Beats(minutes), "run_id long, last timestamp", "Update", "EventTime")
+
+
+class _Series(StatefulProcessor):
+    """The last months of one series, of which every batch's months become part, late ones too."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.months = handle.getListState("months", "m int, value string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        code, dims = key
+        have = {m: v for m, v in self.months.get()} if self.months.exists() else {}
+        for r in pd.concat(list(rows)).itertuples():
+            have[r.m] = r.value
+        top, depth = max(have), 5 if code in TWO_MONTHS else 6
+        have = {m: v for m, v in have.items() if m > top - depth}
+        self.months.put(sorted(have.items()))
+        yield pd.DataFrame([(code, dims, *judge(code, have))], columns=["code", "dims", "m", "outcome", "signal", "trend", "recurrence"])
+
+    def close(self) -> None:
+        pass
+
+
+def judge(code: str, months: dict[int, str | None]) -> tuple[int, str, bool, str | None, int | None]:
+    """(month, outcome, signal, trend, recurrence) of a series at its newest month; values are decimal texts, None where there is none."""
+    top = max(months)
+    at = lambda m: None if months.get(m) is None else Decimal(months[m])
+    two = code in TWO_MONTHS
+
+    def signal(m: int) -> bool:
+        v, p, e = at(m), at(m - 1), at(m - 2)
+        return v is not None and p is not None and v > p and (two or e is not None and p > e)
+
+    v, p, e = at(top), at(top - 1), at(top - 2)
+    enough = v is not None and p is not None and (two or e is not None)
+    trend = None if not enough or e is None else "INCREASING" if v > p > e else "DECREASING" if v < p < e else None
+    return top, "EVALUATED" if enough else "INSUFFICIENT_HISTORY", enough and signal(top), trend, sum(signal(m) for m in range(top - 3, top + 1) if m in months) if enough else None
+
+
+def judged_series(observations: DataFrame) -> DataFrame:
+    """(code, dims, month, outcome, signal, trend, recurrence) of every judged series that a batch of observations (code, dims, period_start, availability, value) touched, after the batch.
+
+    Five or six months of a series are its state; the history is never read again.  A late month takes its
+    place among them, or is left out if it is older than all; a month that comes again replaces itself.
+    """
+    use_rocksdb(observations.sparkSession)
+    x = observations.where(F.col("code").isin(list(RULES)))
+    value = F.when(F.col("availability") == "DISPONIBLE", F.col("value").cast("string"))
+    x = x.select("code", "dims", month_index(F.col("period_start")).cast("int").alias("m"), value.alias("value"))
+    out = x.groupBy("code", "dims").transformWithStateInPandas(_Series(), "code string, dims string, m int, outcome string, signal boolean, trend string, recurrence int", "Update", "None")
+    return out.withColumn("month", month_of(F.col("m"))).select("code", "dims", "month", "outcome", "signal", "trend", "recurrence")
 
 
 def reevaluate_series(observations: DataFrame, history: str, out: str, run_id: str, checkpoint: str):
-    """New observations are upserted into `history`; the series that a batch touched are evaluated again, the newest evaluation of each in `out`; ends when all are read."""
+    """New observations are upserted into `history`; the series that a batch touched are evaluated again, the newest evaluation of each in `out`; ends when all are read.
+
+    Both tables are laid out by series, so a batch reads and rewrites the partitions of its own series alone.
+    """
     spark = observations.sparkSession
 
     def batch(df: DataFrame, number: int) -> None:
         new = df.dropDuplicates(["code", "dims", "period_start"])
-        every = write_table(spark, new.withColumn("seq", F.lit(number)), history, ["code", "dims", "period_start"], "update", "seq")
-        x = reevaluate_touched(every, new, run_id).withColumn("seq", F.lit(number))
+        write_table(spark, new.withColumn("seq", F.lit(number)), history, ["code", "dims", "period_start"], "update", "seq", by=["code", "dims"])
+        x = reevaluate_touched(partitions_of(spark, history, new, ["code", "dims"]), new, run_id).withColumn("seq", F.lit(number))
         write_table(spark, x, out, ["code", "dims"], "update", "seq")
 
     return observations.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,6 +1,6 @@
 import os
 
-from casemill.sources import landing
+from casemill.sources import landing, tables
 from casemill.streaming import jobs
 
 
@@ -58,10 +58,10 @@ def test_receipts(spark):
 def test_write_modes(spark, tmp_path):
     at = str(tmp_path / "t")
     df = lambda *rows: spark.createDataFrame(rows, "k int, v string, o int")
-    landing.write_table(spark, df((1, "a", 1), (1, "b", 2), (2, "c", 1)), at, ["k"], "update", "o")
-    landing.write_table(spark, df((1, "x", 9), (3, "d", 1), (3, "e", 2)), at, ["k"], "ignore", "o")
+    tables.write_table(spark, df((1, "a", 1), (1, "b", 2), (2, "c", 1)), at, ["k"], "update", "o")
+    tables.write_table(spark, df((1, "x", 9), (3, "d", 1), (3, "e", 2)), at, ["k"], "ignore", "o")
     assert sorted(map(tuple, spark.read.parquet(at).select("k", "v").collect())) == [(1, "b"), (2, "c"), (3, "d")]
-    out = landing.write_table(spark, df((2, "z", 5)), at, ["k"], "update", "o")
+    out = tables.write_table(spark, df((2, "z", 5)), at, ["k"], "update", "o")
     assert sorted(map(tuple, out.select("k", "v").collect())) == [(1, "b"), (2, "z"), (3, "d")]
 
 

@@ -42,15 +42,6 @@ def test_broken_quotes_are_refused(spark):
     assert landing.read_delimited(df.join(landing.infer_delimiter(df).where("delimiter is not null"), "file_id")).count() == 2
 
 
-def test_update_survives_a_crash_between_its_renames(spark, tmp_path):
-    at = str(tmp_path / "t")
-    df = lambda *rows: spark.createDataFrame(rows, "k int, v string, o int")
-    landing.write_table(spark, df((1, "a", 1)), at, ["k"], "update", "o")
-    (tmp_path / "t").rename(tmp_path / "t.before")
-    out = landing.write_table(spark, df((2, "b", 1)), at, ["k"], "update", "o")
-    assert sorted((r.k, r.v) for r in out.collect()) == [(1, "a"), (2, "b")] and not (tmp_path / "t.before").exists()
-
-
 def test_first_writer(spark):
     rows = [(1, "E", "x", "p"), (2, "E", "x", "q"), (3, "E", "x", "p"), (1, "E", "x", "p"), (4, "E", "y", "p")]
     t = spark.createDataFrame(rows, "record_id int, entity_type string, business_id string, payload_sha256 string").selectExpr("*", "record_id as turn")
