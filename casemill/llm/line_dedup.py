@@ -107,8 +107,8 @@ def longest_earlier(texts: DataFrame) -> DataFrame:
     return out
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, unique: bool = False) -> DataFrame:
-    """One row per row of docs: id, n_lines, n_removed, n_runs and longest (the maximal repeated runs that go: their number and the lines of the longest), kept (the remaining lines, joined as before).
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, unique: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """One row per row of docs: id, n_lines, n_removed, n_runs and longest (the maximal repeated runs that go: their number and the lines of the longest), kept (the remaining lines, joined as before), and the columns of docs named in keep.
 
     Lines are the parts between newlines; an empty text has one empty line.  A run of lines goes if it
     occurred earlier, by id and line, and has min_chars characters or more, newlines between its lines
@@ -118,11 +118,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives an empty table.
     """
     if not unique:
-        rows = keyed(docs.select(id_col, text_col), id_col)
+        rows = keyed(docs.select(*{id_col: 1, text_col: 1, **dict.fromkeys(keep or [])}), id_col)
         if hasattr(rows, "staged_at"):
-            done = stage(dedup_lines(rows, "__row", text_col, min_chars, unique=True), "lines")
-            return stage(done.join(rows.select("__row", id_col), "__row").select(id_col, *done.columns[1:]), "lines", done, rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+            done = dedup_lines(rows, "__row", text_col, min_chars, unique=True, keep=[id_col, *(k for k in keep or [] if k != id_col)])
+            return stage(done.select(id_col, *[c for c in done.columns if c not in ("__row", id_col)]), "lines", rows)
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*[F.col(c) for c in keep or []], F.lit(0).alias("__none")).alias("other"))
     earlier = longest_earlier(texts)
     # runs inside another run add nothing
     before = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -146,6 +146,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.size("runs").cast("long").alias("n_runs"),
         F.coalesce(F.array_max(F.transform("runs", lambda r: r["b"] - r["a"])), F.lit(0)).cast("long").alias("longest"),
         F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.flatten(spans), LINE_END)).alias("kept"),
+        *[F.col(f"other.{c}").alias(c) for c in keep or []],
     )
 
 
