@@ -34,12 +34,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of line runs; a document of which nothing is left goes.  Repeated rows are copies: the first stays.  Null and blank texts stay as they are."""
     rows = keyed(docs.select(*COLUMNS), "doc_id")
-    cut = stage(dedup_lines(rows, id_col="__row", unique=True).where("n_removed > 0").select("__row", "kept"), "cut")
-    size = cut.agg(F.sum(16 + F.length("kept"))).first()[0] or 0
-    changed = small_or_join(rows, cut, "__row", "left", 1, size)
-    text = F.coalesce("kept", "text")
-    n_chars = F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept")).cast(dict(docs.dtypes)["n_chars"])
-    return changed.where("kept is null or length(trim(kept)) > 0").select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
+    done = dedup_lines(rows, id_col="__row", unique=True, keep=COLUMNS)
+    cut = F.col("n_removed") > 0
+    n_chars = F.when(cut, F.length("kept").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
+    left = done.where(~cut | (F.length(F.trim("kept")) > 0))
+    return left.select("doc_id", F.when(cut, F.col("kept")).otherwise(F.col("text")).alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
