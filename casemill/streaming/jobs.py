@@ -106,7 +106,8 @@ class _Beats(StatefulProcessor):
         elif not self.last.exists() or last > pd.Timestamp(self.last.get()[0]):
             self._forget()
             self.last.update((last.to_pydatetime(),))
-            self.handle.registerTimer(max(int(last.timestamp() * 1000) + self.wait, timerValues.getCurrentWatermarkInMs() + 1))
+            # a timer goes off when the watermark reaches it; a heartbeat just so old is not yet too old
+            self.handle.registerTimer(max(int(last.timestamp() * 1000) + self.wait, timerValues.getCurrentWatermarkInMs()) + 1)
         yield pd.DataFrame({"run_id": pd.Series([], dtype="int64"), "last": pd.Series([], dtype="datetime64[ns]")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
