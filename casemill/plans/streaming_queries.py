@@ -28,14 +28,14 @@ def _ingest(spark, d):
     return spark.read.parquet(out).groupBy("family").agg(F.sum("length").alias("bytes"))
 
 
-def _in_order(spark, df, column, name, files=3):
-    """df as a stream of files in the order of a column, one after another."""
-    at = work_dir(spark, name)
-    cuts = df.approxQuantile(column, [k / files for k in range(1, files)], 0.01)
-    for k in range(files):
+def _run_in_order(spark, df, column, name, job, parts=3):
+    """Runs a stream over df in the order of a column: the rows of a part, in however many files, are one batch, and a part comes when those before are through.  job takes the stream's table and gives what is to be started."""
+    at, mark = work_dir(spark, name), work_dir(spark, "mark")
+    cuts = df.approxQuantile(column, [k / parts for k in range(1, parts)], 0.01)
+    for k in range(parts):
         part = df if not k else df.where(F.col(column) > cuts[k - 1])
-        (part if k == files - 1 else part.where(F.col(column) <= cuts[k])).write.mode("append").parquet(at)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(at)
+        (part if k == parts - 1 else part.where(F.col(column) <= cuts[k])).write.mode("append").parquet(at)
+        job(spark.readStream.schema(df.schema).parquet(at)).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
 
 
 def _landed(spark, d):
@@ -113,28 +113,26 @@ SELECT a.item_id, coalesce(max(ends) FILTER (turn = stop), 'Pendiente') AS state
 def _items(spark, d):
     x = spark.sql(_TURNS, orders=table(spark, d, "orders"))
     out = work_dir(spark, "items")
-    stream = _in_order(spark, x, "turn", "turns")
 
     def batch(df, n):
         df.withColumn("seq", F.lit(n)).write.mode("append").parquet(out)
 
-    jobs.quarantine_items(stream).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", work_dir(spark, "mark")).trigger(availableNow=True).start().awaitTermination()
+    _run_in_order(spark, x, "turn", "turns", lambda stream: jobs.quarantine_items(stream).writeStream.outputMode("update").foreachBatch(batch))
     last = spark.read.parquet(out).groupBy("item_id").agg(F.max_by(F.struct("state", "moves"), "seq").alias("s"))
     return last.select("item_id", "s.*")
 
 
 @query("ST7_stale_timers", """
-WITH l AS (SELECT user_id AS run_id, max(ts) AS last FROM events GROUP BY user_id), s AS (SELECT run_id, last, (SELECT event_type FROM events e WHERE e.user_id = run_id AND e.ts = last LIMIT 1) AS kind FROM l)
-SELECT run_id, epoch_us(last) AS last_us FROM s WHERE kind <> 'click' AND last + INTERVAL 720 MINUTE < (SELECT max(ts) FROM events)""")
+WITH l AS (SELECT user_id AS run_id, max(ts) AS last FROM events GROUP BY user_id), s AS (SELECT run_id, last, coalesce((SELECT bool_or(event_type = 'click') FROM events e WHERE e.user_id = run_id AND e.ts = last), false) AS ended FROM l)
+SELECT run_id, epoch_us(last) AS last_us FROM s WHERE NOT ended AND last + INTERVAL 720 MINUTE < (SELECT max(ts) FROM events)""")
 def _stale(spark, d):
     x = table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.when(F.col("event_type") == "click", "DONE").otherwise("IN_PROGRESS").alias("state"), F.col("ts").cast("timestamp").alias("at"))
     out = work_dir(spark, "stale")
-    stream = _in_order(spark, x.withColumn("us", F.unix_micros("at")), "us", "beats").drop("us")
 
     def batch(df, n):
         df.withColumn("seq", F.lit(n)).write.mode("append").parquet(out)
 
-    jobs.stale_timers(stream, 720).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", work_dir(spark, "mark")).trigger(availableNow=True).start().awaitTermination()
+    _run_in_order(spark, x.withColumn("us", F.unix_micros("at")), "us", "beats", lambda stream: jobs.stale_timers(stream.drop("us"), 720).writeStream.outputMode("update").foreachBatch(batch))
     # a run that was heard of again after its timer is no longer stale
     newest = x.groupBy("run_id").agg(F.max("at").alias("newest"))
     told = spark.read.schema("run_id long, last timestamp, seq int").parquet(out).groupBy("run_id").agg(F.max("last").alias("last"))

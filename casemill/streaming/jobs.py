@@ -6,7 +6,9 @@ from collections.abc import Callable, Iterator
 from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -60,19 +62,21 @@ class _Item(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.item = handle.getValueState("item", "state string, moves int")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now, moves = self.item.get() if self.item.exists() else ("Pendiente", 0)
-        for r in pd.concat(list(rows)).sort_values("turn").itertuples():
-            if now != "Pendiente":
-                break
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        was = self.item.get() or ("Pendiente", 0)
+        now, moves = was
+        for r in sorted(rows, key=lambda r: r.turn) if now == "Pendiente" else ():
             if r.action == "REINJECT":
                 moves += 1
                 now = "Reinyectado" if r.conforming else now
             elif r.action == "DISCARD" and (r.reason or "").strip():
                 moves += 1
                 now = "Descartado"
-        self.item.update((now, moves))
-        yield pd.DataFrame({"item_id": [key[0]], "state": [now], "moves": [moves]})
+            if now != "Pendiente":
+                break
+        if (now, moves) != tuple(was):
+            self.item.update((now, moves))
+        yield Row(item_id=key[0], state=now, moves=moves)
 
     def close(self) -> None:
         pass
@@ -81,7 +85,7 @@ class _Item(StatefulProcessor):
 def quarantine_items(actions: DataFrame) -> DataFrame:
     """(item_id, state, moves) after every batch of actions (item_id, turn, action, conforming, reason): a pending item ends by a valid reinjection or a discard with a reason, and stays ended."""
     use_rocksdb(actions.sparkSession)
-    return actions.groupBy("item_id").transformWithStateInPandas(_Item(), "item_id long, state string, moves int", "Update", "None")
+    return actions.groupBy("item_id").transformWithState(_Item(), "item_id long, state string, moves int", "Update", "None")
 
 
 class _Beats(StatefulProcessor):
@@ -91,42 +95,54 @@ class _Beats(StatefulProcessor):
         self.wait = minutes * 60_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.last = handle, handle.getValueState("last", "at timestamp")
-
-    def _forget(self) -> None:
-        for due in list(self.handle.listTimers()):
-            self.handle.deleteTimer(due)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(rows)).sort_values("at")
-        last = rows["at"].iloc[-1]
-        if rows["state"].iloc[-1] != "IN_PROGRESS":
-            self._forget()
-            self.last.clear()
-        elif not self.last.exists() or last > pd.Timestamp(self.last.get()[0]):
-            self._forget()
-            self.last.update((last.to_pydatetime(),))
+        self.handle, self.last = handle, handle.getValueState("last", "us long, ended boolean")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = max(((r.us, r.ended) for r in rows if r.us is not None), default=None)
+        old = self.last.get()
+        if new is None or old is not None and new <= tuple(old):
+            return
+        if old is not None and not old[1]:
+            for due in list(self.handle.listTimers()):
+                self.handle.deleteTimer(due)
+        self.last.update(new)
+        if not new[1]:
             # a timer goes off when the watermark reaches it; a heartbeat just so old is not yet too old
-            self.handle.registerTimer(max(int(last.timestamp() * 1000) + self.wait, timerValues.getCurrentWatermarkInMs()) + 1)
-        yield pd.DataFrame({"run_id": pd.Series([], dtype="int64"), "last": pd.Series([], dtype="datetime64[ns]")})
+            due = new[0] // 1000 + self.wait + 1
+            if due <= timerValues.getCurrentWatermarkInMs():
+                yield Row(run_id=key[0], us=new[0])
+            else:
+                self.handle.registerTimer(due)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0]
-        self.last.clear()
-        yield pd.DataFrame({"run_id": [key[0]], "last": [last]})
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield Row(run_id=key[0], us=self.last.get()[0])
 
     def close(self) -> None:
         pass
 
 
+def _with_clock(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Heartbeats without a clock, and after each batch a row with nothing but its newest time as clock: Spark leaves out late rows by their clock, so no heartbeat is late."""
+    for b in batches:
+        if b.num_rows:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, b.column("at").type)], [*b.schema.names, "clock"])
+            at = pc.max(b.column("at"))
+            tick = [b.column(c).take(pa.array([0])) if c == "run_id" else pa.nulls(1, b.column(c).type) for c in b.schema.names]
+            yield pa.RecordBatch.from_arrays([*tick, pa.array([at.as_py()], b.column("at").type)], [*b.schema.names, "clock"])
+
+
 def stale_timers(beats: DataFrame, minutes: int) -> DataFrame:
-    """(run_id, last) of runs without a heartbeat (run_id, state, at) for so many minutes, by the clock of the heartbeats themselves, the watermark of `at`.
+    """(run_id, last) of runs without a heartbeat (run_id, state, at) for so many minutes, by the clock of the heartbeats themselves, to the millisecond: the newest `at` of the batches before.
 
-    A run that ends, in any state other than IN_PROGRESS, is watched no more; one heartbeat and one timer
-    are kept for each run that goes on.
+    A run that ends, in any state other than IN_PROGRESS, is watched no more; at the same time as a
+    heartbeat the end counts.  Heartbeats come in any order: a late one counts unless its run has a newer
+    one, which is therefore kept for each run, with one timer for each that goes on.
     """
     use_rocksdb(beats.sparkSession)
-    return beats.withWatermark("at", "0 seconds").groupBy("run_id").transformWithStateInPandas(_Beats(minutes), "run_id long, last timestamp", "Update", "EventTime")
+    x = beats.select("run_id", F.coalesce(F.col("state") != "IN_PROGRESS", F.lit(True)).alias("ended"), F.unix_micros("at").alias("us"), "at")
+    x = x.mapInArrow(_with_clock, "run_id long, ended boolean, us long, at timestamp, clock timestamp").drop("at").withWatermark("clock", "0 seconds")
+    out = x.groupBy("run_id").transformWithState(_Beats(minutes), "run_id long, us long", "Update", "EventTime")
+    return out.select("run_id", F.timestamp_micros("us").alias("last"))
 
 
 class _Series(StatefulProcessor):
