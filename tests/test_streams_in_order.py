@@ -32,3 +32,16 @@ def test_late_heartbeats_count(spark, tmp_path):
     each = lambda df, _: df.write.mode("append").parquet(out)
     jobs.stale_timers(stream, 180).writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
     assert sorted((r.run_id, r.last.hour) for r in spark.read.schema("run_id long, last timestamp").parquet(out).collect()) == [(2, 2), (5, 10)]
+
+
+def test_landed_files_stay_under_the_limits(spark, monkeypatch):
+    """The daily run's files are cut before a table is refused for its size, and many files give the rows of few."""
+    from casemill.plans import landing_queries, registry
+    from tests.oracle import duck_rows, spark_rows
+
+    monkeypatch.setattr(landing_queries, "FILE_ROWS", 200)
+    at = "/root/testdata/sf0.001"
+    root = landing_queries._two_days(spark, at)
+    n = [r[0] for r in spark.read.text(f"{root}/*/", wholetext=False).groupBy(F.input_file_name()).count().select("count").collect()]
+    assert len(n) > 10 and max(n) <= 201
+    assert spark_rows(spark, registry.QUERIES["R32_daily_run"], at) == duck_rows(registry.SQL["R32_daily_run"], at)
