@@ -1,11 +1,12 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Passages are windows of `width` words, half a window apart.  Terms are the benchmark's words; their
-   document frequencies are counted over all documents.
+   document frequencies are counted over all documents.  Texts are read for their known words once;
+   what is fitted reads those.
 2. A randomised SVD of the TF-IDF matrix gives the latent space: blocks of rows multiply a Gaussian
    matrix by A^T A in Spark tasks, the products (terms x rank) are summed by term range through a
    shuffle, and the orthonormal basis is refined by power iteration.  The rows are the benchmark's
-   passages and those of a bounded sample of documents, taken by hash of the id, weighted alike.
+   passages and those of all documents, weighted alike.
 3. Every passage of every document is projected and compared with every benchmark item by cosine.
    Passages that have five words in a row of an item are candidates too, however frequent its words
    are, so no verbatim copy depends on weights.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casemill.llm.arrays import Slice, Tokens, U, slices, tokens, window_hash, words_window
-from casemill.llm.shared import WORD, stage
+from casemill.llm.shared import WORD, discard, stage
 
 RANK, POWER = 96, 2
 #: Terms in more than this share of the documents are left out; items that keep under a quarter of their terms are searched for once more with all of them.  Terms weigh their squared log inverse frequency, LEAST_WEIGHT at least.
@@ -39,6 +40,8 @@ SEED = 5
 TERM_RANGE = 1024
 #: Bytes of text that a task projects at once: a known word is a row of RANK numbers.
 PART = 256 << 10
+#: Known words whose vectors a task adds up at once.
+WORDS = 1 << 15
 #: Most cosines that a task has at once.
 MOST_CELLS = 2048 * 2048
 
@@ -166,11 +169,28 @@ def _passages(s: Slice, terms: Terms, half: int, weight: np.ndarray) -> tuple[np
     start, _ = _steps(t.first, half)
     doc = t.doc[at]
     row = start[doc] + (at - t.first[doc]) // half
+    return _sums(row, k, start, weight), start, row, k, t, h
+
+
+def _sums(row: np.ndarray, k: np.ndarray, start: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Sums of weight[k] by half-window; row is in order."""
     out = np.zeros((start[-1], weight.shape[1]), weight.dtype)
     if len(row):
         cut = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        out[row[cut]] = np.add.reduceat(weight[k], cut, axis=0)
-    return out, start, row, k, t, h
+        out[row[cut]] = _group_sums(weight, k, cut)
+    return out
+
+
+def _group_sums(x: np.ndarray, at: np.ndarray, first: np.ndarray, few: int = 16) -> np.ndarray:
+    """Sums of the rows x[at] by group, groups beginning at `first`: most have few rows, so the j-th rows of all are added at once."""
+    n = np.diff(np.append(first, len(at)))
+    out, left = x[at[first]], np.arange(len(first))
+    for j in range(1, few):
+        left = left[n[left] > j]
+        out[left] += x[at[first[left] + j]]
+    for g in left[n[left] > few]:
+        out[g] += x[at[first[g] + few : first[g] + n[g]]].sum(0)
+    return out
 
 
 def _joined(x: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -184,79 +204,108 @@ def _joined(x: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
-def document_frequency(texts: DataFrame, terms: Terms) -> np.ndarray:
-    """In how many texts each term is."""
-    n = len(terms.hashes)
+def known_terms(texts: DataFrame, terms: Terms, half: int) -> DataFrame:
+    """(n, row, term): of each text with words its number of half-windows, and the half-window and term of each known word, packed by four bytes."""
     shared = texts.sparkSession.sparkContext.broadcast(terms)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(n, np.int64)
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in slices(batch.column("text"), PART):
                 t = tokens(s, lower=True)
                 at, k = shared.value.find(t.hashes())
-                df += np.bincount(np.unique(t.doc[at].astype(np.int64) * n + k) % n, minlength=n)
+                doc = t.doc[at]
+                row = (at - t.first[doc]) // half
+                n = -(-np.diff(t.first) // half)
+                places = pa.py_buffer((4 * np.searchsorted(doc, np.arange(len(n) + 1))).astype(np.int32))
+                packed = (pa.Array.from_buffers(pa.binary(), len(n), [None, places, pa.py_buffer(x.astype("<i4"))]) for x in (row, k))
+                yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), *packed], ["n", "row", "term"]).filter(pa.array(n > 0))
+
+    return texts.select("text").mapInArrow(find, "n long, row binary, term binary")
+
+
+def _known(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """A batch of `known_terms`, WORDS of them at once: (half-window of each text's start, half-windows and terms of the known words)."""
+    n = batch.column("n").to_numpy()
+    x = batch.column("term")
+    a, off = 0, np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1] // 4
+    row, term = (np.frombuffer(batch.column(c).buffers()[2] or b"", "<i4") for c in ("row", "term"))
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(off, off[a] + WORDS, "right")) - 1)
+        start = np.concatenate([[0], np.cumsum(n[a:b])])
+        own = slice(off[a], off[b])
+        yield start, np.repeat(start[:-1], np.diff(off[a : b + 1])) + row[own], term[own]
+        a = b
+
+
+def document_frequency(known: DataFrame, n: int) -> np.ndarray:
+    """In how many texts each of n terms is."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(n, np.int64)
+        for batch in batches:
+            for start, row, k in _known(batch):
+                doc = np.searchsorted(start, row, "right") - 1
+                df += np.bincount(np.unique(doc * n + k) % n, minlength=n)
         k = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(df[k], pa.int64())], ["term", "df"])
 
-    rows = texts.select("text").mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    rows = known.mapInArrow(count, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     out = np.zeros(n, np.int64)
     for r in rows.toLocalIterator():  # bounded by the block's words
         out[r.term] = r.df
     return out
 
 
-def latent_basis(texts: DataFrame, terms: Terms, idf: np.ndarray, items: Items, half: int, rank: int) -> np.ndarray:
-    """Orthonormal basis (terms x rank) of the dominant row space of the TF-IDF passages of `texts` and of the items, both scaled to equal weight."""
-    spark = texts.sparkSession
-    n = len(terms.hashes)
+def latent_basis(known: DataFrame, place: np.ndarray, idf: np.ndarray, items: Items, rank: int) -> np.ndarray:
+    """Orthonormal basis (terms x rank) of the dominant row space of the TF-IDF passages of all texts and of the items, both scaled to equal weight.
+
+    known: of `known_terms`; place: of each of its terms the row of the basis, -1 for terms that are left out.
+    """
+    spark = known.sparkSession
+    n = len(idf)
     rank = min(rank, n)
     q = np.linalg.qr(np.random.RandomState(11).standard_normal((n, rank)))[0]
+    n_rows = known.agg(F.sum("n")).first()[0] or 0
     for _ in range(POWER):
-        shared = spark.sparkContext.broadcast((terms, (idf[:, None] * q).astype(np.float32)))
+        shared = spark.sparkContext.broadcast((place, idf, (idf[:, None] * q).astype(np.float32)))
 
         def multiply(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            terms, weight = shared.value
-            total, rows = np.zeros((n, rank)), 0
+            place, idf, weight = shared.value
+            total = np.zeros((n, rank))
             for batch in batches:
-                for s in slices(batch.column("text"), PART):
-                    x, start, row, k, *_ = _passages(s, terms, half, weight)
-                    y = _joined(x, start)
-                    norm = np.maximum(_norms(start, row, k, idf), 1e-12)
-                    y = y / norm[:, None] ** 2
+                for start, row, k in _known(batch):
+                    k = place[k]
+                    row, k = row[k >= 0], k[k >= 0]
+                    if not len(k):
+                        continue
+                    y = _joined(_sums(row, k, start, weight), start)
+                    y /= np.maximum(_norms(start, row, k, idf), 1e-12).astype(np.float32)[:, None] ** 2
                     # A^T y: a word's half-window is in its own window and in the one before
                     back = y.copy()
-                    if len(y) > 1:
-                        has = np.ones(len(y) - 1, bool)
-                        inner = start[1:-1] - 1
-                        inner = inner[(inner >= 0) & (inner < len(has))]
-                        has[inner] = False
-                        back[1:][has] += y[:-1][has]
+                    has = np.ones(len(y), bool)
+                    has[start[:-1]] = False
+                    back[has] += y[:-1][has[1:]]
                     order = np.argsort(k, kind="stable")
-                    cut = np.flatnonzero(np.concatenate([[True], k[order][1:] != k[order][:-1]])) if len(k) else order
-                    if len(k):
-                        own = k[order][cut]
-                        total[own] += idf[own, None] * np.add.reduceat(back[row[order]], cut, axis=0)
-                    rows += len(y)
+                    cut = np.flatnonzero(np.concatenate([[True], k[order][1:] != k[order][:-1]]))
+                    own = k[order][cut]
+                    total[own] += idf[own, None] * _group_sums(back, row[order], cut)
             for a in range(0, n, TERM_RANGE):
-                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([total[a : a + TERM_RANGE].astype("<f8").tobytes()], pa.binary()), pa.array([rows], pa.int64())], ["at", "sums", "rows"])
+                if (part := total[a : a + TERM_RANGE]).any():
+                    yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([part.astype("<f8").tobytes()], pa.binary())], ["at", "sums"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(1))
-            rows: dict[int, int] = defaultdict(int)
             for batch in batches:
                 for r in batch.to_pylist():
                     got[r["at"]] = got[r["at"]] + np.frombuffer(r["sums"], "<f8")
-                    rows[r["at"]] += r["rows"]
             for a, x in got.items():
-                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([x.tobytes()], pa.binary()), pa.array([rows[a]], pa.int64())], ["at", "sums", "rows"])
+                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([x.tobytes()], pa.binary())], ["at", "sums"])
 
-        layout = "at long, sums binary, rows long"
-        y, n_rows = np.zeros((n, rank)), 0
-        for r in texts.select("text").mapInArrow(multiply, layout).repartition("at").mapInArrow(add, layout).toLocalIterator():
+        layout = "at long, sums binary"
+        y = np.zeros((n, rank))
+        for r in known.mapInArrow(multiply, layout).repartition("at").mapInArrow(add, layout).toLocalIterator():
             block = np.frombuffer(bytes(r.sums), "<f8").reshape(-1, rank)
             y[r.at : r.at + len(block)] = block
-            n_rows = r.rows
         own = items.back(items.times(q))
         q = np.linalg.qr(y / max(n_rows, 1) + 4 * own / max(items.shape[0], 1))[0]
     return q
@@ -304,14 +353,14 @@ def answer_of(words: list[str]) -> list[str]:
     return words[min(at, max(len(words) - 5, 0)) :]
 
 
-def _search(own: DataFrame, sample: DataFrame, n_docs: int, rows: list, hashes: list[np.ndarray], terms: Terms, df: np.ndarray, seeds: Seeds, layout: str, half: int, cosine: float, held: float, copied: float, paraphrased: float) -> DataFrame:
+def _search(own: DataFrame, known: DataFrame, place: np.ndarray, n_docs: int, rows: list, hashes: list[np.ndarray], terms: Terms, df: np.ndarray, seeds: Seeds, layout: str, half: int, cosine: float, held: float, copied: float, paraphrased: float) -> DataFrame:
     """Documents and items (rows) that agree, by candidates of the latent space over `terms` and of `seeds`."""
     spark = own.sparkSession
     idf = np.maximum(np.log((n_docs + 2) / (df + 1)) ** 2, LEAST_WEIGHT)
     parts = [(i, p) for i, h in enumerate(hashes) for p in _pieces(h, half)]
     item_of = np.array([i for i, _ in parts])
     items = Items([h for _, h in parts], terms, idf)
-    q = latent_basis(sample, terms, idf, items, half, RANK)
+    q = latent_basis(known, place, idf, items, RANK)
     latent = items.times(q)
     size = np.linalg.norm(latent, axis=1)
     latent /= np.maximum(size, 1e-12)[:, None]
@@ -378,7 +427,7 @@ def _search(own: DataFrame, sample: DataFrame, n_docs: int, rows: list, hashes:
     return own.mapInArrow(search, layout)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 32, cosine: float = 0.45, held: float = 0.25, copied: float = 0.7, paraphrased: float = 0.5, sample_docs: int = 4000, block_items: int = 5000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 32, cosine: float = 0.45, held: float = 0.25, copied: float = 0.7, paraphrased: float = 0.5, block_items: int = 5000) -> DataFrame:
     """One row per document and benchmark item found in it: id, item_id, item_text's common share, cosine, answered.
 
     A pair is reported if in some window their latent cosine reaches `cosine` and the window holds the share
@@ -400,7 +449,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     blocks = -(-int(pieces) // block_items)
     found = spark.createDataFrame([], layout)
     n_docs = own.count() if blocks else 0
-    sample = own.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) < (1 << 30) * min(1.0, sample_docs / max(n_docs, 1)))
     for block in range(blocks):
         rows = [r for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect() if r.text.encode().split()]
         if not rows:
@@ -408,16 +456,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         rows.sort(key=lambda r: (r.text, str(r.item)))
         hashes = [_hashes(r.text) for r in rows]
         terms = Terms(np.concatenate(hashes))
-        df = document_frequency(own, terms)
+        known = stage(known_terms(own, terms, half), "known")
+        df = document_frequency(known, len(terms.hashes))
         rare = df <= max(COMMON * n_docs, 1)
         if not rare.any():
             rare[:] = True
         poor = [i for i, h in enumerate(hashes) if 4 * rare[k := np.unique(terms.find(h)[1])].sum() < len(k)]
-        found = found.unionByName(_search(own, sample, n_docs, rows, hashes, Terms(terms.hashes[rare]), df[rare], Seeds(hashes), layout, half, cosine, held, copied, paraphrased))
+        place = np.where(rare, np.cumsum(rare) - 1, -1)
+        found = found.unionByName(_search(own, known, place, n_docs, rows, hashes, Terms(terms.hashes[rare]), df[rare], Seeds(hashes), layout, half, cosine, held, copied, paraphrased))
         if poor:
             hashes = [hashes[i] for i in poor]
             all_ = Terms(np.concatenate(hashes))
-            found = found.unionByName(_search(own, sample, n_docs, [rows[i] for i in poor], hashes, all_, df[np.searchsorted(terms.hashes, all_.hashes)], Seeds([]), layout, half, cosine, held, copied, paraphrased))
+            used = np.isin(terms.hashes, all_.hashes)
+            place = np.where(used, np.cumsum(used) - 1, -1)
+            found = found.unionByName(_search(own, known, place, n_docs, [rows[i] for i in poor], hashes, all_, df[used], Seeds([]), layout, half, cosine, held, copied, paraphrased))
+        discard(known)
     best = found.groupBy("id", "item").agg(F.max("share").alias("share"), F.max("cosine").alias("cosine"), F.max("answered").alias("answered"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias("item_id" if item_col == id_col else item_col), "share", "cosine", "answered")
 

@@ -3,6 +3,7 @@ from functools import cache
 
 import numpy as np
 
+from casemill.llm import decontaminate
 from casemill.llm.decontaminate import Items, Terms, answer_of, common_subsequence, find_leaks, op3
 
 
@@ -122,3 +123,49 @@ def test_long_items(spark):
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     for block in (5000, 20):
         assert {(x.doc_id, x.item_id) for x in find_leaks(df, bench, block_items=block).collect()} == want
+
+
+def test_basis_is_of_all_documents(spark, monkeypatch):
+    """The fit is that of the dense matrix over every text, 5000 of them; a part of a batch is added up at once."""
+    r = np.random.RandomState(5)
+    words = [f"w{i}" for i in range(40)]
+    # words w30 to w39 are in few texts, anywhere
+    texts = [" ".join(r.choice(words[:30], r.randint(0, 30))) + (" " + " ".join(r.choice(words[30:], 4)) if d % 50 == 7 else "") for d in range(4997)] + ["", None, " ".join(words * 5)]
+    hashes = [decontaminate._hashes(" ".join(words[k : k + 20])) for k in (0, 10, 20)]
+    terms, half = Terms(np.concatenate(hashes)), 4
+    n = len(terms.hashes)
+    place = np.where(np.arange(n) % 7 == 3, -1, 0)
+    place[place == 0] = np.arange((place == 0).sum())
+    idf = r.uniform(1, 4, (place >= 0).sum())
+    items = Items(hashes, Terms(terms.hashes[place >= 0]), idf)
+    known = decontaminate.known_terms(spark.createDataFrame([(t,) for t in texts], "text string"), terms, half).persist()
+    df = decontaminate.document_frequency(known, n)
+    passages, seen = [], np.zeros(n, int)
+    for t in texts:
+        h = decontaminate._hashes(t or "")
+        at, k = terms.find(h)
+        seen[np.unique(k)] += 1
+        for a in range(0, len(h), half):
+            x = np.zeros(len(idf))
+            np.add.at(x, [j for i, j in zip(at, place[k]) if a <= i < a + 2 * half and j >= 0], 1)
+            passages.append(x * idf)
+    assert (df == seen).all()
+    dense = np.array(passages)
+    dense /= np.maximum(np.linalg.norm(dense, axis=1), 1e-12)[:, None]
+    got = decontaminate.latent_basis(known, place, idf, items, 6)
+    q = np.linalg.qr(np.random.RandomState(11).standard_normal((len(idf), 6)))[0]
+    for _ in range(decontaminate.POWER):
+        q = np.linalg.qr(dense.T @ (dense @ q) / len(dense) + 4 * items.back(items.times(q)) / 3)[0]
+    assert np.allclose(got @ got.T, q @ q.T, atol=1e-3)
+    batch = known.toArrow().combine_chunks().to_batches()[0].slice(7)
+    whole = list(decontaminate._known(batch))
+    monkeypatch.setattr(decontaminate, "WORDS", 50)
+    parts = list(decontaminate._known(batch))
+    assert len(parts) > 100 and all((np.concatenate([p[2] for p in parts]) == np.concatenate([p[2] for p in whole])))
+
+
+def test_group_sums():
+    r = np.random.RandomState(6)
+    x, n = r.standard_normal((9, 3)), np.array([1, 40, 2, 16, 17, 1, 3])
+    at, first = r.randint(0, 9, n.sum()), np.cumsum(n) - n
+    assert np.allclose(decontaminate._group_sums(x, at, first), np.add.reduceat(x[at], first, axis=0))
