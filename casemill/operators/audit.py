@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casemill.functions.ids import uuid5
+from casemill.operators.parts import dealt
 
 EVENTS = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 
@@ -56,8 +57,14 @@ def job_ledger(entries: DataFrame) -> DataFrame:
     return x.withColumn("completed_at", F.when(ended, F.col("at"))).drop("at")
 
 
-def check_run_binding(jobs: DataFrame, snapshots: DataFrame, runs: DataFrame) -> DataFrame:
-    """(job_id, problem): jobs whose frozen rows point to no run, to several, or to one of another parent."""
-    own = snapshots.join(runs.select("run_id", F.col("parent").alias("run_parent")), "run_id").groupBy("job_id").agg(F.countDistinct("run_id").alias("n"), F.min("run_parent").alias("p"))
+def check_run_binding(jobs: DataFrame, snapshots: DataFrame, runs: DataFrame, rows: int | None = None) -> DataFrame:
+    """(job_id, problem): jobs whose frozen rows point to no run, to several, or to one of another parent.
+
+    Repeated pairs of job and run are one.  With the number of snapshots' rows, a task gets a bounded part of them.
+    """
+    pairs = dealt(snapshots.select("job_id", "run_id"), rows, "run_id").distinct()
+    each = runs.groupBy("run_id").agg(F.min("parent").alias("run_parent"))
+    known = pairs.join(each, "run_id").select("job_id", "run_parent")
+    own = dealt(known, rows, "job_id").groupBy("job_id").agg(F.count("*").alias("n"), F.min("run_parent").alias("p"))
     x = jobs.join(own, "job_id", "left")
     return x.select("job_id", F.when(F.col("n").isNull(), "NO_RUN").when(F.col("n") > 1, "SEVERAL_RUNS").when(~F.col("p").eqNullSafe(F.col("parent")), "OTHER_PARENT").alias("problem")).where("problem is not null")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from casemill.functions.ids import text_sha256
 from casemill.operators import audit, dashboard, documents, quarantine, rules
+from casemill.operators.parts import dealt
 from casemill.plans.fixtures import table, view, with_views
 from casemill.plans.registry import query
 
@@ -231,9 +232,10 @@ SELECT j.job_id, CASE WHEN n IS NULL THEN 'NO_RUN' WHEN n > 1 THEN 'SEVERAL_RUNS
 def _binding(spark, d):
     # an order's lines were frozen for the run of their flag, whose parent is the lines' status
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.concat(F.col("l_orderkey").cast("string"), "l_returnflag").alias("run_id"), "l_linestatus")
-    runs = lines.groupBy("run_id").agg(F.max("l_linestatus").alias("parent"))
+    rows = lines.count()
+    runs = dealt(lines.select("run_id", "l_linestatus"), rows, "run_id").groupBy("run_id").agg(F.max("l_linestatus").alias("parent"))
     jobs = table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderstatus").alias("parent"))
-    return audit.check_run_binding(jobs, lines.select("job_id", "run_id"), runs)
+    return audit.check_run_binding(jobs, lines.select("job_id", "run_id"), runs, rows)
 
 
 def _broken(name, rows):
