@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casemill.operators.parts import dealt
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -30,20 +32,35 @@ class Rules:
         return [f"REQUIRED_{c}" for c in self.required] + list(self.checks) + ["UNIQUE_" + "_".join(u) for u in self.unique] + ["REFERENCE_" + "_".join(r) for r in self.references]
 
 
-def broken_rules(name: str, df: DataFrame, rules: Rules, tables: dict[str, DataFrame]) -> DataFrame:
+#: Copies of a row that are told at once.
+TOLD = 1 << 16
+
+
+def _as_often(df: DataFrame, n: str) -> DataFrame:
+    """Each row of df as often as its column n tells, TOLD at once."""
+    steps = df.select("*", F.explode(F.sequence(F.lit(0), F.expr(f"(`{n}` - 1) div {TOLD}"))).alias("_step"))
+    return steps.select(*df.columns, F.explode(F.sequence(F.lit(1), F.least(F.lit(TOLD), F.col(n) - F.col("_step") * TOLD))).alias("_copy")).drop("_copy")
+
+
+def broken_rules(name: str, df: DataFrame, rules: Rules, tables: dict[str, DataFrame], rows: int | None = None) -> DataFrame:
     """(table, key, rule): a row for each rule that a row of df breaks; a row that repeats is told as often as it is there.
 
-    Checks and required columns are one reading without a shuffle.  Unique sets are counted, and rows are
-    told by joining the sets that repeat; references are anti joins with the targets' distinct values.
+    Checks and required columns are one reading without a shuffle.  Unique sets are counted; where the key
+    is one of their columns the counts tell the rows, else they are told by joining the sets that repeat.
+    With the number of df's rows, a task counts a bounded part of them.  References are anti joins with the
+    targets' distinct values.
     """
     tell = lambda rows, rule: rows.select(F.lit(name).alias("table"), F.col(rules.key).cast("string").alias("key"), F.lit(rule).alias("rule"))
     plain = [F.when(F.col(c).isNull(), F.lit(f"REQUIRED_{c}")) for c in rules.required]
     plain += [F.when(~F.expr(condition), F.lit(rule)) for rule, condition in rules.checks.items()]
     found = [df.select(F.lit(name).alias("table"), F.col(rules.key).cast("string").alias("key"), F.explode(F.filter(F.array(*plain), lambda r: r.isNotNull())).alias("rule"))] if plain else []
+    # values of these types that group as one are written alike
+    plain_key = dict(df.dtypes)[rules.key].split("(")[0] in ("string", "tinyint", "smallint", "int", "bigint", "date", "timestamp", "decimal", "boolean")
     for columns in rules.unique:
         whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
-        twice = df.where(whole).groupBy(*columns).count().where("count > 1").drop("count")
-        found.append(tell(df.join(twice, list(columns), "left_semi"), "UNIQUE_" + "_".join(columns)))
+        twice = dealt(df.where(whole).select(*columns), rows, *columns).groupBy(*columns).agg(F.count("*").alias("_n")).where("_n > 1")
+        told = _as_often(twice, "_n") if plain_key and rules.key in columns else df.join(twice.drop("_n"), list(columns), "left_semi")
+        found.append(tell(told, "UNIQUE_" + "_".join(columns)))
     for columns, (target, theirs) in rules.references.items():
         whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
         there = tables[target].select(*[F.col(t).alias(c) for c, t in zip(columns, theirs)]).distinct()
@@ -51,9 +68,9 @@ def broken_rules(name: str, df: DataFrame, rules: Rules, tables: dict[str, DataF
     return reduce(DataFrame.unionByName, found)
 
 
-def check_tables(tables: dict[str, DataFrame], catalogue: dict[str, Rules]) -> DataFrame:
-    """The broken rules of all tables that the catalogue names and that are there."""
-    return reduce(DataFrame.unionByName, [broken_rules(name, tables[name], rules, tables) for name, rules in catalogue.items() if name in tables])
+def check_tables(tables: dict[str, DataFrame], catalogue: dict[str, Rules], rows: dict[str, int] | None = None) -> DataFrame:
+    """The broken rules of all tables that the catalogue names and that are there. rows: of tables, where they are known."""
+    return reduce(DataFrame.unionByName, [broken_rules(name, tables[name], rules, tables, (rows or {}).get(name)) for name, rules in catalogue.items() if name in tables])
 
 
 def _filled(*columns: str) -> dict[str, str]:

@@ -78,9 +78,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, name: str, **given: DataFrame) -> DataFrame:
+    """The view of a name over the driver's tables; tables that the caller has, dealt in another way, are given by name."""
     sql = re.sub(r'AS "(\w+)"', r"AS `\1`", VIEWS[name])
-    used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}
+    used = {t: given[t] if t in given else table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}
     return spark.sql(sql, **used)
 
 

@@ -34,3 +34,22 @@ def test_run_binding_in_bounded_tasks(spark, monkeypatch):
     n = -(-len(snapshots) // 20)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert n > 8 and plan.count(f", {n}), REPARTITION_BY_NUM") >= 2
+
+
+def test_unique_keys_are_told_by_their_counts(spark, monkeypatch):
+    from collections import Counter
+
+    from casemill.operators import rules
+
+    r = random.Random(5)
+    rows = [(r.choice([None, "", *map(str, range(40))]), r.choice([None, 1, 2])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "id string, n int")
+    monkeypatch.setattr(parts, "ROWS", 20)
+    monkeypatch.setattr(rules, "TOLD", 3)
+    ids, both = Counter(a for a, _ in rows if a is not None), Counter(x for x in rows if None not in x)
+    want = Counter((a, "UNIQUE_id") for a, _ in rows if ids[a] > 1) + Counter((a, "UNIQUE_id_n") for a, n in rows if both[a, n] > 1) + Counter((a, "UNIQUE_n") for a, n in rows if n)
+    for known in (None, {"t": len(rows)}):
+        x = rules.check_tables({"t": df}, {"t": rules.Rules("id", unique=(("id",), ("id", "n"), ("n",)))}, known)
+        assert Counter((v.key, v.rule) for v in x.collect()) == want
+        own = rules.check_tables({"t": df}, {"t": rules.Rules("id", unique=(("id",),))}, known)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in own and ("REPARTITION_BY_NUM" in own) == (known is not None)
