@@ -5,19 +5,26 @@
     SELECT * FROM token_offsets(TABLE(docs))
 
 The table has the columns doc_id, of any type, and text; others may be there.  Null texts have no words.
+A session that registers them for one type of doc_id has token_offsets by columns, for tables of that type.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Row, SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udtf, udtf
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
-from casemill.operators.corpus import OVERLAP, SIZE, structural_chunks, token_offsets
+from casemill.operators.corpus import OVERLAP, SIZE, _portions, structural_chunks, token_offsets
+
+#: Words whose rows a task sends at once.
+WORDS = 1 << 17
 
 
 def _key(table: AnalyzeArgument) -> StructField:
@@ -81,7 +88,22 @@ class TokenOffsets:
             yield row["doc_id"], k, start, end
 
 
-def register(spark: SparkSession) -> None:
-    """Makes the functions known to the session's SQL."""
-    for name, function in (("chunk_fixed", ChunkFixed), ("chunk_structural", ChunkStructural), ("token_offsets", TokenOffsets)):
+class OffsetColumns:
+    """TokenOffsets by columns, a part of the table at once; Spark asks for the result's types beforehand."""
+
+    def eval(self, table: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for b in _portions([table]):
+            found = [np.fromiter(chain.from_iterable(m.span() for m in re.finditer(r"\S+", t or "")), np.int32).reshape(-1, 2) for t in b.column("text").to_pylist()]
+            row, ordinal = np.repeat(np.arange(len(found)), [len(x) for x in found]), np.concatenate([np.arange(len(x), dtype=np.int32) for x in found])
+            start, end = np.concatenate(found).T
+            for a in range(0, len(row), WORDS):
+                own = slice(a, a + WORDS)
+                columns = [b.column("doc_id").take(pa.array(row[own])), *(pa.array(np.ascontiguousarray(x[own])) for x in (ordinal, start, end))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ordinal", "start", "end"])
+
+
+def register(spark: SparkSession, key: str | None = None) -> None:
+    """Makes the functions known to the session's SQL; with key, the type of the tables' doc_id, token_offsets goes by columns."""
+    offsets = TokenOffsets if key is None else arrow_udtf(OffsetColumns, returnType=f"doc_id {key}, ordinal int, start int, end int")
+    for name, function in (("chunk_fixed", ChunkFixed), ("chunk_structural", ChunkStructural), ("token_offsets", offsets)):
         spark.udtf.register(name, function)

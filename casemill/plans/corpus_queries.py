@@ -92,7 +92,7 @@ def _structural(spark, d):
 
 def _by_sql(spark, name, docs, call):
     """A table function of the session's SQL over docs."""
-    table_functions.register(spark)
+    table_functions.register(spark, dict(docs.dtypes)["doc_id"])
     docs.createOrReplaceTempView(name)
     return spark.sql(f"SELECT * FROM {call}")
 
