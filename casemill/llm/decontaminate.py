@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Passages are windows of `width` words, half a window apart.  Terms are the benchmark's words; their
-   document frequencies are counted over all documents.  Texts are read for their known words once;
-   what is fitted reads those.
+   document frequencies are counted over all documents.  Texts are read for their known words once,
+   and these are written with their places; all that follows reads those and no text.
 2. A randomised SVD of the TF-IDF matrix gives the latent space: blocks of rows multiply a Gaussian
    matrix by A^T A in Spark tasks, the products (terms x rank) are summed by term range through a
    shuffle, and the orthonormal basis is refined by power iteration.  The rows are the benchmark's
@@ -10,7 +10,7 @@
 3. Every passage of every document is projected and compared with every benchmark item by cosine.
    Passages that have five words in a row of an item are candidates too, however frequent its words
    are, so no verbatim copy depends on weights.
-4. Candidates are checked word by word: the longest common subsequence of the item with the text around
+4. Candidates are checked word by word (words that no item has are in no common subsequence): the longest common subsequence of the item with the text around
    the passage covers most of the item; or it covers less, as in a paraphrase, but all words of the
    item's answer, its last sentence, are there in their order, others between them or not.
 
@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.arrays import Slice, Tokens, U, slices, tokens, window_hash, words_window
-from casemill.llm.shared import WORD, discard, stage
+from casemill.llm.arrays import U, slices, tokens, window_hash
+from casemill.llm.shared import WORD, bounded_batches, stage
 
 RANK, POWER = 96, 2
 #: Terms in more than this share of the documents are left out; items that keep under a quarter of their terms are searched for once more with all of them.  Terms weigh their squared log inverse frequency, LEAST_WEIGHT at least.
@@ -38,10 +38,10 @@ COMMON, LEAST_WEIGHT = 0.1, 0.1
 #: Words in a row that make a candidate; as many as an answer has at least.
 SEED = 5
 TERM_RANGE = 1024
-#: Bytes of text that a task projects at once: a known word is a row of RANK numbers.
+#: Bytes of text that a task reads at once.
 PART = 256 << 10
-#: Known words whose vectors a task adds up at once.
-WORDS = 1 << 15
+#: Known words whose vectors a task adds up at once, and half-windows a known word that it looks at for them.
+WORDS, SPARSE = 1 << 15, 8
 #: Most cosines that a task has at once.
 MOST_CELLS = 2048 * 2048
 
@@ -138,13 +138,14 @@ class Seeds:
             order = np.argsort(run, kind="stable")
             self.by_length[m] = Terms(run), np.searchsorted(run[order], np.unique(run)), item[order]
 
-    def find(self, t: Tokens, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(index of a run's first word, item) of every run in a slice."""
+    def find(self, doc: np.ndarray, word: np.ndarray, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(index of a run's first word, item) of every run in known words with their documents, places there and hashes."""
         for m, (terms, first, item) in self.by_length.items():
-            at, runs = words_window(t, h, m)
+            last = len(h) - m + 1
+            at = np.flatnonzero((word[m - 1 :] - word[: max(last, 0)] == m - 1) & (doc[m - 1 :] == doc[: max(last, 0)]))
             if not len(at):
                 continue
-            place, k = terms.find(runs)
+            place, k = terms.find(window_hash(h, m)[at])
             n = np.diff(np.append(first, len(item)))[k]
             skip = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             yield np.repeat(at[place], n), item[np.repeat(first[k], n) + skip]
@@ -155,23 +156,6 @@ def _hashes(text: str) -> np.ndarray:
     return tokens(s, lower=True).hashes()
 
 
-def _steps(first: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
-    """(half-window of each document's start, number of half-windows): words w of document d are in half-window start[d] + (w - first[d]) // half."""
-    n = -(-np.diff(first) // half)
-    return np.concatenate([[0], np.cumsum(n)]), n
-
-
-def _passages(s: Slice, terms: Terms, half: int, weight: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Half-window sums of weight[term] (one row a half-window), documents' bounds, the rows and terms of known words, the words and their hashes."""
-    t = tokens(s, lower=True)
-    h = t.hashes()
-    at, k = terms.find(h)
-    start, _ = _steps(t.first, half)
-    doc = t.doc[at]
-    row = start[doc] + (at - t.first[doc]) // half
-    return _sums(row, k, start, weight), start, row, k, t, h
-
-
 def _sums(row: np.ndarray, k: np.ndarray, start: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Sums of weight[k] by half-window; row is in order."""
     out = np.zeros((start[-1], weight.shape[1]), weight.dtype)
@@ -205,8 +189,9 @@ def _joined(x: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def known_terms(texts: DataFrame, terms: Terms, half: int) -> DataFrame:
-    """(n, row, term): of each text with words its number of half-windows, and the half-window and term of each known word, packed by four bytes."""
+    """(n, row, spot, term, after the other columns): of each text with words its number of half-windows, and of each known word its half-window, place in it and term, packed by four bytes."""
     shared = texts.sparkSession.sparkContext.broadcast(terms)
+    others = [(c, kind) for c, kind in texts.dtypes if c != "text"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,29 +199,50 @@ def known_terms(texts: DataFrame, terms: Terms, half: int) -> DataFrame:
                 t = tokens(s, lower=True)
                 at, k = shared.value.find(t.hashes())
                 doc = t.doc[at]
-                row = (at - t.first[doc]) // half
+                row, spot = np.divmod(at - t.first[doc], half)
                 n = -(-np.diff(t.first) // half)
                 places = pa.py_buffer((4 * np.searchsorted(doc, np.arange(len(n) + 1))).astype(np.int32))
-                packed = (pa.Array.from_buffers(pa.binary(), len(n), [None, places, pa.py_buffer(x.astype("<i4"))]) for x in (row, k))
-                yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), *packed], ["n", "row", "term"]).filter(pa.array(n > 0))
+                packed = (pa.Array.from_buffers(pa.binary(), len(n), [None, places, pa.py_buffer(x.astype("<i4"))]) for x in (row, spot, k))
+                own = (batch.column(c).slice(s.row0, s.row1 - s.row0) for c, _ in others)
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), *packed], [*(c for c, _ in others), "n", "row", "spot", "term"]).filter(pa.array(n > 0))
 
-    return texts.select("text").mapInArrow(find, "n long, row binary, term binary")
+    layout = "".join(f"`{c}` {kind}, " for c, kind in others)
+    return texts.select(*(c for c, _ in others), "text").mapInArrow(find, f"{layout}n long, row binary, spot binary, term binary")
 
 
-def _known(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """A batch of `known_terms`, WORDS of them at once: (half-window of each text's start, half-windows and terms of the known words)."""
+def _placed(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """A batch of `known_terms`, WORDS of them at once: (first text, half-window of each text's start, half-windows, places in them and terms of the known words)."""
     n = batch.column("n").to_numpy()
     x = batch.column("term")
     a, off = 0, np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1] // 4
-    row, term = (np.frombuffer(batch.column(c).buffers()[2] or b"", "<i4") for c in ("row", "term"))
+    steps = np.concatenate([[0], np.cumsum(n)])
+    row, spot, term = (np.frombuffer(batch.column(c).buffers()[2] or b"", "<i4") for c in ("row", "spot", "term"))
     while a < len(n):
-        b = max(a + 1, int(np.searchsorted(off, off[a] + WORDS, "right")) - 1)
-        start = np.concatenate([[0], np.cumsum(n[a:b])])
+        b = max(a + 1, int(min(np.searchsorted(off, off[a] + WORDS, "right"), np.searchsorted(steps, steps[a] + SPARSE * WORDS, "right"))) - 1)
+        start = steps[a : b + 1] - steps[a]
         own = slice(off[a], off[b])
-        yield start, np.repeat(start[:-1], np.diff(off[a : b + 1])) + row[own], term[own]
+        yield a, start, np.repeat(start[:-1], np.diff(off[a : b + 1])) + row[own], spot[own], term[own]
         a = b
 
 
+def _known(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(half-window of each text's start, half-windows and terms of the known words) of `_placed`."""
+    for _, start, row, _, term in _placed(batch):
+        yield start, row, term
+
+
+def _filled(start: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The half-windows whose windows have a word of `row`, numbered anew: (which they are, starts of those that follow one another in a text, new numbers of row)."""
+    some = np.zeros(start[-1], bool)
+    some[row] = True
+    some[:-1] |= some[1:]
+    at = np.flatnonzero(some)
+    first = np.zeros(len(some), bool)
+    first[start[:-1]] = True
+    first[1:] |= ~some[:-1]
+    return at, np.append(np.flatnonzero(first[at]), len(at)), (np.cumsum(some) - 1)[row]
+
+
 def document_frequency(known: DataFrame, n: int) -> np.ndarray:
     """In how many texts each of n terms is."""
 
@@ -278,13 +284,13 @@ def latent_basis(known: DataFrame, place: np.ndarray, idf: np.ndarray, items: It
                     row, k = row[k >= 0], k[k >= 0]
                     if not len(k):
                         continue
+                    _, start, row = _filled(start, row)
                     y = _joined(_sums(row, k, start, weight), start)
                     y /= np.maximum(_norms(start, row, k, idf), 1e-12).astype(np.float32)[:, None] ** 2
                     # A^T y: a word's half-window is in its own window and in the one before
                     back = y.copy()
-                    has = np.ones(len(y), bool)
-                    has[start[:-1]] = False
-                    back[has] += y[:-1][has[1:]]
+                    back[1:] += y[:-1]
+                    back[start[:-1]] = y[start[:-1]]
                     order = np.argsort(k, kind="stable")
                     cut = np.flatnonzero(np.concatenate([[True], k[order][1:] != k[order][:-1]]))
                     own = k[order][cut]
@@ -353,9 +359,9 @@ def answer_of(words: list[str]) -> list[str]:
     return words[min(at, max(len(words) - 5, 0)) :]
 
 
-def _search(own: DataFrame, known: DataFrame, place: np.ndarray, n_docs: int, rows: list, hashes: list[np.ndarray], terms: Terms, df: np.ndarray, seeds: Seeds, layout: str, half: int, cosine: float, held: float, copied: float, paraphrased: float) -> DataFrame:
-    """Documents and items (rows) that agree, by candidates of the latent space over `terms` and of `seeds`."""
-    spark = own.sparkSession
+def _search(known: DataFrame, names: np.ndarray, place: np.ndarray, n_docs: int, rows: list, hashes: list[np.ndarray], terms: Terms, df: np.ndarray, seeds: Seeds, layout: str, half: int, cosine: float, held: float, copied: float, paraphrased: float) -> DataFrame:
+    """Documents and items (rows) that agree, by candidates of the latent space over `terms` and of `seeds`.  names: hashes of the terms of `known`; place: as in `latent_basis`."""
+    spark = known.sparkSession
     idf = np.maximum(np.log((n_docs + 2) / (df + 1)) ** 2, LEAST_WEIGHT)
     parts = [(i, p) for i, h in enumerate(hashes) for p in _pieces(h, half)]
     item_of = np.array([i for i, _ in parts])
@@ -366,19 +372,22 @@ def _search(own: DataFrame, known: DataFrame, place: np.ndarray, n_docs: int, ro
     latent /= np.maximum(size, 1e-12)[:, None]
     # what a window must hold of an item's weight, along the item
     needed = (held * items.length * size).astype(np.float32)
-    words = [r.text.encode().lower().split() for r in rows]
-    plain = [[w.decode() for w in x] for x in words]
-    shared = spark.sparkContext.broadcast((terms, (idf[:, None] * q).astype(np.float32), latent.astype(np.float32).T.copy(), needed, item_of, [r.item for r in rows], plain, [answer_of(x) for x in plain], seeds))
+    plain = [np.searchsorted(names, h).tolist() for h in hashes]
+    ends = [len(answer_of([w.decode() for w in r.text.encode().lower().split()])) for r in rows]
+    shared = spark.sparkContext.broadcast((names, place, (idf[:, None] * q).astype(np.float32), latent.astype(np.float32).T.copy(), needed, item_of, [r.item for r in rows], plain, [x[len(x) - n :] for x, n in zip(plain, ends)], seeds))
 
     def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-        terms, weight, latent, needed, item_of, names, plain, answers, seeds = shared.value
+        hashes, place, weight, latent, needed, item_of, names, plain, answers, seeds = shared.value
         pieces = np.bincount(item_of)
         first_piece = np.cumsum(pieces) - pieces
         step = max(1, min(8192, MOST_CELLS // latent.shape[1]))
         for batch in batches:
-            for s in slices(batch.column("text"), PART):
-                x, start, _, _, t, h = _passages(s, terms, half, weight)
-                y = _joined(x, start)
+            for row0, start, row, spot, term in _placed(batch):
+                window, bounds, short = _filled(start, row)
+                k = place[term]
+                y = _joined(_sums(short[k >= 0], k[k >= 0], bounds, weight), bounds)
+                doc = np.searchsorted(start, row, "right") - 1
+                word = (row - start[doc]) * half + spot
                 size = np.linalg.norm(y, axis=1)
                 some = np.flatnonzero(size > 1e-6)
                 hits: dict[tuple[int, int], dict[int, float]] = defaultdict(dict)
@@ -387,44 +396,43 @@ def _search(own: DataFrame, known: DataFrame, place: np.ndarray, n_docs: int, ro
                     dot = y[at] @ latent
                     near = dot / size[at, None]
                     p, i = np.nonzero((near >= cosine) & (dot >= needed))
-                    doc = np.searchsorted(start, at[p], "right") - 1
-                    for d, w, k, c in zip(doc, at[p], i, near[p, i]):
+                    w = window[at[p]]
+                    for d, w, k, c in zip(np.searchsorted(start, w, "right") - 1, w, i, near[p, i]):
                         wins = hits[int(d), int(item_of[k])]
                         wins[int(w - start[d])] = max(wins.get(int(w - start[d]), 0.0), float(c))
-                for at, i in seeds.find(t, h):
-                    d = t.doc[at]
-                    d, i, w = np.unique([d, i, (at - t.first[d]) // half], axis=1)
+                for at, i in seeds.find(doc, word, hashes[term]):
+                    d, i, w = np.unique([doc[at], i, short[at]], axis=1)
                     # cosine with the item's best piece
                     n = pieces[i]
                     pair = np.repeat(np.arange(len(i)), n)
                     skip = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    dot = np.einsum("ij,ij->i", y[(start[d] + w)[pair]], latent.T[first_piece[i][pair] + skip])
+                    dot = np.einsum("ij,ij->i", y[w[pair]], latent.T[first_piece[i][pair] + skip])
                     dot = np.maximum.reduceat(dot, np.cumsum(n) - n) if len(n) else dot
-                    for d, k, w, c in zip(d.tolist(), i.tolist(), w.tolist(), (dot / np.maximum(size[start[d] + w], 1e-12)).tolist()):
+                    for d, k, w, c in zip(d.tolist(), i.tolist(), (window[w] - start[d]).tolist(), (dot / np.maximum(size[w], 1e-12)).tolist()):
                         hits[d, k].setdefault(w, c)
                 out = []
-                cache: dict[int, list[str]] = {}
+                first = np.searchsorted(doc, np.arange(len(start)))
                 for (d, k), wins in hits.items():
-                    if d not in cache:
-                        cache[d] = [w.decode() for w in s.data[s.off[d] : s.off[d + 1]].tobytes().lower().split()]
-                    text, item = cache[d], plain[k]
+                    item = plain[k]
+                    inside, at = term[first[d] : first[d + 1]], word[first[d] : first[d + 1]]
                     best, seen = (0.0, False), -1
                     for group in _near(sorted(wins), len(item) // 4 // half):
                         lo, hi = max(0, group[0] * half - len(item)), (group[-1] + 2) * half + len(item)
                         if hi <= seen:
                             continue
                         seen = hi
-                        share = common_subsequence(item, text[lo:hi]) / len(item)
+                        text = inside[slice(*np.searchsorted(at, [lo, hi]))].tolist()
+                        share = common_subsequence(item, text) / len(item)
                         if share >= paraphrased:
-                            answered = common_subsequence(answers[k], text[lo:hi]) == len(answers[k])
+                            answered = common_subsequence(answers[k], text) == len(answers[k])
                             best = max(best, (share, answered))
                     if best[0] >= copied or best[0] >= paraphrased and best[1]:
-                        out.append((s.row0 + d, names[k], best[0], max(wins.values()), best[1]))
+                        out.append((row0 + d, names[k], best[0], max(wins.values()), best[1]))
                 if out:
                     d, n, share, c, ok = zip(*out)
                     yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(d)), pa.array(n), pa.array(share, pa.float64()), pa.array(c, pa.float64()), pa.array(ok, pa.bool_())], ["id", "item", "share", "cosine", "answered"])
 
-    return own.mapInArrow(search, layout)
+    return known.mapInArrow(search, layout)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = 32, cosine: float = 0.45, held: float = 0.25, copied: float = 0.7, paraphrased: float = 0.5, block_items: int = 5000) -> DataFrame:
@@ -449,28 +457,29 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     blocks = -(-int(pieces) // block_items)
     found = spark.createDataFrame([], layout)
     n_docs = own.count() if blocks else 0
-    for block in range(blocks):
-        rows = [r for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect() if r.text.encode().split()]
-        if not rows:
-            continue
-        rows.sort(key=lambda r: (r.text, str(r.item)))
-        hashes = [_hashes(r.text) for r in rows]
-        terms = Terms(np.concatenate(hashes))
-        known = stage(known_terms(own, terms, half), "known")
-        df = document_frequency(known, len(terms.hashes))
-        rare = df <= max(COMMON * n_docs, 1)
-        if not rare.any():
-            rare[:] = True
-        poor = [i for i, h in enumerate(hashes) if 4 * rare[k := np.unique(terms.find(h)[1])].sum() < len(k)]
-        place = np.where(rare, np.cumsum(rare) - 1, -1)
-        found = found.unionByName(_search(own, known, place, n_docs, rows, hashes, Terms(terms.hashes[rare]), df[rare], Seeds(hashes), layout, half, cosine, held, copied, paraphrased))
-        if poor:
-            hashes = [hashes[i] for i in poor]
-            all_ = Terms(np.concatenate(hashes))
-            used = np.isin(terms.hashes, all_.hashes)
-            place = np.where(used, np.cumsum(used) - 1, -1)
-            found = found.unionByName(_search(own, known, place, n_docs, [rows[i] for i in poor], hashes, all_, df[used], Seeds([]), layout, half, cosine, held, copied, paraphrased))
-        discard(known)
+    with bounded_batches(spark):
+        for block in range(blocks):
+            rows = [r for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect() if r.text.encode().split()]
+            if not rows:
+                continue
+            rows.sort(key=lambda r: (r.text, str(r.item)))
+            hashes = [_hashes(r.text) for r in rows]
+            terms = Terms(np.concatenate(hashes))
+            known = stage(known_terms(own, terms, half), "known")
+            df = document_frequency(known, len(terms.hashes))
+            rare = df <= max(COMMON * n_docs, 1)
+            if not rare.any():
+                rare[:] = True
+            poor = [i for i, h in enumerate(hashes) if 4 * rare[k := np.unique(terms.find(h)[1])].sum() < len(k)]
+            place = np.where(rare, np.cumsum(rare) - 1, -1)
+            here = _search(known, terms.hashes, place, n_docs, rows, hashes, Terms(terms.hashes[rare]), df[rare], Seeds(hashes), layout, half, cosine, held, copied, paraphrased)
+            if poor:
+                hashes = [hashes[i] for i in poor]
+                all_ = Terms(np.concatenate(hashes))
+                used = np.isin(terms.hashes, all_.hashes)
+                place = np.where(used, np.cumsum(used) - 1, -1)
+                here = here.unionByName(_search(known, terms.hashes, place, n_docs, [rows[i] for i in poor], hashes, all_, df[used], Seeds([]), layout, half, cosine, held, copied, paraphrased))
+            found = found.unionByName(stage(here, "found", known))
     best = found.groupBy("id", "item").agg(F.max("share").alias("share"), F.max("cosine").alias("cosine"), F.max("answered").alias("answered"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias("item_id" if item_col == id_col else item_col), "share", "cosine", "answered")
 

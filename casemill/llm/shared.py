@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +45,18 @@ def discard(*staged: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession, limit: int = 4 << 20) -> Iterator[None]:
+    """Arrow batches of about `limit` bytes in the jobs that run meanwhile, not of 10,000 rows of whatever length: each is once in the executor and once or twice in its Python."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(limit))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def small_or_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str, row_bytes: int, rows: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """left joined with right, which is broadcast only if its measured rows * row_bytes stay within the limit."""
     return left.join(F.broadcast(right) if rows * row_bytes <= limit else right, on, how)

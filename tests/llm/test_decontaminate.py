@@ -2,9 +2,12 @@ import random
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from casemill.llm import decontaminate
 from casemill.llm.decontaminate import Items, Terms, answer_of, common_subsequence, find_leaks, op3
+from casemill.llm.shared import bounded_batches
 
 
 def lcs(a, b):
@@ -169,3 +172,37 @@ def test_group_sums():
     x, n = r.standard_normal((9, 3)), np.array([1, 40, 2, 16, 17, 1, 3])
     at, first = r.randint(0, 9, n.sum()), np.cumsum(n) - n
     assert np.allclose(decontaminate._group_sums(x, at, first), np.add.reduceat(x[at], first, axis=0))
+
+
+def test_texts_are_read_once(spark):
+    """What is fitted and searched reads the known words: texts go through Python once, null and blank ones too."""
+    r = np.random.RandomState(7)
+    items = [(i, " ".join(r.choice([f"w{j}" for j in range(200)], 30))) for i in range(8)]
+    rows = [(d, " ".join(["x"] * r.randint(0, 90)) + " " + items[d % 8][1]) for d in range(40)] + [(40, None), (None, " "), (None, items[3][1])]
+    read = spark.sparkContext.accumulator(0)
+
+    def text(t):
+        read.add(1)
+        return t
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("text", F.udf(text, "string")("text"))
+    got = {(x.doc_id, x.item_id) for x in find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(d, d % 8) for d in range(40)} | {(None, 3)}
+    assert read.value == len(rows)
+
+
+def test_half_windows_without_known_words_have_no_vectors():
+    start, row = np.array([0, 4, 1_000_004, 1_000_009]), np.array([3, 9, 9, 500_000, 1_000_004])
+    at, bounds, short = decontaminate._filled(start, row)
+    assert at.tolist() == [2, 3, 8, 9, 499_999, 500_000, 1_000_003, 1_000_004]
+    assert (at[short] == row).all() and bounds.tolist() == [0, 2, 4, 6, 7, 8]
+
+
+def test_batches_are_bounded(spark):
+    """Texts come to a task a few MB at a time, and the caller's setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    with bounded_batches(spark, 1 << 20):
+        docs = spark.range(0, 4000, 1, 1).selectExpr("repeat('word ', 1000) AS text")
+        sizes = [x.n for x in docs.mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in bs), "n long").collect()]
+    assert len(sizes) >= 15 and max(sizes) < 2 << 20 and spark.conf.get(key) == before
