@@ -220,6 +220,36 @@ def unpack(width: int, blob: bytes) -> np.ndarray:
     return wide.reshape(-1).view(">u8").astype(U)
 
 
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as the first one and the steps to the next, in as few bytes each as the longest step needs."""
+    if not len(keys):
+        return b""
+    steps = np.diff(keys)
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    if not blob:
+        return np.zeros(0, U)
+    rest = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, blob[0])
+    steps = np.zeros((len(rest) + 1, 8), np.uint8)
+    steps[1:, : blob[0]] = rest
+    steps[0] = np.frombuffer(blob, np.uint8, 8, 1)
+    return np.cumsum(steps.reshape(-1).view("<u8"), dtype=U)
+
+
+def pack_planes(values: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of each whole number, all first bytes, then all second ones: high bytes are mostly zeros, which Spark's codecs make small."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpack_planes(blob: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(blob) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(blob, np.uint8).reshape(width, -1).T
+    return out.reshape(-1).view("<u8").astype(np.int64)
+
+
 def groups_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Tables of the rows of one key each, from batches that are sorted by it; a group may span batches."""
     held: pa.Table | None = None

@@ -57,6 +57,18 @@ def bounded_batches(spark: SparkSession, limit: int = 4 << 20) -> Iterator[None]
         spark.conf.set(key, before)
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of each job that ends meanwhile go with it, and do not wait for the driver's garbage collection.  For jobs that write what they make: nothing reads their shuffles again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def small_or_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str, row_bytes: int, rows: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """left joined with right, which is broadcast only if its measured rows * row_bytes stay within the limit."""
     return left.join(F.broadcast(right) if rows * row_bytes <= limit else right, on, how)

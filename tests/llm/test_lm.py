@@ -1,4 +1,5 @@
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -6,7 +7,10 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from casemill.llm import lm_score
+from casemill.llm.arrays import pack_planes, pack_sorted, unpack_planes, unpack_sorted
 from casemill.llm.lm_score import level_value, levels, op1, score_texts
+from casemill.llm.shared import shared_dir
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -66,6 +70,38 @@ def test_scores_are_the_same_at_any_limit(spark):
         assert tuple(a)[:4] == tuple(b)[:4] and abs(a.base_score - b.base_score) < 1e-6 and abs(a.score - b.score) < 1e-6
 
 
+def test_packed_keys():
+    r = np.random.RandomState(1)
+    for x in ([], [0], [2**64 - 1], [0, 2**64 - 1], r.randint(0, 2**62, 5000), range(1000)):
+        keys = np.unique(np.array(list(x), np.uint64))
+        assert (unpack_sorted(pack_sorted(keys)) == keys).all() and len(pack_sorted(keys)) <= 9 + 8 * len(keys)
+    n = r.randint(0, 2**31, 1000)
+    assert (unpack_planes(pack_planes(n, 4), 4) == n).all() and len(unpack_planes(pack_planes(n[:0], 4), 4)) == 0
+
+
+@pytest.mark.parametrize("limit", [1 << 28, -1])
+def test_disk(spark, monkeypatch, limit):
+    """What a run writes on the way is a few times its texts on both sides of the limit, and goes with it; texts that ask in many chunks get the scores of one."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").repartition(4)
+    one = {r.doc_id: r for r in score_texts(docs, docs.where("doc_id % 3 = 0"), limit=limit).collect()}
+    written, plain = [], lm_score.stage
+    size = lambda at: sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(at.removeprefix("file:")) for f in names)
+
+    def staged(df, name, *used):
+        out = plain(df, name, *used)
+        written.append(size(out.staged_at))
+        return out
+
+    monkeypatch.setattr(lm_score, "stage", staged)
+    monkeypatch.setattr(lm_score, "CHUNK", 1000, raising=False)
+    before = size(shared_dir(spark))
+    got = {r.doc_id: r for r in score_texts(docs, docs.where("doc_id % 3 = 0"), limit=limit).collect()}
+    texts = docs.selectExpr("sum(octet_length(text))").first()[0]
+    assert sum(written) < 2 * texts
+    assert size(shared_dir(spark)) - before < 0.1 * texts
+    assert got.keys() == one.keys() and all(tuple(got[k])[:4] == tuple(r)[:4] and abs(got[k].score - r.score) < 1e-6 for k, r in one.items())
+
+
 def test_table(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
     held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 5 == 1 for r in rows}
